@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.imatch import fingerprint_and_edit
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.warc import warc_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,15 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc_round_trip(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_and_edit(_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -48,7 +59,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op9_line_dedup": op9_line_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op9_line_dedup": op9_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

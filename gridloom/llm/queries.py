@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.imatch import fingerprint_and_edit
+from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.warc import warc_round_trip
 
@@ -37,6 +39,18 @@ def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_edit(_documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -58,8 +72,15 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    docs = _documents(spark, sf_dir)
+    profiles = learn_profiles(docs.where(~held_out))
+    return predict_language(docs, profiles, ["doc_id", held_out])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op9_line_dedup": op9_line_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.imatch import fingerprint_and_edit
 from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.ngram_lm import score_documents
 from gridloom.llm.warc import warc_round_trip
 
 
@@ -39,6 +40,12 @@ def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_edit(_documents(spark, sf_dir))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    out = score_documents(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary file is installed."""
     import public_tokenizers
@@ -80,7 +87,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

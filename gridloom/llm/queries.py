@@ -12,6 +12,7 @@ from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.imatch import fingerprint_and_edit
 from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.ngram_lm import score_documents
 from gridloom.llm.warc import warc_round_trip
 
@@ -36,6 +37,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), k=4, percent=80)
+
+
 def op4_imatch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_edit(_documents(spark, sf_dir))
 
@@ -87,7 +92,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

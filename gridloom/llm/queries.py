@@ -14,6 +14,7 @@ from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.ngram_lm import score_documents
+from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 from gridloom.llm.warc import warc_round_trip
 
 
@@ -63,6 +64,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def toxicity_held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity_held_out())
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", toxicity_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -92,7 +104,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from gridloom.llm.imatch import fingerprint_and_edit
 from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.mixing import mixing_rates, quality_domains
 from gridloom.llm.ngram_lm import score_documents
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 from gridloom.llm.warc import warc_round_trip
@@ -52,6 +53,16 @@ def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+MIX_TARGETS = {"good": 0.75, "poor": 0.25}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, the posterior of each domain and the rate that brings the domains' expected tokens to MIX_TARGETS."""
+    domains = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = mixing_rates(_documents(spark, sf_dir).select("doc_id", "text"), domains, MIX_TARGETS)
+    return out.select("doc_id", F.col("_tokens").alias("tokens"), *(F.element_at("_posteriors", i + 1).alias(f"p_{d}") for i, d in enumerate(MIX_TARGETS)), F.col("_rate").alias("rate"))
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary file is installed."""
     import public_tokenizers
@@ -104,7 +115,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,11 +108,24 @@ def suspected(h: np.ndarray, twice: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
-def gather_filters(per_task: DataFrame, slots: int) -> bytes:
-    """Merges one row of filters per task in a tree, on executors; the driver gets the merged one, of a fixed size."""
+def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16) -> bytes:
+    """Merges one row of filters per task on executors, ``fan_in`` at a time; the driver gets the merged one, of a fixed size."""
     rdd = per_task.rdd.map(lambda r: bytes(r[0]))
-    zero = bytes(slots // 4)
-    return rdd.treeAggregate(zero, merge_filters, merge_filters, depth=2)
+    n = rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // fan_in)
+
+        def fold(i: int, part: Iterator[bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
+            out = None
+            for f in part:
+                out = f if out is None else merge_filters(out, f)
+            return iter([] if out is None else [(i % n, out)])
+
+        rdd = rdd.mapPartitionsWithIndex(fold).reduceByKey(merge_filters, n).values()
+    out = bytes(slots // 4)
+    for f in rdd.collect():
+        out = merge_filters(out, f)
+    return out
 
 
 def id_filter(ids: DataFrame, slots: int):

@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[flag])), pa.array([xxhash.xxh3_128_digest(k) for k, f in zip(flat, flag.tolist(), strict=True) if f], pa.binary())], ["id", "key"])
 
     keyed = saved(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(emit, f"id {id_type}, key binary"), "lines")
-    common = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep")
+    common = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("key", "keep"), "lines-common")
     lost = keyed.join(common, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias("_lost_id")).agg(F.collect_set("key").alias("_lost"))
     lost = saved(lost, "lines-lost")
     touched = id_filter(lost.select("_lost_id"), bloom_slots(docs.count(), 16))
@@ -91,5 +91,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*cols, "_n_lines", "_n_dropped"])
 
     straight = docs.where(~touched(F.col(id_col))).withColumn("_lost", F.lit(None).cast("array<binary>"))
-    joined = docs.where(touched(F.col(id_col))).join(lost, F.col(id_col).eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
+    joined = docs.where(touched(F.col(id_col))).join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
     return straight.unionByName(joined).mapInArrow(drop, out_schema)

@@ -1,8 +1,71 @@
-"""A corpus pipeline of five stages, each over all that the one before it kept."""
+"""A corpus pipeline of five stages, each over all that the one before it kept.
 
-STAGES: list = []
+toxicity removes documents scored toxic; lines removes lines that many documents share; near_dedup keeps one document
+of each group of near-duplicates; mixing repeats documents until the domains' expected tokens meet their targets, and
+drops none; bpe encodes and decodes what is left. A stage gets only its predecessor's documents and the shared labels.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm.bpe import bpe_encode
+from gridloom.llm.common import bloom_slots, id_filter, saved
+from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.mixing import mixing_rates, quality_domains, repeat_by_rate
+from gridloom.llm.queries import tokenizer_path, toxicity_held_out
+from gridloom.llm.toxicity import fit_toxicity, score_toxicity
+
+TOXIC_FROM = 0.3
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+LINE_CHARS, LINE_DOCS = 40, 5
+TARGETS, SCALE = {"good": 0.8, "poor": 0.2}, 1.1  # tokens after mixing: 1.1 times those before
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under TOXIC_FROM, by a model of the labelled ones among them."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~toxicity_held_out())
+    return score_toxicity(docs, model, out="_toxic").where(F.col("_toxic") < TOXIC_FROM).drop("_toxic")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that LINE_DOCS or more share, but for one holder of each; n_chars follows the text."""
+    out = dedup_lines(docs, min_chars=LINE_CHARS, min_docs=LINE_DOCS)
+    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_n_lines", "_n_dropped")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least id. Documents without words are all kept."""
+    found = near_duplicates(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
+    dropped = saved(found.where(~F.col("kept")).select("doc_id"), "near-dropped")
+    maybe = F.coalesce(id_filter(dropped, bloom_slots(dropped.count()))(F.col("doc_id")), F.lit(False))
+    held = docs.where(maybe).join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return docs.where(~maybe).unionByName(held)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, and more often as the targets ask."""
+    domains = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return repeat_by_rate(mixing_rates(docs, domains, TARGETS, scale=SCALE, floor=1.0))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document, and digests of them and of the text decoded from them."""
+    out = bpe_encode(docs, tokenizer_path(), decode=True)
+    return out.select(*docs.columns, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", toxicity), ("lines", lines), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
+
+#: SQL cannot express the models, MinHash and BPE; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written as Parquet to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all machines share and read back, so that partition numbers and samples stay as they are."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share (``spark.checkpoint.dir``); a temporary one only where that setting is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/gridloom/table-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that partition numbers and samples stay as they are."""
+    path = f"{shared_folder(df.sparkSession)}/gridloom/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

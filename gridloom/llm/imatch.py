@@ -77,9 +77,10 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(F.greatest(*(at(i) for i in range(len(LEVELS)))))
 
 
-def in_order(docs: DataFrame, id_col: str, carried: list[str], per_bucket: int = 2 << 20, most_coarse: int = 1024) -> DataFrame:
+def in_order(docs: DataFrame, id_col: str, tie_col: str, carried: list[str], prepare=lambda df: df, per_bucket: int = 2 << 20, most_coarse: int = 1024) -> DataFrame:
     """Adds to each row the ``carried`` columns, as next_*, of the row with the next larger id (after the last: of the first).
 
+    ``prepare`` adds columns to rows before they are dealt. Rows that repeat an id are ordered by the hash of ``tie_col``.
     Rows are dealt by ranges of ids: quantiles, each cut evenly, so that one range has about ``per_bucket`` bytes of
     input. Every range also gets a copy of the next range's first row, so that one window within ranges suffices.
     """
@@ -101,12 +102,11 @@ def in_order(docs: DataFrame, id_col: str, carried: list[str], per_bucket: int =
     firsts = ids.groupBy(bucket(F.col("id")).alias("_b")).agg(F.min("id").alias("_first"))
     order = Window.orderBy("_b")
     edges = firsts.select("_first", F.coalesce(F.lag("_b").over(order), F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    tie = F.xxhash64(*carried)
     rows = docs.select(*docs.columns, bucket(F.col(id_col)).alias("_b"), F.lit(0).alias("_copy"))
     edges = F.broadcast(saved(edges, "edges"))  # a row for each range
     copies = docs.join(edges, F.col(id_col).eqNullSafe(F.col("_first"))).select(*docs.columns, F.col("_to").alias("_b"), F.lit(1).alias("_copy"))
     w = Window.partitionBy("_b").orderBy("_copy", F.col(id_col).asc_nulls_first(), "_tie")
-    return rows.unionByName(copies).withColumn("_tie", tie).select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where("_copy = 0").drop("_b", "_copy", "_tie")
+    return prepare(rows.unionByName(copies)).withColumn("_tie", F.xxhash64(tie_col)).select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where("_copy = 0").drop("_b", "_copy", "_tie")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 2, max_share: float = 0.05) -> DataFrame:
@@ -124,9 +124,8 @@ def fingerprint_and_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     lex = lexicon(docs, text_col, min_df, max_share)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = in_order(rows, "doc_id", ["text"]).withColumns({"n_chars": F.char_length("text").cast("long"), "cut": F.floor(F.char_length("text") / 4).cast("int")})
+    dealt = in_order(rows, "doc_id", "text", ["text", "fingerprint"], lambda df: with_fingerprint(df, "text", lex, "fingerprint"))
+    ordered = dealt.withColumns({"n_chars": F.char_length("text").cast("long"), "cut": F.floor(F.char_length("text") / 4).cast("int")})
     edited = ordered.withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substr(F.col("next_text"), F.lit(1), F.col("cut"))))
-    out = with_fingerprint(edited, "text", lex, "fingerprint")
-    out = with_fingerprint(out, "next_text", lex, "_next")
-    out = with_fingerprint(out, "edited", lex, "edited_fingerprint")
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next").alias("near_next"))
+    out = with_fingerprint(edited, "edited", lex, "edited_fingerprint")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))

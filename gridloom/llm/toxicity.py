@@ -60,16 +60,49 @@ class _Letters:
 
 
 class _Table:
-    """Values by hash; 0 where it has none."""
+    """Values by hash, by open addressing; 0 where it has none. No hash is 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, np.concatenate([values, np.zeros((len(values), 1))], 1).astype(np.float32)
+        self.__setstate__((keys, values.astype(np.float32)))
+
+    def __getstate__(self) -> tuple:
+        return self.keys[self.keys != 0], self.values[:, self.row[self.keys != 0]]  # as small as it can travel
+
+    def __setstate__(self, state: tuple) -> None:
+        keys, values = state
+        self.bits = max(4, int(np.ceil(np.log2(1.5 * max(1, len(keys))))))
+        size = 1 << self.bits
+        self.keys, self.row = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        todo, at = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = self.keys[at[todo]] == 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(at[todo], return_index=True)[1]] = True
+            put = todo[free & first]
+            self.keys[at[put]], self.row[at[put]] = keys[put], put + 1
+            todo = todo[~(free & first)]
+            at[todo] = (at[todo] + 1) & (size - 1)
+        self.values = np.concatenate([np.zeros((len(values), 1), np.float32), values], 1)
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        """Column of ``values`` for each hash."""
+        at = self._place(h)
+        got = self.keys[at]
+        out = np.where(got == h, self.row[at], 0)
+        left = np.flatnonzero((got != h) & (got != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            got = self.keys[at[left]]
+            hit = got == h[left]
+            out[left[hit]] = self.row[at[left[hit]]]
+            left = left[~hit & (got != 0)]
+        return out
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros((len(self.values), len(h)), np.float32)
-        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.values[:, np.where(self.keys[i] == h, i, len(self.keys))]
+        return self.values[:, self.rows(h)]
 
 
 class SpellingModel:
@@ -83,7 +116,7 @@ class SpellingModel:
     def __init__(self, vocabulary: list[str], counts: np.ndarray):
         letters = _Letters(vocabulary)
         at = letters.at
-        c = counts[:, letters.word[at]].astype(np.float64)
+        c = counts.astype(np.float32)[:, letters.word[at]]
         self.own = self._order(letters.ending(at, TOP), letters.ending(at - 1, TOP - 1), c)[:2]
         self.shared = []
         n_of = c.sum(0, keepdims=True)
@@ -91,9 +124,9 @@ class SpellingModel:
             left, ctx, first = self._order(letters.ending(at, n), letters.ending(at - 1, n - 1), n_of)
             self.shared.append((n, left, ctx))
             # lower orders count the different letters that come before, not how often
-            at, n_of = at[first], np.ones((1, len(first)))
+            at, n_of = at[first], np.ones((1, len(first)), np.float32)
         self.shared.reverse()
-        self.letters = max(2, len(self.shared[0][1].keys))
+        self.letters = max(2, self.shared[0][1].values.shape[1] - 1)
 
     @staticmethod
     def _order(key: np.ndarray, before: np.ndarray, weights: np.ndarray) -> tuple:
@@ -111,16 +144,18 @@ class SpellingModel:
         if not vocabulary:
             return np.zeros(0)
         letters = _Letters(vocabulary)
-        at = letters.at
+        left, ctx = self.own
+        told = ctx.rows(letters.ending(letters.at - 1, TOP - 1))
+        at = letters.at[told > 0]  # elsewhere neither class has counts of its own, and both agree
+        t = ctx.values[:, told[told > 0]]
         p = np.full(len(at), 1 / (self.letters + 1), np.float32)
         here, before = letters.ending(at, 1), letters.ending(at, 0)
-        for n, left, ctx in self.shared:
+        for n, shared, contexts in self.shared:
             if n > 1:
                 here, before = letters.longer(at, here, n - 1), letters.longer(at - 1, before, n - 2)
-            (c,), (total, back) = left.of(here), ctx.of(before)
+            (c,), (total, back) = shared.of(here), contexts.of(before)
             p = np.where(total > 0, (c + back * p) / np.maximum(total, 1e-9), p)
-        left, ctx = self.own
-        c, t = left.of(here), ctx.of(before)
+        c = left.of(here)
         q = np.where(t[:2] > 0, (c + t[2:] * p) / np.maximum(t[:2], 1e-9), p)
         r = np.log(np.maximum(q[1], 1e-30)) - np.log(np.maximum(q[0], 1e-30))
         return np.bincount(letters.word[at], r, len(vocabulary))
@@ -181,7 +216,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_ordinary: int = 6000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_ordinary: int = 3000) -> ToxicityModel:
     """Learns from labelled rows where ``usable`` holds: at most ``max_toxic`` and ``max_ordinary`` of them, the first by the hash of their id.
 
     That bound makes the model small, whatever the corpus. Words are counted by the number of documents that hold them,
@@ -230,7 +265,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([toxic[i] for i in own], pa.int32())], ["x", "toxic"])
 
     seen = sample.mapInArrow(weigh, "x array<double>, toxic int").collect()
-    halves.unpersist()
+    halves.destroy()
     x, y = np.array([r["x"] for r in seen]).reshape(-1, FEATURES), np.array([r["toxic"] for r in seen])
     order = np.lexsort([*x.T, y])
     mean, scale, w = fit_logistic(x[order], y[order])

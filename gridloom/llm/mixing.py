@@ -36,7 +36,7 @@ class DomainClassifier:
         self.names, k = names, len(names)
         self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
         self.w = np.zeros((2 * FEATURES + 1, k))
-        if k < 2:
+        if k < 2 or not len(x):
             return
         z, hot = self._input(x), np.eye(k)[y]
         step = 1 / (0.5 * np.linalg.norm(z, 2) ** 2 / len(z) + ridge / len(z))

@@ -220,6 +220,18 @@ def merge_similar(feat: np.ndarray, labels: np.ndarray, threshold: float, pairs:
     return out
 
 
+@register_extractor("grow_and_merge")
+def grow_and_merge(feat, y, x, q: float = 0.8, delta: float = 0.1, merge: float | None = None, merge_q: float = 0.9) -> np.ndarray:
+    """Grown regions, then those whose prototypes are alike merged: by a threshold, given or a quantile of all candidates' similarities (none: no merge)."""
+    labels = frontier_grow(feat, y, x, q=q, delta=delta)
+    names = np.unique(labels[labels > 0])
+    if merge is None:
+        proto = unit(np.stack([feat[labels == k].mean(0) for k in names])) if len(names) else np.zeros((0, feat.shape[1]))
+        found = (proto @ proto.T)[np.triu_indices(len(names), 1)]
+        merge = round(float(np.quantile(found, merge_q)), 9) if len(found) else np.inf
+    return merge_similar(feat, labels, merge)
+
+
 def touching_pairs(labels: np.ndarray, y: np.ndarray, x: np.ndarray) -> set[tuple[int, int]]:
     e = edges_of(y, x)
     return {(int(min(p)), int(max(p))) for p in labels[e].tolist() if p[0] != p[1]}

@@ -205,7 +205,7 @@ def w15(spark, sf):
     return g.groupBy("label").agg(F.max(F.struct("gap", (-F.col("rn")).alias("neg"))).alias("m")).select("label", (-F.col("m.neg")).cast("long").alias("k"))
 
 
-for _name, _extractor in (("g5_frontier_grow", "frontier_grow"), ("g6_sequential_grow", "sequential_grow"), ("g7_g8_multistage", "multistage"), ("g10_seam_merge", "seam_merge"), ("g13_hierarchical", "hierarchical"), ("g14_agglomerative", "agglomerative"), ("g17_normalized_cut", "normalized_cut"), ("g18_kmeans", "kmeans"), ("g23_spectral_levels", "spectral_levels")):
+for _name, _extractor in (("g5_frontier_grow", "frontier_grow"), ("g6_sequential_grow", "sequential_grow"), ("g7_g8_multistage", "multistage"), ("g10_seam_merge", "seam_merge"), ("g12_grow_and_merge", "grow_and_merge"), ("g13_hierarchical", "hierarchical"), ("g14_agglomerative", "agglomerative"), ("g17_normalized_cut", "normalized_cut"), ("g18_kmeans", "kmeans"), ("g23_spectral_levels", "spectral_levels")):
 
     @query(_name)
     def _extract(spark, sf, extractor=_extractor):
@@ -249,3 +249,17 @@ def g22(spark, sf):
         return X.clean_regions(X.clean_regions(m, 3, True), 4, False)[y, x].astype(int)
 
     return X.segment(cells(spark, sf), clean).select("image", "node", F.col("label").alias("inside"))
+
+
+@query("t8_spaced_peaks")
+def t8(spark, sf):
+    """Up to five peaks of the first feature, with a cleared square around each: 1 where a node is one."""
+    from gridloom.operators.suppress import spaced_peaks
+
+    def peaks(feat, y, x):
+        v = X.np.full((int(y.max()) + 1, int(x.max()) + 1), -X.np.inf)
+        v[y, x] = feat[:, 0]
+        got = set(spaced_peaks(v, 5, 2))
+        return [int((a, b) in got) for a, b in zip(y.tolist(), x.tolist(), strict=True)]
+
+    return X.segment(cells(spark, sf), peaks).select("image", "node", F.col("label").alias("is_peak"))

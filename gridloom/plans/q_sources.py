@@ -73,6 +73,33 @@ def s11(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(4)).alias("folder")).where(F.col("folder").isin("en", "de", "fr", "es"))
 
 
+@query("s3_category_index", "SELECT event_type AS category, count(DISTINCT user_id) AS videos, count(*) AS annotations FROM events GROUP BY event_type")
+def s3(spark, sf):
+    """What an in-memory index of categories to videos answers, from the normalized table."""
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("category")).agg(F.count_distinct("user_id").alias("videos"), F.count("*").alias("annotations"))
+
+
+@query("s12_sorted_entries", "SELECT source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS entries FROM documents GROUP BY source")
+def s12(spark, sf):
+    """Entries of each folder, gathered in order."""
+    packed = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return packed.select("source", F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), F.size("ids").cast("long").alias("entries"))
+
+
+@query("s17_first_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
+def s17(spark, sf):
+    """The first rows of a table by id: a limit is what is asked for."""
+    return table(spark, sf, "documents").select("doc_id", "lang").orderBy("doc_id").limit(25)
+
+
+@query("k8_label_maps", "SELECT label, count(*) AS cells FROM embeddings GROUP BY label")
+def k8(spark, sf):
+    """Label maps written by label and read back with only the partitions that are there."""
+    path = f"{_shared(spark)}/labels"
+    table(spark, sf, "embeddings").select("vec_id", "label").write.partitionBy("label").parquet(path)
+    return spark.read.schema("vec_id long, label int").parquet(path).groupBy("label").agg(F.count("*").alias("cells"))
+
+
 @query("s13_instances", "SELECT user_id AS clip, count(DISTINCT event_id % 6) FILTER (event_id % 6 <> 0) AS instances, count(*) AS frames FROM events GROUP BY user_id")
 def s13(spark, sf):
     e = table(spark, sf, "events")

@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h"))
     rows = saved(hashed.mapInArrow(test, f"doc_id {id_type}, sha string, maybe boolean"), "exact")
     maybe = rows.where("maybe").select("doc_id", "sha")
-    groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = saved(maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "exact-groups")
     found = maybe.join(groups, "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

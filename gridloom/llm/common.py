@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +52,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Bounds what one Arrow batch takes to a Python worker: texts can be very long."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         if spark.conf.get(key) != value:
@@ -63,6 +65,16 @@ def pieces(spark: SparkSession, df: DataFrame, per_piece: int = 8 << 20, least:
     return int(max(least, min(200_000, -(-size // per_piece))))
 
 
+def give_back_memory() -> None:
+    """Hands freed memory to the system, as a worker or driver that goes on living would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not that C library
+        pass
+
+
 # -- Bloom filters of what is seen once and what is seen twice ---------------------------------------
 
 
@@ -125,6 +137,7 @@ def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16) -> bytes:
     out = bytes(slots // 4)
     for f in rdd.collect():
         out = merge_filters(out, f)
+    give_back_memory()
     return out
 
 
@@ -162,11 +175,13 @@ def words_of(text: str) -> list[bytes]:
     return ascii_lower(text).split()
 
 
-def column_batches(batches: Iterator, *names: str):
-    """Per Arrow batch, the named columns as Python lists."""
-    for b in batches:
-        yield tuple(b.column(n).to_pylist() for n in names)
-
-
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col), F.lit(""))
+def portions(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters: what is made of their words at a time stays small."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import OnceTwice, bloom_slots, gather_filters, id_filter, saved, small_batches, suspected
+from gridloom.llm.common import OnceTwice, bloom_slots, gather_filters, give_back_memory, id_filter, saved, small_batches, suspected
 
 _EDGE = " \t\n\x0b\x0c\r"
 
@@ -51,6 +51,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             f.add(np.array([h for t in b.column(0).to_pylist() for h in hashes(t)], np.uint64))
         yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
+        del f
+        give_back_memory()
 
     filters = gather_filters(docs.select(text_col).mapInArrow(fill, "f binary"), slots)
     twice = spark.sparkContext.broadcast(filters[len(filters) // 2 :])
@@ -89,6 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept.append(text or "")
             cols = {c: b.column(c) for c in names} | {text_col: pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*cols, "_n_lines", "_n_dropped"])
+        give_back_memory()
 
     straight = docs.where(~touched(F.col(id_col))).withColumn("_lost", F.lit(None).cast("array<binary>"))
     joined = docs.where(touched(F.col(id_col))).join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")

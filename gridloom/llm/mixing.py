@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, small_batches
+from gridloom.llm.common import give_back_memory, saved, small_batches
 
 FEATURES = 14
 
@@ -113,6 +113,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
             if got:
                 p = classifier.value.posteriors(np.stack([g[1] for g in got]))
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))], ["tokens", "p"])
+        give_back_memory()
 
     facts = saved(docs.select(text_col).mapInArrow(place, "tokens long, p array<double>"), "mixing")
     everything = max(1, facts.agg(F.sum("tokens")).first()[0] or 0)
@@ -158,6 +159,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
             if got:
                 p = classifier.value.posteriors(np.stack([g[1] for g in got]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([g[0] for g in got], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(final(p))], [*columns, "_tokens", "_posteriors", "_rate"])
+        give_back_memory()
 
     return docs.mapInArrow(apply, schema)
 

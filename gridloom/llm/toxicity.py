@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, small_batches
+from gridloom.llm.common import give_back_memory, portions, saved, small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -196,12 +196,16 @@ class ToxicityModel:
     def __init__(self, spelling: SpellingModel | None, logistic: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rate: float):
         self.spelling, self.logistic, self.rate = spelling, logistic, rate
         self.known: dict[str, float] = {}
+        self.older: dict[str, float] = {}
 
-    def features(self, texts: list[str], most_known: int = 200_000) -> np.ndarray:
+    def features(self, texts: list[str], most_known: int = 150_000) -> np.ndarray:
         found = [words(t) for t in texts]
         if len(self.known) > most_known:
-            self.known.clear()
-        new = list({w for ws in found for w in ws}.difference(self.known))
+            self.older, self.known = self.known, {}  # words met again come back from there
+        new = set().union(*found).difference(self.known)
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(new - again)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.known.update(zip(part, self.spelling.ratios(part).tolist(), strict=True))
@@ -212,11 +216,11 @@ class ToxicityModel:
         if self.spelling is None or not texts:
             return np.full(len(texts), self.rate)
         mean, scale, w = self.logistic
-        z = np.clip(((self.features(texts) - mean) / scale) @ w[:-1] + w[-1], -30, 30)
-        return 1 / (1 + np.exp(-z))
+        z = np.concatenate([((self.features(part) - mean) / scale) @ w[:-1] + w[-1] for part in portions(texts)])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_ordinary: int = 3000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_ordinary: int = 2000) -> ToxicityModel:
     """Learns from labelled rows where ``usable`` holds: at most ``max_toxic`` and ``max_ordinary`` of them, the first by the hash of their id.
 
     That bound makes the model small, whatever the corpus. Words are counted by the number of documents that hold them,
@@ -253,6 +257,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
         return SpellingModel([vocabulary[i] for i in held], c[:, held])
 
     halves = spark.sparkContext.broadcast([learnt(by[2 * f : 2 * f + 2]) if by[2 * f : 2 * f + 2].any() else None for f in (1, 0)])
+    give_back_memory()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [ToxicityModel(m, None, 0.0) for m in halves.value]
@@ -261,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
             for f in (0, 1):
                 own = [i for i, x in enumerate(fold) if x == f]
                 if own and models[f].spelling is not None:
-                    x = models[f].features([texts[i] for i in own])
+                    x = np.concatenate([models[f].features(part) for part in portions([texts[i] for i in own])])
                     yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([toxic[i] for i in own], pa.int32())], ["x", "toxic"])
 
     seen = sample.mapInArrow(weigh, "x array<double>, toxic int").collect()
@@ -271,7 +276,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
     mean, scale, w = fit_logistic(x[order], y[order])
     if 0 < y.mean() < 1 and 0 < rate < 1:
         w[-1] += np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean()))
-    return ToxicityModel(learnt(by[:2] + by[2:]), (mean, scale, w), rate)
+    model = ToxicityModel(learnt(by[:2] + by[2:]), (mean, scale, w), rate)
+    del counts, vocabulary
+    give_back_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -286,5 +294,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for b in batches:
             s = m.scores([t or "" for t in b.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], [*names, out])
+        m.known, m.older = {}, {}
+        give_back_memory()
 
     return docs.mapInArrow(work, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import give_back_memory, portions, small_batches
 
 # Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,11 +59,10 @@ class Bpe:
             self.bytes_of[i] = t
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
+        self.of_byte = [vocab[bytes([b])] for b in range(256)]
         self.merges = {int(k): r for r, k in enumerate(keys)}
         self.made = {r: vocab[self.bytes_of[int(k) >> 32] + self.bytes_of[int(k) & 0xFFFFFFFF]] for r, k in enumerate(keys)}
-        self.longest: dict[bytes, int] = {}
-        for t in vocab:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
+        self.prefixes: dict[bytes, int] = {t[:k]: -1 for t in vocab for k in range(1, len(t))} | vocab  # -1: begins a token, but is none
         merged = np.flatnonzero(self.rank >= 0)
         own = np.ones(n, bool)
         own[merged] = self._compatible(self.left[merged], self.right[merged], 2 * self.rank[merged])
@@ -69,6 +70,7 @@ class Bpe:
             own[t] &= own[self.left[t]] and own[self.right[t]]
         self.own = own  # whether a token's bytes alone encode to just it
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.pattern = regex.compile(PATTERN)
         self.stops = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -99,19 +101,40 @@ class Bpe:
         return ok
 
     def _greedy(self, word: bytes) -> list[int]:
-        out, p, n, vocab = [], 0, len(word), self.vocab
+        get, n, p = self.prefixes.get, len(word), 0
+        t = self.vocab.get(word)
+        if t is not None:
+            return [t]
+        out = []
         while p < n:
-            for k in range(min(n, p + self.longest.get(word[p : p + 2], 1)), p, -1):
-                t = vocab.get(word[p:k])
-                if t is not None:
-                    out.append(t)
-                    p = k
-                    break
+            k, best, end = p + 1, -1, p
+            while k <= n and (t := get(word[p:k])) is not None:
+                if t >= 0:
+                    best, end = t, k
+                k += 1
+            out.append(best)
+            p = end
         return out
 
     def _exact(self, word: bytes) -> list[int]:
         """Merges the pair of the lowest rank, leftmost first, until none is left."""
-        toks = [self.vocab[word[i : i + 1]] for i in range(len(word))]
+        get, none = self.merges.get, len(self.keys)
+        toks = list(map(self.of_byte.__getitem__, word))
+        if len(toks) > 64:
+            return self._exact_long(toks)
+        ranks = [get(a << 32 | b, none) for a, b in zip(toks, toks[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            toks[i : i + 2] = [self.made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(toks[i - 1] << 32 | toks[i], none)
+            if i < len(ranks):
+                ranks[i] = get(toks[i] << 32 | toks[i + 1], none)
+        return toks
+
+    def _exact_long(self, toks: list[int]) -> list[int]:
+        """The same with a heap and linked places, for words of any length."""
         n = len(toks)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(r, i, toks[i], toks[i + 1]) for i in range(n - 1) if (r := self.merges.get(toks[i] << 32 | toks[i + 1])) is not None]
@@ -147,12 +170,14 @@ class Bpe:
         return found
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks into the cache."""
-        words = [self.pattern.findall(c) for c in chunks]
-        distinct = list({w for ws in words for w in ws})
-        ids = dict(zip(distinct, (np.array(x, "<u4").tobytes() for x in self.encode_words([w.encode("utf-8", "surrogatepass") for w in distinct])), strict=True))
+        """Encodes chunks into the cache. A word of letters alone is one piece; the pattern cuts the others."""
+        cache, find = self.cache, self.pattern.findall
+        words = [[c] if c.isascii() and (c[1:] if c[0] == " " else c).isalpha() else find(c) for c in chunks]
+        distinct = list({w for ws in words for w in ws}.difference(cache))
+        found = self.encode_words([w.encode("utf-8", "surrogatepass") for w in distinct])
+        ids = {w: struct.pack(f"<{len(x)}I", *x) for w, x in zip(distinct, found, strict=True)}
         for c, ws in zip(chunks, words, strict=True):
-            self.cache[c] = b"".join([ids[w] for w in ws])
+            cache[c] = ids[c] if len(ws) == 1 and c in ids else b"".join([ids[w] if w in ids else cache[w] for w in ws])
 
     def _chunks(self, text: str) -> list[str]:
         """The text cut where the split pattern always cuts: before a space between two characters that aren't white space."""
@@ -176,11 +201,13 @@ class Bpe:
             else:
                 cut.append(self._chunks(t))
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        for s, i in self.special.items():
-            self.cache[i] = np.array([i], "<u4").tobytes()  # type: ignore[index]
-        new = {c for cs in cut for c in cs}.difference(self.cache)
-        if new:
+            self.older, self.cache = self.cache, {}  # what is met again comes back from there
+        for i in self.special.values():
+            self.cache[i] = struct.pack("<I", i)  # type: ignore[index]
+        new = set().union(*cut).difference(self.cache)
+        again = new & self.older.keys()
+        self.cache.update((c, self.older[c]) for c in again)
+        if new := new - again:
             self._learn(list(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, cs)) for cs in cut]
@@ -199,11 +226,11 @@ def tables(path: str) -> Bpe:
     return _TABLES[path]
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = False, cache_words: int = 150_000) -> DataFrame:
     """Adds n_tokens, ids (binary: little-endian unsigned 32-bit integers) and, with ``decode``, decoded, the text of these ids.
 
     ``tokenizer`` is the path of a tokenizers JSON file, installed alike on every machine. Whole texts are encoded;
-    null counts as empty, and an empty text has no ids. Columns n_tokens, ids and decoded of the input are replaced,
+    null counts as empty, and an empty text has no ids. A worker remembers up to twice ``cache_words`` words. Columns n_tokens, ids and decoded of the input are replaced,
     others are carried through. Each row is encoded by itself, so repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
@@ -213,12 +240,17 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables(tokenizer)
+        bpe.cache_words = cache_words
+        gc.disable()  # millions of short-lived lists and no cycles
         for b in batches:
             texts = [t or "" for t in b.column(text_col).to_pylist()]
-            ids = bpe.encode_batch(texts)
+            ids = [x for part in portions(texts, 1 << 20) for x in bpe.encode_batch(part)]
             cols = [b.column(c) for c in names] + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decode:
                 cols.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_tokens", "ids", *["decoded"] * decode])
+        bpe.cache, bpe.older = {}, {}  # the worker lives on
+        gc.enable()
+        give_back_memory()
 
     return docs.mapInArrow(work, schema)

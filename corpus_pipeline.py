@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and digests of them and of the text decoded from them."""
-    out = bpe_encode(docs, tokenizer_path(), decode=True)
+    out = bpe_encode(docs, tokenizer_path(), decode=True, cache_words=40_000)  # workers also hold what earlier stages left
     return out.select(*docs.columns, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

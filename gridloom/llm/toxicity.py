@@ -115,29 +115,40 @@ class SpellingModel:
 
     def __init__(self, vocabulary: list[str], counts: np.ndarray):
         letters = _Letters(vocabulary)
-        at = letters.at
+        at = letters.at.astype(np.int32)
         c = counts.astype(np.float32)[:, letters.word[at]]
-        self.own = self._order(letters.ending(at, TOP), letters.ending(at - 1, TOP - 1), c)[:2]
+        self.own = self._order(letters, at, TOP, c)[:2]
         self.shared = []
         n_of = c.sum(0, keepdims=True)
+        del c
         for n in range(TOP, 0, -1):
-            left, ctx, first = self._order(letters.ending(at, n), letters.ending(at - 1, n - 1), n_of)
+            left, ctx, at = self._order(letters, at, n, n_of)
             self.shared.append((n, left, ctx))
             # lower orders count the different letters that come before, not how often
-            at, n_of = at[first], np.ones((1, len(first)), np.float32)
+            n_of = np.ones((1, len(at)), np.float32)
         self.shared.reverse()
         self.letters = max(2, self.shared[0][1].values.shape[1] - 1)
 
     @staticmethod
-    def _order(key: np.ndarray, before: np.ndarray, weights: np.ndarray) -> tuple:
-        k, first, at = np.unique(key, return_index=True, return_inverse=True)
-        sums = np.stack([np.bincount(at, w, len(k)) for w in weights])
-        ctx = before[first]
-        ck, at = np.unique(ctx, return_inverse=True)
-        total, kinds = (np.stack([np.bincount(at, s, len(ck)) for s in x]) for x in (sums, sums > 0))
+    def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order that sorts the keys, and where each distinct one begins in it; lighter than unique() with its inverse."""
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int32)
+
+    @classmethod
+    def _order(cls, letters: _Letters, at: np.ndarray, n: int, weights: np.ndarray) -> tuple:
+        key = letters.ending(at, n)
+        order, starts = cls._groups(key)
+        first = order[starts]
+        k, sums, at = key[first], np.add.reduceat(weights[:, order], starts, axis=1, dtype=np.float64), at[first]
+        del key, order
+        ctx = letters.ending(at - 1, n - 1)
+        order, starts = cls._groups(ctx)
+        total, kinds = (np.add.reduceat(x[:, order], starts, axis=1, dtype=np.float64) for x in (sums, (sums > 0).astype(np.float32)))
         ones, twos = (sums == 1).sum(1), (sums == 2).sum(1)
         d = np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.95)[:, None]
-        return _Table(k, np.maximum(sums - d, 0)), _Table(ck, np.concatenate([total, d * kinds])), first
+        return _Table(k, np.maximum(sums - d, 0)), _Table(ctx[order[starts]], np.concatenate([total, d * kinds])), at
 
     def ratios(self, vocabulary: list[str]) -> np.ndarray:
         """Log-likelihood of each word in class 1 less that in class 0."""

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +120,8 @@ def suspected(h: np.ndarray, twice: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
-def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16) -> bytes:
-    """Merges one row of filters per task on executors, ``fan_in`` at a time; the driver gets the merged one, of a fixed size."""
+def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16, merge: Callable[[bytes, bytes], bytes] = merge_filters) -> bytes:
+    """Merges one row of filters (or of what else ``merge`` takes, in slots / 4 bytes) per task on executors, ``fan_in`` at a time; the driver gets the merged one, of a fixed size."""
     rdd = per_task.rdd.map(lambda r: bytes(r[0]))
     n = rdd.getNumPartitions()
     while n > 1:
@@ -130,13 +130,13 @@ def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16) -> bytes:
         def fold(i: int, part: Iterator[bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
             out = None
             for f in part:
-                out = f if out is None else merge_filters(out, f)
+                out = f if out is None else merge(out, f)
             return iter([] if out is None else [(i % n, out)])
 
-        rdd = rdd.mapPartitionsWithIndex(fold).reduceByKey(merge_filters, n).values()
+        rdd = rdd.mapPartitionsWithIndex(fold).reduceByKey(merge, n).values()
     out = bytes(slots // 4)
     for f in rdd.collect():
-        out = merge_filters(out, f)
+        out = merge(out, f)
     give_back_memory()
     return out
 

@@ -80,15 +80,79 @@ def signatures(sets: list[np.ndarray], banding: Banding) -> np.ndarray:
     return out
 
 
+def _frequencies(sets: DataFrame, most: int = 1 << 23) -> np.ndarray:
+    """About how many of ``sets`` hold a shingle, never less, by its hash modulo the length of the result (16 MB at most)."""
+    slots = bloom_slots(sets.agg(F.sum("size")).first()[0] or 0, 4, most=most)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.uint32)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                np.add.at(n, (unpack(s)[1] & np.uint64(slots - 1)).astype(np.int64), 1)
+        yield pa.RecordBatch.from_pydict({"f": [np.minimum(n, 65535).astype(np.uint16).tobytes()]})
+        give_back_memory()
+
+    def add(a: bytes, b: bytes) -> bytes:
+        n = np.frombuffer(a, np.uint16).astype(np.uint32) + np.frombuffer(b, np.uint16)
+        return np.minimum(n, 65535).astype(np.uint16).tobytes()
+
+    return np.frombuffer(gather_filters(sets.select("set").mapInArrow(count, "f binary"), 8 * slots, merge=add), np.uint16)
+
+
+def _rarest(s: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles, rarest first, of which a set shares at least one with every set linked to it.
+
+    A linked set has at least percent / 100 of this one's shingles, so in one order of all shingles it cannot lack all of
+    the first n - ceil(n * percent / 100) + 1. Any order is right; by rising frequency few sets meet.
+    """
+    f = frequency[(s & np.uint64(len(frequency) - 1)).astype(np.int64)]
+    return s[np.lexsort((s, f))[: len(s) + (-percent * len(s)) // 100 + 1]]
+
+
+def _linkable(sets: DataFrame, frequency: np.ndarray, id_type: str, percent: int) -> DataFrame:
+    """Every pair a < b of different components of ``sets`` (id, set, component) that can be linked, and some that cannot."""
+    given = sets.sparkSession.sparkContext.broadcast(frequency)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                full = [unpack(s)[1] for s in part.column("set").to_pylist()]
+                rare = [_rarest(s, given.value, percent) for s in full]
+                # a shingle of one set alone (a frequency is never too low) keeps its place, but meets nothing
+                met = [np.flatnonzero(given.value[(r & np.uint64(len(given.value) - 1)).astype(np.int64)] > 1) for r in rare]
+                row = pa.array(np.repeat(np.arange(len(full)), [len(m) for m in met]).astype(np.int64))
+                shingle = np.concatenate([r[m] for r, m in zip(rare, met, strict=True)]).view(np.int64)
+                n = np.repeat([len(s) for s in full], [len(m) for m in met]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), part.column("id").take(row), part.column("component").take(row), pa.array(n), pa.array(np.concatenate(met).astype(np.int64))], ["shingle", "id", "component", "n", "place"])
+        give_back_memory()
+
+    rare = saved(sets.select("id", "set", "component").mapInArrow(spread, f"shingle long, id {id_type}, component {id_type}, n long, place long"), "rare")
+    sizes = rare.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    met = saved(rare.join(saved(largest.select("shingle", F.col("most.component").alias("largest")), "largest"), "shingle"), "met")
+    # Members of a shingle's largest component never meet each other. From the first shingle that two sets share, they have
+    # in common at most what follows its places in both.
+    x, y = met.where("component <> largest").alias("x"), met.alias("y")
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    common = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = common * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & once & near)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, banding: Banding = Banding(), most_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of k-word shingles (A-Z lower-cased,
     words ``[^\\x20\\x09-\\x0D]+``); component_id is the least id reachable. Equal sets are one node from the start. Two Bloom
     filters leave only group keys that may be shared; their pairs form the table keys. In every table each document is
-    checked against the table's least one, and, while tables hold documents of more than one component, those outside the
-    largest against changing members of larger ones. So candidates grow with the rows, not with the square of a group, and
-    all links that count are confirmed on the full sets.
+    checked against the table's least one, and, while tables hold documents of more than one component, for some turns those
+    outside the largest against changing members of larger ones: these few checks make most of the components. Of the tables
+    that are still mixed then, all documents of different components that can be linked at all (by the rarest shingles of
+    each, see ``_rarest``) are checked, until none is left. So two documents that share a table and are near enough are
+    always in one component; candidates grow with the square of a group only where its documents stay unlinked but share
+    rare shingles. All links that count are confirmed on the full sets.
 
     Null or empty text, or text without words, has an empty set and links with nothing. A null id takes no part: its
     component_id is null and it is kept. Rows that repeat an id are one node. Other columns are ignored; an empty table gives
@@ -202,6 +266,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = tested.unionByName(fresh)
         fruitless = 0 if fresh.where("ok").take(1) else fruitless + 1
 
+    now = open_.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = open_.select("key", "id").join(saved(now, "now"), "id").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    ids = saved(open_.select("key", "id").join(mixed, "key").select("id").distinct().join(now, "id"), "unsettled")
+    docs_left = ids.count()
+    if docs_left:
+        held = sets.where(id_filter(ids.select("id"), bloom_slots(docs_left))(F.col("id")))
+        left = saved(_linkable(held.join(ids, "id"), _frequencies(held), id_type, percent).join(tested, ["a", "b"], "left_anti"), "left")
+        part_of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        share = 2 * docs_left
+        while n_left := left.count():
+            # A share first, as its links can make most others needless; the share grows, and what remains is checked.
+            chosen = F.lit(True) if n_left <= share else F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) < int(share / n_left * (1 << 30)) + 1
+            fresh = checked(left.where(chosen))
+            tested = tested.unionByName(fresh)
+            part = components(tested.where("ok").select("a", "b"))
+            rest = left.join(fresh, ["a", "b"], "left_anti").join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
+            left, share = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "left"), share * 4
+
     out = placed.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -115,6 +115,37 @@ def test_near_duplicates_against_brute_force(docs, k):
         assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], comp[r.doc_id], comp[r.doc_id] == r.doc_id)
 
 
+def template_pairs():
+    """Pairs a little over the threshold in one group that shares long boilerplate and is otherwise a little under it."""
+    for i in range(120):
+        yield [f"b{j}" for j in range(354)] + [f"p{i % 60}-{j}" for j in range(4)] + [f"o{i}-{j}" for j in range(42)]
+
+
+def borderline_copies():
+    """Edited copies of one text, of which few are near enough to each other."""
+    rng = random.Random(3)
+    for _ in range(300):
+        yield [f"w{j}" if rng.random() > 0.084 else f"v{j}" for j in range(400)]
+
+
+@pytest.mark.parametrize("made", [template_pairs, borderline_copies])
+def test_near_duplicates_of_mixed_tables(spark, made):
+    sets = [set(ws) for ws in made()]
+    parent = list(range(len(sets)))
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    assert 20 < len({top(i) for i in range(len(sets))}) < len(sets) - 20
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(made())], DOCS)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, k=1).collect()} == {i: top(i) for i in range(len(sets))}
+
+
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (9, "a b c d e"), (9, "a b c d e")], DOCS)

@@ -21,7 +21,7 @@ from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 TOXIC_FROM = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 LINE_CHARS, LINE_DOCS = 40, 5
-TARGETS, SCALE = {"good": 0.8, "poor": 0.2}, 1.1  # tokens after mixing: 1.1 times those before
+TARGETS = {"good": 0.8, "poor": 0.2}  # of tokens after mixing, which are as many more than before as that takes
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, and more often as the targets ask."""
     domains = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return repeat_by_rate(mixing_rates(docs, domains, TARGETS, scale=SCALE, floor=1.0))
+    return repeat_by_rate(mixing_rates(docs, domains, TARGETS, scale=None, floor=1.0))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

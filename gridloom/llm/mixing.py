@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,27 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col
     return DomainClassifier(names, np.array([r["x"] for r in got]), np.array([names.index(r["domain"]) for r in got]))
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float = 1.0, floor: float = 0.0, pull: float = 1e-3, most_steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def least_scale(shared: np.ndarray, want: np.ndarray, floor: float) -> float:
+    """The least scale of the tokens, at least 1, at which rates of at least ``floor`` meet the targets ``want`` (summing to 1).
+
+    ``shared[j, k]`` is the token share of posterior j times posterior k. The rates scale * sum_k u_k posterior_dk with
+    shared @ u = want meet the targets; they keep the floor once scale * u_k reaches it for each k. With sharp posteriors
+    this is the largest of share_k / target_k. Where some u_k is not positive (posteriors softer than the targets, a domain
+    without tokens) no such rates exist: the largest share_k / target_k is returned, with a warning, and least squares
+    come as near as they can.
+    """
+    share = shared.sum(1)
+    bound = max([1.0, *(floor * share[want > 0] / want[want > 0])])
+    if not share.any():
+        return bound
+    u = np.linalg.lstsq(shared, want, rcond=1e-9)[0]
+    if np.abs(shared @ u - want).max() > 1e-6 or u.min() <= 0 < floor:
+        warnings.warn(f"mixing: posteriors are too soft to meet the targets {want.tolist()} from shares {share.round(4).tolist()}", stacklevel=2)
+        return bound
+    return max(bound, floor / u.min()) if floor else bound
+
+
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float | None = 1.0, floor: float = 0.0, pull: float = 1e-3, most_steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
     """All columns of ``docs`` with _tokens (words), _posteriors (in the order of ``targets``) and _rate.
 
     ``labelled`` (id, domain) trains a classifier; a document belongs to each domain in the share of its posterior.
@@ -95,6 +116,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     gradient is a document's posterior times one residual a domain, so a step is one distributed sum over all documents
     and only residuals pass through the driver; a task replays them, and no rates are stored between steps.
 
+    Without a ``scale`` it is the least, at least 1, at which rates that rise with the posteriors meet the targets and none
+    is under ``floor`` (see ``least_scale``).
+
     Null or empty text has no tokens and a rate from its posterior alike. A target that no document can meet is met as
     nearly as least squares can. Repeated rows are documents of their own. Input columns named _tokens, _posteriors or _rate
     are replaced; others are carried through. An empty table gives an empty result.
@@ -104,7 +128,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     docs = docs.drop("_tokens", "_posteriors", "_rate")
     names = list(targets)
     total = sum(targets.values())
-    want = np.array([targets[d] / total for d in names]) * scale
+    want = np.array([targets[d] / total for d in names])
     classifier = spark.sparkContext.broadcast(learn_domains(docs, labelled, names, id_col, text_col))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +142,19 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     facts = saved(docs.select(text_col).mapInArrow(place, "tokens long, p array<double>"), "mixing")
     everything = max(1, facts.agg(F.sum("tokens")).first()[0] or 0)
 
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(names), len(names)))
+        for b in batches:
+            if b.num_rows:
+                p = b.column("p").flatten().to_numpy().reshape(-1, len(names))
+                out += (p * b.column("tokens").to_numpy()[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], ["k", "x"])
+
+    if scale is None:
+        got = dict(facts.mapInArrow(multiply, "k int, x double").groupBy("k").agg(F.sum("x")).collect())
+        scale = least_scale(np.array([got.get(k, 0.0) for k in range(len(names) ** 2)]).reshape(len(names), -1) / everything, want, floor)
+    want = want * scale
+
     def rates(history: list[np.ndarray], look_ahead: bool):
         def run(p: np.ndarray) -> np.ndarray:
             r = at = np.full(len(p), max(1.0, floor))

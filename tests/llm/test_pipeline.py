@@ -40,6 +40,49 @@ def test_stages(spark):
     assert docs.where("n_tokens is null or ids_sha256 is null").count() == 0
 
 
+@pytest.mark.parametrize("poor", [0.13, 0.5])
+def test_mixing_meets_its_targets(spark, tmp_path, poor):
+    import random
+
+    import corpus_pipeline as p
+    from gridloom.llm.mixing import mixing_rates, quality_domains
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        bad = i < 600 * poor
+        ws = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(80)]
+        if bad:
+            ws = [w.upper() + "!!" if rng.random() < 0.3 else w for w in ws]
+        rows.append((i, " ".join(ws), int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.drop("quality")
+    labels = quality_domains(spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    first = mixing_rates(docs, labels, p.TARGETS, scale=1.0, floor=1.0).collect()
+    posterior = {r.doc_id: r._posteriors for r in first}
+    got = p.mixing(spark, docs, str(tmp_path)).collect()
+    share = [sum(posterior[r.doc_id][k] for r in got) / len(got) for k in (0, 1)]  # all texts have 80 tokens
+    assert {r.doc_id for r in got} == set(posterior)
+    assert abs(share[0] - p.TARGETS["good"]) < 0.02 and abs(share[1] - p.TARGETS["poor"]) < 0.02
+
+
+def test_least_scale_of_soft_posteriors():
+    import numpy as np
+    from gridloom.llm.mixing import least_scale
+
+    want = np.array([0.8, 0.2])
+    for n, sure in ((0.13, 0.95), (0.4, 0.95), (0.5, 1.0)):
+        p = np.array([[sure, 1 - sure], [1 - sure, sure]])
+        shared = (p * np.array([1 - n, n])[:, None]).T @ p
+        scale = least_scale(shared, want, 1.0)
+        u = np.linalg.solve(shared, want) * scale
+        assert (p @ u >= 1 - 1e-9).all() and np.allclose(shared @ u, scale * want)
+    assert np.isclose(scale, 2.5)
+    with pytest.warns(UserWarning):
+        least_scale(np.full((2, 2), 0.25), want, 1.0)
+
+
 def test_empty_documents_go_through(spark, tmp_path):
     import corpus_pipeline as p
 

@@ -89,3 +89,15 @@ def test_empty_documents_go_through(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_one_of_each_group(spark):
+    import corpus_pipeline as p
+
+    base = [[f"{g}w{j}" for j in range(100)] for g in range(4)]
+    texts = [None, "", *(" ".join(ws[:at] + [f"x{at}"] + ws[at + 1 :]) for ws in base for at in (0, 50, 98)), "alone"]
+    sets = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if (ws := (t or "").split()) else set() for t in texts]
+    near = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    kept = {i for i in range(len(texts)) if not any(near(i, j) for j in range(i))}  # every group here is a clique
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(kept) == 7 and {r.doc_id for r in p.near_dedup(spark, docs, "").collect()} == kept

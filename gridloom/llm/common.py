@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,11 @@ _SAVED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (``spark.checkpoint.dir``); a temporary one only where that setting is unset."""
+    """The folder that all machines share (``spark.checkpoint.dir``); a temporary one only on a single machine without that setting."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,11 +43,12 @@ def _drop_saved(app: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
+def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder, in folders by a column if given, and reads it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path, app = new_path(spark, label), spark.sparkContext.applicationId
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     if app not in _SAVED:
         _SAVED[app] = []
         atexit.register(_drop_saved, app)
@@ -77,9 +81,11 @@ def give_back_memory() -> None:
 
 # -- Bloom filters of what is seen once and what is seen twice ---------------------------------------
 
+MOST_SLOTS = 1 << 27  # of one filter: 16 MB
 
-def bloom_slots(rows: int, per_row: int = 16, least: int = 1 << 16, most: int = 1 << 27) -> int:
-    """Slots of each filter. Past ``most`` (16 MB a filter) more keys are suspected falsely, and shuffled as (key, id); results stay."""
+
+def bloom_slots(rows: int, per_row: int = 16, least: int = 1 << 16, most: int = MOST_SLOTS) -> int:
+    """Slots of a filter for ``rows`` keys: a power of two, ``most`` at the most."""
     return int(min(most, max(least, 1 << int(np.ceil(np.log2(max(1, rows) * per_row))))))
 
 
@@ -141,8 +147,65 @@ def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16, merge: Cal
     return out
 
 
+class Repeats:
+    """Which keys of a table may occur twice or more, by two Bloom filters; never says no to one that does.
+
+    Keys beyond what a filter of ``most`` slots serves are dealt by ranges of a mix of their hash, each with filters of its
+    own, so that the share of false suspicions stays the same at every size. The parts are filled one after the other, from
+    a copy of the hashes that each task has written by part, without a shuffle; only one part is ever held, by the driver
+    while it is merged and by a worker while it is asked.
+    """
+
+    def __init__(self, df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], rows: int, per_row: int, most: int = MOST_SLOTS):
+        """``hashes`` gives the 64-bit key hashes of a batch of ``df``'s rows; about ``rows`` times ``per_row`` slots are used."""
+        spark = df.sparkSession
+        total = bloom_slots(rows, per_row, least=min(most, 1 << 16), most=1 << 62)
+        self.slots = min(total, most)
+        self.bits = (total // self.slots).bit_length() - 1
+        parts, slots, part_of = 1 << self.bits, self.slots, self._part
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = hashes(b)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(part_of(h))], ["h", "part"])
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f = OnceTwice(slots)
+            for b in batches:
+                f.add(hashes(b) if parts == 1 else b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
+            del f
+            give_back_memory()
+
+        source = saved(df.mapInArrow(emit, "h long, part int"), "hashes", by="part") if parts > 1 else df
+        self.twice = []
+        for p in range(parts):
+            mine = source.where(F.col("part") == p).select("h") if parts > 1 else source
+            both = gather_filters(mine.mapInArrow(fill, "f binary"), slots)
+            self.twice.append(spark.sparkContext.broadcast(both[len(both) // 2 :]))
+
+    def _part(self, h: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(h), np.int32)
+        return ((h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - self.bits)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Whether each key is suspected; for use in tasks."""
+        if not self.bits:
+            return suspected(h, np.frombuffer(self.twice[0].value, np.uint8), self.slots)
+        out, part = np.zeros(len(h), bool), self._part(h)
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            out[at] = suspected(h[at], np.frombuffer(self.twice[p].value, np.uint8), self.slots)
+            del self.twice[p]._value  # read again from the executor's copy when it is needed next
+        return out
+
+
 def id_filter(ids: DataFrame, slots: int):
-    """A function that tells, as a JVM-side column, whether an id may be among ``ids``; slots bound the filter's size."""
+    """A function that tells, as a JVM-side column, whether an id may be among ``ids``; slots bound the filter's size.
+
+    The filter is a written one-row table that plans refer to as a scalar subquery: its bytes are in no plan's text.
+    """
 
     def fill(batches):
         f = OnceTwice(slots)
@@ -151,10 +214,11 @@ def id_filter(ids: DataFrame, slots: int):
         yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
 
     bits = gather_filters(ids.select(F.xxhash64(F.col(ids.columns[0]))).mapInArrow(fill, "f binary"), slots)[: slots // 8]
+    one = saved(ids.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.binary())})), "ids")
 
     def test(col):
         at = F.xxhash64(col).bitwiseAND(F.lit(slots - 1))
-        byte = F.conv(F.hex(F.substring(F.lit(bytearray(bits)), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.substring(one.scalar(), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         return byte.bitwiseAND(F.pow(F.lit(2), 7 - at % 8).cast("int")) != 0
 
     return test

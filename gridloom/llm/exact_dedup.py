@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import OnceTwice, bloom_slots, gather_filters, saved, small_batches, suspected
+from gridloom.llm.common import MOST_SLOTS, Repeats, saved, small_batches
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, most_slots: int = MOST_SLOTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; of equal texts the row with the largest id stays. Pass 1 puts a 64-bit hash
-    of every text into two Bloom filters (seen once, seen twice), merged in a tree and of a bounded size. Pass 2
+    of every text into two Bloom filters (seen once, seen twice), merged in a tree; beyond ``most_slots`` the hashes
+    are dealt to several pairs of filters (see ``Repeats``). Pass 2
     tests every row: rows that no other row can equal pass straight through, and (sha256, id) of the others are
     grouped exactly. The texts never shuffle.
 
@@ -28,22 +29,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark, 65536)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slots = bloom_slots(docs.count(), slots_per_row)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = OnceTwice(slots)
-        for b in batches:
-            f.add(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
-
-    filters = gather_filters(docs.select(F.xxhash64(text).alias("h")).mapInArrow(fill, "f binary"), slots)
-    twice = spark.sparkContext.broadcast(filters[len(filters) // 2 :])
+    hashes = lambda b: b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+    repeated = Repeats(docs.select(F.xxhash64(text).alias("h")), hashes, docs.count(), slots_per_row, most_slots)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(twice.value, np.uint8)
         for b in batches:
-            flag = suspected(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64), bits, slots)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(flag)], ["doc_id", "sha", "maybe"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(repeated(hashes(b)))], ["doc_id", "sha", "maybe"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("h"))

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import OnceTwice, bloom_slots, gather_filters, give_back_memory, id_filter, portions, saved, small_batches, suspected, words_of
+from gridloom.llm.common import MOST_SLOTS, Repeats, bloom_slots, gather_filters, give_back_memory, id_filter, portions, saved, small_batches, words_of
 from gridloom.llm.components import components
-from gridloom.llm.ngram_lm import pack, unpack
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -80,6 +80,17 @@ def signatures(sets: list[np.ndarray], banding: Banding) -> np.ndarray:
     return out
 
 
+def _pack_set(s: np.ndarray) -> bytes:
+    """Ascending distinct hashes as differences, in byte planes."""
+    planes = np.diff(s, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_set(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 def _frequencies(sets: DataFrame, most: int = 1 << 23) -> np.ndarray:
     """About how many of ``sets`` hold a shingle, never less, by its hash modulo the length of the result (16 MB at most)."""
     slots = bloom_slots(sets.agg(F.sum("size")).first()[0] or 0, 4, most=most)
@@ -88,7 +99,7 @@ def _frequencies(sets: DataFrame, most: int = 1 << 23) -> np.ndarray:
         n = np.zeros(slots, np.uint32)
         for b in batches:
             for s in b.column(0).to_pylist():
-                np.add.at(n, (unpack(s)[1] & np.uint64(slots - 1)).astype(np.int64), 1)
+                np.add.at(n, (_unpack_set(s) & np.uint64(slots - 1)).astype(np.int64), 1)
         yield pa.RecordBatch.from_pydict({"f": [np.minimum(n, 65535).astype(np.uint16).tobytes()]})
         give_back_memory()
 
@@ -117,7 +128,7 @@ def _linkable(sets: DataFrame, frequency: np.ndarray, id_type: str, percent: int
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                full = [unpack(s)[1] for s in part.column("set").to_pylist()]
+                full = [_unpack_set(s) for s in part.column("set").to_pylist()]
                 rare = [_rarest(s, given.value, percent) for s in full]
                 # a shingle of one set alone (a frequency is never too low) keeps its place, but meets nothing
                 met = [np.flatnonzero(given.value[(r & np.uint64(len(given.value) - 1)).astype(np.int64)] > 1) for r in rare]
@@ -141,18 +152,18 @@ def _linkable(sets: DataFrame, frequency: np.ndarray, id_type: str, percent: int
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, banding: Banding = Banding(), most_rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, banding: Banding = Banding(), heads: int = 4, most_slots: int = MOST_SLOTS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of k-word shingles (A-Z lower-cased,
     words ``[^\\x20\\x09-\\x0D]+``); component_id is the least id reachable. Equal sets are one node from the start. Two Bloom
     filters leave only group keys that may be shared; their pairs form the table keys. In every table each document is
-    checked against the table's least one, and, while tables hold documents of more than one component, for some turns those
-    outside the largest against changing members of larger ones: these few checks make most of the components. Of the tables
-    that are still mixed then, all documents of different components that can be linked at all (by the rarest shingles of
-    each, see ``_rarest``) are checked, until none is left. So two documents that share a table and are near enough are
-    always in one component; candidates grow with the square of a group only where its documents stay unlinked but share
-    rare shingles. All links that count are confirmed on the full sets.
+    checked against the table's least one. Where a table of three or more still holds several components, those outside its
+    largest are checked against ``heads`` members of that and one of another, turn by turn, as long as a turn halves what is
+    left. Of the tables that are still mixed then, all documents of different components that can be linked at all (by the
+    rarest shingles of each, see ``_rarest``) are checked, until none is left. So two documents that share a table and are
+    near enough are always in one component; candidates grow with the square of a group only where its documents stay
+    unlinked but share rare shingles. All links that count are confirmed on the full sets.
 
     Null or empty text, or text without words, has an empty set and links with nothing. A null id takes no part: its
     component_id is null and it is kept. Rows that repeat an id are one node. Other columns are ignored; an empty table gives
@@ -178,28 +189,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(signed.where("doc_id is not null and n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1").select("same", "rep"), "classes")
     placed = saved(signed.join(classes, "same", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("sig")).alias("sig")), "placed")
     nodes = placed.where("sig is not null and n > 0 and doc_id is not null").select("doc_id", "n", "sig")
-
-    slots = bloom_slots(nodes.count() * 2 * m, 8)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = OnceTwice(slots)
-        for b in batches:
-            f.add(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64))
-        yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
-        del f
-        give_back_memory()
-
-    filters = gather_filters(nodes.select("sig").mapInArrow(fill, "f binary"), slots)
-    twice = spark.sparkContext.broadcast(filters[len(filters) // 2 :])
+    repeated = Repeats(nodes.select("sig"), lambda b: np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64), nodes.count() * 2 * m, 8, most_slots)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(twice.value, np.uint8)
         pair = _mix(np.arange(1, m * m + 1, dtype=np.uint64)).reshape(m, m)
         for b in batches:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64)
-            flag = suspected(sig, bits, slots).reshape(-1, 2 * m)
+            flag = repeated(sig).reshape(-1, 2 * m)
             sig = sig.reshape(-1, 2 * m)
             some = np.flatnonzero(flag[:, :m].any(1) & flag[:, m:].any(1))
             for at in range(0, len(some), 512):
@@ -210,80 +208,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(key[both].view(np.int64)), b.column("doc_id").take(pa.array(at_doc)), b.column("n").take(pa.array(at_doc))], ["key", "id", "n"])
 
     keyed = nodes.mapInArrow(keys_of, f"key long, id {id_type}, n long")
-    tables = saved(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"), "tables")
-    members = saved(keyed.join(tables, "key").select("key", "id", "n", "hub"), "members")
+    tables = saved(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "tables")
+    members = saved(keyed.join(tables, "key").select("key", "id", "n", "hub", "size"), "members")
 
     may_link = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    wanted = members.select("id").unionByName(members.select(F.col("hub.id").alias("id"))).distinct()
-    member = id_filter(wanted, bloom_slots(wanted.count(), 16))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    wanted = saved(members.select("id").distinct(), "wanted")
+    member = id_filter(wanted, bloom_slots(wanted.count(), 16, most=most_slots))
 
     def pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(s >> np.uint64(16)) for part in portions(b.column("text").to_pylist()) for s in shingle_sets(part, k)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(np.zeros(len(s), np.int64), s) for s in sets], pa.binary())], ["id", "size", "set"])
+            sets = [s for part in portions(b.column("text").to_pylist()) for s in shingle_sets(part, k)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_pack_set(s) for s in sets], pa.binary())], ["id", "size", "set"])
+        give_back_memory()
 
-    sets = saved(rows.where(member(F.col("doc_id"))).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(pack_sets, f"id {id_type}, size long, set binary"), "sets")
+    sets = saved(rows.where(member(F.col("doc_id"))).mapInArrow(pack_sets, f"id {id_type}, size long, set binary"), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, last, left = [], None, None
             for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
                 if x != last:
-                    last, left = x, unpack(x)[1]
-                right = unpack(y)[1]
-                common = len(left) + len(right) - len(np.unique(np.concatenate([left, right])))
+                    last, left = x, _unpack_set(x)
+                right = _unpack_set(y)
+                both = np.concatenate([left, right])
+                both.sort(kind="stable")  # two ascending runs
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], ["a", "b", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
         give_back_memory()
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        held = sets.where(id_filter(ends, bloom_slots(2 * pairs.count()))(F.col("id")))  # only these sets shuffle
+    def linked(pairs: DataFrame, few: bool = True) -> DataFrame:
+        """Those of ``pairs`` that are links; of ``few`` pairs only the sets shuffle that they need."""
+        pairs, held = saved(pairs, "pairs"), sets
+        if few:
+            ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+            held = sets.where(id_filter(ends, bloom_slots(2 * pairs.count(), most=most_slots))(F.col("id")))
         a, b = held.select(F.col("id").alias("a"), F.col("set").alias("set_a")), held.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        return saved(pairs.join(b, "b").join(a, "a").mapInArrow(confirm, f"a {id_type}, b {id_type}, ok boolean"), "checked")
-
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = checked(members.where(F.col("id") != F.col("hub.id")).where(may_link(F.col("n"), F.col("hub.n"))).select(*ordered(F.col("id"), F.col("hub.id"))).distinct())
-    fruitless, open_ = 0, members.select("key", "id", "n")
-    for turn in range(most_rounds + 1):
-        part = components(tested.where("ok").select("a", "b"))
-        if turn == most_rounds or fruitless == 2:
+        return saved(pairs.join(b, "b").join(a, "a").mapInArrow(confirm, f"a {id_type}, b {id_type}, ok boolean").where("ok").select("a", "b"), "links")
+
+    def joined(part: DataFrame, links: DataFrame) -> DataFrame:
+        """Each id's component after more links: the components' own components."""
+        side = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        up = components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        up = up.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        return saved(part.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "part")
+
+    hubs = members.where(F.col("id") != F.col("hub.id")).where(may_link(F.col("n"), F.col("hub.n")))
+    part = joined(wanted.select("id", F.col("id").alias("component")), linked(hubs.select(*ordered(F.col("id"), F.col("hub.id"))).distinct(), few=False))
+
+    # In a table of two, the hub has met the other one.
+    crowded, turn, left, before = members.where("size > 2").select("key", "id", "n"), 0, None, 0
+    while True:
+        now = crowded.join(part, "id")
+        head = F.struct(*(F.min(F.struct(F.xxhash64("id", F.lit(heads * turn + j)).alias("h"), "id", "n")).alias(f"h{j}") for j in range(heads)))
+        groups = now.groupBy("key", "component").agg(head.alias("heads"), F.count("*").alias("size"))
+        groups = groups.select("key", "component", F.struct("size", "component").alias("rank"), "heads", F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "component").alias("draw"))
+        mixed = groups.groupBy("key").agg(F.max_by("heads", "rank").alias("big"), F.max("rank").alias("most"), F.min_by("heads", "draw").alias("some"), F.count("*").alias("several"), F.sum("rank.size").alias("docs")).where("several > 1")
+        mixed = saved(mixed.select("key", F.col("most.component").alias("largest"), (F.col("docs") - F.col("most.size")).alias("left"), F.array(*(F.struct(f"big.h{j}.id", f"big.h{j}.n") for j in range(heads)), F.struct("some.h0.id", "some.h0.n")).alias("others")), "mixed")
+        before, left = left, mixed.agg(F.sum("left")).first()[0] or 0
+        if not left or (before is not None and 2 * left > before):
             break
-        # Tables that still hold several components: the members of all but the largest meet one of the largest (or, in
-        # odd turns, of the next larger), chosen by a hash that changes with the turn and, twofold, with the table.
-        # A table of one component stays so, and is left out from then on.
-        now = open_.select("key", "id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = saved(now.join(saved(mixed, "mixed"), "key"), "open")
-        order = F.xxhash64("id", F.pmod("key", F.lit(2)), F.lit(turn))
-        heads = open_.groupBy("key", "component").agg(F.min(F.struct(order.alias("h"), "id", "n")).alias("head"), F.count("*").alias("size"))
-        by_size = Window.partitionBy("key").orderBy(F.desc("size"), "component")
-        other = F.lag("head").over(by_size) if turn % 2 else F.first("head").over(by_size)
-        turned = heads.select("key", "component", F.row_number().over(by_size).alias("place"), other.alias("other")).where("place > 1").drop("place")
-        fresh = open_.join(saved(turned, "turned"), ["key", "component"]).where(may_link(F.col("n"), F.col("other.n"))).select(*ordered(F.col("id"), F.col("other.id"))).distinct()
-        fresh = checked(fresh.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        fruitless = 0 if fresh.where("ok").take(1) else fruitless + 1
-
-    now = open_.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = open_.select("key", "id").join(saved(now, "now"), "id").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    ids = saved(open_.select("key", "id").join(mixed, "key").select("id").distinct().join(now, "id"), "unsettled")
-    docs_left = ids.count()
-    if docs_left:
-        held = sets.where(id_filter(ids.select("id"), bloom_slots(docs_left))(F.col("id")))
-        left = saved(_linkable(held.join(ids, "id"), _frequencies(held), id_type, percent).join(tested, ["a", "b"], "left_anti"), "left")
-        part_of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        share = 2 * docs_left
-        while n_left := left.count():
+        outside = now.join(mixed, "key").where("component <> largest").select("id", "n", F.explode("others").alias("other"))
+        fresh = outside.where((F.col("id") != F.col("other.id")) & may_link(F.col("n"), F.col("other.n"))).select(*ordered(F.col("id"), F.col("other.id"))).distinct()
+        part, turn = joined(part, linked(fresh)), turn + 1
+
+    if left:
+        ids = saved(crowded.join(mixed.select("key"), "key", "left_semi").select("id").distinct().join(part, "id"), "unsettled")
+        n_ids = ids.count()
+        held = saved(sets.where(id_filter(ids.select("id"), bloom_slots(n_ids, most=most_slots))(F.col("id"))).join(ids, "id"), "unsettled-sets")
+        rest = saved(_linkable(held, _frequencies(held), id_type, percent), "rest")
+        share = 4 * n_ids
+        while n_rest := rest.count():
             # A share first, as its links can make most others needless; the share grows, and what remains is checked.
-            chosen = F.lit(True) if n_left <= share else F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) < int(share / n_left * (1 << 30)) + 1
-            fresh = checked(left.where(chosen))
-            tested = tested.unionByName(fresh)
-            part = components(tested.where("ok").select("a", "b"))
-            rest = left.join(fresh, ["a", "b"], "left_anti").join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
-            left, share = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "left"), share * 4
-
-    out = placed.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            chosen = F.lit(True) if n_rest <= share else F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)) < int(share / n_rest * (1 << 30)) + 1
+            part = joined(part, linked(rest.where(chosen)))
+            if n_rest <= share:
+                break
+            side = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+            rest, share = saved(rest.where(~chosen).join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b"), "rest"), share * 4
+
+    out = placed.join(part.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -27,3 +27,13 @@ def level_switch(level: Column) -> Column:
 
 def frame_name(number: Column, width: int = 5) -> Column:
     return F.concat(F.lpad(number.cast("string"), width, "0"), F.lit(".jpg"))
+
+
+def hash_text(*parts: Column | str) -> Column:
+    """A fixed text for the same parts on every machine and engine: the MD5 of them joined by dashes, in hex."""
+    return F.md5(F.concat_ws("-", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts)).cast("binary"))
+
+
+def hash_number(*parts: Column | str) -> Column:
+    """A fixed number from 0 to 2^32 - 1 for the same parts: the first eight digits of ``hash_text``."""
+    return F.conv(F.substring(hash_text(*parts), 1, 8), 16, 10).cast("long")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import hash_text
+from gridloom.sources.storage import materialized
+
 
 def assemble(images: DataFrame, annotations: DataFrame, fields: list[str], image_key: str = "image") -> DataFrame:
     """Each image with the array of its annotations, in the order of ``fields`` (empty for none)."""
@@ -47,26 +53,33 @@ def containing_all(ann: DataFrame, group: str, value: str, wanted: list) -> Data
     return hits.where(F.col("n") == len(set(wanted))).select(group)
 
 
-def look_up(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` for (position, id) rows, in the order of position; ids without a row give nulls."""
-    return ids.join(df.withColumnRenamed(key, "id"), "id", "left")
+def must_join(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """``left`` with the columns of ``right`` by ``key``; a key that ``right`` lacks fails the query, and no row is lost unseen."""
+    found = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.where(F.when(F.col("_found"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("_found")
+
+
+def look_up(df: DataFrame, key: str, ids: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of ``df`` for (position, id) rows, in the order of position; ids without a row give nulls, or where ``strict`` an error."""
+    rows = df.withColumnRenamed(key, "id")
+    return must_join(ids, rows, "id", key) if strict else ids.join(rows, "id", "left")
 
 
 def contiguous_ids(df: DataFrame, key: str, new: str = "contiguous_id") -> DataFrame:
-    """Distinct keys in ascending order, numbered from 0. Keys are few: categories, classes, datasets."""
-    return df.select(key).distinct().withColumn(new, F.row_number().over(Window.orderBy(key)) - 1)
+    """Distinct keys in ascending order, numbered from 0; however many there are, they are numbered by ranges."""
+    keys = global_row_number(df.select(key).distinct(), [key], new)
+    return keys.select(key, (F.col(new) - 1).cast("int").alias(new))
 
 
 def global_row_number(df: DataFrame, order: list, new: str) -> DataFrame:
     """Numbers from 1 in ``order`` over the whole table without bringing it into one task: ranges are sorted apart, and each starts where the ones before it end."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    from gridloom.sources.storage import materialized
-
-    ranged = materialized(ranged)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    ranged = materialized(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0), strict=False))
+    start = F.element_at(F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1))), F.col("_part") + 1)
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(starts), "_part").withColumn(new, within + F.col("_start")).drop("_part", "_start")
+    return ranged.withColumn(new, within + start).drop("_part")
 
 
 def first_seen(df: DataFrame, key: str, order: list) -> DataFrame:
@@ -85,12 +98,19 @@ def short_name(name: Column, most: int = 13) -> Column:
     return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 2), F.lit(".."))).otherwise(name)
 
 
+def weighted_repeat_factors(ann: DataFrame, threshold: float, weights: dict[str, float]) -> DataFrame:
+    """(dataset, image, factor): repeat factors within each dataset times its weight, scaled so that the least of all is 1."""
+    parts = [repeat_factors(ann.where(F.col("dataset") == d), threshold).select(F.lit(d).alias("dataset"), "image", (F.col("factor") * w).alias("factor")) for d, w in weights.items()]
+    out = materialized(functools.reduce(DataFrame.unionByName, parts))
+    return out.crossJoin(F.broadcast(out.agg(F.min("factor").alias("_least")))).select("dataset", "image", (F.col("factor") / F.col("_least")).alias("factor"))  # one row
+
+
 def repeat_factors(ann: DataFrame, threshold: float) -> DataFrame:
     """Each image's repeat factor: over its categories the largest max(1, sqrt(threshold / share of images with the category))."""
     total = ann.select("image").distinct().count()
     share = ann.groupBy("category").agg((F.count_distinct("image") / F.lit(total)).alias("share"))
     factor = share.select("category", F.greatest(F.lit(1.0), F.sqrt(F.lit(threshold) / F.col("share"))).alias("factor"))
-    return ann.select("image", "category").distinct().join(F.broadcast(factor), "category").groupBy("image").agg(F.max("factor").alias("factor"))
+    return ann.select("image", "category").distinct().join(factor, "category").groupBy("image").agg(F.max("factor").alias("factor"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -99,7 +119,7 @@ def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
 
 def hashed_sample(df: DataFrame, group: str, key: list[str], seed: int, k: int) -> DataFrame:
     """At most ``k`` rows a group, chosen without replacement by a hash of their key and ``seed``."""
-    return top_per_group(df, group, [F.xxhash64(*key, F.lit(seed)), *key], k)
+    return top_per_group(df, group, [hash_text(*key, F.lit(seed)), *key], k)
 
 
 def joint_rows(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import hash_number
+
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
@@ -124,7 +126,7 @@ def context_box(b: list[Column], context: float, width: float, height: float, le
 
 def jittered(df: DataFrame, key: list[str], fraction: float, seed: int) -> DataFrame:
     """Corners moved by up to ``fraction`` of the box's sides, told by a hash of the key and ``seed``, so that retries agree."""
-    move = lambda k: F.pmod(F.xxhash64(*key, F.lit(seed + k)), F.lit(2_000_001)) / 1e6 - 1
+    move = lambda k: hash_number(*key, F.lit(seed + k)) % 2_000_001 / 1e6 - 1
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     new = [F.col(c) + move(k) * fraction * (w if k % 2 == 0 else h) for k, c in enumerate(CORNERS)]
     return df.select(*(c for c in df.columns if c not in CORNERS), F.least(new[0], new[2]).alias("x0"), F.least(new[1], new[3]).alias("y0"), F.greatest(new[0], new[2]).alias("x1"), F.greatest(new[1], new[3]).alias("y1"))

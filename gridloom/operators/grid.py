@@ -78,23 +78,51 @@ def touching(labels: DataFrame, connectivity: int = 4) -> DataFrame:
     return e.where("sim.a <> sim.b").select("image", "sim.a", "sim.b").distinct()
 
 
-def affinity(nodes: DataFrame, tau: float, sigma: float, blend: float, floor: float = 1e-5) -> DataFrame:
+def affinity(nodes: DataFrame, tau: float, sigma: float, blend: float, floor: float = 1e-5, objectness: str | None = None, least_gate: float = 0.1) -> DataFrame:
     """(image, a, b, w), a < b: relu(cosine) where at least tau, blended with a Gaussian of the places' distance, and ``floor`` added.
 
+    With a column ``objectness`` the blend is weighted by the square root of both ends' values, ``least_gate`` at least.
     Pairs are of one image only; images are small by nature (a grid of cells).
     """
-    l = nodes.select("image", F.col("node").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.col("feat").alias("fa"))  # noqa: E741
-    r = nodes.select("image", F.col("node").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"), F.col("feat").alias("fb"))
+    gate = F.col(objectness) if objectness else F.lit(1.0)
+    l = nodes.select("image", F.col("node").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.col("feat").alias("fa"), gate.alias("ga"))  # noqa: E741
+    r = nodes.select("image", F.col("node").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"), F.col("feat").alias("fb"), gate.alias("gb"))
     c = F.greatest(F.lit(0.0), S.cosine(F.col("fa"), F.col("fb")))
     near = F.exp(-((F.col("ya") - F.col("yb")) ** 2 + (F.col("xa") - F.col("xb")) ** 2) / (2 * sigma * sigma))
     p = l.join(r, "image").where("a < b").withColumn("c", F.round(c, 9))
-    return p.select("image", "a", "b", (F.when(F.col("c") >= tau, F.col("c")).otherwise(0.0) * (1 - blend) + near * blend + floor).alias("w"))
+    w = F.when(F.col("c") >= tau, F.col("c")).otherwise(0.0) * (1 - blend) + near * blend
+    if objectness:
+        w = w * F.greatest(F.lit(least_gate), F.sqrt(F.greatest(F.col("ga") * F.col("gb"), F.lit(0.0))))
+    return p.select("image", "a", "b", (w + floor).alias("w"))
 
 
-def binary_affinity(nodes: DataFrame, q: float, floor: float = 1e-5) -> DataFrame:
-    """1 for pairs whose cosine is over the image's q-quantile of all pairs, else ``floor``."""
+def binary_affinity(nodes: DataFrame, q: float, floor: float = 1e-5, painted: str | None = None) -> DataFrame:
+    """1 for pairs whose cosine is over the image's q-quantile of all pairs, else ``floor``.
+
+    Pairs with a cell that the column ``painted`` marks are ``floor``, and the quantile is that of the others.
+    """
     a = affinity(nodes, -2.0, 1.0, 0.0, 0.0).withColumnRenamed("w", "sim").withColumn("sim", F.round("sim", 9))
-    return a.join(quantile(a, "sim", q), "image").select("image", "a", "b", F.when(F.col("sim") > F.round("threshold", 9), 1.0).otherwise(floor).alias("w"))
+    free = F.lit(True)
+    if painted:
+        mark = lambda c: nodes.select(F.col("node").alias(c), F.col(painted).alias(f"_{c}"))
+        a, free = a.join(mark("a"), "a").join(mark("b"), "b"), ~F.col("_a") & ~F.col("_b")
+    cut = quantile(a.where(free), "sim", q)
+    return a.join(cut, "image", "left").select("image", "a", "b", F.when(free & (F.col("sim") > F.round("threshold", 9)), 1.0).otherwise(floor).alias("w"))
+
+
+def adaptive_rbf(nodes: DataFrame) -> DataFrame:
+    """(image, src, dst, sim): exp(-d^2 / (2 sigma^2)) of neighbouring cells, where sigma is the median distance of the image's neighbours."""
+    e = neighbour_edges(nodes, S.euclidean_distance).withColumnRenamed("sim", "d")
+    m = e.groupBy("image").agg(F.median("d").alias("sigma"))
+    return e.join(m, "image").select("image", "src", "dst", F.exp(-(F.col("d") ** 2) / (2 * F.col("sigma") ** 2 + 1e-12)).alias("sim"))
+
+
+def merge_linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(image, node, label): labels that ``links`` (image, a, b) connect, directly or by others, become the least of them."""
+    from gridloom.operators.segment import linked_labels
+
+    both = nodes.select("image", "label").distinct().select("image", F.col("label").alias("a"), F.col("label").alias("b")).unionByName(links.select("image", "a", "b"))
+    return nodes.join(linked_labels(both), ["image", "label"]).select("image", "node", F.col("least").alias("label"))
 
 
 def assign_to_centres(nodes: DataFrame, centres: DataFrame) -> DataFrame:

@@ -79,3 +79,27 @@ def nearest_resize(pixels: DataFrame, side: int, new_side: int, key: str = "mask
     old = lambda c: F.expr(f"{c} * {side} div {new_side}")
     new = pixels.sparkSession.range(1).select(F.explode(axis).alias("nx")).select("nx", F.explode(axis).alias("ny")).select((F.col("nx") * new_side + F.col("ny")).alias("new_p"), (old("nx") * side + old("ny")).alias("p"))
     return pixels.join(F.broadcast(new), "p").select(key, F.col("new_p").alias("p"), "on_")
+
+
+def united(on: DataFrame, group: str) -> DataFrame:
+    """(group, p): pixels that any mask of the group sets."""
+    return on.select(group, "p").distinct()
+
+
+def bilinear_resize(pixels: DataFrame, side: int, new_side: int, key: str = "mask") -> DataFrame:
+    """Masks at another size: values between pixel centres, set where they are over half of the mask's largest."""
+    at = [min(max((k + 0.5) * side / new_side - 0.5, 0.0), side - 1.0) for k in range(new_side)]
+    taps = [(k, min(int(v) + d, side - 1), (v - int(v)) if d else 1 - (v - int(v))) for k, v in enumerate(at) for d in (0, 1)]
+    axis = pixels.sparkSession.createDataFrame(taps, "k int, old int, w double")  # two taps for each new row or column
+    x, y = (axis.select(F.col("k").alias(f"n{c}"), F.col("old").alias(c), F.col("w").alias(f"w{c}")) for c in "xy")
+    px = pixels.select(key, F.expr(f"p div {side}").cast("int").alias("x"), F.expr(f"p % {side}").cast("int").alias("y"), "on_")
+    v = px.join(F.broadcast(x), "x").join(F.broadcast(y), "y").groupBy(key, "nx", "ny").agg(F.sum(F.col("on_") * F.col("wx") * F.col("wy")).alias("v"))
+    top = v.groupBy(key).agg(F.max("v").alias("top"))
+    return v.join(top, key).select(key, (F.col("nx") * new_side + F.col("ny")).alias("p"), (F.round("v", 9) > F.round(F.col("top") / 2, 9)).cast("int").alias("on_"))
+
+
+def annotations(pixels: DataFrame, height: int, least_area: int = 1, key: str = "mask") -> DataFrame:
+    """(mask, counts, area, x, y, w, h) of masks with at least ``least_area`` set pixels: the code, and the box that holds them."""
+    box = tight_box(pixels.where("on_ = 1"), height, key)
+    codes = encode(pixels, key).withColumn("area", rle_area(F.col("counts"))).where(F.col("area") >= least_area)
+    return codes.join(box, key).select(key, "counts", "area", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"))

@@ -69,55 +69,62 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def evaluate_image(det: np.ndarray, truth: np.ndarray, crowd: np.ndarray, ignored: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each threshold and detection (rows by falling score): the matched truth's place or -1, and whether it is ignored.
 
-    Truths that count are offered first. A detection takes the best free truth of at least the threshold, of equals the
-    later; once it holds one that counts, ignored ones are not looked at. Crowd truths can be taken again.
+    A detection may have any truth that is free and overlaps it by the threshold (one of 1 is met but for rounding). Of
+    these it takes one that counts before an ignored one, then the one of larger overlap, then the later one. What it takes
+    is free no longer, unless it is a crowd. All thresholds are decided together, detection by detection.
     """
-    order = np.argsort(ignored, kind="stable")
-    iou = iou_matrix(det, truth)
+    n = len(truth)
     got = np.full((len(thresholds), len(det)), -1)
-    skip = np.zeros((len(thresholds), len(det)), bool)
-    for t, least in enumerate(thresholds):
-        taken: set[int] = set()
-        for d in range(len(det)):
-            best, m = min(float(least), 1 - 1e-10), -1
-            for g in order.tolist():
-                if g in taken and not crowd[g]:
-                    continue
-                if m >= 0 and not ignored[m] and ignored[g]:
-                    break
-                if iou[d, g] >= best:
-                    best, m = iou[d, g], g
-            if m >= 0:
-                taken.add(m)
-                got[t, d], skip[t, d] = m, ignored[m]
-    return got, skip
-
-
-def _two_sided(det: DataFrame, truth: DataFrame, group: str, order: list[tuple[str, bool]], one: Callable, names: list[str], schema: str) -> DataFrame:
-    """Rows that ``one`` gives for each group's detections and truths: dicts of arrays, with ``group`` added.
-
-    Both sides travel as one table dealt by a hash of the group, so that a Python call works on many groups.
+    if not n or not len(det):
+        return got, np.zeros(got.shape, bool)
+    iou, every = iou_matrix(det, truth), np.arange(len(thresholds))
+    enough = np.minimum(thresholds, 1 - 1e-10)[:, None]
+    worth = iou + np.where(ignored, 0.0, 2.0)  # an overlap is 1 at most
+    free = np.ones((len(thresholds), n), bool)
+    for d in range(len(det)):
+        offer = np.where(free & (iou[d] >= enough), worth[d], -1.0)
+        best = n - 1 - offer[:, ::-1].argmax(1)
+        found = offer[every, best] >= 0
+        got[found, d] = best[found]
+        free[every[found], best[found]] = crowd[best[found]]
+    return got, (got >= 0) & ignored[got]
+
+
+def area_of(b: np.ndarray) -> np.ndarray:
+    return (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+
+
+def two_sided(det: DataFrame, truth: DataFrame, groups: list[str], one: Callable, schema: str) -> DataFrame:
+    """Rows that ``one`` gives for each group's detections and truths: dicts of columns of ``schema``, with the groups' names added.
+
+    Both sides travel as one table dealt by a hash of the first group column, so that a Python call works on many groups.
+    Groups without detections give no rows.
     """
-    columns = [group, "idx", *CORNERS, "score", "iscrowd"]
+    columns = [*groups, "idx", *CORNERS, "score", "iscrowd"]
     side = lambda df, t: df.select(*(F.col(c) if c in df.columns else F.lit(False if c == "iscrowd" else 0.0).alias(c) for c in columns), F.lit(t).alias("_truth"))
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    types = {part.split()[0]: kinds[part.split()[1]] for part in schema.split(", ")}
 
     def many(t: pa.Table) -> pa.Table:
-        t, begins = in_groups(t, [group], [("_truth", True), *order])
-        key, idx, score = (t.column(c).to_numpy() for c in (group, "idx", "score"))
+        t, begins = in_groups(t, groups, [("_truth", True), ("idx", True)])
+        idx, score = (t.column(c).to_numpy() for c in ("idx", "score"))
         truth_of, crowd = (np.array(t.column(c).to_pylist(), bool) for c in ("_truth", "iscrowd"))
-        b, out = box_array(t), {n: [] for n in [group, *names]}
+        b, out, at, size = box_array(t), {n: [] for n in names}, [], []
         for i, j in zip(begins[:-1], begins[1:], strict=True):
             k = i + int((~truth_of[i:j]).sum())
             if i < k:
                 got = one(idx[i:k], b[i:k], score[i:k], idx[k:j], b[k:j], crowd[k:j])
                 for n in names:
-                    out[n].extend(got[n])
-                out[group].extend([key[i]] * len(got[names[0]]))
-        kind = {"idx": pa.int64(), "gt_idx": pa.int64(), group: pa.int64(), "ignored": pa.bool_()}
-        return pa.table({n: pa.array(np.array(v).tolist(), kind.get(n, pa.float64())) for n, v in out.items()})
+                    out[n].extend(np.asarray(got[n]).tolist())
+                at.append(int(i))
+                size.append(len(got[names[0]]))
+        key = t.select(groups).take(pa.array(np.repeat(np.array(at, np.int64), size)))
+        return pa.table({g: key.column(g) for g in groups} | {n: pa.array(v, types[n]) for n, v in out.items()})
 
     both = side(det, 0).unionByName(side(truth, 1))
-    return bucketed(both, group).groupBy("_bucket").applyInArrow(many, f"{group} long, {schema}")
+    kind = lambda g: both.schema[g].dataType.simpleString()
+    return bucketed(both, groups[0]).groupBy("_bucket").applyInArrow(many, ", ".join([*(f"{g} {kind(g)}" for g in groups), schema]))
 
 
 def match_detections(det: DataFrame, truth: DataFrame, thresholds: list[float], most: int = 100, area_range: tuple[float, float] = (0.0, 1e10), group: str = "image") -> DataFrame:
@@ -130,13 +137,12 @@ def match_detections(det: DataFrame, truth: DataFrame, thresholds: list[float],
     def one(di, db, ds, gi, gb, crowd):
         o = np.lexsort((di, -ds))[:most]
         di, db, ds = di[o], db[o], ds[o]
-        size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        outside = lambda b: (size(b) < area_range[0]) | (size(b) > area_range[1])
+        outside = lambda b: (area_of(b) < area_range[0]) | (area_of(b) > area_range[1])
         got, skip = evaluate_image(db, gb, crowd, crowd | outside(gb), ts)
         skip |= (got < 0) & outside(db)[None]
         return {"idx": np.tile(di, len(ts)), "score": np.tile(ds, len(ts)), "threshold": np.repeat(ts, len(di)), "gt_idx": np.append(gi, -1)[got.reshape(-1)], "ignored": skip.reshape(-1)}
 
-    return _two_sided(det, truth, group, [("idx", True)], one, ["idx", "score", "threshold", "gt_idx", "ignored"], "idx long, score double, threshold double, gt_idx long, ignored boolean")
+    return two_sided(det, truth, [group], one, "idx long, score double, threshold double, gt_idx long, ignored boolean")
 
 
 def greedy_match(det: DataFrame, truth: DataFrame, least: float, group: str = "image") -> DataFrame:
@@ -147,7 +153,7 @@ def greedy_match(det: DataFrame, truth: DataFrame, least: float, group: str = "i
         p = greedy_pairs(m, least)
         return {"idx": [di[a] for a, _ in p], "gt_idx": [gi[b] for _, b in p], "iou": [m[a, b] for a, b in p]}
 
-    return _two_sided(det, truth, group, [("idx", True)], one, ["idx", "gt_idx", "iou"], "idx long, gt_idx long, iou double")
+    return two_sided(det, truth, [group], one, "idx long, gt_idx long, iou double")
 
 
 def cover_match(det: DataFrame, truth: DataFrame, group: str = "image") -> DataFrame:
@@ -157,7 +163,7 @@ def cover_match(det: DataFrame, truth: DataFrame, group: str = "image") -> DataF
         p = best_covered(iou_matrix(db, gb)) if len(gi) else []
         return {"idx": [di[a] for a, _, _ in p], "gt_idx": [gi[b] for _, b, _ in p], "iou": [v for _, _, v in p]}
 
-    return _two_sided(det, truth, group, [("idx", True)], one, ["idx", "gt_idx", "iou"], "idx long, gt_idx long, iou double")
+    return two_sided(det, truth, [group], one, "idx long, gt_idx long, iou double")
 
 
 def optimal_match(det: DataFrame, truth: DataFrame, iou_weight: float = 1.0, score_weight: float = 1.0, group: str = "image") -> DataFrame:
@@ -167,4 +173,38 @@ def optimal_match(det: DataFrame, truth: DataFrame, iou_weight: float = 1.0, sco
         p = assign(iou_weight * (1 - iou_matrix(db, gb)) - score_weight * ds[:, None]) if len(gi) else []
         return {"idx": [di[a] for a, _ in p], "gt_idx": [gi[b] for _, b in p]}
 
-    return _two_sided(det, truth, group, [("idx", True)], one, ["idx", "gt_idx"], "idx long, gt_idx long")
+    return two_sided(det, truth, [group], one, "idx long, gt_idx long")
+
+
+def mask_costs(logits: np.ndarray, score: np.ndarray, masks: np.ndarray, weights: tuple[float, float, float] = (2.0, 5.0, 5.0)) -> np.ndarray:
+    """Cost of giving each predicted mask each true one, from the same sampled points (n x p logits, m x p zeros and ones).
+
+    ``weights`` are those of the class score, of binary cross-entropy a point, and of the dice loss.
+    """
+    p = logits.shape[1]
+    softplus = np.logaddexp(0, logits)  # -log(1 - sigmoid); less the logit it is -log(sigmoid)
+    cross = (softplus @ (1 - masks).T + (softplus - logits) @ masks.T) / max(1, p)
+    q = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+    dice = 1 - (2 * q @ masks.T + 1) / (q.sum(1)[:, None] + masks.sum(1)[None] + 1)
+    return -weights[0] * score[:, None] + weights[1] * cross + weights[2] * dice
+
+
+def optimal_mask_match(pred: DataFrame, truth: DataFrame, weights: tuple[float, float, float] = (2.0, 5.0, 5.0), group: str = "image") -> DataFrame:
+    """(image, idx, gt_idx) of the least total cost between predicted masks (image, idx, score, points: logits) and true ones (image, idx, points: 0 or 1)."""
+
+    def many(t: pa.Table) -> pa.Table:
+        t, begins = in_groups(t, [group], [("_truth", True), ("idx", True)])
+        idx, score, side = t.column("idx").to_numpy(), t.column("score").to_numpy(), t.column("_truth").to_numpy()
+        rows: list[tuple] = []
+        for i, j in zip(begins[:-1], begins[1:], strict=True):
+            k = i + int((side[i:j] == 0).sum())
+            if i < k < j:
+                points = np.array(t.column("points").slice(i, j - i).to_pylist(), float)
+                pairs = assign(np.round(mask_costs(points[: k - i], score[i:k], points[k - i :], weights), 9))
+                rows += [(int(t.column(group)[int(i)].as_py()), int(idx[i + a]), int(idx[k + b])) for a, b in pairs]
+        return pa.table({n: pa.array([r[c] for r in rows], pa.int64()) for c, n in enumerate((group, "idx", "gt_idx"))})
+
+    points = F.col("points").cast("array<double>").alias("points")
+    p = pred.select(F.col(group).cast("long").alias(group), F.col("idx").cast("long").alias("idx"), F.col("score").cast("double").alias("score"), points, F.lit(0).alias("_truth"))
+    g = truth.select(F.col(group).cast("long").alias(group), F.col("idx").cast("long").alias("idx"), F.lit(0.0).alias("score"), points, F.lit(1).alias("_truth"))
+    return bucketed(p.unionByName(g), group).groupBy("_bucket").applyInArrow(many, f"{group} long, idx long, gt_idx long")

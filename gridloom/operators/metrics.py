@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.storage import materialized
+
+
+def _running(matches: DataFrame, by: list[str]) -> DataFrame:
+    """The detections that count, with the running tp, fp and place of each class by falling score (then image, idx).
+
+    Rows are dealt by ranges of that order (numbered in _part), so that a class may span many tasks: what runs along the
+    ranking is computed within each range, and the ranges before it add a row for each range and class.
+    """
+    order, hit = [F.desc("score"), F.asc("image"), F.asc("idx")], F.col("gt_idx") >= 0
+    ranked = materialized(matches.where("not ignored").repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranked.groupBy("_part", *by).agg(F.count(F.when(hit, 1)).alias("_hits"), F.count("*").alias("_all"))
+    carried = parts.select("_part", *by, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_hits", "_all")))
+    rows = ranked.withColumns({"_tp": F.count(F.when(hit, 1)).over(w), "_at": F.count("*").over(w)}).join(carried, ["_part", *by])
+    rows = rows.withColumns({"tp": F.col("_tp") + F.col("_hits"), "place": F.col("_at") + F.col("_all")})
+    return rows.withColumn("fp", F.col("place") - F.col("tp")).drop("_tp", "_at", "_hits", "_all")
+
 
 def cumulative(matches: DataFrame, by: list[str]) -> DataFrame:
     """Running true and false positives by falling score; ignored detections count as neither. Ties go by image, then idx."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "image", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.col("gt_idx") >= 0
-    return matches.where("not ignored").withColumns({"tp": F.sum(hit.cast("long")).over(w), "fp": F.sum((~hit).cast("long")).over(w), "place": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "image", "idx"))})
+    return _running(matches, by).drop("_part")
 
 
 def precision_recall(matches: DataFrame, n_truth: DataFrame, by: list[str]) -> DataFrame:
-    """Recall and the precision envelope (largest precision at this place or later) along the ranking."""
-    c = cumulative(matches, by)
-    joined = c.join(n_truth, [k for k in by if k in n_truth.columns]) if any(k in n_truth.columns for k in by) else c.crossJoin(F.broadcast(n_truth))
-    p = joined.select(*by, "place", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
-    later = Window.partitionBy(*by).orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    return p.withColumn("envelope", F.max("precision").over(later))
+    """Recall and the precision envelope (largest precision at this place or later) along the ranking.
+
+    The envelope is a running maximum from the ranking's end, again within ranges and then across them.
+    """
+    c = materialized(_running(matches, by))
+    keys = [k for k in by if k in n_truth.columns]
+    joined = c.join(n_truth, keys) if keys else c.crossJoin(F.broadcast(n_truth))  # one row
+    p = joined.select("_part", *by, "place", "tp", "n", (F.col("gt_idx") >= 0).alias("hit"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("place")).alias("precision"))
+    later = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = p.groupBy("_part", *by).agg(F.max("precision").alias("_top")).select("_part", *by, F.max("_top").over(later).alias("_later"))
+    back = Window.partitionBy("_part", *by).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    own = p.withColumn("_own", F.max("precision").over(back))
+    return own.join(tops, ["_part", *by]).withColumn("envelope", F.greatest("_own", "_later")).drop("_part", "_own", "_later")
 
 
 def interpolated(pr: DataFrame, by: list[str], points: int = 101) -> DataFrame:
     """Precision at each of the evenly spaced recalls: the envelope at the first place that reaches it, 0 beyond the last.
 
-    A row's envelope serves all grid points between the recall before it and its own, so each row makes few.
+    The k-th hit is the first place for the grid points above the recall of k - 1 hits, up to its own; the first place of
+    all serves a recall of 0. So a class has few rows after this filter, whatever its size.
     """
-    r = F.round("recall", 9)
-    grid = pr.groupBy(*by, r.alias("recall")).agg(F.max("envelope").alias("envelope"))
-    before = F.lag("recall").over(Window.partitionBy(*by).orderBy("recall"))
-    first = F.when(before.isNull(), 0).otherwise(F.floor(before * (points - 1) + 1e-6) + 1)
-    last = F.floor(F.col("recall") * (points - 1) + 1e-6)
-    got = grid.select(*by, "envelope", first.cast("int").alias("a"), last.cast("int").alias("b")).where("a <= b")
-    got = got.select(*by, F.explode(F.sequence("a", "b")).alias("point"), F.col("envelope").alias("precision"))
+    reached = lambda k: F.floor(k / F.col("n") * (points - 1) + 1e-6)
+    a = F.when(F.col("place") == 1, 0).otherwise(reached(F.col("tp") - 1) + 1)
+    got = pr.where("hit or place = 1").select(*by, "envelope", a.cast("int").alias("a"), reached(F.col("tp")).cast("int").alias("b")).where("a <= b")
+    got = got.select(*by, F.explode(F.sequence("a", "b")).alias("point"), "envelope")
+    # where the first place is no hit, the first hit serves the points up to its recall, but for 0
+    got = got.groupBy(*by, "point").agg(F.max("envelope").alias("precision"))
     keys = pr.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     return keys.join(got, [*by, "point"], "left").select(*by, "point", F.coalesce("precision", F.lit(0.0)).alias("precision"))
 
@@ -66,6 +90,27 @@ def keypoint_similarity(points: DataFrame, key: list[str]) -> DataFrame:
     return points.groupBy(*key).agg(F.coalesce(seen, F.avg(F.exp(-e))).alias("oks"))
 
 
+def keypoint_similarity_in_box(points: DataFrame, key: list[str]) -> DataFrame:
+    """OKS of predicted points (px, py) with true ones (x, y, visible) of objects with a box (bx, by, bw, bh), sigma and area.
+
+    Over visible points, by their distance; with none visible, over all points, by their distance to the box doubled on
+    every side (0 inside).
+    """
+    beyond = lambda p, lo, size: F.greatest(F.lit(0.0), lo - size - p) + F.greatest(F.lit(0.0), p - (lo + 2 * size))
+    c = F.col
+    e = lambda dx, dy: F.exp(-(dx**2 + dy**2) / (2 * (2 * c("sigma")) ** 2 * (c("area") + 1e-12)))
+    own = e(c("px") - c("x"), c("py") - c("y"))
+    box = e(beyond(c("px"), c("bx"), c("bw")), beyond(c("py"), c("by"), c("bh")))
+    return points.groupBy(*key).agg(F.coalesce(F.avg(F.when(c("visible") > 0, own)), F.avg(box)).alias("oks"))
+
+
+def present_absent(rows: DataFrame, least_area: float = 0.01) -> DataFrame:
+    """One row from (iou, present, predicted: the mask's share of the image): mean IoU where the object is there, and the share of (near) empty predictions where it is not."""
+    there = F.col("present")
+    empty = (F.col("predicted") < least_area).cast("double")
+    return rows.agg(F.count(F.when(there, 1)).alias("n_present"), F.avg(F.when(there, F.col("iou"))).alias("iou_present"), F.count(F.when(~there, 1)).alias("n_absent"), F.avg(F.when(~there, empty)).alias("empty_absent"))
+
+
 def clicks_to_threshold(clicks: DataFrame, thresholds: list[float], most: int = 20) -> DataFrame:
     """Mean over samples of the first click (from 1) whose IoU reaches the threshold; ``most`` for samples that never do."""
     t = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")

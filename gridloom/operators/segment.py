@@ -6,12 +6,16 @@ that grow, merge or cut step by step are sequential within an image; images are
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridloom.operators.suppress import bucketed, in_groups
 
 EXTRACTORS: dict[str, Callable] = {}
 
@@ -30,12 +34,41 @@ def segment(grid: DataFrame, extractor: str | Callable, **options) -> DataFrame:
     """(image, node, label) by an extractor, for each image."""
     f = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        labels = f(np.stack(pdf["feat"].to_numpy()).astype(np.float64), pdf["y"].to_numpy(), pdf["x"].to_numpy(), **options)
-        return pd.DataFrame({"image": pdf["image"], "node": pdf["node"], "label": np.asarray(labels, np.int64)})
+    def many(t: pa.Table) -> pa.Table:
+        t, starts = in_groups(t, ["image"], [("node", True)])
+        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+        labels = []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            feat = np.array(t.column("feat").slice(i, j - i).to_pylist(), np.float64)
+            labels.append(np.asarray(f(feat, y[i:j], x[i:j], **options), np.int64))
+        return t.select(["image", "node"]).append_column("label", pa.array(np.concatenate(labels)))
+
+    rows = bucketed(grid.select(F.col("image").cast("long").alias("image"), F.col("node").cast("long").alias("node"), "y", "x", "feat"), "image")
+    return rows.groupBy("_bucket").applyInArrow(many, "image long, node long, label long")
+
+
+def linked_labels(links: DataFrame) -> DataFrame:
+    """(image, label, least): the least label that each label of an image is connected to by links (image, a, b)."""
+
+    def many(t: pa.Table) -> pa.Table:
+        t, starts = in_groups(t, ["image"], [("a", True)])
+        a, b, out = t.column("a").to_numpy(), t.column("b").to_numpy(), []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            names, at = np.unique(np.concatenate([a[i:j], b[i:j]]), return_inverse=True)
+            least = components(len(names), at.reshape(2, -1).T)
+            out.append(pa.table({"image": t.column("image").slice(i, 1).take(pa.array(np.zeros(len(names), np.int64))), "label": names, "least": names[least]}))
+        return pa.concat_tables(out)
 
-    return grid.select("image", "node", "y", "x", "feat").groupBy("image").applyInPandas(one, "image long, node long, label long")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return bucketed(links.select(long("image"), long("a"), long("b")), "image").groupBy("_bucket").applyInArrow(many, "image long, label long, least long")
+
+
+def cut_levels(grid: DataFrame, cuts: list[float], min_size: int = 2) -> DataFrame:
+    """(image, cut, node, label, masks, dropped): the cut graph at several radii, with how many labels each has and how many cells belong to none."""
+    levels = [segment(grid, "cut_graph", cut=c, min_size=min_size).withColumn("cut", F.lit(c)) for c in cuts]
+    rows = functools.reduce(DataFrame.unionByName, levels)
+    facts = rows.groupBy("image", "cut").agg(F.max("label").alias("masks"), F.count(F.when(F.col("label") == 0, 1)).alias("dropped"))
+    return rows.join(facts, ["image", "cut"]).select("image", "cut", "node", "label", "masks", "dropped")
 
 
 class Forest:
@@ -238,8 +271,17 @@ def touching_pairs(labels: np.ndarray, y: np.ndarray, x: np.ndarray) -> set[tupl
 
 
 @register_extractor("multistage")
-def multistage(feat, y, x, q: float = 0.7, min_size: int = 2, min_consistency: float = 0.2, merge: float = 0.5, adjacent: bool = False) -> np.ndarray:
-    """Cut, drop inconsistent pieces, distribute free cells best first, merge alike prototypes (or only touching ones)."""
+def multistage(feat, y, x, q: float = 0.7, min_size: int = 2, min_consistency: float = 0.2, merge: float = 0.5, adjacent: bool = False, region: np.ndarray | None = None) -> np.ndarray:
+    """Cut, drop inconsistent pieces, distribute free cells best first, merge alike prototypes (or only touching ones).
+
+    With a ``region`` (a truth value for each cell) all this happens within it: the quantile is that of its own edges, and
+    cells outside keep label 0.
+    """
+    if region is not None:
+        out, at = np.zeros(len(feat), np.int64), np.flatnonzero(region)
+        if len(at):
+            out[at] = multistage(feat[at], y[at], x[at], q, min_size, min_consistency, merge, adjacent)
+        return out
     labels, u = greedy_graph(feat, y, x, q=q, min_size=min_size), unit(feat)
     for k in range(1, labels.max(initial=0) + 1):
         m = labels == k
@@ -333,29 +375,43 @@ def affinity_matrix(feat: np.ndarray, tau: float, floor: float = 1e-5) -> np.nda
 
 
 @register_extractor("normalized_cut")
-def normalized_cut(feat, y, x, tau: float = 0.15, most: int = 3) -> np.ndarray:
-    """Repeated bipartition: the side of the strongest cell, its component there, is one object and is painted out."""
+def normalized_cut(feat, y, x, tau: float = 0.15, most: int = 3, most_share: float = 1.0, most_overlap: float = 1.0) -> np.ndarray:
+    """Repeated bipartition: the side of the strongest cell, its component there, is one object and is painted out.
+
+    The search ends early at an object of more than ``most_share`` of all cells, which repeats what it was cut from, or one
+    that with the painted cells on its side overlaps an earlier object by an IoU of more than ``most_overlap``, and where no
+    bipartition is the best alone (equal eigenvalues, as without any similar cells).
+    """
     labels, near = np.zeros(len(feat), np.int64), neighbours_of(edges_of(y, x), len(feat))
     corner = {(int(y.min()), int(x.min())), (int(y.min()), int(x.max())), (int(y.max()), int(x.min())), (int(y.max()), int(x.max()))}
     is_corner = np.array([(int(a), int(b)) in corner for a, b in zip(y, x, strict=True)])
+
+    def reached(seed: int, free: np.ndarray) -> np.ndarray:
+        todo, got = [seed], np.zeros(len(feat), bool)
+        while todo:
+            i = todo.pop()
+            if free[i] and not got[i]:
+                got[i] = True
+                todo += near[i]
+        return got
+
     for k in range(1, most + 1):
         w = affinity_matrix(feat, tau)
         done = labels > 0
         w[done], w[:, done] = 1e-5, 1e-5
-        v = fiedler(w)[1]
-        side, seed = v > v.mean(), int(np.argmax(np.abs(v)))
+        values, v = fiedler(w)
+        if len(values) > 2 and values[2] - values[1] < 1e-9:
+            break
+        v = np.round(v, 7)  # so that ties are ties
+        side, seed = v > round(float(v.mean()), 7), int(np.argmax(np.abs(v)))
         if not side[seed] or (side & is_corner).sum() >= 3:
             side = ~side
             seed = int(np.argmax(np.where(side, np.abs(v), -1)))
-        free, todo, got = side & ~done, [seed], set()
-        while todo:
-            i = todo.pop()
-            if free[i] and i not in got:
-                got.add(i)
-                todo += near[i]
-        if not got:
+        got, whole = reached(seed, side & ~done), reached(seed, side)
+        overlap = max(((whole & (labels == j)).sum() / (whole | (labels == j)).sum() for j in range(1, k)), default=0.0)
+        if not got.any() or got.sum() > most_share * len(feat) or overlap > most_overlap:
             break
-        labels[sorted(got)] = k
+        labels[got] = k
     return labels
 
 
@@ -425,10 +481,49 @@ def mean_field(unary: np.ndarray, guide: np.ndarray, radius: int = 1, steps: int
     return q
 
 
+def nearest_labels(labels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A label map of another size: each cell takes the label at its place, rounded down."""
+    h, w = labels.shape
+    return labels[(np.arange(height) * h // height)[:, None], (np.arange(width) * w // width)[None]]
+
+
+def bilinear_mask(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A mask of another size: values between cell centres, and True where they are over half of the largest."""
+
+    def taps(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+        lo = np.floor(at).astype(int)
+        return lo, np.minimum(lo + 1, size - 1), at - lo
+
+    (a, b, u), (c, d, v) = taps(height, mask.shape[0]), taps(width, mask.shape[1])
+    rows = mask[a] * (1 - u)[:, None] + mask[b] * u[:, None]
+    out = rows[:, c] * (1 - v) + rows[:, d] * v
+    return out > out.max() / 2 if out.size else out.astype(bool)
+
+
+def pooled(feat: np.ndarray, y: np.ndarray, x: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of ``factor`` x ``factor`` cells, with their places, in the order of rows and columns."""
+    cell = (y // factor) * (int(x.max()) // factor + 1) + x // factor
+    names, at = np.unique(cell, return_inverse=True)
+    n = np.bincount(at)[:, None]
+    mean = np.stack([np.bincount(at, feat[:, k], len(names)) for k in range(feat.shape[1])], 1) / n
+    return mean, names // (int(x.max()) // factor + 1), names % (int(x.max()) // factor + 1)
+
+
 @register_extractor("hierarchical")
-def hierarchical(feat, y, x, coarse: float = 0.6, fine: float = 0.8, min_size: int = 2) -> np.ndarray:
-    """Coarse pieces, each cut again with a stricter quantile within itself; cells left over in a piece get an id of their own."""
-    top, out, n = greedy_graph(feat, y, x, q=coarse, min_size=min_size), np.zeros(len(feat), np.int64), 0
+def hierarchical(feat, y, x, coarse: float = 0.6, fine: float = 0.8, min_size: int = 2, factor: int = 2, parents: bool = False) -> np.ndarray:
+    """Coarse pieces of a grid ``factor`` times smaller, brought to full size; each is cut again with a stricter quantile within itself.
+
+    Cells left over in a piece get an id of their own. Ids are those of the fine pieces, from 1; with ``parents`` the
+    coarse piece of each cell instead.
+    """
+    small, ys, xs = pooled(feat, y, x, factor)
+    grid_of = np.zeros((int(ys.max()) + 1, int(xs.max()) + 1), np.int64)
+    grid_of[ys, xs] = greedy_graph(small, ys, xs, q=coarse, min_size=min_size)
+    top = grid_of[y // factor, x // factor]
+    if parents:
+        return top
+    out, n = np.zeros(len(feat), np.int64), 0
     for k in range(0, top.max(initial=0) + 1):
         at = np.flatnonzero(top == k)
         if len(at):
@@ -439,15 +534,23 @@ def hierarchical(feat, y, x, coarse: float = 0.6, fine: float = 0.8, min_size: i
     return out
 
 
+def pca_rgb(feat: np.ndarray, low: float = 0.02, high: float = 0.98) -> np.ndarray:
+    """Three main axes as colours (n x 3, 0 to 255), each stretched between its quantiles."""
+    z = pca(feat, 3)
+    z = np.pad(z, ((0, 0), (0, 3 - z.shape[1])))
+    lo, hi = np.quantile(z, [low, high], axis=0)
+    return np.round(np.clip((z - lo) / (hi - lo + 1e-8), 0, 1) * 255).astype(np.int64)
+
+
 @register_extractor("spectral_levels")
-def spectral_levels(feat, y, x, taus: tuple[float, ...] = (0.1, 0.25), most: int = 3) -> np.ndarray:
+def spectral_levels(feat, y, x, taus: tuple[float, ...] = (0.1, 0.25), most: int = 3, most_overlap: float = 0.9) -> np.ndarray:
     """Objects by normalized cuts, then within each object again with a stricter threshold; ids are of the lowest level."""
-    labels = normalized_cut(feat, y, x, tau=taus[0], most=most)
+    labels = normalized_cut(feat, y, x, tau=taus[0], most=most, most_overlap=most_overlap)
     for tau in taus[1:]:
         new, n = np.zeros(len(feat), np.int64), 0
         for k in np.unique(labels):
             at = np.flatnonzero(labels == k)
-            sub = normalized_cut(feat[at], y[at], x[at], tau=tau, most=most) if len(at) > 2 else np.zeros(len(at), np.int64)
+            sub = normalized_cut(feat[at], y[at], x[at], tau=tau, most=most, most_overlap=most_overlap) if len(at) > 2 else np.zeros(len(at), np.int64)
             for s in np.unique(sub):
                 n += 1
                 new[at[sub == s]] = n

@@ -13,27 +13,41 @@ from pyspark.sql import functions as F
 CORNERS = ["x0", "y0", "x1", "y1"]
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b, 0 for empty unions; rounded to 9 digits so that ties are ties."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)))
-    lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.clip(hi - lo, 0, None).prod(2)
-    size = lambda z: (z[:, 2] - z[:, 0]) * (z[:, 3] - z[:, 1])
-    union = size(a)[:, None] + size(b)[None] - inter
+def iou_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes place by place (shapes broadcast), 0 for empty unions; rounded to 9 digits so that ties are ties."""
+    inter = np.clip(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0, None).prod(-1)
+    size = lambda z: (z[..., 2:] - z[..., :2]).prod(-1)
+    union = size(a) + size(b) - inter
     return np.round(np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0), 9)
 
 
-def keep_windowed(iou: np.ndarray, threshold: float, step: int) -> np.ndarray:
-    """A kept item suppresses those of the next step - 1 that overlap it by more than the threshold; suppressed items suppress nobody."""
-    keep = np.ones(len(iou), bool)
-    for i in range(len(iou)):
+def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of every box of a with every box of b."""
+    return iou_pairs(a[:, None], b[None]) if len(a) and len(b) else np.zeros((len(a), len(b)))
+
+
+def keep_windowed(near: np.ndarray, threshold: float) -> np.ndarray:
+    """A kept item suppresses those after it, within the band, that overlap it by more than the threshold; suppressed items suppress nobody.
+
+    ``near[k, i]`` is the overlap of item i with item i + 1 + k; entries beyond the last item count for nothing.
+    """
+    n = near.shape[1]
+    keep = np.ones(n, bool)
+    for i in range(n):
         if keep[i]:
-            near = slice(i + 1, i + step)
-            keep[near] &= iou[i, near] <= threshold
+            most = min(len(near), n - 1 - i)
+            keep[i + 1 : i + 1 + most] &= near[:most, i] <= threshold
     return keep
 
 
+def iou_band(b: np.ndarray, width: int) -> np.ndarray:
+    """``width`` rows: the IoU of each box with the one 1, 2, ... after it (0 beyond the last)."""
+    out = np.zeros((width, len(b)))
+    for k in range(min(width, len(b) - 1)):
+        out[k, : len(b) - 1 - k] = iou_pairs(b[: len(b) - 1 - k], b[1 + k :])
+    return out
+
+
 def keep_full(iou: np.ndarray, threshold: float) -> np.ndarray:
     """An item stays when it overlaps every kept one before it by at most the threshold."""
     keep = np.zeros(len(iou), bool)
@@ -58,9 +72,9 @@ def box_array(table: pa.Table) -> np.ndarray:
     return np.stack([table.column(c).to_numpy().astype(np.float64) for c in CORNERS], 1) if len(table) else np.zeros((0, 4))
 
 
-def bucketed(df: DataFrame, key: str, rows: int = 50_000) -> DataFrame:
-    """``df`` with _bucket: a hash of the key, so that one Python call gets many groups; images are small, buckets hold about ``rows`` rows."""
-    n = max(1, -(-df.count() // rows))
+def bucketed(df: DataFrame, key: str, each: int = 8) -> DataFrame:
+    """``df`` with _bucket: a hash of the key, so that one Python call gets many groups; ``each`` buckets for every shuffle partition."""
+    n = each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)))
 
 
@@ -85,7 +99,7 @@ def with_area(boxes: DataFrame) -> DataFrame:
 
 
 def windowed_area_nms(boxes: DataFrame, threshold: float = 0.9, step: int = 5, group: str = "image") -> DataFrame:
-    return suppress(with_area(boxes), lambda b, _: keep_windowed(iou_matrix(b, b), threshold, step), [("area", False), ("idx", True)], [group])
+    return suppress(with_area(boxes), lambda b, _: keep_windowed(iou_band(b, step - 1), threshold), [("area", False), ("idx", True)], [group])
 
 
 def full_area_dedup(boxes: DataFrame, threshold: float = 0.9, group: str = "image") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.match import greedy_pairs
-from gridloom.operators.suppress import CORNERS, iou_matrix
+from gridloom.operators.suppress import CORNERS, box_array, bucketed, in_groups, iou_matrix
 
 
 def clip_windows(lengths: DataFrame, size: int, stride: int) -> DataFrame:
@@ -82,20 +84,25 @@ def entropy(mass: np.ndarray) -> float:
 def propagate(grids: DataFrame, blur: float = 0.3, sharpen: float = 2.0, threshold: float = 0.5) -> DataFrame:
     """(clip, frame, node, heat, inside): the mass of each clip's first frame (column mass) pushed from frame to frame.
 
-    grids: clip, frame, node, feat, mass. Frames follow each other, so a clip is one group.
+    grids: clip, frame, node, feat, mass. Frames of a clip follow each other; one Python call gets many clips.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, before, heat = [], None, None
-        for frame, part in sorted(pdf.groupby("frame"), key=lambda kv: kv[0]):
-            part = part.sort_values("node")
-            feat = np.stack(part["feat"].to_numpy()).astype(float)
-            heat = part["mass"].to_numpy(float) if before is None else push_mass(heat, transport_plan(before, feat, blur), sharpen)
+    def many(t: pa.Table) -> pa.Table:
+        t, starts = in_groups(t, ["clip", "frame"], [("node", True)])
+        clip, mass, feats = t.column("clip").to_numpy(), t.column("mass").to_numpy(), t.column("feat").to_pylist()
+        heats, inside, before, heat = [], [], None, None
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            feat = np.array(feats[i:j], float)
+            fresh = i == 0 or clip[i] != clip[i - 1]
+            heat = mass[i:j].astype(float) if fresh else push_mass(heat, transport_plan(before, feat, blur), sharpen)
             before = feat
-            out.append(pd.DataFrame({"clip": part["clip"], "frame": part["frame"], "node": part["node"], "heat": heat, "inside": heat > threshold * heat.max()}))
-        return pd.concat(out)
+            heats.append(heat)
+            inside.append(heat > threshold * heat.max())
+        out = t.select(["clip", "frame", "node"])
+        return out.append_column("heat", pa.array(np.concatenate(heats))).append_column("inside", pa.array(np.concatenate(inside)))
 
-    return grids.groupBy("clip").applyInPandas(one, "clip long, frame int, node long, heat double, inside boolean")
+    rows = bucketed(grids, "clip").select("_bucket", F.col("clip").cast("long").alias("clip"), F.col("frame").cast("int").alias("frame"), F.col("node").cast("long").alias("node"), "feat", F.col("mass").cast("double").alias("mass"))
+    return rows.groupBy("_bucket").applyInArrow(many, "clip long, frame int, node long, heat double, inside boolean")
 
 
 def advance(active: dict[int, np.ndarray], boxes: np.ndarray, least: float, fresh: int, open_new: bool) -> tuple[list[int], dict[int, np.ndarray], int]:
@@ -117,30 +124,34 @@ def assign_tracks(frames: DataFrame, least: float = 0.1, group: str = "clip") ->
     A track that misses a frame ends, and boxes without a track get -1.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        active, fresh, out = {}, 0, []
-        for k, (_, part) in enumerate(sorted(pdf.groupby("frame"), key=lambda kv: kv[0])):
-            part = part.sort_values("idx")
-            got, active, fresh = advance(active, part[CORNERS].to_numpy(float), least, fresh, k == 0)
-            out.append(pd.DataFrame({group: part[group], "frame": part["frame"], "idx": part["idx"], "track": got}))
-        return pd.concat(out)
-
-    return frames.groupBy(group).applyInPandas(one, f"{group} long, frame long, idx long, track long")
+    def many(t: pa.Table) -> pa.Table:
+        t, starts = in_groups(t, [group, "frame"], [("idx", True)])
+        key, b = t.column(group).to_numpy(), box_array(t)
+        active, fresh, track = {}, 0, []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            first = i == 0 or key[i] != key[i - 1]
+            if first:
+                active, fresh = {}, 0
+            got, active, fresh = advance(active, b[i:j], least, fresh, first)
+            track += got
+        return t.select([group, "frame", "idx"]).append_column("track", pa.array(track, pa.int64()))
 
+    rows = bucketed(frames, group).select("_bucket", *(F.col(c).cast("long").alias(c) for c in (group, "frame", "idx")), *CORNERS)
+    return rows.groupBy("_bucket").applyInArrow(many, f"{group} long, frame long, idx long, track long")
 
-def reseeded(scores: DataFrame, every: int, least: float, group: str = "clip") -> DataFrame:
-    """(clip, frame, state): a state carried on, replaced at every ``every``-th frame by that frame's proposal if its score is enough."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        state, out = int(pdf["frame"].iloc[0]), []
-        for f, s in zip(pdf["frame"], pdf["score"], strict=True):
-            if f % every == 0 and s >= least:
-                state = int(f)
-            out.append(state)
-        return pd.DataFrame({group: pdf[group], "frame": pdf["frame"], "state": out})
+def reseeded(scores: DataFrame, every: int, least: float, group: str = "clip", overlap: str | None = None, least_overlap: float = 0.5) -> DataFrame:
+    """(clip, frame, state): a state carried on, replaced at every ``every``-th frame by that frame's proposal if its score is enough.
 
-    return scores.select(group, "frame", "score").groupBy(group).applyInPandas(one, f"{group} long, frame long, state long")
+    With ``overlap`` (the IoU of the frame's proposal with what was carried to it), a proposal must also overlap by
+    ``least_overlap``. A clip starts with its first frame's state.
+    """
+    taken = (F.col("frame") % every == 0) & (F.col("score") >= least)
+    if overlap is not None:
+        taken = taken & (F.col(overlap) >= least_overlap)
+    w = Window.partitionBy(group).orderBy("frame")
+    state = F.coalesce(F.max(F.when(taken, F.col("frame"))).over(w), F.min("frame").over(w))
+    return scores.select(group, F.col("frame").cast("long").alias("frame"), state.cast("long").alias("state"))
 
 
 def correction_click(truth: np.ndarray, pred: np.ndarray) -> tuple[int, int, int] | None:
@@ -156,3 +167,33 @@ def correction_click(truth: np.ndarray, pred: np.ndarray) -> tuple[int, int, int
         left = left & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
     y, x = np.unravel_index(int(np.argmax(depth)), depth.shape)
     return int(y), int(x), label
+
+
+def correction_clicks(masks: DataFrame, height: int) -> DataFrame:
+    """(mask, y, x, label) of the next click for each pair of masks that differ; masks: mask, truth and pred, column-major arrays of 0 and 1."""
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for m, t, p in zip(*(b.column(c).to_pylist() for c in ("mask", "truth", "pred")), strict=True):
+                click = correction_click(*(np.array(v, bool).reshape(-1, height).T for v in (t, p)))
+                if click:
+                    rows.append((m, *click))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["mask", "y", "x", "label"])
+
+    return masks.select(F.col("mask").cast("long").alias("mask"), "truth", "pred").mapInArrow(batch, "mask long, y long, x long, label long")
+
+
+def synthetic_clips(boxes: DataFrame, frames: int, most_shift: float, width: float, seed: int = 0, key: str = "image") -> DataFrame:
+    """(image, frame, and the boxes' columns): ``frames`` views of each image, every one mirrored or not and moved by its own draw.
+
+    All boxes of a view move together and keep their idx, so that they are tracks of the clip. Draws are fixed by a hash.
+    """
+    from gridloom.functions.text import hash_number
+
+    views = boxes.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
+    draw = lambda k: hash_number(key, "frame", F.lit(seed + k))
+    shift = lambda k: (draw(k) % 2_000_001 / 1e6 - 1) * most_shift
+    moved = views.withColumns({"_flip": draw(0) % 2 == 1, "_dx": shift(1), "_dy": shift(2)})
+    x0, x1 = (F.when(F.col("_flip"), width - F.col(b)).otherwise(F.col(a)) + F.col("_dx") for a, b in (("x0", "x1"), ("x1", "x0")))
+    return moved.withColumns({"x0": x0, "x1": x1, "y0": F.col("y0") + F.col("_dy"), "y1": F.col("y1") + F.col("_dy")}).drop("_flip", "_dx", "_dy")

@@ -70,7 +70,7 @@ def f6(spark, sf):
 @query("f20_category_remap", "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS contiguous_id FROM documents")
 def f20(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    return docs.join(F.broadcast(A.contiguous_ids(docs, "lang")), "lang").select("doc_id", "contiguous_id")
+    return docs.join(A.contiguous_ids(docs, "lang"), "lang").select("doc_id", "contiguous_id")
 
 
 @query("j2_images_proposals", f"WITH {BOXES_SQL}, p AS (SELECT CAST(image AS VARCHAR) AS image_id, string_agg(idx, ',' ORDER BY score DESC, idx) AS ranked FROM det GROUP BY image) SELECT o_orderkey AS image, ranked FROM orders JOIN p ON image_id = CAST(o_orderkey AS VARCHAR)")
@@ -78,15 +78,16 @@ def j2(spark, sf):
     det = boxes(spark, sf).where("not is_gt")
     ranked = det.groupBy(F.col("image").cast("string").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "idx"))).alias("r"))
     images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderkey").cast("string").alias("image_id"))
-    return images.join(ranked, "image_id").select("image", F.array_join(F.transform("r", lambda x: x["idx"].cast("string")), ",").alias("ranked"))
+    images = images.join(ranked.select("image_id"), "image_id", "left_semi")
+    return A.must_join(images, ranked, "image_id", "image of a proposal").select("image", F.array_join(F.transform("r", lambda x: x["idx"].cast("string")), ",").alias("ranked"))
 
 
 @query("j4_category_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j4(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    lookup = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")  # 25 rows by definition
-    c = table(spark, sf, "customer")
-    return c.join(F.broadcast(lookup), c.c_nationkey == lookup.n_nationkey).select("c_custkey", "n_name", "r_name")
+    regions = region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    lookup = A.must_join(nation, regions, "n_regionkey", "region").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    return A.must_join(table(spark, sf, "customer"), lookup, "c_nationkey", "nation").select("c_custkey", "n_name", "r_name")
 
 
 @query("j6_joint_rows", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) USING (rn)")
@@ -115,7 +116,7 @@ def k2(spark, sf):
 def k3(spark, sf):
     a = ann(spark, sf)
     ids = A.contiguous_ids(a, "category", "c")
-    numbered = A.global_row_number(a, ["image", "idx"], "id").join(F.broadcast(ids), "category")
+    numbered = A.must_join(A.global_row_number(a, ["image", "idx"], "id"), ids, "category", "category")
     return numbered.select(F.col("id").cast("long").alias("id"), "image", (F.col("c") + 1).cast("long").alias("category_id"), F.round("x0", 3).alias("x"), F.round("y0", 3).alias("y"), F.round(F.col("x1") - F.col("x0"), 3).alias("w"), F.round(F.col("y1") - F.col("y0"), 3).alias("h"))
 
 
@@ -141,6 +142,19 @@ def a31(spark, sf):
     return A.repeat_factors(ann(spark, sf), 0.9).withColumn("factor", F.round("factor", 6))
 
 
+@query("a31_weighted_repeat_factors", f"WITH {ANN_SQL}, d AS (SELECT *, CASE WHEN image % 3 = 0 THEN 'x' ELSE 'y' END AS dataset FROM ann), t AS (SELECT dataset, count(DISTINCT image) AS total FROM d GROUP BY 1), s AS (SELECT dataset, category, count(DISTINCT image) / CAST(any_value(total) AS DOUBLE) AS share FROM d JOIN t USING (dataset) GROUP BY dataset, category), f AS (SELECT dataset, image, max(greatest(1.0, sqrt(0.9 / share))) * CASE dataset WHEN 'x' THEN 0.5 ELSE 2.0 END AS v FROM d JOIN s USING (dataset, category) GROUP BY dataset, image) SELECT dataset, image, round(v / (SELECT min(v) FROM f), 6) AS factor FROM f")
+def a31_weighted(spark, sf):
+    a = ann(spark, sf).withColumn("dataset", F.when(F.col("image") % 3 == 0, "x").otherwise("y"))
+    return A.weighted_repeat_factors(a, 0.9, {"x": 0.5, "y": 2.0}).withColumn("factor", F.round("factor", 6))
+
+
+@query("f6_strict_lookup", "SELECT pos, id, n_name AS name FROM (VALUES (0, 7), (1, 3), (2, 7)) v(pos, id) JOIN nation ON n_nationkey = id")
+def f6_strict(spark, sf):
+    """Ids that must be there; one that is not is an error (see the tests)."""
+    ids = spark.createDataFrame([(0, 7), (1, 3), (2, 7)], "pos int, id int")
+    return A.look_up(table(spark, sf, "nation"), "n_nationkey", ids, strict=True).select("pos", "id", F.col("n_name").alias("name"))
+
+
 @query("a32_class_weights", "SELECT class, round(pow(n, 0.5), 6) AS weight FROM (SELECT event_type AS class, count(DISTINCT user_id) AS n FROM events GROUP BY 1)")
 def a32(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("class")).agg(F.round(F.pow(F.count_distinct("user_id").cast("double"), F.lit(0.5)), 6).alias("weight"))
@@ -167,7 +181,7 @@ def t1(spark, sf):
     return A.global_row_number(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], "place")
 
 
-@query("t6_random_cap")
+@query("t6_random_cap", f"WITH {ANN_SQL} SELECT image, idx, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(image || '-' || idx || '-13'), image, idx) AS r FROM ann) WHERE r <= 500")
 def t6(spark, sf):
     return A.hashed_sample(ann(spark, sf), "category", ["image", "idx"], 13, 500).select("image", "idx", "category")
 

@@ -160,9 +160,12 @@ def f24(spark, sf):
     return boxes(spark, sf).select("image", "idx", *(c.alias(n) for c, n in zip(B.context_box(B.corners(), 1.5, 640.0, 480.0), ("cx0", "cy0", "cx1", "cy1"), strict=True)))
 
 
-@query("f25_box_jitter")
+MOVES = ", ".join(f"(CAST('0x' || substr(md5(image || '-' || idx || '-{5 + k}'), 1, 8) AS BIGINT) % 2000001 / 1e6 - 1) * 0.1 * ({'x1 - x0' if k % 2 == 0 else 'y1 - y0'}) + {c} AS m{k}" for k, c in enumerate(("x0", "y0", "x1", "y1")))
+
+
+@query("f25_box_jitter", f"WITH {BOXES_SQL} SELECT image, idx, score, category, is_gt, round(least(m0, m2), 7) AS x0, round(least(m1, m3), 7) AS y0, round(greatest(m0, m2), 7) AS x1, round(greatest(m1, m3), 7) AS y1 FROM (SELECT *, {MOVES} FROM boxes)")
 def f25(spark, sf):
-    return B.jittered(boxes(spark, sf), ["image", "idx"], 0.1, 5)
+    return B.jittered(boxes(spark, sf), ["image", "idx"], 0.1, 5).withColumns({c: F.round(c, 7) for c in ("x0", "y0", "x1", "y1")})
 
 
 @query("t2_area_descending", f"WITH {BOXES_SQL} SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY {AREA.format('boxes')} DESC, idx) AS place FROM boxes")

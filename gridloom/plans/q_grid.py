@@ -62,6 +62,12 @@ def l2_normalize(spark, sf):
     return g.select("node", F.round(F.element_at("u", 1), 6).alias("first"), F.round(S.norm(F.col("u")), 6).alias("norm"))
 
 
+@query("l2_normalize_all", "SELECT vec_id AS node, list_transform(CAST(embedding AS DOUBLE[]), lambda e: round(e / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS unit FROM embeddings")
+def l2_normalize_all(spark, sf):
+    g = grid(spark, sf).select("node", S.normalized(F.col("feat")).alias("u"))
+    return g.select("node", F.transform("u", lambda e: F.round(e, 6)).alias("unit"))
+
+
 @query("j19_pairwise_in_label", f"WITH {CELLS_SQL} SELECT a.node AS a, b.node AS b, round(list_cosine_similarity(a.feat, b.feat), 6) AS sim FROM cells a JOIN cells b ON a.image = b.image AND a.label = b.label AND a.node < b.node")
 def j19(spark, sf):
     c = cells(spark, sf)
@@ -185,6 +191,62 @@ def g18(spark, sf):
     return G.assign_to_centres(c, centres).select("node", "centre")
 
 
+OBJ = "CAST(1 + node % 5 AS DOUBLE) / 5"
+
+
+@query("g15_objectness_gate", f"WITH {CELLS_SQL}, o AS (SELECT *, {OBJ} AS obj FROM cells) SELECT a.node AS a, b.node AS b, round((CASE WHEN round(greatest(0, list_cosine_similarity(a.feat, b.feat)), 9) >= 0.1 THEN list_cosine_similarity(a.feat, b.feat) ELSE 0 END * 0.7 + exp(-((a.y - b.y)**2 + (a.x - b.x)**2) / 8.0::DOUBLE) * 0.3) * greatest(0.3, sqrt(a.obj * b.obj)) + 1e-5, 5) AS w FROM o a JOIN o b ON a.image = b.image AND a.node < b.node")
+def g15_gate(spark, sf):
+    c = cells(spark, sf).withColumn("obj", (1 + F.col("node") % 5).cast("double") / 5)
+    return G.affinity(c, 0.1, 2.0, 0.3, objectness="obj", least_gate=0.3).select("a", "b", F.round("w", 5).alias("w"))
+
+
+@query("g16_painted_affinity", f"WITH {CELLS_SQL}, p AS (SELECT a.image, a.node AS a, b.node AS b, a.label <> 0 AND b.label <> 0 AS free, round(greatest(0, list_cosine_similarity(a.feat, b.feat)), 9) AS s FROM cells a JOIN cells b ON a.image = b.image AND a.node < b.node), t AS (SELECT image, round(quantile_cont(s, 0.9), 9) AS t FROM p WHERE free GROUP BY image) SELECT a, b, CASE WHEN free AND s > t THEN 1.0 ELSE 1e-5 END::DOUBLE AS w FROM p LEFT JOIN t USING (image)")
+def g16_painted(spark, sf):
+    c = cells(spark, sf).withColumn("painted", F.col("label") == 0)
+    return G.binary_affinity(c, 0.9, painted="painted").select("a", "b", "w")
+
+
+@query("sim_rbf_adaptive", f"WITH {CELLS_SQL}, d AS (SELECT image, src, dst, {L2} AS d FROM edges), m AS (SELECT image, median(d) AS sigma FROM d GROUP BY image) SELECT src, dst, round(exp(-(d * d) / (2 * sigma * sigma + 1e-12)), 5) AS s FROM d JOIN m USING (image)")
+def rbf_adaptive(spark, sf):
+    return G.adaptive_rbf(cells(spark, sf)).select("src", "dst", F.round("sim", 5).alias("s"))
+
+
+def merged_sql(links: str) -> str:
+    """Labels that ``links`` (image, a, b) connect become the least of them, by recursion."""
+    return f"""link AS ({links}), pair AS (SELECT image, a, b FROM link UNION SELECT image, b, a FROM link),
+walk(image, label, other) AS (SELECT DISTINCT image, label, label FROM cells UNION SELECT w.image, w.label, pair.b FROM walk w JOIN pair ON pair.image = w.image AND pair.a = w.other),
+least_of AS (SELECT image, label, min(other) AS least FROM walk GROUP BY ALL) SELECT node, CAST(least AS BIGINT) AS label FROM cells JOIN least_of USING (image, label)"""
+
+
+@query("g9_prototype_merge", f"WITH RECURSIVE {PROTO_SQL}, {merged_sql('SELECT a.image, a.label AS a, b.label AS b FROM proto a JOIN proto b ON a.image = b.image AND a.label < b.label WHERE round(list_cosine_similarity(a.prototype, b.prototype), 9) >= 0.1')}")
+def g9_merge(spark, sf):
+    """Labels whose prototypes are alike, merged transitively."""
+    return G.merge_linked(cells(spark, sf), g9(spark, sf)).select("node", "label")
+
+
+@query("g11_adjacent_merge", f"WITH RECURSIVE {PROTO_SQL}, t AS (SELECT DISTINCT e.image, least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM edges e JOIN cells p ON p.node = e.src JOIN cells q ON q.node = e.dst WHERE p.label <> q.label), {merged_sql('SELECT t.image, t.a, t.b FROM t JOIN proto x ON x.image = t.image AND x.label = t.a JOIN proto y ON y.image = t.image AND y.label = t.b WHERE round(list_cosine_similarity(x.prototype, y.prototype), 9) >= 0.05')}")
+def g11_merge(spark, sf):
+    """Touching labels whose prototypes are alike, merged transitively."""
+    return G.merge_linked(cells(spark, sf), g11(spark, sf)).select("node", "label")
+
+
+def _cut_sql(cut: float) -> str:
+    """Labels of the cut graph at one radius, as recursion over the edges that it keeps."""
+    k = int(cut * 100)
+    return f"""kept{k} AS (SELECT src AS a, dst AS b FROM edges WHERE 1 - round(sim, 9) <= {cut}), pair{k} AS (SELECT a, b FROM kept{k} UNION SELECT b, a FROM kept{k}),
+walk{k}(node, other) AS (SELECT node, node FROM cells UNION SELECT w.node, pair{k}.b FROM walk{k} w JOIN pair{k} ON pair{k}.a = w.other),
+comp{k} AS (SELECT node, min(other) AS c FROM walk{k} GROUP BY node),
+sized{k} AS (SELECT image, c, count(*) AS n, min(node) AS first FROM comp{k} JOIN cells USING (node) GROUP BY ALL),
+ranked{k} AS (SELECT image, c, CASE WHEN n >= 2 THEN row_number() OVER (PARTITION BY image ORDER BY n DESC, first) ELSE 0 END AS label FROM sized{k}),
+level{k} AS (SELECT image, {cut}::DOUBLE AS cut, node, r.label, max(r.label) OVER (PARTITION BY image) AS masks, count(*) FILTER (r.label = 0) OVER (PARTITION BY image) AS dropped FROM comp{k} JOIN cells USING (node) JOIN ranked{k} r USING (image, c))"""
+
+
+@query("g3_cut_levels", f"WITH RECURSIVE {CELLS_SQL}, {', '.join(_cut_sql(c) for c in (0.9, 0.95, 1.0))} SELECT * FROM level90 UNION ALL SELECT * FROM level95 UNION ALL SELECT * FROM level100")
+def g3_levels(spark, sf):
+    """The cut graph at three radii, with the number of masks and of cells that belong to none."""
+    return X.cut_levels(cells(spark, sf), [0.9, 0.95, 1.0])
+
+
 def _mirror(c: str, n: int) -> str:
     m = f"((({c}) % {2 * n - 2} + {2 * n - 2}) % {2 * n - 2})"
     return f"CASE WHEN {m} < {n} THEN {m} ELSE {2 * n - 2} - {m} END"
@@ -196,6 +258,22 @@ def g20(spark, sf):
     return G.gaussian_smooth(v, 0.7, ROWS, GRID_WIDTH).withColumn("v", F.round("v", 6))
 
 
+@query("g20_gaussian_smooth_all", f"WITH {CELLS_SQL}, k AS (SELECT i, exp(-(i * i) / 0.98::DOUBLE) / (SELECT sum(exp(-(j * j) / 0.98::DOUBLE)) FROM (SELECT unnest(range(-2, 3)) AS j)) AS w FROM (SELECT unnest(range(-2, 3)) AS i)), v AS (SELECT image * 64 + d - 1 AS plane, y, x, feat[d] AS v FROM cells, (SELECT unnest(range(1, 65)) AS d)), h AS (SELECT a.plane, a.y, a.x, sum(b.v * ky.w) AS v FROM v a, k ky, v b WHERE b.plane = a.plane AND b.x = a.x AND b.y = {_mirror('a.y + ky.i', ROWS)} GROUP BY ALL) SELECT a.plane, a.y, a.x, round(sum(b.v * kx.w), 6) AS v FROM h a, k kx, h b WHERE b.plane = a.plane AND b.y = a.y AND b.x = {_mirror('a.x + kx.i', GRID_WIDTH)} GROUP BY ALL")
+def g20_all(spark, sf):
+    """All 64 features smoothed: each feature of each image is a plane."""
+    v = cells(spark, sf).select("image", "y", "x", F.posexplode("feat").alias("d", "v")).select((F.col("image") * 64 + F.col("d")).alias("image"), "y", "x", "v")
+    return G.gaussian_smooth(v, 0.7, ROWS, GRID_WIDTH).select(F.col("image").alias("plane"), "y", "x", F.round("v", 6).alias("v"))
+
+
+@query("w15_spectral_eigengap")
+def w15_spectral(spark, sf):
+    """The number of clusters of each image by the gaps of the eigenvalues of its normalized Laplacian."""
+    def gap(feat, y, x):
+        return [X.eigengap(X.fiedler(X.affinity_matrix(feat, 0.15))[0])] * len(feat)
+
+    return X.segment(cells(spark, sf), gap).groupBy("image").agg(F.first("label").alias("k"))
+
+
 @query("w15_eigengap", "SELECT label, CAST(2 + arg_max(rn, (gap, -rn)) - 2 AS BIGINT) AS k FROM (SELECT label, rn, round(lead(v) OVER (PARTITION BY label ORDER BY rn) - v, 9) AS gap FROM (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY v) AS rn FROM (SELECT DISTINCT label, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings))) WHERE gap IS NOT NULL AND rn >= 2 GROUP BY label")
 def w15(spark, sf):
     """Place of the largest gap between consecutive values, the first left out."""
@@ -214,10 +292,29 @@ for _name, _extractor in (("g5_frontier_grow", "frontier_grow"), ("g6_sequential
 
 @query("g19_pca")
 def g19(spark, sf):
-    def main_axis(feat, y, x):
-        return (X.pca(feat, 2)[:, 0] * 1e6).round()
+    """Two main axes of each image, in millionths."""
+    axis = lambda k: X.segment(cells(spark, sf), lambda feat, y, x: (X.pca(feat, 2)[:, k] * 1e6).round()).select("image", "node", F.col("label").alias(f"axis{k + 1}_e6"))
+    return axis(0).join(axis(1), ["image", "node"])
+
+
+@query("g19_pca_rgb")
+def g19_rgb(spark, sf):
+    """Three main axes of each image as a colour, 0xRRGGBB."""
+    return X.segment(cells(spark, sf), lambda feat, y, x: X.pca_rgb(feat) @ X.np.array([1 << 16, 1 << 8, 1])).select("image", "node", F.col("label").alias("rgb"))
 
-    return X.segment(cells(spark, sf), main_axis).select("image", "node", F.col("label").alias("first_axis_e6"))
+
+@query("g7_region_multistage")
+def g7_region(spark, sf):
+    """Greedy multistage segmentation restricted to the left half of each image."""
+    return X.segment(cells(spark, sf), lambda feat, y, x: X.multistage(feat, y, x, region=x < GRID_WIDTH // 2)).select("image", "node", "label")
+
+
+@query("g13_parents")
+def g13_parents(spark, sf):
+    """The coarse piece that each fine piece of the hierarchy lies in."""
+    c = cells(spark, sf)
+    fine = X.segment(c, "hierarchical").withColumnRenamed("label", "fine")
+    return fine.join(X.segment(c, "hierarchical", parents=True), ["image", "node"]).select("image", "fine", F.col("label").alias("coarse")).distinct()
 
 
 @query("g4_region_grow")
@@ -236,7 +333,7 @@ def g21(spark, sf):
         h, w = int(y.max()) + 1, int(x.max()) + 1
         grid_of = X.np.zeros((h, w, feat.shape[1]))
         grid_of[y, x] = feat
-        return X.mean_field(grid_of[..., :4], grid_of[..., 4]).argmax(-1)[y, x]
+        return X.mean_field(grid_of, grid_of.mean(-1)).argmax(-1)[y, x]
 
     return X.segment(cells(spark, sf), smooth).select("image", "node", "label")
 
@@ -245,7 +342,7 @@ def g21(spark, sf):
 def g22(spark, sf):
     def clean(feat, y, x):
         m = X.np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
-        m[y, x] = feat[:, 0] > 0
+        m[y, x] = feat.sum(1) > 0
         return X.clean_regions(X.clean_regions(m, 3, True), 4, False)[y, x].astype(int)
 
     return X.segment(cells(spark, sf), clean).select("image", "node", F.col("label").alias("inside"))
@@ -253,12 +350,12 @@ def g22(spark, sf):
 
 @query("t8_spaced_peaks")
 def t8(spark, sf):
-    """Up to five peaks of the first feature, with a cleared square around each: 1 where a node is one."""
+    """Up to five peaks of the features' length, with a cleared square around each: 1 where a node is one."""
     from gridloom.operators.suppress import spaced_peaks
 
     def peaks(feat, y, x):
         v = X.np.full((int(y.max()) + 1, int(x.max()) + 1), -X.np.inf)
-        v[y, x] = feat[:, 0]
+        v[y, x] = X.np.linalg.norm(feat, axis=1)
         got = set(spaced_peaks(v, 5, 2))
         return [int((a, b) in got) for a, b in zip(y.tolist(), x.tolist(), strict=True)]
 

@@ -101,3 +101,24 @@ def mask_subtraction(spark, sf):
 def f18(spark, sf):
     v = raster(spark, sf).groupBy("mask", F.expr("p div 16").alias("frame")).agg(F.sum("on_").alias("n"))
     return v.groupBy("mask").agg(F.bool_and(F.col("n") >= 3).alias("in_all"), (F.max(F.when(F.col("frame") == 0, F.col("n"))) >= 3).alias("in_prompt"))
+
+
+@query("mask_union", f"WITH {PIXELS_SQL} SELECT DISTINCT mask // 4 AS object, p FROM raster WHERE on_ = 1")
+def mask_union(spark, sf):
+    """The masks of four neighbouring parts as one object."""
+    on = raster(spark, sf).where("on_ = 1").select(F.expr("mask div 4").alias("object"), "p")
+    return M.united(on, "object")
+
+
+TAPS = "(SELECT k, least(CAST(floor(v) AS INTEGER) + d, 7) AS old, CASE WHEN d = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END AS w FROM (SELECT k, greatest(0.0, least(7.0, (k + 0.5) * 8 / 12.0::DOUBLE - 0.5))::DOUBLE AS v FROM (SELECT unnest(range(12)) AS k)), (SELECT unnest([0, 1]) AS d))"
+
+
+@query("g24_bilinear_resize", f"WITH {PIXELS_SQL}, v AS (SELECT mask, x.k * 12 + y.k AS p, sum(on_ * x.w * y.w) AS v FROM raster JOIN {TAPS} x ON raster.p // 8 = x.old JOIN {TAPS} y ON raster.p % 8 = y.old GROUP BY ALL) SELECT mask, CAST(p AS INTEGER) AS p, CASE WHEN round(v, 9) > round(max(v) OVER (PARTITION BY mask) / 2, 9) THEN 1 ELSE 0 END AS on_ FROM v")
+def g24_bilinear(spark, sf):
+    return M.bilinear_resize(raster(spark, sf), 8, 12)
+
+
+@query("k1_mask_annotations", f"WITH {RUNS_SQL}, a AS (SELECT mask, CAST(sum(on_) AS INTEGER) AS area, min(p // 8) AS x, min(p % 8) AS y, max(p // 8) - min(p // 8) + 1 AS w, max(p % 8) - min(p % 8) + 1 AS h FROM raster WHERE on_ = 1 GROUP BY mask HAVING sum(on_) >= 1) SELECT mask, counts, area, x, y, w, h FROM a JOIN codes USING (mask)")
+def k1_masks(spark, sf):
+    """Annotations built from masks: the run-length code, area and box of those that are not empty."""
+    return M.annotations(raster(spark, sf), 8).withColumn("counts", M.pack_counts(F.col("counts")))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import detection_eval as V
 from gridloom.operators import match as M
 from gridloom.operators import metrics as E
 from gridloom.operators import suppress as D
 from gridloom.operators import temporal as T
-from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, boxes, frames, gt_and_det
+from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, boxes, frames, gt_and_det, raster
 from gridloom.plans.q_boxes import BEST, IOU
+from gridloom.functions.text import hash_number
 from gridloom.plans.registry import query, table
 from gridloom.sources.storage import materialized
 
@@ -48,7 +50,13 @@ def d4(spark, sf):
     return D.nms_after_cleanup(boxes(spark, sf).withColumn("changed", F.col("idx") % 3 == 0), "changed", 0.1).select("image", "idx")
 
 
-@query("d5_candidate_dedup")
+def nms_or_last_sql(least_score: float, threshold: float) -> str:
+    """Suppression by falling score among those of at least ``least_score``; an image without any keeps its last row."""
+    some = nms_sql(f"(SELECT * FROM boxes WHERE score >= {least_score})", "score DESC, idx", threshold)
+    return f"SELECT image, idx FROM ({some}) UNION ALL (WITH {BOXES_SQL} SELECT image, idx FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score, idx DESC) AS last, max(score) OVER (PARTITION BY image) AS top FROM boxes) WHERE last = 1 AND top < {least_score})"
+
+
+@query("d5_candidate_dedup", nms_or_last_sql(0.03, 0.3))
 def d5(spark, sf):
     return D.candidate_dedup(boxes(spark, sf), 0.03, 0.3).select("image", "idx")
 
@@ -58,13 +66,22 @@ def d6(spark, sf):
     return D.until_repeat(boxes(spark, sf), 0.2).select("image", "idx")
 
 
-@query("j11_greedy_match")
+def greedy_sql(pairs: str, group: str) -> str:
+    """kept (group, rn) of ``pairs`` (group, d, g, iou): by falling IoU, then d, g, those whose ends are both free, by recursion over the ranks."""
+    return f"""pairs AS ({pairs}), ranked AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY iou DESC, d, g) AS rn FROM pairs),
+walk AS (SELECT {group}, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS ds, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS kept FROM ranked WHERE rn = 1
+  UNION ALL SELECT {group}, r.rn, CASE WHEN free THEN list_append(ds, d) ELSE ds END, CASE WHEN free THEN list_append(gs, g) ELSE gs END, CASE WHEN free THEN list_append(kept, r.rn) ELSE kept END
+  FROM (SELECT r.*, w.ds, w.gs, w.kept, NOT list_contains(w.ds, r.d) AND NOT list_contains(w.gs, r.g) AS free FROM walk w JOIN ranked r ON {' AND '.join(f'r.{c.strip()} = w.{c.strip()}' for c in group.split(','))} AND r.rn = w.rn + 1) r),
+ends AS (SELECT {group}, arg_max(kept, rn) AS kept FROM walk GROUP BY {group})"""
+
+
+@query("j11_greedy_match", f"WITH RECURSIVE {BOXES_SQL}, {greedy_sql(f'SELECT a.image, CAST(a.idx AS BIGINT) AS d, CAST(b.idx AS BIGINT) AS g, round({IOU}, 9) AS iou FROM det a JOIN gt b ON a.image = b.image WHERE round({IOU}, 9) >= 0.05', 'image')} SELECT image, d AS idx, g AS gt_idx, iou FROM ranked JOIN ends USING (image) WHERE list_contains(kept, rn)")
 def j11(spark, sf):
     gt, det = gt_and_det(spark, sf)
     return M.greedy_match(det, gt, 0.05)
 
 
-@query("j13_a25_cover_match_recall")
+@query("j13_a25_cover_match_recall", f"WITH RECURSIVE {BOXES_SQL}, {greedy_sql(f'SELECT a.image, CAST(a.idx AS BIGINT) AS d, CAST(b.idx AS BIGINT) AS g, round({IOU}, 9) AS iou FROM det a JOIN gt b ON a.image = b.image', 'image')}, got AS (SELECT iou FROM ranked JOIN ends USING (image) WHERE list_contains(kept, rn)), n AS (SELECT count(*) AS n FROM gt WHERE image IN (SELECT image FROM det)) SELECT (50 + 5 * k) / 100.0::DOUBLE AS threshold, sum(CASE WHEN iou >= (50 + 5 * k) / 100.0::DOUBLE THEN 1 ELSE 0 END) / CAST(any_value(n.n) AS DOUBLE) AS recall FROM got, n, (SELECT unnest(range(10)) AS k) GROUP BY k")
 def j13(spark, sf):
     """Recall of box proposals at ten thresholds, over images with proposals."""
     gt, det = gt_and_det(spark, sf)
@@ -81,24 +98,69 @@ def j14(spark, sf):
     return M.optimal_match(det, gt)
 
 
+@query("j14_mask_assignment")
+def j14_masks(spark, sf):
+    """Embeddings as predicted mask logits of groups of eight, against three rule-made masks a group."""
+    e = table(spark, sf, "embeddings")
+    group = F.expr("vec_id div 8")
+    pred = e.select(group.alias("image"), (F.col("vec_id") % 8).alias("idx"), (F.col("label") / 10.0).alias("score"), F.col("embedding").alias("points"))
+    truth = e.where("vec_id % 8 < 3").select(group.alias("image"), (F.col("vec_id") % 8).alias("idx"), F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: ((i + F.col("vec_id")) % 3 == 0).cast("double")).alias("points"))
+    return M.optimal_mask_match(pred, truth)
+
+
 def _matches(spark, sf, thresholds):
     gt, det = gt_and_det(spark, sf)
     truth = gt.withColumn("iscrowd", F.col("idx") % 5 == 0)
     return materialized(M.match_detections(det, truth, thresholds)), truth.where("not iscrowd").agg(F.count("*").alias("n"))
 
 
-@query("j12_coco_matches")
+def match_sql(det: str, truth: str, thresholds: str, areas: str = "(VALUES ('all', 0.0, 1e10))", group: str = "image", most: int = 100) -> str:
+    """matched (group, idx, score, rank, area, threshold, gt_idx, ignored): each detection in turn takes the first truth of its list that is free.
+
+    ``det``: group, idx, score, corners; ``truth``: group, idx, crowd, corners. A list has truths that count first, then by
+    falling IoU, then the later one.
+    """
+    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in group.split(","))
+    keys = ", ".join(c.strip() for c in group.split(","))
+    of_a = ", ".join(f"a.{c.strip()}" for c in group.split(","))
+    outside = lambda t: f"(({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0) < area.lo OR ({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0) > area.hi)"
+    return f"""grid AS (SELECT * FROM (SELECT CAST(unnest({thresholds}) AS DOUBLE) AS threshold), {areas} AS area(name, lo, hi)),
+turn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, idx) - 1 AS rank FROM ({det})) WHERE rank < {most}),
+offers AS (SELECT {of_a}, a.rank, area.name AS area, area.threshold, list({{'g': CAST(b.idx AS BIGINT), 'crowd': b.crowd, 'skip': b.crowd OR {outside('b')}}} ORDER BY (b.crowd OR {outside('b')}), round({IOU}, 9) DESC, b.idx DESC) AS cands
+  FROM turn a JOIN ({truth}) b ON {on} JOIN grid area ON round({IOU}, 9) >= least(area.threshold, 1 - 1e-10) GROUP BY ALL),
+asked AS (SELECT a.*, area.name AS area, area.threshold, {outside('a')} AS outside, o.cands FROM turn a JOIN grid area ON true LEFT JOIN offers o ON {on.replace('b.', 'o.')} AND o.rank = a.rank AND o.area = area.name AND o.threshold = area.threshold),
+walk AS (SELECT {keys}, area, threshold, CAST(-1 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS taken, NULL::STRUCT(g BIGINT, crowd BOOLEAN, skip BOOLEAN) AS pick FROM asked WHERE rank = 0
+  UNION ALL SELECT {keys}, area, threshold, rank, CASE WHEN pick IS NOT NULL AND NOT pick.crowd THEN list_append(taken, pick.g) ELSE taken END, pick
+  FROM (SELECT a.*, w.taken, list_filter(a.cands, lambda c: c.crowd OR NOT list_contains(w.taken, c.g))[1] AS pick FROM walk w JOIN asked a ON {on.replace('b.', 'w.')} AND a.area = w.area AND a.threshold = w.threshold AND a.rank = w.rank + 1)),
+matched AS (SELECT {of_a}, CAST(a.idx AS BIGINT) AS idx, a.score, a.rank, a.area, a.threshold, coalesce(w.pick.g, -1) AS gt_idx, CASE WHEN w.pick IS NULL THEN a.outside ELSE w.pick.skip END AS ignored
+  FROM asked a JOIN walk w ON {on.replace('b.', 'w.')} AND a.area = w.area AND a.threshold = w.threshold AND a.rank = w.rank)"""
+
+
+def ap_sql(matched: str, n_truth: str, by: str) -> str:
+    """ap (by, ap) from ``matched`` and truths (by, n): the mean of the precision envelope at 101 recalls."""
+    return f"""ranked AS (SELECT *, row_number() OVER w AS place, sum(CASE WHEN gt_idx >= 0 THEN 1 ELSE 0 END) OVER w AS tp FROM {matched} WHERE NOT ignored WINDOW w AS (PARTITION BY {by} ORDER BY score DESC, image, idx ROWS UNBOUNDED PRECEDING)),
+curve AS (SELECT {by}, tp / CAST(n AS DOUBLE) AS recall, max(tp / CAST(place AS DOUBLE)) OVER (PARTITION BY {by} ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM ranked {n_truth}),
+ap AS (SELECT {by}, avg(p) AS ap FROM (SELECT {by}, k, coalesce(max(CASE WHEN recall + 1e-8 >= k / 100.0::DOUBLE THEN envelope END), 0.0) AS p FROM curve, (SELECT unnest(range(101)) AS k) GROUP BY {by}, k) GROUP BY {by})"""
+
+
+TRUTH = "SELECT image, idx, idx % 5 = 0 AS crowd, x0, y0, x1, y1 FROM gt"
+
+
+@query("j12_coco_matches", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.3, 0.5]')} SELECT image, idx, score, threshold, gt_idx, ignored FROM matched")
 def j12(spark, sf):
     return _matches(spark, sf, [0.3, 0.5])[0]
 
 
-@query("w1_w2_w3_a22_average_precision")
+N_SQL = "CROSS JOIN (SELECT count(*) AS n FROM gt WHERE idx % 5 <> 0)"
+
+
+@query("w1_w2_w3_a22_average_precision", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.1, 0.3, 0.5]')}, {ap_sql('matched', N_SQL, 'threshold')} SELECT threshold, round(ap, 6) AS ap FROM ap")
 def a22(spark, sf):
     m, n = _matches(spark, sf, [0.1, 0.3, 0.5])
     return E.average_precision(m, n, ["threshold"]).withColumn("ap", F.round("ap", 6))
 
 
-@query("a23_a24_summary")
+@query("a23_a24_summary", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.1, 0.2, 0.3, 0.4, 0.5]')}, {ap_sql('matched', N_SQL, 'threshold')} SELECT round(avg(ap) * 100, 4) AS ap, round(avg(ap) FILTER (threshold = 0.3) * 100, 4) AS ap30, round(avg(ap) FILTER (threshold = 0.5) * 100, 4) AS ap50 FROM ap")
 def a23(spark, sf):
     """Mean AP over thresholds, percent, with -1 for none."""
     m, n = _matches(spark, sf, [0.1, 0.2, 0.3, 0.4, 0.5])
@@ -107,6 +169,48 @@ def a23(spark, sf):
     return ap.agg(F.round(E.mean_over_valid(F.col("ap")) * 100, 4).alias("ap"), F.round(one(0.3) * 100, 4).alias("ap30"), F.round(one(0.5) * 100, 4).alias("ap50"))
 
 
+# Detections near the boxes that they are made from, so that all thresholds tell them apart.
+NEAR_SQL = "SELECT image, category, idx, score, x0 + (x1 - x0) * ((idx * 7 + image) % 6) / 12.0::DOUBLE AS x0, y0, x1 + (x1 - x0) * ((idx * 7 + image) % 6) / 12.0::DOUBLE AS x1, y1 FROM boxes"
+TRUTH_BY_CLASS = "SELECT image, category, idx, idx % 5 = 0 AS crowd, x0, y0, x1, y1 FROM boxes"
+AREA_ROWS = ", ".join(f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE)" for k, (lo, hi) in V.AREAS.items())
+
+
+def _near(spark, sf):
+    b = boxes(spark, sf)
+    shift = (F.col("x1") - F.col("x0")) * ((F.col("idx") * 7 + F.col("image")) % 6) / 12.0
+    return b.withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + shift}), b.withColumn("iscrowd", F.col("idx") % 5 == 0)
+
+
+@query(
+    "a22_a23_twelve_statistics",
+    f"""WITH RECURSIVE {BOXES_SQL}, {match_sql(NEAR_SQL, TRUTH_BY_CLASS, str(V.THRESHOLDS), f'(VALUES {AREA_ROWS})', 'image, category')},
+n AS (SELECT category, area.name AS area, count(*) AS n FROM ({TRUTH_BY_CLASS}) b, (VALUES {AREA_ROWS}) AS area(name, lo, hi) WHERE NOT crowd AND (x1 - x0) * (y1 - y0) BETWEEN area.lo AND area.hi GROUP BY ALL),
+{ap_sql('matched', 'JOIN n USING (category, area)', 'category, area, threshold')},
+cells AS (SELECT n.*, CAST(threshold AS DOUBLE) AS threshold FROM n, (SELECT unnest({V.THRESHOLDS}) AS threshold)),
+p AS (SELECT category, area, threshold, coalesce(ap, 0.0) AS ap FROM cells LEFT JOIN ap USING (category, area, threshold)),
+r AS (SELECT c.category, c.area, c.threshold, k AS most, count(m.idx) FILTER (m.rank < k) / CAST(any_value(c.n) AS DOUBLE) AS recall FROM (SELECT * FROM cells, (SELECT unnest([1, 10, 100]) AS k)) c LEFT JOIN (SELECT * FROM matched WHERE gt_idx >= 0 AND NOT ignored) m ON m.category = c.category AND m.area = c.area AND m.threshold = c.threshold GROUP BY ALL)
+SELECT statistic, round(coalesce(v, -1), 6) AS value FROM (
+SELECT 'ap' AS statistic, avg(ap) AS v FROM p WHERE area = 'all' UNION ALL SELECT 'ap50', avg(ap) FROM p WHERE area = 'all' AND threshold = 0.5 UNION ALL SELECT 'ap75', avg(ap) FROM p WHERE area = 'all' AND threshold = 0.75
+UNION ALL SELECT 'ap_' || s, (SELECT avg(ap) FROM p WHERE area = s) FROM (SELECT unnest(['small', 'medium', 'large']) AS s)
+UNION ALL SELECT 'ar_' || k, (SELECT avg(recall) FROM r WHERE area = 'all' AND most = k) FROM (SELECT unnest([1, 10, 100]) AS k)
+UNION ALL SELECT 'ar_' || s, (SELECT avg(recall) FROM r WHERE area = s AND most = 100) FROM (SELECT unnest(['small', 'medium', 'large']) AS s))""",
+)
+def twelve(spark, sf):
+    """All twelve statistics over categories, sizes, thresholds and detections an image."""
+    return V.evaluate(*_near(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+PROPOSAL_ROWS = ", ".join(f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE)" for k, (lo, hi) in V.PROPOSAL_AREAS.items())
+PROPOSAL_PAIRS = f"SELECT a.image, area.name AS area, lim.most, CAST(a.idx AS BIGINT) AS d, CAST(b.idx AS BIGINT) AS g, round({IOU}, 9) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) AS r FROM near) a JOIN ({TRUTH}) b ON a.image = b.image AND NOT b.crowd JOIN (VALUES {PROPOSAL_ROWS}) AS area(name, lo, hi) ON (b.x1 - b.x0) * (b.y1 - b.y0) BETWEEN area.lo AND area.hi JOIN (SELECT unnest([2, 1000]) AS most) lim ON a.r <= lim.most"
+
+
+@query("a25_proposal_recall", f"WITH RECURSIVE {BOXES_SQL}, near AS ({NEAR_SQL}), {greedy_sql(PROPOSAL_PAIRS, 'image, area, most')}, got AS (SELECT area, most, iou FROM ranked JOIN ends USING (image, area, most) WHERE list_contains(kept, rn)), t AS (SELECT CAST(unnest({V.THRESHOLDS}) AS DOUBLE) AS threshold), n AS (SELECT area.name AS area, count(image) AS n FROM (VALUES {PROPOSAL_ROWS}) AS area(name, lo, hi) LEFT JOIN ({TRUTH}) b ON NOT b.crowd AND (b.x1 - b.x0) * (b.y1 - b.y0) BETWEEN area.lo AND area.hi GROUP BY ALL) SELECT area, CAST(lim.most AS BIGINT) AS most, threshold, CASE WHEN n.n > 0 THEN (SELECT count(*) FROM got WHERE got.area = n.area AND got.most = lim.most AND got.iou >= t.threshold) / CAST(n.n AS DOUBLE) ELSE -1.0 END AS recall FROM n, t, (SELECT unnest([2, 1000]) AS most) lim")
+def a25(spark, sf):
+    """Recall of proposals over eight object sizes, with the first two and the first thousand of an image."""
+    near, truth = _near(spark, sf)
+    return V.proposal_recall(near, truth.where("is_gt"), limits=(2, 1000))
+
+
 # The chain of cumulative counts, envelope and interpolation, on ranked rows that SQL has too.
 CURVE_SQL = """
 m AS (SELECT event_type AS class, event_id AS image, 0 AS idx, value AS score, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS gt_idx FROM events),
@@ -158,6 +262,23 @@ def a17(spark, sf):
     return E.keypoint_similarity(p, ["obj"]).withColumn("oks", F.round("oks", 6))
 
 
+@query("a17_keypoint_similarity_in_box", "WITH p AS (SELECT l_orderkey AS obj, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_linenumber % 3 END AS visible, (l_partkey % 200)::DOUBLE AS px, (l_suppkey % 200)::DOUBLE AS py, (l_partkey % 200 + l_linenumber)::DOUBLE AS x, (l_suppkey % 200 + 5)::DOUBLE AS y, 60.0 AS bx, 70.0 AS b_y, 40.0 AS bw, 30.0 AS bh, 0.05 * (1 + l_linenumber % 2) AS sigma, 5000.0 + l_quantity AS area FROM lineitem), e AS (SELECT obj, visible, exp(-((px - x)**2 + (py - y)**2) / (2 * (2 * sigma)**2 * (area + 1e-12))) AS own, exp(-((greatest(0, bx - bw - px) + greatest(0, px - (bx + 2 * bw)))**2 + (greatest(0, b_y - bh - py) + greatest(0, py - (b_y + 2 * bh)))**2) / (2 * (2 * sigma)**2 * (area + 1e-12))) AS box FROM p) SELECT obj, round(coalesce(avg(own) FILTER (visible > 0), avg(box)), 6) AS oks FROM e GROUP BY obj")
+def a17_box(spark, sf):
+    """Objects without a visible point are judged by the distance to their box doubled."""
+    c, li = F.col, table(spark, sf, "lineitem")
+    px, py = (c("l_partkey") % 200).cast("double"), (c("l_suppkey") % 200).cast("double")
+    seen = F.when(c("l_orderkey") % 3 == 0, 0).otherwise(c("l_linenumber") % 3)
+    box = {"bx": 60.0, "by": 70.0, "bw": 40.0, "bh": 30.0}
+    p = li.select(c("l_orderkey").alias("obj"), seen.alias("visible"), px.alias("px"), py.alias("py"), (px + c("l_linenumber")).alias("x"), (py + 5).alias("y"), *(F.lit(v).alias(k) for k, v in box.items()), (0.05 * (1 + c("l_linenumber") % 2)).alias("sigma"), (5000.0 + c("l_quantity")).alias("area"))
+    return E.keypoint_similarity_in_box(p, ["obj"]).withColumn("oks", F.round("oks", 6))
+
+
+@query("a29_present_and_absent_objects", f"WITH {FRAMES_SQL} SELECT count(*) FILTER (event_id % 3 <> 0) AS n_present, round(avg(score) FILTER (event_id % 3 <> 0), 6) AS iou_present, count(*) FILTER (event_id % 3 = 0) AS n_absent, round(avg(CASE WHEN (event_id % 50) / 1000.0::DOUBLE < 0.01 THEN 1.0 ELSE 0.0 END) FILTER (event_id % 3 = 0), 6) AS empty_absent FROM frames")
+def a29(spark, sf):
+    f = frames(spark, sf).select(F.col("score").alias("iou"), (F.col("event_id") % 3 != 0).alias("present"), (F.col("event_id") % 50 / 1000.0).alias("predicted"))
+    return E.present_absent(f).withColumns({c: F.round(c, 6) for c in ("iou_present", "empty_absent")})
+
+
 @query("a19_macro_average", f"WITH {BOXES_SQL}, v AS (SELECT image, round(best_iou, 6) AS v FROM ({BEST.format(left='gt', right='det')})) SELECT round(avg(m), 6) AS macro, round(sum(s) / sum(n), 6) AS micro FROM (SELECT image, avg(v) AS m, sum(v) AS s, count(*) AS n FROM v GROUP BY image)")
 def a19(spark, sf):
     from gridloom.operators.boxes import best_overlap
@@ -277,12 +398,16 @@ def w13(spark, sf):
     return frames(spark, sf).select("clip", "frame", (F.count("*").over(w) - 1).alias("candidates"))
 
 
-@query("w13_sampled_frames")
+def _drawn_sql(k: int) -> str:
+    return f"CAST(greatest(0, least(n - 1, frame + CASE WHEN d{k} >= 0 THEN d{k} + 1 ELSE d{k} END)) AS INTEGER)"
+
+
+@query("w13_sampled_frames", f"WITH {FRAMES_SQL}, d AS (SELECT clip, frame, count(*) OVER (PARTITION BY clip) AS n, " + ", ".join(f"CAST('0x' || substr(md5(clip || '-' || frame || '-{k}'), 1, 8) AS BIGINT) % 6 - 3 AS d{k}" for k in (1, 2)) + f" FROM frames) SELECT clip, frame, list_sort([{_drawn_sql(1)}, {_drawn_sql(2)}]) AS others FROM d")
 def w13_sampled(spark, sf):
     """Two other frames of each reference frame's window, drawn by a hash, with replacement, in order."""
     f = frames(spark, sf)
     n = F.count("*").over(Window.partitionBy("clip"))
-    draw = lambda k: F.pmod(F.xxhash64("clip", "frame", F.lit(k)), F.lit(6)) - 3
+    draw = lambda k: hash_number("clip", "frame", F.lit(k)) % 6 - 3
     shift = lambda d: F.when(d >= 0, d + 1).otherwise(d)
     pick = lambda k: F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("frame") + shift(draw(k)))).cast("int")
     return f.withColumn("n", n).select("clip", "frame", F.array_sort(F.array(pick(1), pick(2))).alias("others"))
@@ -299,6 +424,33 @@ def v7(spark, sf):
     return T.reseeded(frames(spark, sf), 5, 0.4)
 
 
+@query("v7_reseed_by_overlap", f"WITH {FRAMES_SQL}, f AS (SELECT *, ((event_id * 31) % 100) / 100.0::DOUBLE AS overlap FROM frames) SELECT clip, CAST(frame AS BIGINT) AS frame, CAST(coalesce(max(CASE WHEN frame % 5 = 0 AND score >= 0.1 AND overlap >= 0.5 THEN frame END) OVER (PARTITION BY clip ORDER BY frame), 0) AS BIGINT) AS state FROM f")
+def v7_overlap(spark, sf):
+    """Re-seeded where the frame's best proposal overlaps what was carried by a half."""
+    f = frames(spark, sf).withColumn("overlap", (F.col("event_id") * 31) % 100 / 100.0)
+    return T.reseeded(f, 5, 0.1, overlap="overlap", least_overlap=0.5)
+
+
+@query("v8_correction_clicks")
+def v8(spark, sf):
+    """The next click for each mask, with its neighbour as the prediction."""
+    px = raster(spark, sf)
+    packed = px.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct("p", "on_"))).alias("r")).select("mask", F.transform("r", lambda r: r["on_"]).alias("truth"))
+    pred = packed.select((F.col("mask") - 1).alias("mask"), F.col("truth").alias("pred"))
+    return T.correction_clicks(packed.join(pred, "mask"), 8)
+
+
+def _shift_sql(k: int) -> str:
+    return f"(CAST('0x' || substr(md5(image || '-' || frame || '-{k}'), 1, 8) AS BIGINT) % 2000001 / 1e6 - 1) * 20.0"
+
+
+@query("v9_synthetic_views", f"WITH {BOXES_SQL}, v AS (SELECT image, idx, frame, x0, y0, x1, y1, CAST('0x' || substr(md5(image || '-' || frame || '-0'), 1, 8) AS BIGINT) % 2 = 1 AS flip, {_shift_sql(1)} AS dx, {_shift_sql(2)} AS dy FROM boxes, (SELECT CAST(unnest(range(4)) AS INTEGER) AS frame)) SELECT image, idx, frame, round(CASE WHEN flip THEN 640 - x1 ELSE x0 END + dx, 6) AS x0, round(y0 + dy, 6) AS y0, round(CASE WHEN flip THEN 640 - x0 ELSE x1 END + dx, 6) AS x1, round(y1 + dy, 6) AS y1 FROM v")
+def v9_views(spark, sf):
+    """Four views of each image, mirrored and moved; boxes keep their ids."""
+    v = T.synthetic_clips(boxes(spark, sf).select("image", "idx", "x0", "y0", "x1", "y1"), 4, 20.0, 640.0)
+    return v.select("image", "idx", "frame", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 @query("v5_track_assignment")
 def v5(spark, sf):
     b = boxes(spark, sf).select((F.col("image") % 200).alias("clip"), F.expr("image div 200").alias("frame"), "idx", "x0", "y0", "x1", "y1")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
-from gridloom.plans.bridge import FRAMES_SQL, PIXELS_SQL, frames, raster
+from gridloom.operators import annotations as A
+from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, boxes, frames, raster
 from gridloom.plans.registry import query, table
 from gridloom.sources import annotation_files as S
 from gridloom.sources import shards as H
+from gridloom.sources.storage import in_chunks, new_folder, publish
 from gridloom.streaming import clips as C
 
 
@@ -45,11 +45,51 @@ def s5(spark, sf):
 
 @query("s6_s15_tsv_rows", "SELECT CAST(doc_id AS VARCHAR) AS key, json_extract_string(props, '$.lang') AS lang, octet_length(encode(text)) AS bytes FROM (SELECT doc_id, text, json_object('lang', lang) AS props FROM documents)")
 def s6(spark, sf):
-    """Documents written as rows of key, JSON and base64, and read back."""
-    d = table(spark, sf, "documents")
-    lines = d.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.to_json(F.struct("lang")), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")).alias("value"))
-    parts = F.split("value", "\t")
-    return lines.select(F.get(parts, 0).alias("key"), F.get_json_object(F.get(parts, 1), "$.lang").alias("lang"), F.octet_length(F.unbase64(F.get(parts, 2))).cast("long").alias("bytes"))
+    """Documents written as tab-separated rows of key, JSON and base64, and read back by the reader of such shards."""
+    path = new_folder(spark, "tsv")
+    H.write_tsv(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("lang")).alias("json"), F.col("text").cast("binary").alias("image")), path)
+    return H.read_tsv(spark, path).select("key", F.get_json_object("json", "$.lang").alias("lang"), F.octet_length("image").cast("long").alias("bytes"))
+
+
+@query("s4_panoptic_records", "SELECT n_regionkey AS image_id, 'images/' || lower(r_name) || '.jpg' AS file_name, 'panoptic/' || lower(r_name) || '.png' AS pan_seg_file, 'semantic/' || lower(r_name) || '.png' AS sem_seg_file, string_agg(n_nationkey || ':' || CASE WHEN n_nationkey % 4 < 2 THEN n_nationkey % 4 + 10 ELSE n_nationkey % 4 + 20 END || ':' || (n_nationkey % 4 < 2), ',' ORDER BY n_nationkey) AS segments FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def s4_records(spark, sf):
+    """Nations as the segments of their regions' images."""
+    packed = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 4).cast("int").alias("category_id")))).alias("segments_info"))
+    docs = A.must_join(packed, table(spark, sf, "region"), "r_regionkey", "image").select(F.col("r_regionkey").alias("image_id"), F.concat(F.lower("r_name"), F.lit(".jpg")).alias("file_name"), "segments_info")
+    text = lambda r: F.concat_ws(":", r["id"].cast("string"), r["category_id"].cast("string"), r["isthing"].cast("string"))
+    return S.panoptic_records(docs, {0: 10, 1: 11}, {2: 22, 3: 23}).withColumn("segments", F.array_join(F.transform("segments", text), ","))
+
+
+@query("s11_s12_class_listing", "SELECT r_name AS folder, CAST(dense_rank() OVER (ORDER BY r_name) - 1 AS INTEGER) AS label, count(*) AS files FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def s11_listing(spark, sf):
+    """A file for each nation in its region's folder, written, listed in order, and labelled by folder."""
+    path = new_folder(spark, "classes")
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("n_name").alias("value"))
+    rows.repartition("r_name").write.option("maxRecordsPerFile", 1).partitionBy("r_name").text(path)
+    files = H.list_files(spark, path, "part-*").withColumn("folder", F.regexp_extract("folder", "=(.*)$", 1))
+    return A.must_join(files, A.contiguous_ids(files, "folder", "label"), "folder", "class").groupBy("folder", "label").agg(F.count("*").alias("files"))
+
+
+@query("s14_proposal_archive", f"WITH {BOXES_SQL} SELECT CAST(image AS VARCHAR) AS image_id, CAST(row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) - 1 AS INTEGER) AS rank, score, x0, y0, x1, y1 FROM det")
+def s14_archive(spark, sf):
+    """All detections written as an archive of proposals and read back."""
+    path = new_folder(spark, "proposals")
+    S.write_proposals(boxes(spark, sf).where("not is_gt"), path)
+    return S.read_proposals(spark, path)
+
+
+@query("s1_document_scan", f"WITH {BOXES_SQL} SELECT image AS image_id, string_agg(idx || ':' || category || ':' || (x0 + 0.5) || ':' || (CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END), ',' ORDER BY idx) AS annotations FROM boxes GROUP BY image")
+def s1_scan(spark, sf):
+    """Boxes written as annotation documents of one image each, scanned, checked against their categories, and assembled."""
+    path, b = new_folder(spark, "documents"), boxes(spark, sf)
+    number = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("category")).cast("int")
+    crowd = F.when(F.col("idx") % 3 == 0, 1)  # others have no flag
+    ann = F.struct(F.col("idx").cast("long").alias("id"), F.col("image").alias("image_id"), number.alias("category_id"), crowd.alias("iscrowd"), F.array("x0", "y0", F.lit(2.0)).alias("keypoints"))
+    categories = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(n).alias("name")) for k, n in ((1, "A"), (2, "N"), (3, "R"))))
+    b.groupBy("image").agg(F.collect_list(ann).alias("annotations")).select(F.struct(F.col("image").alias("id")).alias("image"), "annotations", categories.alias("categories")).write.json(path)
+    got = S.image_records(S.read_documents(spark, path, per_image=True, multi_line=False))
+    text = lambda a: F.concat_ws(":", a["id"].cast("string"), a["category"], F.get(a["keypoints"], F.lit(0)).cast("string"), a["iscrowd"].cast("string"))
+    return got.select("image_id", F.array_join(F.transform("annotations", text), ",").alias("annotations"))
 
 
 @query("s7_line_offsets", "SELECT source, doc_id, coalesce(CAST(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS \"offset\" FROM documents")
@@ -60,7 +100,7 @@ def s7(spark, sf):
 @query("s8_s9_shard_index", "SELECT source AS shard, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS row_in_shard FROM documents WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 = 1")
 def s8(spark, sf):
     d = table(spark, sf, "documents").withColumn("number", H.shard_number(F.concat(F.lit("x-"), F.regexp_extract("source", r"(\d+)$", 1), F.lit(".tsv"))))
-    return d.where(F.col("number") % 4 == 1).select(F.col("source").alias("shard"), "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("row_in_shard"))
+    return H.shard_rows(d.where(F.col("number") % 4 == 1).select(F.col("source").alias("shard"), "doc_id"), "doc_id", "shard")
 
 
 @query("s10_t11_file_ids", "SELECT page_id, CAST(nullif(regexp_extract(url, '(\\d+)(\\.[A-Za-z]+)?([?#].*)?$', 1), '') AS BIGINT) AS file_id FROM pages")
@@ -81,9 +121,8 @@ def s3(spark, sf):
 
 @query("s12_sorted_entries", "SELECT source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS entries FROM documents GROUP BY source")
 def s12(spark, sf):
-    """Entries of each folder, gathered in order."""
-    packed = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return packed.select("source", F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), F.size("ids").cast("long").alias("entries"))
+    """The first and last entry of each folder, and how many there are."""
+    return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("entries"))
 
 
 @query("s17_first_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 25")
@@ -95,7 +134,7 @@ def s17(spark, sf):
 @query("k8_label_maps", "SELECT label, count(*) AS cells FROM embeddings GROUP BY label")
 def k8(spark, sf):
     """Label maps written by label and read back with only the partitions that are there."""
-    path = f"{_shared(spark)}/labels"
+    path = new_folder(spark, "labels")
     table(spark, sf, "embeddings").select("vec_id", "label").write.partitionBy("label").parquet(path)
     return spark.read.schema("vec_id long, label int").parquet(path).groupBy("label").agg(F.count("*").alias("cells"))
 
@@ -134,13 +173,42 @@ def k7(spark, sf):
     return packed.select("image", F.posexplode("m").alias("mask_idx", "m")).select("image", "mask_idx", F.when(F.col("m.l_linenumber") == 1, -1).otherwise(0).alias("divide_idx"))
 
 
+@query("k7_flattened_hierarchy", "SELECT l_orderkey AS image, CAST(row_number() OVER w - 1 AS INTEGER) AS mask_idx, CASE WHEN l_linenumber <= 2 THEN -1 ELSE CAST((SELECT count(*) FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND (b.l_linenumber, b.l_partkey, b.l_suppkey) < (2 - a.l_linenumber % 2, 0, 0)) AS INTEGER) END AS divide_idx, l_partkey AS mask FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) a WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)")
+def k7_flat(spark, sf):
+    """Lines one and two of an order hold the odd and even ones after them: flattened with pointers, parents first, written by image and read back; empty images have no rows."""
+    path = new_folder(spark, "hierarchy")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    first = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    flat = li.withColumn("mask_idx", (F.row_number().over(first) - 1).cast("int"))
+    heads = flat.groupBy("l_orderkey").agg(*(F.count(F.when(F.col("l_linenumber") < k, 1)).cast("int").alias(f"before{k}") for k in (1, 2)))
+    parent = F.when(F.col("l_linenumber") <= 2, -1).when(F.col("l_linenumber") % 2 == 1, F.col("before1")).otherwise(F.col("before2"))
+    flat.join(heads, "l_orderkey").select(F.col("l_orderkey").alias("image"), "mask_idx", parent.cast("int").alias("divide_idx"), F.col("l_partkey").alias("mask")).write.parquet(path)
+    return spark.read.schema("image long, mask_idx int, divide_idx int, mask long").parquet(path)
+
+
 @query("k4_write_once", "SELECT count(*) AS n FROM nation")
 def k4(spark, sf):
     """A second write of other rows leaves the first result."""
-    path = f"{_shared(spark)}/once"
-    S.write_once(table(spark, sf, "nation"), path)
-    S.write_once(table(spark, sf, "nation").limit(1), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    path = new_folder(spark, "once")
+    publish(table(spark, sf, "nation"), path)
+    return publish(table(spark, sf, "nation").limit(1), path).agg(F.count("*").alias("n"))
+
+
+@query("v10_chunked_work", f"WITH {BOXES_SQL} SELECT image, count(*) AS n, round(sum((x1 - x0) * (y1 - y0)), 3) AS area FROM boxes GROUP BY image")
+def v10(spark, sf):
+    """Work in eight parts, each published before the next; a second run finds them done."""
+    path, rows = new_folder(spark, "chunks"), boxes(spark, sf)
+    work = lambda df: df.groupBy("image").agg(F.count("*").alias("n"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 3).alias("area"))
+    in_chunks(rows, "image", 8, work, path)
+    return in_chunks(rows, "image", 8, work, path)
+
+
+@query("a35_gather_merge", "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY source")
+def a35(spark, sf):
+    """Each task's own sums, gathered and merged: what tasks hold is merged by key, whichever task held it."""
+    d = table(spark, sf, "documents").withColumn("task", F.spark_partition_id())
+    own = d.groupBy("task", "source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+    return own.groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("chars").cast("long").alias("chars"), F.max("longest").alias("longest"))
 
 
 @query("f16_background", f"WITH {PIXELS_SQL}, a AS (SELECT mask, sum(on_) / 64.0::DOUBLE AS frac, sum(CASE WHEN on_ = 1 AND (p // 8 IN (0, 7) OR p % 8 IN (0, 7)) THEN 1 ELSE 0 END) / 28.0::DOUBLE AS border FROM raster GROUP BY mask) SELECT mask FROM a WHERE frac BETWEEN 0.05 AND 0.9 AND NOT (frac > 0.25 AND border > 0.5)")
@@ -202,12 +270,6 @@ def first_true(spark, sf):
     return packed.select("k", F.coalesce(F.get(hits, F.lit(0))["l_linenumber"], F.lit(0)).alias("first_true"))
 
 
-def _shared(spark) -> str:
-    from gridloom.sources.storage import shared_folder
-
-    return f"{shared_folder(spark)}/gridloom/{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf):
     schema = table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -215,16 +277,13 @@ def _stream(spark, sf):
 
 @query("stream_tumbling_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
-    """Daily windows of event time over a stream, in complete mode so that all windows come out."""
+    """Daily windows of event time over a stream, whose last result is what the files hold."""
     counts = C.windowed_counts(_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
-    name = f"w_{uuid.uuid4().hex}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_shared(spark)}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 9)})
+    return C.run_to_end(counts, new_folder(spark, "stream"), "complete").withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 9)})
 
 
 @query("stream_v6_memory_bank", f"WITH {FRAMES_SQL}, z AS (SELECT clip, frame, event_id, first_value(event_id) OVER (PARTITION BY clip ORDER BY frame) AS anchor FROM frames) SELECT a.event_id AS frame, a.clip, a.anchor, coalesce(string_agg(b.event_id, ',' ORDER BY b.frame), '') AS recent FROM z a LEFT JOIN z b ON a.clip = b.clip AND b.frame BETWEEN a.frame - 2 AND a.frame AND b.frame > 0 GROUP BY ALL")
 def stream_memory(spark, sf):
     """The memory bank as a stream: ids follow time, so they order the frames."""
     f = _stream(spark, sf).select(F.col("user_id").alias("clip"), F.col("event_id").alias("frame"), F.col("event_id").alias("v"))
-    return C.run_to_end(C.stream_memory(f, "v"), _shared(spark))
+    return C.run_to_end(C.stream_memory(f, "v"), new_folder(spark, "stream"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.annotations import assemble, must_join
+
 IMAGE = "id BIGINT, file_name STRING, width INT, height INT, date_captured STRING, license INT, coco_url STRING, flickr_url STRING"
 ANNOTATION = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation STRUCT<size: ARRAY<INT>, counts: STRING>, score DOUBLE, track_id BIGINT, keypoints ARRAY<DOUBLE>"
 CATEGORY = "id INT, name STRING, supercategory STRING"
@@ -22,15 +24,62 @@ def document_schema(per_image: bool = False) -> str:
     return f"{image}, annotations array<{_struct(ANNOTATION)}>, categories array<{_struct(CATEGORY)}>"
 
 
-def read_documents(spark: SparkSession, path: str, per_image: bool = False) -> dict[str, DataFrame]:
-    """images, annotations and categories of all documents in ``path``, each with the file it is from. Missing crowd flags are 0."""
-    docs = spark.read.schema(document_schema(per_image)).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+def read_documents(spark: SparkSession, path: str, per_image: bool = False, multi_line: bool = True) -> dict[str, DataFrame]:
+    """images, annotations and categories of all documents in ``path``, each with the file it is from. Missing crowd flags are 0.
+
+    A document is a file, or without ``multi_line`` a line, so that files can be split.
+    """
+    docs = spark.read.schema(document_schema(per_image)).json(path, multiLine=multi_line).withColumn("file", F.col("_metadata.file_path"))
     each = lambda c: docs.select("file", F.explode(c).alias("r")).select("file", "r.*")
     images = docs.select("file", "image.*") if per_image else each("images")
     ann = each("annotations").withColumn("iscrowd", F.coalesce("iscrowd", F.lit(0)))
     return {"images": images, "annotations": ann, "categories": each("categories").drop("file").distinct()}
 
 
+def centred_keypoints(keypoints: Column) -> Column:
+    """x, y, v triples whose x and y, given for a pixel's corner, move to its centre."""
+    return F.transform(keypoints, lambda v, i: F.when(i % 3 == 2, v).otherwise(v + 0.5))
+
+
+def image_records(documents: dict[str, DataFrame]) -> DataFrame:
+    """A row per image with the array of its annotations (in the order of their ids; empty for none), each with its category's name.
+
+    A category that the documents do not list is an error. Keypoints move to pixel centres.
+    """
+    names = documents["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    ann = must_join(documents["annotations"], names, "category_id", "category").withColumn("keypoints", centred_keypoints(F.col("keypoints")))
+    fields = ["id", "category", "iscrowd", "area", "bbox", "keypoints", "segmentation"]
+    return assemble(documents["images"].withColumnRenamed("id", "image_id"), ann, fields, "image_id")
+
+
+def write_proposals(proposals: DataFrame, path: str) -> None:
+    """A row per image (ids, boxes, objectness_logits, bbox_mode), boxes by falling score and then idx: an archive of proposals."""
+    by_score = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "idx", "score", F.array("x0", "y0", "x1", "y1").alias("box"))))
+    packed = proposals.groupBy(F.col("image").cast("string").alias("ids")).agg(by_score.alias("p"))
+    packed.select("ids", F.transform("p", lambda r: r["box"]).alias("boxes"), F.transform("p", lambda r: r["score"]).alias("objectness_logits"), F.lit("XYXY").alias("bbox_mode")).write.parquet(path)
+
+
+def read_proposals(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, rank, score, x0, y0, x1, y1) of an archive; it may also name its columns indexes and scores."""
+    df = spark.read.parquet(path)
+    df = df.withColumnsRenamed({old: new for old, new in (("indexes", "ids"), ("scores", "objectness_logits")) if old in df.columns})
+    rows = df.select(F.col("ids").alias("image_id"), F.posexplode(F.arrays_zip("boxes", "objectness_logits")).alias("rank", "p"))
+    return rows.select("image_id", "rank", F.col("p.objectness_logits").alias("score"), *(F.get("p.boxes", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+def panoptic_records(documents: DataFrame, things: dict, stuff: dict) -> DataFrame:
+    """(image_id, file_name, pan_seg_file, sem_seg_file, segments) of panoptic annotations (image_id, file_name, segments_info).
+
+    The three paths follow from one name; each segment's category goes through the map of things, or else that of stuff,
+    and it is told which.
+    """
+    listed = F.array(*(F.lit(k) for k in things))
+    segment = lambda r: F.struct(r["id"].alias("id"), remap(r["category_id"], things, stuff).alias("category_id"), F.array_contains(listed, r["category_id"]).alias("isthing"))
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    path = lambda folder, end: F.concat(F.lit(f"{folder}/"), stem, F.lit(end))
+    return documents.select("image_id", path("images", ".jpg").alias("file_name"), path("panoptic", ".png").alias("pan_seg_file"), path("semantic", ".png").alias("sem_seg_file"), F.transform("segments_info", segment).alias("segments"))
+
+
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     """Ids that occur more than once: a sound table has none."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -42,11 +91,6 @@ def write_document(images: DataFrame, annotations: DataFrame, path: str) -> None
     images.join(packed, images["id"] == packed["image_id"], "left").drop("image_id").write.mode("overwrite").json(path)
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Writes only where nothing is yet: a cached result stays as it is."""
-    df.write.mode("ignore").parquet(path)
-
-
 def video_frames(videos: DataFrame, boxes: str, areas: str) -> DataFrame:
     """(id, frame, box, area): the frames of each video annotation in which it is present; absent frames are null entries."""
     return videos.select("id", F.posexplode_outer(F.arrays_zip(boxes, areas)).alias("frame", "r")).select("id", "frame", F.col(f"r.{boxes}").alias("box"), F.col(f"r.{areas}").alias("area")).where("box is not null and area is not null")

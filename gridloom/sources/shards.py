@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.storage import materialized
+
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(shard, key, json, image): rows of tab-separated shards; the image's bytes are decoded from base64."""
@@ -12,15 +14,39 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.tsv$", 1).alias("shard"), F.trim(F.get(parts, 0)).alias("key"), F.get(parts, 1).alias("json"), F.unbase64(F.get(parts, 2)).alias("image"))
 
 
+def write_tsv(rows: DataFrame, path: str) -> None:
+    """Rows (key, json, image) as tab-separated lines, the image in base64 without line ends."""
+    image = F.translate(F.base64("image"), "\r\n", "")
+    rows.select(F.concat_ws("\t", "key", "json", image).alias("value")).write.text(path)
+
+
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The JSON column replaced by that of a label table with the same keys."""
     return rows.drop("json").join(labels.select("key", "json"), "key")
 
 
 def line_offsets(lines: DataFrame, order: str, text: str, group: str) -> DataFrame:
-    """Byte offset of each line within its file: the bytes of all lines before it, each with its line end."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select(group, order, F.coalesce(F.sum(F.octet_length(text) + 1).over(before), F.lit(0)).alias("offset"))
+    """Byte offset of each line within its file: the bytes of all lines before it, each with its line end.
+
+    Lines are dealt by ranges of (file, order), so that a long file spans many tasks; within a range bytes are summed along,
+    and the ranges of a file before it add a row each.
+    """
+    size = lines.select(group, order, (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("_bytes"))
+    dealt = materialized(size.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("_part", group).agg(F.sum("_bytes").alias("_all")).select("_part", group, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_own", F.coalesce(F.sum("_bytes").over(within), F.lit(0)))
+    return rows.join(carried, ["_part", group]).select(group, order, (F.col("_start") + F.col("_own")).alias("offset"))
+
+
+def shard_rows(lines: DataFrame, order: str, group: str) -> DataFrame:
+    """``lines`` with row_in_shard, from 0; numbered by ranges as ``line_offsets`` sums, so that no shard needs one task."""
+    dealt = materialized(lines.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("_part", group).agg(F.count("*").alias("_all")).select("_part", group, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part", group).orderBy(order)) - 1
+    return dealt.withColumn("_own", own).join(carried, ["_part", group]).withColumn("row_in_shard", (F.col("_start") + F.col("_own")).cast("int")).drop("_part", "_own", "_start")
 
 
 def shard_number(name: Column) -> Column:

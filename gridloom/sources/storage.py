@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share (``spark.checkpoint.dir``); a temporary one only where that setting is unset."""
+    """The folder that all machines share (``spark.checkpoint.dir``); a temporary one only on a single machine without that setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str = "table") -> str:
+    """A path for a new folder in the shared one, deleted when the driver ends."""
+    path, app = f"{shared_folder(spark)}/gridloom/{label}-{uuid.uuid4().hex}", spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = []
+        atexit.register(_drop, app)
+    _MADE[app].append(path)
+    return path
+
+
+def _drop(app: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext.applicationId == app:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _MADE.pop(app, []):
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that partition numbers and samples stay as they are."""
-    path = f"{shared_folder(df.sparkSession)}/gridloom/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, which is computed and written only where there is none; it appears there whole, by one rename, or not at all.
+
+    A writer that finds another one's table in its place at the end drops its own.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    if not fs.exists(to):
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+        df.write.parquet(part.toString())
+        if fs.exists(to) or not fs.rename(part, to):
+            fs.delete(part, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_chunks(df: DataFrame, key: str, n: int, work: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """``work`` applied to ``n`` parts of ``df`` by a hash of ``key``, each published under ``path`` before the next, so that a run that was stopped goes on where it was.
+
+    A part is a distributed job of its own; parts whose table is there are not computed again.
+    """
+    parts = [publish(work(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)), f"{path}/chunk={k}") for k in range(n)]
+    return functools.reduce(DataFrame.unionByName, parts)

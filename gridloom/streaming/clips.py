@@ -61,7 +61,14 @@ def windowed_counts(events: DataFrame, size: str, slide: str | None = None, late
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all input there is, and reads what it wrote. ``path`` is a new folder that all machines share."""
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    """Runs a stream over all input there is, and reads what it wrote. ``path`` is a new folder that all machines share.
+
+    Appended rows add up; of complete results, each replaces the one before.
+    """
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "complete":
+        q = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out")).start()
+    else:
+        q = out.format("parquet").option("path", f"{path}/out").start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")

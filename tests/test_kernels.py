@@ -28,7 +28,8 @@ def test_windowed_rule_differs_from_full_rule():
     for i in range(2):  # 0 ~ 1 ~ 2 in a chain, and 6 repeats 0 more than four ranks away
         iou[i, i + 1] = iou[i + 1, i] = 0.9
     iou[0, 6] = iou[6, 0] = 1.0
-    assert D.keep_windowed(iou, 0.5, 5).tolist() == [True, False, True, True, True, True, True]
+    band = np.array([[iou[i, i + k] if i + k < 7 else 0 for i in range(7)] for k in range(1, 5)])
+    assert D.keep_windowed(band, 0.5).tolist() == [True, False, True, True, True, True, True]
     assert D.keep_full(iou, 0.5).tolist() == [True, False, True, True, True, True, False]
 
 

@@ -36,10 +36,3 @@ def test_query_agrees_with_sql(spark, duck, name):
     rows = sorted((tuple(str(norm(r[c])) for c in cols) for r in df.collect()))
     at = [got.columns.index(c) for c in cols]
     assert rows == sorted(tuple(str(norm(r[i])) for i in at) for r in got.fetchall())
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    df = reference.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0

@@ -3,11 +3,13 @@
 import base64
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import annotations as A
 from gridloom.operators import masks as M
 from gridloom.sources import annotation_files as S
+from gridloom.sources import catalog, storage
 from gridloom.sources import shards as H
 from gridloom.streaming import clips as C
 
@@ -76,3 +78,68 @@ def test_streams_agree_with_batch(spark, tmp_path):
     got = C.run_to_end(C.stream_tracks(stream), str(tmp_path / "s"))
     key = lambda r: (r.clip, r.frame, r.idx)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.assign_tracks(df).collect()))
+
+
+def test_unknown_keys_are_errors(spark, tmp_path):
+    doc = {"image": {"id": 1}, "annotations": [{"id": 1, "image_id": 1, "category_id": 9, "keypoints": [1, 2, 2]}], "categories": [{"id": 1, "name": "thing"}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    got = S.read_documents(spark, str(tmp_path / "a.json"), per_image=True)
+    with pytest.raises(Exception, match="unknown category: 9"):
+        S.image_records(got).collect()
+    doc["categories"].append({"id": 9, "name": "other"})
+    (tmp_path / "b.json").write_text(json.dumps(doc))
+    row = S.image_records(S.read_documents(spark, str(tmp_path / "b.json"), per_image=True)).first()
+    assert [(a.category, a.keypoints) for a in row.annotations] == [("other", [1.5, 2.5, 2.0])]
+    left, right = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    assert sorted(A.must_join(left.where("k is not null"), right, "k", "key").collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(Exception, match="unknown key: null"):
+        A.must_join(left, right, "k", "key").collect()
+    ids = spark.createDataFrame([(0, 2), (1, 5)], "pos int, id long")
+    assert sorted((r.pos, r.v) for r in A.look_up(right, "k", ids).collect()) == [(0, "y"), (1, None)]
+    with pytest.raises(Exception, match="unknown k: 5"):
+        A.look_up(right, "k", ids, strict=True).collect()
+
+
+def test_tables_are_published_once(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.range(10)
+    assert storage.publish(rows, path).count() == 10 and storage.publish(rows.limit(1), path).count() == 10
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    done = []
+
+    def work(df):
+        done.append(1)
+        return df.selectExpr("id * 2 as id")
+
+    for _ in range(2):
+        assert sorted(r.id for r in storage.in_chunks(rows, "id", 3, work, str(tmp_path / "c")).collect()) == list(range(0, 20, 2))
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["chunk=0", "chunk=1", "chunk=2"]
+
+
+def test_catalog(spark):
+    catalog.register_dataset("numbers", lambda s, n=3: s.range(n), classes=["a"])
+    catalog.register_mapper("doubled")(lambda df: df.selectExpr("id * 2 as id"))
+    assert catalog.load_dataset(spark, "numbers", n=5).count() == 5 and catalog.metadata("numbers") == {"classes": ["a"]}
+    assert [r.id for r in catalog.load_dataset(spark, "numbers", mapper="doubled").collect()] == [0, 2, 4]
+    catalog.as_views(spark, ["numbers"])
+    assert spark.sql("select count(*) from numbers").first()[0] == 3
+    with pytest.raises(ValueError):
+        catalog.register_dataset("numbers", spark.range)
+    with pytest.raises(KeyError):
+        catalog.load_dataset(spark, "letters")
+
+
+def test_tsv_and_proposals_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("k1", "{}", b"\x00" * 200), ("k2", "{}", b"")], "key string, json string, image binary")
+    H.write_tsv(rows, str(tmp_path / "tsv"))
+    assert sorted((r.key, bytes(r.image)) for r in H.read_tsv(spark, str(tmp_path / "tsv")).collect()) == [("k1", b"\x00" * 200), ("k2", b"")]
+    old = spark.createDataFrame([("7", [[0.0, 1.0, 2.0, 3.0]], [0.5])], "indexes string, boxes array<array<double>>, scores array<double>")
+    old.write.parquet(str(tmp_path / "old"))
+    assert [tuple(r) for r in S.read_proposals(spark, str(tmp_path / "old")).collect()] == [("7", 0, 0.5, 0.0, 1.0, 2.0, 3.0)]
+
+
+def test_complete_stream_keeps_its_last_result(spark, tmp_path):
+    for k in range(3):
+        spark.range(k, k + 2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = C.run_to_end(stream.groupBy("id").count(), str(tmp_path / "s"), "complete")
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 2), (2, 2), (3, 1)]

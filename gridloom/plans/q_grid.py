@@ -10,6 +10,8 @@ from gridloom.operators import grid as G
 from gridloom.operators import segment as X
 from gridloom.plans.bridge import GRID_WIDTH, grid
 from gridloom.plans.registry import query
+from gridloom.sources.label_images import label_images, read_label_images
+from gridloom.sources.storage import new_folder
 
 ROWS = 4
 CELLS_SQL = f"""
@@ -148,6 +150,15 @@ def f15(spark, sf):
     return G.filter_small(cells(spark, sf).select("image", "node", "label"), 10).select("node", "label")
 
 
+@query("k8_label_images", f"WITH {CELLS_SQL} SELECT image, y, x, CAST(label * 257 + 1 AS BIGINT) AS label FROM cells")
+def k8_images(spark, sf):
+    """Labels written as 16-bit images, a file of images for each task, and read back."""
+    path = new_folder(spark, "label-images")
+    c = cells(spark, sf).withColumn("label", F.col("label") * 257 + 1)
+    label_images(c).write.parquet(path)
+    return read_label_images(spark.read.schema("image long, png binary").parquet(path))
+
+
 @query("w5_relabel_by_size", f"WITH {CELLS_SQL}, n AS (SELECT image, label, count(*) AS n, min(node) AS f FROM cells GROUP BY ALL), k AS (SELECT image, label, row_number() OVER (PARTITION BY image ORDER BY n DESC, f) AS new FROM n WHERE n >= 8) SELECT node, CAST(coalesce(new, 0) AS INTEGER) AS label FROM cells LEFT JOIN k USING (image, label)")
 def w5(spark, sf):
     return G.relabel_by_size(cells(spark, sf).select("image", "node", "label"), min_size=8).select("node", "label")

@@ -145,6 +145,24 @@ def s13(spark, sf):
     return e.groupBy(F.col("user_id").alias("clip")).agg(F.count_distinct(F.when(F.col("event_id") % 6 != 0, F.col("event_id") % 6)).alias("instances"), F.count("*").alias("frames"))
 
 
+LABELS_SQL = PIXELS_SQL + ", maps AS (SELECT mask // 10 AS clip, mask % 10 AS frame, p, CASE WHEN on_ = 1 THEN (p + mask) % 4 ELSE 0 END AS label FROM raster)"
+
+
+def _label_maps(spark, sf):
+    label = F.when(F.col("on_") == 1, (F.col("p") + F.col("mask")) % 4).otherwise(0)
+    return raster(spark, sf).select(F.expr("mask div 10").alias("clip"), (F.col("mask") % 10).alias("frame"), "p", label.alias("label"))
+
+
+@query("s13_clip_index", f"WITH {LABELS_SQL} SELECT clip, count(DISTINCT frame) AS frames, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label > 0), '') AS instances FROM maps GROUP BY clip")
+def s13_index(spark, sf):
+    return S.clip_index(_label_maps(spark, sf)).withColumn("instances", F.array_join(F.transform("instances", lambda v: v.cast("string")), ","))
+
+
+@query("s13_instance_masks", f"WITH {LABELS_SQL} SELECT clip, frame, label AS instance, p FROM maps WHERE label IN (1, 3)")
+def s13_masks(spark, sf):
+    return S.instance_masks(_label_maps(spark, sf), [1, 3])
+
+
 @query("s14_k10_proposals", "SELECT l_orderkey AS ids, string_agg(CAST(l_discount AS VARCHAR), ' ' ORDER BY l_discount DESC, l_linenumber) AS objectness_logits FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey")
 def s14(spark, sf):
     li = table(spark, sf, "lineitem").where("l_linenumber <= 3")

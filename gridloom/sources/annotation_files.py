@@ -91,6 +91,18 @@ def write_document(images: DataFrame, annotations: DataFrame, path: str) -> None
     images.join(packed, images["id"] == packed["image_id"], "left").drop("image_id").write.mode("overwrite").json(path)
 
 
+def clip_index(labels: DataFrame) -> DataFrame:
+    """(clip, frames, instances) of label maps (clip, frame, p, label): how many frames, and the labels over 0 in ascending order."""
+    seen = F.array_sort(F.collect_set(F.when(F.col("label") > 0, F.col("label"))))
+    return labels.groupBy("clip").agg(F.count_distinct("frame").alias("frames"), seen.alias("instances"))
+
+
+def instance_masks(labels: DataFrame, instances: list[int] | None = None) -> DataFrame:
+    """(clip, frame, instance, p): the set pixels of each instance's mask, of all instances or the given ones."""
+    wanted = F.col("label") > 0 if instances is None else F.col("label").isin(instances)
+    return labels.where(wanted).select("clip", "frame", F.col("label").alias("instance"), "p")
+
+
 def video_frames(videos: DataFrame, boxes: str, areas: str) -> DataFrame:
     """(id, frame, box, area): the frames of each video annotation in which it is present; absent frames are null entries."""
     return videos.select("id", F.posexplode_outer(F.arrays_zip(boxes, areas)).alias("frame", "r")).select("id", "frame", F.col(f"r.{boxes}").alias("box"), F.col(f"r.{areas}").alias("area")).where("box is not null and area is not null")

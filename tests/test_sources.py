@@ -3,13 +3,14 @@
 import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import annotations as A
 from gridloom.operators import masks as M
 from gridloom.sources import annotation_files as S
-from gridloom.sources import catalog, storage
+from gridloom.sources import catalog, label_images, storage
 from gridloom.sources import shards as H
 from gridloom.streaming import clips as C
 
@@ -115,6 +116,17 @@ def test_tables_are_published_once(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["chunk=0", "chunk=1", "chunk=2"]
 
 
+def test_label_images():
+    grid = np.array([[0, 1, 65535], [256, 257, 7]])
+    png = label_images.encode_labels(grid)
+    assert (label_images.decode_labels(png) == grid).all() and label_images.decode_labels(label_images.encode_labels(np.zeros((2, 0), int))).shape == (2, 0)
+    for bad in (b"x" + png, png[:40] + b"\xff" + png[41:], png.replace(bytes([16, 0, 0, 0, 0]), bytes([8, 0, 0, 0, 0]), 1)):
+        with pytest.raises(ValueError):
+            label_images.decode_labels(bad)
+    with pytest.raises(ValueError):
+        label_images.encode_labels(np.array([[70000]]))
+
+
 def test_catalog(spark):
     catalog.register_dataset("numbers", lambda s, n=3: s.range(n), classes=["a"])
     catalog.register_mapper("doubled")(lambda df: df.selectExpr("id * 2 as id"))

@@ -59,7 +59,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("lines", lines), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
 
-#: SQL cannot express the models, MinHash and BPE; tests compare near_dedup with brute force and mixing with its targets, not yet the others.
+#: SQL cannot express the models, MinHash and BPE; tests/llm/test_pipeline.py compares every stage with a slow version of it on the same input.
 ORACLE_SQL = None
 
 

@@ -294,9 +294,41 @@ def w15(spark, sf):
     return g.groupBy("label").agg(F.max(F.struct("gap", (-F.col("rn")).alias("neg"))).alias("m")).select("label", (-F.col("m.neg")).cast("long").alias("k"))
 
 
+SEAM_SQL = reach("round(sim, 9) >= t", RELABEL).replace("quantile_cont(round(sim, 9), 0.6)", "quantile_cont(round(sim, 9), 0.7)") + """,
+own AS (SELECT cells.image, node, feat, r AS part FROM comp JOIN cells USING (node) JOIN ranked ON ranked.image = cells.image AND ranked.c = comp.c),
+seam AS (SELECT DISTINCT e.image, p.part AS a, q.part AS b, p.node FROM (SELECT image, src, dst FROM edges UNION ALL SELECT image, dst, src FROM edges) e JOIN own p ON p.node = e.src JOIN own q ON q.node = e.dst WHERE p.part <> q.part),
+band AS (SELECT image, a, b, list(v ORDER BY d) AS mean FROM (SELECT s.image, s.a, s.b, d, avg(o.feat[d]) AS v FROM seam s JOIN own o ON o.node = s.node, (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL) GROUP BY ALL),
+alike AS (SELECT x.image, x.a, x.b FROM band x JOIN band y ON y.image = x.image AND y.a = x.b AND y.b = x.a WHERE round(list_cosine_similarity(x.mean, y.mean), 9) >= 0.4),
+chain(image, part, other) AS (SELECT DISTINCT image, part, part FROM own UNION SELECT c.image, c.part, l.b FROM chain c JOIN alike l ON l.image = c.image AND l.a = c.other),
+whole AS (SELECT image, part, min(other) AS least FROM chain GROUP BY ALL),
+joined AS (SELECT own.image, node, least FROM own JOIN whole ON whole.image = own.image AND whole.part = own.part),
+places AS (SELECT image, least, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, min(node)) AS label FROM joined GROUP BY image, least)"""
+SEAM_QUERY = f"WITH RECURSIVE {SEAM_SQL} SELECT joined.image, node, CAST(label AS BIGINT) AS label FROM joined JOIN places ON places.image = joined.image AND places.least = joined.least"
+
+def pieces_sql(name: str, nodes: str, links: str, q: float, by: str, least: int) -> str:
+    """``name`` (by, node, part): components of ``links`` (by, a, b, sim) whose similarity reaches its q-quantile of ``by``; numbered by falling size from 1, those under ``least`` 0."""
+    keys = [k.strip() for k in by.split(",")]
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys)
+    return f"""{name}_link AS ({links}), {name}_cut AS (SELECT {by}, round(quantile_cont(round(sim, 9), {q}), 9) AS t FROM {name}_link GROUP BY ALL),
+{name}_pair AS (SELECT a, b FROM {name}_link l JOIN {name}_cut c ON {same('l', 'c')} WHERE round(sim, 9) >= t UNION SELECT b, a FROM {name}_link l JOIN {name}_cut c ON {same('l', 'c')} WHERE round(sim, 9) >= t),
+{name}_walk(node, other) AS (SELECT node, node FROM ({nodes}) UNION SELECT w.node, p.b FROM {name}_walk w JOIN {name}_pair p ON p.a = w.other),
+{name}_comp AS (SELECT {by}, n.node, min(other) AS c FROM ({nodes}) n JOIN {name}_walk w ON w.node = n.node GROUP BY ALL),
+{name}_rank AS (SELECT {by}, c, CASE WHEN count(*) >= {least} THEN row_number() OVER (PARTITION BY {by} ORDER BY count(*) DESC, min(node)) ELSE 0 END AS part FROM {name}_comp GROUP BY {by}, c),
+{name} AS (SELECT {', '.join('x.' + k for k in keys)}, node, part FROM {name}_comp x JOIN {name}_rank r ON {same('x', 'r')} AND r.c = x.c)"""
+
+
+COARSE = "SELECT image, image * 1000 + (y // 2) * 100 + x // 2 AS node, y // 2 AS y, x // 2 AS x, list(v ORDER BY d) AS feat FROM (SELECT image, y // 2 * 2 AS y, x // 2 * 2 AS x, d, avg(feat[d]) AS v FROM cells, (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL) GROUP BY image, y, x"
+BESIDE = "((b.y = a.y AND b.x = a.x + 1) OR (b.y = a.y + 1 AND b.x = a.x))"
+LEVELS_SQL = f"""{CELLS_SQL}, small AS ({COARSE}),
+{pieces_sql('coarse', 'SELECT image, node FROM small', f'SELECT a.image, a.node AS a, b.node AS b, list_cosine_similarity(a.feat, b.feat) AS sim FROM small a JOIN small b ON a.image = b.image AND {BESIDE}', 0.6, 'image', 2)},
+top AS (SELECT cells.image, cells.node, part AS piece FROM cells JOIN coarse ON coarse.node = cells.image * 1000 + (y // 2) * 100 + x // 2),
+{pieces_sql('fine', 'SELECT image, piece, node FROM top', 'SELECT e.image, p.piece, src AS a, dst AS b, sim FROM edges e JOIN top p ON p.node = e.src JOIN top q ON q.node = e.dst WHERE p.piece = q.piece', 0.8, 'image, piece', 2)},
+numbered AS (SELECT image, piece, node, dense_rank() OVER (PARTITION BY image ORDER BY piece, part) AS label FROM fine)"""
+LEVELS_QUERIES = {"seam_merge": SEAM_QUERY, "hierarchical": f"WITH RECURSIVE {LEVELS_SQL} SELECT image, node, CAST(label AS BIGINT) AS label FROM numbered"}
+
 for _name, _extractor in (("g5_frontier_grow", "frontier_grow"), ("g6_sequential_grow", "sequential_grow"), ("g7_g8_multistage", "multistage"), ("g10_seam_merge", "seam_merge"), ("g12_grow_and_merge", "grow_and_merge"), ("g13_hierarchical", "hierarchical"), ("g14_agglomerative", "agglomerative"), ("g17_normalized_cut", "normalized_cut"), ("g18_kmeans", "kmeans"), ("g23_spectral_levels", "spectral_levels")):
 
-    @query(_name)
+    @query(_name, LEVELS_QUERIES.get(_extractor))
     def _extract(spark, sf, extractor=_extractor):
         return X.segment(cells(spark, sf), extractor).select("image", "node", "label")
 
@@ -320,7 +352,7 @@ def g7_region(spark, sf):
     return X.segment(cells(spark, sf), lambda feat, y, x: X.multistage(feat, y, x, region=x < GRID_WIDTH // 2)).select("image", "node", "label")
 
 
-@query("g13_parents")
+@query("g13_parents", f"WITH RECURSIVE {LEVELS_SQL} SELECT DISTINCT image, CAST(label AS BIGINT) AS fine, CAST(piece AS BIGINT) AS coarse FROM numbered")
 def g13_parents(spark, sf):
     """The coarse piece that each fine piece of the hierarchy lies in."""
     c = cells(spark, sf)
@@ -328,7 +360,20 @@ def g13_parents(spark, sf):
     return fine.join(X.segment(c, "hierarchical", parents=True), ["image", "node"]).select("image", "fine", F.col("label").alias("coarse")).distinct()
 
 
-@query("g4_region_grow")
+GROW_SQL = CELLS_SQL + """,
+near AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges),
+seed AS (SELECT image, min(node) AS node FROM cells GROUP BY image),
+alike AS (SELECT c.image, c.node, list_cosine_similarity(c.feat, f.feat) AS s, (row_number() OVER (PARTITION BY c.image ORDER BY c.node) - 1) % 17 = 0 AND c.node <> f.node AS blocked FROM cells c JOIN seed USING (image) JOIN cells f ON f.node = seed.node),
+span AS (SELECT image, quantile_cont(s, 0.02) AS lo, quantile_cont(s, 0.98) AS hi FROM alike GROUP BY image),
+val AS (SELECT a.image, node, blocked, greatest(0.0, least(1.0, (s - lo) / (hi - lo + 1e-8))) AS v FROM alike a JOIN span USING (image)),
+walk(image, k, inside) AS (SELECT image, 0, [node] FROM seed
+  UNION ALL SELECT image, k + 1, list_concat(any_value(inside), list(b)) FROM (
+    SELECT w.image, w.k, w.inside, n.b FROM walk w JOIN val i ON i.image = w.image AND list_contains(w.inside, i.node) JOIN near n ON n.a = i.node JOIN val j ON j.node = n.b AND NOT j.blocked AND NOT list_contains(w.inside, n.b)
+    GROUP BY w.image, w.k, w.inside, n.b, j.v HAVING max(i.v) - j.v <= 0.3) GROUP BY image, k),
+whole AS (SELECT image, arg_max(inside, k) AS inside FROM walk GROUP BY image)"""
+
+
+@query("g4_region_grow", f"WITH RECURSIVE {GROW_SQL} SELECT c.image, node, CAST(list_contains(inside, node) AS BIGINT) AS inside FROM cells c JOIN whole USING (image)")
 def g4(spark, sf):
     def from_first(feat, y, x):
         seed = X.np.arange(len(feat)) == 0
@@ -338,7 +383,26 @@ def g4(spark, sf):
     return X.segment(cells(spark, sf), from_first).select("image", "node", F.col("label").alias("inside"))
 
 
-@query("g21_mean_field")
+def _box(expression: str) -> str:
+    """The mean of an expression over b, the 3 x 3 cells around a cell a; the border's cells stand for those beyond it."""
+    return f"SELECT a.image, a.y, a.x, b.d, {expression} FROM plain a, nine n, {{source}} b WHERE b.image = a.image AND b.y = greatest(0, least({ROWS - 1}, a.y + n.dy)) AND b.x = greatest(0, least({GRID_WIDTH - 1}, a.x + n.dx)) GROUP BY ALL"
+
+
+def mean_field_sql(steps: int) -> str:
+    """q{steps} (image, y, x, d, q): scores smoothed by a guided filter and renormalized, ``steps`` times."""
+    out = [CELLS_SQL, "plain AS (SELECT image, y, x FROM cells)", "nine AS (SELECT dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx))"]
+    out.append("u AS (SELECT image, y, x, d, feat[d] AS s, list_avg(feat) AS g FROM cells, (SELECT unnest(range(1, 65)) AS d))")
+    renew = lambda name, source: f"{name} AS (SELECT image, y, x, d, g, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY image, y, x) AS q FROM (SELECT *, max(s) OVER (PARTITION BY image, y, x) AS m FROM {source}))"
+    out.append(renew("q0", "u"))
+    for k in range(steps):
+        out.append(f"m{k} AS (" + _box("avg(b.g) AS mg, avg(b.q) AS mq, avg(b.g * b.q) AS mgq, avg(b.g * b.g) AS mgg").format(source=f"q{k}") + ")")
+        out.append(f"c{k} AS (SELECT image, y, x, d, a, mq - a * mg AS b FROM (SELECT *, (mgq - mg * mq) / (mgg - mg * mg + 1e-2) AS a FROM m{k}))")
+        out.append(f"f{k} AS (" + _box("avg(b.a) AS a, avg(b.b) AS b").format(source=f"c{k}") + ")")
+        out.append(renew(f"q{k + 1}", f"(SELECT u.image, u.y, u.x, u.d, u.g, u.s + f.a * u.g + f.b AS s FROM u JOIN f{k} f ON f.image = u.image AND f.y = u.y AND f.x = u.x AND f.d = u.d)"))
+    return ", ".join(out)
+
+
+@query("g21_mean_field", f"WITH {mean_field_sql(3)} SELECT image, node, CAST(best.label AS BIGINT) AS label FROM cells JOIN (SELECT image, y, x, arg_max(d, (q, -d)) - 1 AS label FROM q3 GROUP BY image, y, x) best USING (image, y, x)")
 def g21(spark, sf):
     def smooth(feat, y, x):
         h, w = int(y.max()) + 1, int(x.max()) + 1
@@ -349,7 +413,17 @@ def g21(spark, sf):
     return X.segment(cells(spark, sf), smooth).select("image", "node", "label")
 
 
-@query("g22_clean_regions")
+CLEAN_SQL = CELLS_SQL + """,
+sign AS (SELECT image, node, y, x, list_sum(feat) > 0 AS filled FROM cells),
+near AS (SELECT a.node AS a, b.node AS b FROM cells a JOIN cells b ON a.image = b.image AND a.node <> b.node AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+hole(node, other) AS (SELECT node, node FROM sign WHERE NOT filled UNION SELECT h.node, n.b FROM hole h JOIN near n ON n.a = h.other JOIN sign s ON s.node = n.b AND NOT s.filled),
+closed AS (SELECT image, s.node, filled OR coalesce(n < 3, false) AS filled FROM sign s LEFT JOIN (SELECT node, count(*) AS n FROM hole GROUP BY node) h ON h.node = s.node),
+isle(node, other) AS (SELECT node, node FROM closed WHERE filled UNION SELECT i.node, n.b FROM isle i JOIN near n ON n.a = i.other JOIN closed c ON c.node = n.b AND c.filled),
+part AS (SELECT image, i.node, count(*) AS n, min(other) AS first FROM isle i JOIN closed c ON c.node = i.node GROUP BY ALL),
+best AS (SELECT image, max(n) AS most, arg_max(first, (n, -first)) AS largest FROM part GROUP BY image)"""
+
+
+@query("g22_clean_regions", f"WITH RECURSIVE {CLEAN_SQL} SELECT c.image, c.node, CAST(coalesce(n >= 4 OR (most < 4 AND first = largest), false) AS BIGINT) AS inside FROM closed c LEFT JOIN part p ON p.node = c.node LEFT JOIN best b ON b.image = c.image")
 def g22(spark, sf):
     def clean(feat, y, x):
         m = X.np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
@@ -359,7 +433,15 @@ def g22(spark, sf):
     return X.segment(cells(spark, sf), clean).select("image", "node", F.col("label").alias("inside"))
 
 
-@query("t8_spaced_peaks")
+PEAKS_SQL = CELLS_SQL + """,
+v AS (SELECT image, node, y, x, round(sqrt(list_dot_product(feat, feat)), 9) AS v FROM cells),
+walk(image, k, peaks) AS (SELECT DISTINCT image, 0, CAST([] AS STRUCT(node BIGINT, y BIGINT, x BIGINT)[]) FROM cells
+  UNION ALL SELECT image, k + 1, list_append(any_value(peaks), arg_max({'node': node, 'y': y, 'x': x}, (v, -node)))
+  FROM (SELECT w.image, w.k, w.peaks, v.node, v.y, v.x, v.v FROM walk w JOIN v ON v.image = w.image WHERE w.k < 5 AND len(list_filter(w.peaks, lambda p: abs(p.y - v.y) <= 2 AND abs(p.x - v.x) <= 2)) = 0) GROUP BY image, k),
+peak AS (SELECT image, unnest(arg_max(peaks, k)).node AS node FROM walk GROUP BY image)"""
+
+
+@query("t8_spaced_peaks", f"WITH RECURSIVE {PEAKS_SQL} SELECT image, node, CAST(node IN (SELECT node FROM peak) AS BIGINT) AS is_peak FROM cells")
 def t8(spark, sf):
     """Up to five peaks of the features' length, with a cleared square around each: 1 where a node is one."""
     from gridloom.operators.suppress import spaced_peaks

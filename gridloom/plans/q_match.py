@@ -10,7 +10,7 @@ from gridloom.operators import match as M
 from gridloom.operators import metrics as E
 from gridloom.operators import suppress as D
 from gridloom.operators import temporal as T
-from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, boxes, frames, gt_and_det, raster
+from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, boxes, frames, gt_and_det, raster
 from gridloom.plans.q_boxes import BEST, IOU
 from gridloom.functions.text import hash_number
 from gridloom.plans.registry import query, table
@@ -431,7 +431,16 @@ def v7_overlap(spark, sf):
     return T.reseeded(f, 5, 0.1, overlap="overlap", least_overlap=0.5)
 
 
-@query("v8_correction_clicks")
+CLICK_SQL = PIXELS_SQL + """,
+d AS (SELECT a.mask, a.p % 8 AS y, a.p // 8 AS x, a.on_ = 1 AND b.on_ = 0 AS missed, a.on_ = 0 AND b.on_ = 1 AS extra FROM raster a JOIN raster b ON b.mask = a.mask + 1 AND b.p = a.p),
+s AS (SELECT mask, count(*) FILTER (missed) AS m, count(*) FILTER (extra) AS e FROM d GROUP BY mask),
+r AS (SELECT mask, y, x, CASE WHEN m >= e THEN missed ELSE extra END AS inside, CASE WHEN m >= e THEN 1 ELSE 0 END AS label FROM d JOIN s USING (mask) WHERE m + e > 0),
+line AS (SELECT unnest(range(-1, 9)) AS k),
+o AS (SELECT mask, y, x FROM r WHERE NOT inside UNION ALL SELECT mask, a.k, b.k FROM (SELECT DISTINCT mask FROM r), line a, line b WHERE a.k IN (-1, 8) OR b.k IN (-1, 8)),
+depth AS (SELECT r.mask, r.y, r.x, r.label, min(abs(r.y - o.y) + abs(r.x - o.x)) AS deep FROM r JOIN o ON o.mask = r.mask WHERE inside GROUP BY ALL)"""
+
+
+@query("v8_correction_clicks", f"WITH {CLICK_SQL} SELECT mask, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY deep DESC, y, x) AS place FROM depth) WHERE place = 1")
 def v8(spark, sf):
     """The next click for each mask, with its neighbour as the prediction."""
     px = raster(spark, sf)

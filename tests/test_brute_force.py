@@ -1,4 +1,4 @@
-"""Every query without SQL against a slow version written for these tests, on the smallest tables."""
+"""Every query without SQL, and some that have it, against a slow version written for these tests, on the smallest tables."""
 
 import collections
 import itertools
@@ -559,7 +559,7 @@ def _():
 CHECKS = {"g18_kmeans": check_kmeans, "g19_pca": check_pca, "g19_pca_rgb": check_rgb, "j14_optimal_assignment": check_boxes, "j14_mask_assignment": check_masks, "v2_v3_v4_transport_chain": check_transport}
 
 
-@pytest.mark.parametrize("name", sorted(set(reference.QUERIES) - set(reference.ORACLE)))
+@pytest.mark.parametrize("name", sorted({*EXPECTED, *CHECKS, *reference.QUERIES} - set(reference.ORACLE) | {*EXPECTED, *CHECKS}))
 def test_query_without_sql(spark, name):
     rows = sorted(tuple(r) for r in reference.QUERIES[name](spark, SF).collect())
     assert rows

@@ -8,11 +8,14 @@ documents that their own models have not seen, turns it into a score.
 
 from __future__ import annotations
 
+import pickle
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,25 +54,46 @@ class _Letters:
         h = (h ^ letter) * _MIX[0]
         return h ^ (h >> np.uint64(29))
 
-    def ending(self, at: np.ndarray, n: int) -> np.ndarray:
+    def ending(self, at: np.ndarray, n: int, part: int = 1 << 18) -> np.ndarray:
         """Hash of the last n letters up to each place."""
-        h = np.full(len(at), 1, np.uint64)
-        for k in range(n):
-            h = self.longer(at, h, k)
-        return h
+        out = np.ones(len(at), np.uint64)
+        for i in range(0, len(at), part):
+            for k in range(n):
+                out[i : i + part] = self.longer(at[i : i + part], out[i : i + part], k)
+        return out
 
 
 class _Table:
-    """Values by hash, by open addressing; 0 where it has none. No hash is 0."""
+    """Values by hash, by open addressing (made when it is first asked); 0 where it has none. No hash is 0."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.__setstate__((keys, values.astype(np.float32)))
-
-    def __getstate__(self) -> tuple:
-        return self.keys[self.keys != 0], self.values[:, self.row[self.keys != 0]]  # as small as it can travel
-
-    def __setstate__(self, state: tuple) -> None:
-        keys, values = state
+        self.given: tuple[np.ndarray, np.ndarray] | None = keys, values  # keys ascend
+
+    def __getstate__(self) -> bytes:
+        """As small as it can travel: hashes as differences, and values, in byte planes."""
+        if self.given is not None:
+            keys, values = self.given
+        else:
+            held = np.flatnonzero(self.keys)
+            held = held[np.argsort(self.keys[held])]
+            keys, values = self.keys[held], np.ascontiguousarray(self.values[:, self.row[held]])
+        gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+        parts = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T
+        raw = struct.pack("<II", len(keys), len(values)) + np.ascontiguousarray(gaps).tobytes() + np.ascontiguousarray(parts).tobytes()
+        return zstandard.ZstdCompressor(level=3).compress(raw)
+
+    def __setstate__(self, state: bytes) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(state)
+        n, width = struct.unpack_from("<II", raw)
+        gaps, parts = (np.frombuffer(raw, np.uint8, size, at) for size, at in ((8 * n, 8), (4 * n * width, 8 + 8 * n)))
+        keys = np.cumsum(np.ascontiguousarray(gaps.reshape(8, n).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+        self.given = keys, np.ascontiguousarray(parts.reshape(4, -1).T).reshape(-1).view(np.float32).reshape(width, n)
+        self.open()
+
+    def open(self) -> None:
+        if self.given is None:
+            return
+        (keys, values), self.given = self.given, None
         self.bits = max(4, int(np.ceil(np.log2(1.5 * max(1, len(keys))))))
         size = 1 << self.bits
         self.keys, self.row = np.zeros(size, np.uint64), np.zeros(size, np.int32)
@@ -101,9 +125,6 @@ class _Table:
             left = left[~hit & (got != 0)]
         return out
 
-    def of(self, h: np.ndarray) -> np.ndarray:
-        return self.values[:, self.rows(h)]
-
 
 class SpellingModel:
     """Kneser-Ney letter models of two classes, from each word's counts in them.
@@ -111,23 +132,45 @@ class SpellingModel:
     The shared model interpolates all orders of both classes' counts together. On top of it, each class discounts its
     own counts of ``TOP`` letters and gives what that leaves to the shared model: a word that only one class has, but
     hardly ever, tells little, and a stem that one class has often tells much whatever its endings.
+
+    ``tables[m]`` has a row for each run of m letters: its discounted count, and as a context of m letters the total of
+    what follows and the weight of the next shorter one. ``own`` rows of the two longest add the classes' counts, and
+    totals and weights.
     """
 
     def __init__(self, vocabulary: list[str], counts: np.ndarray):
         letters = _Letters(vocabulary)
         at = letters.at.astype(np.int32)
         c = counts.astype(np.float32)[:, letters.word[at]]
-        self.own = self._order(letters, at, TOP, c)[:2]
-        self.shared = []
+        columns: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in range(TOP + 1)]  # keys, values, first column
+
+        def add(n: int, at: np.ndarray, weights: np.ndarray, column: int) -> np.ndarray:
+            k, left, ctx, told, at = self._order(letters, at, n, weights)
+            columns[n].append((k, left.astype(np.float32), column))
+            columns[n - 1].append((ctx, told.astype(np.float32), column + len(left) if column else 1))
+            return at
+
+        def table(m: int) -> _Table:
+            keys = np.unique(np.concatenate([k for k, _, _ in columns[m]]))
+            values = np.zeros((9 if m == TOP - 1 else 5 if m == TOP else 3, len(keys)), np.float32)
+            for k, v, column in columns[m]:
+                values[column : column + len(v), np.searchsorted(keys, k)] = v
+            columns[m].clear()
+            return _Table(keys, values)
+
         n_of = c.sum(0, keepdims=True)
+        add(TOP, at, c, 3)
         del c
+        self.tables: list[_Table] = []
         for n in range(TOP, 0, -1):
-            left, ctx, at = self._order(letters, at, n, n_of)
-            self.shared.append((n, left, ctx))
+            at = add(n, at, n_of, 0)
+            if n == 1:
+                self.letters = max(2, len(columns[1][-1][0]))
+            self.tables.append(table(n))  # what n letters and their contexts add to it is there
             # lower orders count the different letters that come before, not how often
             n_of = np.ones((1, len(at)), np.float32)
-        self.shared.reverse()
-        self.letters = max(2, self.shared[0][1].values.shape[1] - 1)
+        self.tables.append(table(0))
+        self.tables.reverse()
 
     @staticmethod
     def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,35 +181,43 @@ class SpellingModel:
 
     @classmethod
     def _order(cls, letters: _Letters, at: np.ndarray, n: int, weights: np.ndarray) -> tuple:
+        """Distinct runs of n letters and their discounted counts; their contexts, with totals and the weights they leave; a place of each run."""
         key = letters.ending(at, n)
         order, starts = cls._groups(key)
         first = order[starts]
-        k, sums, at = key[first], np.add.reduceat(weights[:, order], starts, axis=1, dtype=np.float64), at[first]
-        del key, order
+        k, sums, at = key[first], np.stack([np.add.reduceat(x[order], starts, dtype=np.float64) for x in weights]), at[first]
+        del key, order, starts, first
         ctx = letters.ending(at - 1, n - 1)
         order, starts = cls._groups(ctx)
         total, kinds = (np.add.reduceat(x[:, order], starts, axis=1, dtype=np.float64) for x in (sums, (sums > 0).astype(np.float32)))
         ones, twos = (sums == 1).sum(1), (sums == 2).sum(1)
         d = np.clip(ones / np.maximum(1, ones + 2 * twos), 0.1, 0.95)[:, None]
-        return _Table(k, np.maximum(sums - d, 0)), _Table(ctx[order[starts]], np.concatenate([total, d * kinds])), at
+        return k, np.maximum(sums - d, 0), ctx[order[starts]], np.concatenate([total, d * kinds]), at
 
     def ratios(self, vocabulary: list[str]) -> np.ndarray:
         """Log-likelihood of each word in class 1 less that in class 0."""
         if not vocabulary:
             return np.zeros(0)
         letters = _Letters(vocabulary)
-        left, ctx = self.own
-        told = ctx.rows(letters.ending(letters.at - 1, TOP - 1))
-        at = letters.at[told > 0]  # elsewhere neither class has counts of its own, and both agree
-        t = ctx.values[:, told[told > 0]]
-        p = np.full(len(at), 1 / (self.letters + 1), np.float32)
-        here, before = letters.ending(at, 1), letters.ending(at, 0)
-        for n, shared, contexts in self.shared:
-            if n > 1:
-                here, before = letters.longer(at, here, n - 1), letters.longer(at - 1, before, n - 2)
-            (c,), (total, back) = shared.of(here), contexts.of(before)
+        for x in self.tables:
+            x.open()
+        context = self.tables[TOP - 1]
+        told = context.rows(letters.ending(letters.at - 1, TOP - 1))
+        t = context.values[5:, told]
+        some = t[:2].any(0)  # elsewhere neither class has counts of its own, and both agree
+        at, t = letters.at[some], t[:, some]
+        # Each place in question and the one before it, once.
+        spot = np.flatnonzero(np.isin(np.arange(len(letters.code)), np.concatenate([at, at - 1])))
+        here, before = np.searchsorted(spot, at), np.searchsorted(spot, at - 1)
+        p, h = np.full(len(at), 1 / (self.letters + 1), np.float32), np.full(len(spot), 1, np.uint64)
+        row = self.tables[0].rows(h)
+        for n in range(1, TOP + 1):
+            total, back = self.tables[n - 1].values[1:3, row[before]]
+            h = letters.longer(spot, h, n - 1)
+            row = self.tables[n].rows(h)
+            c = self.tables[n].values[0, row[here]]
             p = np.where(total > 0, (c + back * p) / np.maximum(total, 1e-9), p)
-        c = left.of(here)
+        c = self.tables[TOP].values[3:5, row[here]]
         q = np.where(t[:2] > 0, (c + t[2:] * p) / np.maximum(t[:2], 1e-9), p)
         r = np.log(np.maximum(q[1], 1e-30)) - np.log(np.maximum(q[0], 1e-30))
         return np.bincount(letters.word[at], r, len(vocabulary))
@@ -202,14 +253,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 class ToxicityModel:
-    """A spelling model and the logistic function of the evidence that it gives."""
+    """A spelling model, pickled until it is first used, and the logistic function of the evidence that it gives."""
 
-    def __init__(self, spelling: SpellingModel | None, logistic: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rate: float):
-        self.spelling, self.logistic, self.rate = spelling, logistic, rate
+    def __init__(self, packed: bytes | None, logistic: tuple[np.ndarray, np.ndarray, np.ndarray] | None, rate: float):
+        self.packed, self.logistic, self.rate = packed, logistic, rate
+        self.spelling: SpellingModel | None = None
         self.known: dict[str, float] = {}
         self.older: dict[str, float] = {}
 
+    def forget(self) -> None:
+        """What can be made again goes."""
+        self.spelling, self.known, self.older = None, {}, {}
+
     def features(self, texts: list[str], most_known: int = 150_000) -> np.ndarray:
+        self.spelling = self.spelling or pickle.loads(self.packed)
         found = [words(t) for t in texts]
         if len(self.known) > most_known:
             self.older, self.known = self.known, {}  # words met again come back from there
@@ -224,7 +281,7 @@ class ToxicityModel:
         return np.array([evidence(np.fromiter(map(get, ws), np.float64, len(ws))) for ws in found]).reshape(-1, FEATURES)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if self.spelling is None or not texts:
+        if self.packed is None or not texts:
             return np.full(len(texts), self.rate)
         mean, scale, w = self.logistic
         z = np.concatenate([((self.features(part) - mean) / scale) @ w[:-1] + w[-1] for part in portions(texts)])
@@ -234,11 +291,13 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_ordinary: int = 2000) -> ToxicityModel:
     """Learns from labelled rows where ``usable`` holds: at most ``max_toxic`` and ``max_ordinary`` of them, the first by the hash of their id.
 
-    That bound makes the model small, whatever the corpus. Words are counted by the number of documents that hold them,
-    on executors; the driver gets a row for each distinct word of the sample. The documents' evidence for the logistic
+    That bound makes the model small, whatever the corpus. Words are counted by the number of documents that hold them, and
+    the models of that bounded vocabulary are made in tasks; only the made ones, pickled, pass the driver. The documents' evidence for the logistic
     fit comes from a model of the other half of the sample; its constant is then moved from the sample's share of toxic
     rows to that of all usable labels. Labels other than 0 and 1, or null, are passed over; with one label only, every
-    text scores the labels' share of toxic rows (0 without labels).
+    text scores the labels' share of toxic rows (0 without labels). Null texts count as empty and very long ones are read
+    whole. Rows that repeat an id, and repeated labels of one, are samples of their own; a null id has no label. Extra columns
+    are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -257,28 +316,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
             kind = pa.array([2 * f + t for f, t in zip(b.column("fold").to_pylist(), b.column("toxic").to_pylist(), strict=True)], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([w for f in found for w in f], pa.string()), kind.take(at)], ["word", "kind"])
 
-    counts = sample.mapInArrow(split, "word string, kind int").groupBy("word").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4))).toArrow()
-    vocabulary = counts.column("word").to_pylist()
-    by = np.stack([counts.column(f"k{k}").to_numpy() for k in range(4)])
-    if not vocabulary or not by[[0, 2]].any() or not by[[1, 3]].any():
-        return ToxicityModel(None, None, rate)
+    kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(4)]
+    counts = saved(sample.mapInArrow(split, "word string, kind int").groupBy("word").agg(*kinds), "toxic-words")
 
-    def learnt(c: np.ndarray) -> SpellingModel:
+    def learn(t: pa.Table) -> pa.Table:
+        """The model of one half of the sample, or (2) of all of it; none where a class has no words."""
+        which, by = t.column("which")[0].as_py(), np.stack([t.column(f"k{k}").to_numpy() for k in range(4)])
+        if not by[[0, 2]].any() or not by[[1, 3]].any():
+            return pa.table({"which": pa.array([], pa.int32()), "model": pa.array([], pa.binary())})
+        c = by[:2] + by[2:] if which == 2 else by[2 * which : 2 * which + 2]
         held = np.flatnonzero(c.any(0))
-        return SpellingModel([vocabulary[i] for i in held], c[:, held])
+        vocabulary = t.column("word").take(pa.array(held)).to_pylist()
+        model = pickle.dumps(SpellingModel(vocabulary, c[:, held])) if vocabulary else None
+        del t, by, c, vocabulary
+        give_back_memory()
+        return pa.table({"which": pa.array([which], pa.int32()), "model": pa.array([model], pa.binary())})
 
-    halves = spark.sparkContext.broadcast([learnt(by[2 * f : 2 * f + 2]) if by[2 * f : 2 * f + 2].any() else None for f in (1, 0)])
-    give_back_memory()
+    each = counts.select("*", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("which"))
+    # one after the other in one task: a bounded vocabulary, and one worker's memory
+    learnt = saved(each.repartition(1, "which").groupBy("which").applyInArrow(learn, "which int, model binary"), "toxic-models")
+    packed = {r["which"]: r["model"] for r in learnt.where("which < 2").collect()}
+    if not packed:
+        return ToxicityModel(None, None, rate)
+    halves = spark.sparkContext.broadcast([packed.pop(1), packed.pop(0)])  # fold 0 is weighed by what fold 1 taught
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [ToxicityModel(m, None, 0.0) for m in halves.value]
+        models: list[ToxicityModel] | None = None
         for b in batches:
+            models = models or [ToxicityModel(m, None, 0.0) for m in halves.value]
             texts, fold, toxic = (b.column(c).to_pylist() for c in ("text", "fold", "toxic"))
             for f in (0, 1):
                 own = [i for i, x in enumerate(fold) if x == f]
-                if own and models[f].spelling is not None:
+                if own and models[f].packed is not None:
                     x = np.concatenate([models[f].features(part) for part in portions([texts[i] for i in own])])
                     yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([toxic[i] for i in own], pa.int32())], ["x", "toxic"])
+        del models
+        give_back_memory()
 
     seen = sample.mapInArrow(weigh, "x array<double>, toxic int").collect()
     halves.destroy()
@@ -287,14 +360,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str
     mean, scale, w = fit_logistic(x[order], y[order])
     if 0 < y.mean() < 1 and 0 < rate < 1:
         w[-1] += np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean()))
-    model = ToxicityModel(learnt(by[:2] + by[2:]), (mean, scale, w), rate)
-    del counts, vocabulary
-    give_back_memory()
-    return model
+    return ToxicityModel(learnt.where("which = 2").first()["model"], (mean, scale, w), rate)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``out``, the probability that a whole text is toxic; null counts as empty. An input column named ``out`` is replaced."""
+    """All columns of ``docs`` and ``out``, the probability that a whole text is toxic; null counts as empty, very long texts are read whole, repeated rows score alike. An input column named ``out`` is replaced."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out)
     names, given = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
@@ -305,7 +375,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for b in batches:
             s = m.scores([t or "" for t in b.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s, pa.float64())], [*names, out])
-        m.known, m.older = {}, {}
+        m.forget()
         give_back_memory()
 
     return docs.mapInArrow(work, schema)

@@ -107,27 +107,31 @@ def least_scale(shared: np.ndarray, want: np.ndarray, floor: float) -> float:
     return max(bound, floor / u.min()) if floor else bound
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float | None = 1.0, floor: float = 0.0, pull: float = 1e-3, most_steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float | None = 1.0, floor: float = 0.0, pull: float = 1e-3, most_steps: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """All columns of ``docs`` with _tokens (words), _posteriors (in the order of ``targets``) and _rate.
 
     ``labelled`` (id, domain) trains a classifier; a document belongs to each domain in the share of its posterior.
     Nonnegative rates (at least ``floor``) minimise sum_k ((sum_d rate_d tokens_d posterior_dk - T_k) / S)^2 +
-    pull * sum_d tokens_d / S (rate_d - 1)^2, where S is the total of tokens and T_k = scale * S * targets[k]. A step's
-    gradient is a document's posterior times one residual a domain, so a step is one distributed sum over all documents
-    and only residuals pass through the driver; a task replays them, and no rates are stored between steps.
+    pull * sum_d tokens_d / S (rate_d - 1)^2, where S is the total of tokens and T_k = scale * S * targets[k].
+
+    Steps are projected gradients, scaled by the inverse of the Hessian of the documents that are above the floor; that is a
+    multiple of the identity but for one row and column a domain, so that every iterate has the form max(floor, 1 - a
+    posterior times one number a domain). Only these numbers and a few sums over all documents pass through the driver, and
+    no rates are stored. A step that does not lower the objective is halved. Where ``most_steps`` do not bring the numbers to
+    rest within ``tolerance``, a warning says how far off they are.
 
     Without a ``scale`` it is the least, at least 1, at which rates that rise with the posteriors meet the targets and none
     is under ``floor`` (see ``least_scale``).
 
-    Null or empty text has no tokens and a rate from its posterior alike. A target that no document can meet is met as
-    nearly as least squares can. Repeated rows are documents of their own. Input columns named _tokens, _posteriors or _rate
-    are replaced; others are carried through. An empty table gives an empty result.
+    Null or empty text has no tokens and a rate from its posterior alike; very long texts are read whole. A target that no
+    document can meet is met as nearly as least squares can. Repeated rows are documents of their own. Input columns named
+    _tokens, _posteriors or _rate are replaced; others are carried through. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("_tokens", "_posteriors", "_rate")
     names = list(targets)
-    total = sum(targets.values())
+    total, n = sum(targets.values()), len(targets)
     want = np.array([targets[d] / total for d in names])
     classifier = spark.sparkContext.broadcast(learn_domains(docs, labelled, names, id_col, text_col))
 
@@ -140,73 +144,76 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
         give_back_memory()
 
     facts = saved(docs.select(text_col).mapInArrow(place, "tokens long, p array<double>"), "mixing")
-    everything = max(1, facts.agg(F.sum("tokens")).first()[0] or 0)
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((len(names), len(names)))
-        for b in batches:
-            if b.num_rows:
-                p = b.column("p").flatten().to_numpy().reshape(-1, len(names))
-                out += (p * b.column("tokens").to_numpy()[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], ["k", "x"])
-
-    if scale is None:
-        got = dict(facts.mapInArrow(multiply, "k int, x double").groupBy("k").agg(F.sum("x")).collect())
-        scale = least_scale(np.array([got.get(k, 0.0) for k in range(len(names) ** 2)]).reshape(len(names), -1) / everything, want, floor)
-    want = want * scale
 
-    def rates(history: list[np.ndarray], look_ahead: bool):
-        def run(p: np.ndarray) -> np.ndarray:
-            r = at = np.full(len(p), max(1.0, floor))
-            step = 1 / (1 + pull)
-            for t, e in enumerate(history):
-                new = np.maximum(floor, at - step * (p @ e + pull * (at - 1)))
-                at, r = new + t / (t + 3) * (new - r), new
-            return at if look_ahead else r
+    def rates(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.maximum(floor, 1 - p @ at)
 
-        return run
-
-    def sums(history: list[np.ndarray], look_ahead: bool) -> np.ndarray:
-        rate = rates(history, look_ahead)
+    def sums(*points: np.ndarray) -> list[dict[str, np.ndarray]]:
+        """At each point, with tokens as weights: posteriors of free and of held documents, those of free ones times each other, posteriors times rates, squared moves, all tokens."""
+        size = 3 * n + n * n + 2
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(len(names))
+            out = np.zeros((len(points), size))
             for b in batches:
                 if b.num_rows:
-                    p = b.column("p").flatten().to_numpy().reshape(-1, len(names))
-                    out += (rate(p) * b.column("tokens").to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(out)], ["k", "x"])
+                    p, t = b.column("p").flatten().to_numpy().reshape(-1, n), b.column("tokens").to_numpy().astype(float)
+                    for k, at in enumerate(points):
+                        r, free = rates(p, at), (1 - p @ at >= floor) * t
+                        out[k] += np.concatenate([free @ p, (t - free) @ p, ((p * free[:, None]).T @ p).ravel(), (r * t) @ p, [t @ (r - 1) ** 2, t.sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], ["k", "x"])
 
         got = dict(facts.mapInArrow(add, "k int, x double").groupBy("k").agg(F.sum("x")).collect())
-        return np.array([got.get(k, 0.0) for k in range(len(names))])
+        flat = np.array([got.get(k, 0.0) for k in range(len(points) * size)]).reshape(len(points), size)
+        cut = np.cumsum([n, n, n * n, n, 1])
+        return [dict(zip(("free", "held", "cross", "made", "moved", "tokens"), np.split(row, cut), strict=True)) for row in flat]
 
-    history: list[np.ndarray] = []
-    for _ in range(most_steps):
-        history.append(np.round(sums(history, True) / everything - want, 9))
-        if len(history) > 4 and np.abs(history[-1] - history[-2]).max() < tolerance / 20 and np.abs(history[-2] - history[-3]).max() < tolerance / 20:
+    at = np.zeros(n)
+    (now,) = sums(at)
+    everything = max(1.0, now["tokens"][0])
+    if scale is None:
+        (all_free,) = sums(np.full(n, -1e6)) if now["held"].any() else (now,)  # every document's share in every pair of domains
+        scale = least_scale(all_free["cross"].reshape(n, n) / everything, want, floor)
+    want = want * scale
+    loss = lambda f: float(((f["made"] / everything - want) ** 2).sum() + pull * f["moved"][0] / everything)
+
+    for step in range(most_steps + 1):
+        cross = now["cross"].reshape(n, n) / everything
+        goal = np.linalg.solve(cross + pull * np.eye(n), (now["free"] + floor * now["held"]) / everything - want)
+        off = float(np.abs(goal - at).max())
+        if off <= tolerance * max(1.0, float(np.abs(goal).max())):
+            break
+        if step == most_steps:
+            warnings.warn(f"mixing: after {most_steps} steps the domains' numbers are still {off:.2g} from rest", stacklevel=2)
             break
+        for halved in range(0, 40, 4):  # four lengths in one pass
+            tried = [at + (goal - at) * 0.5 ** (halved + k) for k in range(4)]
+            seen = sums(*tried)
+            best = int(np.argmin([loss(f) for f in seen]))
+            if loss(seen[best]) < loss(now):
+                break
+        else:
+            break  # at rest but for rounding
+        at, now = tried[best], seen[best]
 
-    final = rates(history, False)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_tokens long, _posteriors array<double>, _rate double"])
-    columns = docs.columns
+    width = len(docs.columns)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [style(t or "") for t in b.column(text_col).to_pylist()]
             if got:
                 p = classifier.value.posteriors(np.stack([g[1] for g in got]))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array([g[0] for g in got], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(final(p))], [*columns, "_tokens", "_posteriors", "_rate"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(width)), pa.array([g[0] for g in got], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(rates(p, at))], [*b.schema.names, "_tokens", "_posteriors", "_rate"])
         give_back_memory()
 
     return docs.mapInArrow(apply, schema)
 
 
 def repeat_by_rate(rated: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each row as often as its _rate says: its whole part, and once more with the chance of the rest, told by a hash of the id."""
+    """Each row as often as its _rate says: its whole part, and once more with the chance of the rest, told by a hash of the id. Other columns stay."""
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    kept = rated.withColumn("_times", times).where("_times > 0").drop("_tokens", "_posteriors", "_rate")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+    return rated.withColumn("_rate", F.explode(F.array_repeat(F.lit(1.0), times))).drop("_tokens", "_posteriors", "_rate")
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -62,6 +62,9 @@ class Bpe:
         self.of_byte = [vocab[bytes([b])] for b in range(256)]
         self.merges = {int(k): r for r, k in enumerate(keys)}
         self.made = {r: vocab[self.bytes_of[int(k) >> 32] + self.bytes_of[int(k) & 0xFFFFFFFF]] for r, k in enumerate(keys)}
+        self.makes = np.array([self.made[r] for r in range(len(keys))], np.int64)
+        single = np.array(self.of_byte, np.int64)
+        self.byte_ranks = self._ranks(np.repeat(single, 256), np.tile(single, 256)).reshape(256, 256)
         self.prefixes: dict[bytes, int] = {t[:k]: -1 for t in vocab for k in range(1, len(t))} | vocab  # -1: begins a token, but is none
         merged = np.flatnonzero(self.rank >= 0)
         own = np.ones(n, bool)
@@ -75,6 +78,12 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.stops = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge; the number of merges where there is none."""
+        key = a << 32 | b
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.order[i], len(self.keys))
+
     def _compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each adjacent pair, whether merging their bytes together gives just these two tokens.
 
@@ -133,6 +142,31 @@ class Bpe:
                 ranks[i] = get(toks[i] << 32 | toks[i + 1], none)
         return toks
 
+    def _exact_many(self, words: list[bytes], n: int) -> list[list[int]]:
+        """The same for many words of ``n`` bytes side by side: in each turn every word merges one pair, and those without one are done."""
+        out: list = [None] * len(words)
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
+        toks, at, none = np.array(self.of_byte, np.int64)[raw], np.arange(len(words)), len(self.keys)
+        ranks = self.byte_ranks[raw[:, :-1], raw[:, 1:]]
+        while len(at):
+            go = ranks.min(1, initial=none) < none
+            if not go.all():
+                for i, t in zip(at[~go].tolist(), toks[~go].tolist(), strict=True):
+                    out[i] = t
+                toks, ranks, at = toks[go], ranks[go], at[go]
+                if not len(at):
+                    break
+            row, k, i = np.arange(len(at)), toks.shape[1], ranks.argmin(1)
+            toks[row, i] = self.makes[ranks[row, i]]
+            col = np.arange(k - 1)
+            toks = np.take_along_axis(toks, col + (col > i[:, None]), 1)
+            col = col[:-1]
+            ranks = np.take_along_axis(ranks, col + (col >= i[:, None]), 1)
+            left, right = np.flatnonzero(i > 0), np.flatnonzero(i < k - 2)
+            ranks[left, i[left] - 1] = self._ranks(toks[left, i[left] - 1], toks[left, i[left]])
+            ranks[right, i[right]] = self._ranks(toks[right, i[right]], toks[right, i[right] + 1])
+        return out
+
     def _exact_long(self, toks: list[int]) -> list[int]:
         """The same with a heap and linked places, for words of any length."""
         n = len(toks)
@@ -165,8 +199,13 @@ class Bpe:
         if len(inner):
             pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
             failed[owner[inner[~self._compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]]] = True
+        by_length: dict[int, list[int]] = {}
         for i in np.flatnonzero(failed).tolist():
-            found[i] = self._exact(words[i])
+            by_length.setdefault(len(words[i]), []).append(i)
+        for n, at in by_length.items():
+            exact = self._exact_many([words[i] for i in at], n) if len(at) > 8 and n <= 64 else [self._exact(words[i]) for i in at]
+            for i, toks in zip(at, exact, strict=True):
+                found[i] = toks
         return found
 
     def _learn(self, chunks: list[str]) -> None:
@@ -223,6 +262,7 @@ _TABLES: dict[str, Bpe] = {}
 def tables(path: str) -> Bpe:
     if path not in _TABLES:
         _TABLES[path] = Bpe(path)
+        give_back_memory()
     return _TABLES[path]
 
 
@@ -244,7 +284,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode:
         gc.disable()  # millions of short-lived lists and no cycles
         for b in batches:
             texts = [t or "" for t in b.column(text_col).to_pylist()]
-            ids = [x for part in portions(texts, 1 << 20) for x in bpe.encode_batch(part)]
+            ids = [x for part in portions(texts, 1 << 19) for x in bpe.encode_batch(part)]
             cols = [b.column(c) for c in names] + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decode:
                 cols.append(pa.array([bpe.decode(x) for x in ids], pa.string()))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +65,11 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> No
 
 
 def pieces(spark: SparkSession, df: DataFrame, per_piece: int = 8 << 20, least: int = 1) -> int:
-    """How many parts of about ``per_piece`` bytes ``df``'s input has, as Catalyst estimates it from its files (without a job)."""
+    """How many parts of about ``per_piece`` bytes ``df``'s input has, as Catalyst estimates it from its files; rows of unknown size are counted, for 4 KB each."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(max(least, min(200_000, -(-size // per_piece))))
+    if size >= 1 << 60:
+        size = df.count() * 4096
+    return int(max(least, min(1 << 24, -(-size // per_piece))))
 
 
 def give_back_memory() -> None:
@@ -96,20 +99,32 @@ def bloom_positions(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class OnceTwice:
-    """Two Bloom filters over the same keys: which slots were set at least once, and at least twice."""
+    """Two Bloom filters over the same keys, as bits: which slots were set at least once, and at least twice."""
 
     def __init__(self, slots: int):
         self.slots = slots
-        self.once, self.twice = np.zeros(slots, bool), np.zeros(slots, bool)
+        self.once, self.twice = np.zeros(slots // 8, np.uint8), np.zeros(slots // 8, np.uint8)
+
+    @staticmethod
+    def _set(bits: np.ndarray, slots: np.ndarray) -> None:
+        """Sets ascending slots."""
+        if len(slots):
+            at, first = np.unique(slots >> 3, return_index=True)
+            bits[at] |= np.bitwise_or.reduceat((0x80 >> (slots & 7)).astype(np.uint8), first)
 
     def add(self, h: np.ndarray) -> None:
         for pos in bloom_positions(h, self.slots):
             slot, n = np.unique(pos, return_counts=True)
-            self.twice[slot] |= self.once[slot] | (n > 1)
-            self.once[slot] = True
+            before = self.once[slot >> 3] << (slot & 7).astype(np.uint8) & 0x80
+            self._set(self.twice, slot[(n > 1) | (before != 0)])
+            self._set(self.once, slot)
+
+    def see(self, slots: np.ndarray) -> None:
+        """Sets slots once."""
+        self._set(self.once, np.unique(slots))
 
     def packed(self) -> bytes:
-        return np.packbits(self.once).tobytes() + np.packbits(self.twice).tobytes()
+        return packed(self.once.tobytes() + self.twice.tobytes())
 
 
 def merge_filters(a: bytes, b: bytes) -> bytes:
@@ -126,25 +141,42 @@ def suspected(h: np.ndarray, twice: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
-def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16, merge: Callable[[bytes, bytes], bytes] = merge_filters) -> bytes:
-    """Merges one row of filters (or of what else ``merge`` takes, in slots / 4 bytes) per task on executors, ``fan_in`` at a time; the driver gets the merged one, of a fixed size."""
-    rdd = per_task.rdd.map(lambda r: bytes(r[0]))
-    n = rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // fan_in)
+def packed(f: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(f)
 
-        def fold(i: int, part: Iterator[bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
-            out = None
-            for f in part:
-                out = f if out is None else merge(out, f)
-            return iter([] if out is None else [(i % n, out)])
-
-        rdd = rdd.mapPartitionsWithIndex(fold).reduceByKey(merge, n).values()
-    out = bytes(slots // 4)
-    for f in rdd.collect():
-        out = merge(out, f)
-    give_back_memory()
-    return out
+
+def unpacked(f: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(f)
+
+
+def gather_filters(per_task: DataFrame, slots: int, fan_in: int = 16, merge: Callable[[bytes, bytes], bytes] = merge_filters, half: int | None = None) -> bytes:
+    """Merges one row of filters (or of what else ``merge`` takes, in slots / 4 bytes) per task on executors, ``fan_in`` at a time.
+
+    Rows travel ``packed``, as most of their bits are not set, and a task holds two at a time. The driver gets the merged
+    one, of a fixed size, and returns it packed; with ``half`` only its first or second half.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            for f in b.column(0):
+                raw = unpacked(f.as_py())
+                out = raw if out is None else merge(out, raw)
+        if out is not None:
+            if last and half is not None:
+                out = out[half * len(out) // 2 : (half + 1) * len(out) // 2]
+            yield pa.RecordBatch.from_pydict({"f": pa.array([packed(out)], pa.binary())})
+            del out
+            give_back_memory()
+
+    n, rows = per_task.rdd.getNumPartitions(), per_task
+    while True:
+        n = -(-n // fan_in)
+        rows = rows.repartition(n).mapInArrow(lambda batches, last=n == 1: fold(batches, last), "f binary")
+        if n == 1:
+            break
+    got = rows.collect()  # one row at most
+    return bytes(got[0][0]) if got else packed(bytes(slots // 4 if half is None else slots // 8))
 
 
 class Repeats:
@@ -181,8 +213,8 @@ class Repeats:
         self.twice = []
         for p in range(parts):
             mine = source.where(F.col("part") == p).select("h") if parts > 1 else source
-            both = gather_filters(mine.mapInArrow(fill, "f binary"), slots)
-            self.twice.append(spark.sparkContext.broadcast(both[len(both) // 2 :]))
+            self.twice.append(spark.sparkContext.broadcast(gather_filters(mine.mapInArrow(fill, "f binary"), slots, half=1)))
+        self.open: tuple[int, np.ndarray] | None = None  # in a task: the part asked last
 
     def _part(self, h: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -191,13 +223,14 @@ class Repeats:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Whether each key is suspected; for use in tasks."""
-        if not self.bits:
-            return suspected(h, np.frombuffer(self.twice[0].value, np.uint8), self.slots)
         out, part = np.zeros(len(h), bool), self._part(h)
         for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            out[at] = suspected(h[at], np.frombuffer(self.twice[p].value, np.uint8), self.slots)
-            del self.twice[p]._value  # read again from the executor's copy when it is needed next
+            if self.open is None or self.open[0] != p:
+                self.open = None
+                self.open = p, np.frombuffer(unpacked(self.twice[p].value), np.uint8)
+                del self.twice[p]._value  # read again from the executor's copy when it is needed next
+            at = slice(None) if not self.bits else np.flatnonzero(part == p)
+            out[at] = suspected(h[at], self.open[1], self.slots)
         return out
 
 
@@ -210,10 +243,10 @@ def id_filter(ids: DataFrame, slots: int):
     def fill(batches):
         f = OnceTwice(slots)
         for b in batches:
-            f.once[(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(slots - 1)).astype(np.int64)] = True
+            f.see((b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(slots - 1)).astype(np.int64))
         yield pa.RecordBatch.from_pydict({"f": [f.packed()]})
 
-    bits = gather_filters(ids.select(F.xxhash64(F.col(ids.columns[0]))).mapInArrow(fill, "f binary"), slots)[: slots // 8]
+    bits = unpacked(gather_filters(ids.select(F.xxhash64(F.col(ids.columns[0]))).mapInArrow(fill, "f binary"), slots, half=0))
     one = saved(ids.sparkSession.createDataFrame(pa.table({"bits": pa.array([bits], pa.binary())})), "ids")
 
     def test(col):

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import MOST_SLOTS, Repeats, bloom_slots, gather_filters, give_back_memory, id_filter, portions, saved, small_batches, words_of
+from gridloom.llm.common import MOST_SLOTS, Repeats, bloom_slots, gather_filters, give_back_memory, id_filter, packed, portions, saved, small_batches, unpacked, words_of
 from gridloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -100,14 +100,14 @@ def _frequencies(sets: DataFrame, most: int = 1 << 23) -> np.ndarray:
         for b in batches:
             for s in b.column(0).to_pylist():
                 np.add.at(n, (_unpack_set(s) & np.uint64(slots - 1)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pydict({"f": [np.minimum(n, 65535).astype(np.uint16).tobytes()]})
+        yield pa.RecordBatch.from_pydict({"f": [packed(np.minimum(n, 65535).astype(np.uint16).tobytes())]})
         give_back_memory()
 
     def add(a: bytes, b: bytes) -> bytes:
         n = np.frombuffer(a, np.uint16).astype(np.uint32) + np.frombuffer(b, np.uint16)
         return np.minimum(n, 65535).astype(np.uint16).tobytes()
 
-    return np.frombuffer(gather_filters(sets.select("set").mapInArrow(count, "f binary"), 8 * slots, merge=add), np.uint16)
+    return np.frombuffer(unpacked(gather_filters(sets.select("set").mapInArrow(count, "f binary"), 8 * slots, merge=add)), np.uint16)
 
 
 def _rarest(s: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
@@ -158,9 +158,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of k-word shingles (A-Z lower-cased,
     words ``[^\\x20\\x09-\\x0D]+``); component_id is the least id reachable. Equal sets are one node from the start. Two Bloom
     filters leave only group keys that may be shared; their pairs form the table keys. In every table each document is
-    checked against the table's least one. Where a table of three or more still holds several components, those outside its
-    largest are checked against ``heads`` members of that and one of another, turn by turn, as long as a turn halves what is
-    left. Of the tables that are still mixed then, all documents of different components that can be linked at all (by the
+    checked against the table's least one, its hub. Where tables of three or more still hold several components, the
+    documents outside the hub's are checked against ``heads`` members of one of these tables and one that is outside as well,
+    turn by turn, as long as a turn halves what is left. Of the tables that are still mixed then, all documents of different components that can be linked at all (by the
     rarest shingles of each, see ``_rarest``) are checked, until none is left. So two documents that share a table and are
     near enough are always in one component; candidates grow with the square of a group only where its documents stay
     unlinked but share rare shingles. All links that count are confirmed on the full sets.
@@ -255,26 +255,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return saved(part.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "part")
 
     hubs = members.where(F.col("id") != F.col("hub.id")).where(may_link(F.col("n"), F.col("hub.n")))
-    part = joined(wanted.select("id", F.col("id").alias("component")), linked(hubs.select(*ordered(F.col("id"), F.col("hub.id"))).distinct(), few=False))
-
-    # In a table of two, the hub has met the other one.
-    crowded, turn, left, before = members.where("size > 2").select("key", "id", "n"), 0, None, 0
+    direct = linked(hubs.select(*ordered(F.col("id"), F.col("hub.id"))).distinct(), few=False)
+    part = joined(wanted.select("id", F.col("id").alias("component")), direct)
+
+    # In a table of two, the hub has met the other one. In larger ones, those that its hub is not linked to are loose.
+    crowded, turn, left, before = members.where("size > 2"), 0, None, 0
+    of_hub = direct.select(F.col("a").alias("hub_id"), F.col("b").alias("id"))  # a hub has the least id of its table
+    loose = crowded.select("key", "id", "n", F.col("hub.id").alias("hub_id")).where("id <> hub_id")
+    loose = saved(loose.join(of_hub, ["hub_id", "id"], "left_anti"), "loose")
     while True:
-        now = crowded.join(part, "id")
-        head = F.struct(*(F.min(F.struct(F.xxhash64("id", F.lit(heads * turn + j)).alias("h"), "id", "n")).alias(f"h{j}") for j in range(heads)))
-        groups = now.groupBy("key", "component").agg(head.alias("heads"), F.count("*").alias("size"))
-        groups = groups.select("key", "component", F.struct("size", "component").alias("rank"), "heads", F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "component").alias("draw"))
-        mixed = groups.groupBy("key").agg(F.max_by("heads", "rank").alias("big"), F.max("rank").alias("most"), F.min_by("heads", "draw").alias("some"), F.count("*").alias("several"), F.sum("rank.size").alias("docs")).where("several > 1")
-        mixed = saved(mixed.select("key", F.col("most.component").alias("largest"), (F.col("docs") - F.col("most.size")).alias("left"), F.array(*(F.struct(f"big.h{j}.id", f"big.h{j}.n") for j in range(heads)), F.struct("some.h0.id", "some.h0.n")).alias("others")), "mixed")
-        before, left = left, mixed.agg(F.sum("left")).first()[0] or 0
+        hub_part = part.select(F.col("id").alias("hub_id"), F.col("component").alias("main"))
+        outside = saved(loose.join(part, "id").join(hub_part, "hub_id").where("component <> main").select("key", "id", "n", "component", "main"), "outside")
+        before, left = left, outside.count()
         if not left or (before is not None and 2 * left > before):
             break
-        outside = now.join(mixed, "key").where("component <> largest").select("id", "n", F.explode("others").alias("other"))
-        fresh = outside.where((F.col("id") != F.col("other.id")) & may_link(F.col("n"), F.col("other.n"))).select(*ordered(F.col("id"), F.col("other.id"))).distinct()
-        part, turn = joined(part, linked(fresh)), turn + 1
+        draw = lambda j: F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit((heads + 1) * turn + j)))  # noqa: E731, B023
+        offered = crowded.groupBy("key").agg(F.array(*(draw(j) for j in range(heads))).alias("others"))
+        another = outside.groupBy("key").agg(draw(heads).alias("another"))
+        # One table's offer for each document and component of a hub: the tables of a group offer much the same.
+        met = outside.join(offered, "key").join(another, "key").select("key", "id", "n", "main", F.array_append("others", F.col("another")).alias("others"))
+        met = met.groupBy("id", "n", "main").agg(F.min_by("others", F.xxhash64("key", F.lit(turn))).alias("others"))
+        met = met.select("id", "n", F.explode("others").alias("other")).where((F.col("id") != F.col("other.id")) & may_link(F.col("n"), F.col("other.n")))
+        part, turn = joined(part, linked(met.select(*ordered(F.col("id"), F.col("other.id"))).distinct())), turn + 1
 
     if left:
-        ids = saved(crowded.join(mixed.select("key"), "key", "left_semi").select("id").distinct().join(part, "id"), "unsettled")
+        # Every document of a table that is still mixed is of one of these components.
+        open_ = saved(outside.select("component").unionByName(outside.select(F.col("main").alias("component"))).distinct(), "open")
+        ids = saved(part.join(open_, "component", "left_semi").select("id", "component"), "unsettled")
         n_ids = ids.count()
         held = saved(sets.where(id_filter(ids.select("id"), bloom_slots(n_ids, most=most_slots))(F.col("id"))).join(ids, "id"), "unsettled-sets")
         rest = saved(_linkable(held, _frequencies(held), id_type, percent), "rest")

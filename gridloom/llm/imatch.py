@@ -13,6 +13,7 @@ from gridloom.llm.common import bloom_slots, pieces, saved
 LEVELS = (16, 64, 256, 1024, 4096)
 SUBSETS, DIGITS, NONE = 16, 6, "------"
 MOST_BITS = 1 << 23  # of a lexicon: 1 MB, a constant of the plan
+UNLIMITED, PLAN_CHARS = "2147483632b", "100000"  # the setting's default, and what op4 sets in its place
 _NO_TERM = 42  # xxhash64 of an empty array: its seed
 
 
@@ -31,6 +32,9 @@ class Lexicon:
     """
 
     def __init__(self, docs: DataFrame, text_col: str = "text", min_share: float = 1e-5, max_share: float = 0.05, min_df: int = 2, most_bits: int = MOST_BITS):
+        conf, key = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
+        if conf.get(key) == UNLIMITED:  # the bitmap is part of plans, whose texts the driver keeps
+            conf.set(key, PLAN_CHARS)
         n = docs.count()
         least = max(min_df, int(np.ceil(n * min_share)))
         terms = docs.select(F.explode(_hashed_words(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))

@@ -262,7 +262,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded, turn, left, before = members.where("size > 2"), 0, None, 0
     of_hub = direct.select(F.col("a").alias("hub_id"), F.col("b").alias("id"))  # a hub has the least id of its table
     loose = crowded.select("key", "id", "n", F.col("hub.id").alias("hub_id")).where("id <> hub_id")
-    loose = saved(loose.join(of_hub, ["hub_id", "id"], "left_anti"), "loose")
+    # Of the tables that share a hub, one for each document that is loose there; its other ones offer much the same.
+    loose = loose.join(of_hub, ["hub_id", "id"], "left_anti").groupBy("id", "n", "hub_id").agg(F.min_by("key", F.xxhash64("key", "id")).alias("key"))
+    loose = saved(loose, "loose")
     while True:
         hub_part = part.select(F.col("id").alias("hub_id"), F.col("component").alias("main"))
         outside = saved(loose.join(part, "id").join(hub_part, "hub_id").where("component <> main").select("key", "id", "n", "component", "main"), "outside")
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         draw = lambda j: F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit((heads + 1) * turn + j)))  # noqa: E731, B023
         offered = crowded.groupBy("key").agg(F.array(*(draw(j) for j in range(heads))).alias("others"))
         another = outside.groupBy("key").agg(draw(heads).alias("another"))
-        # One table's offer for each document and component of a hub: the tables of a group offer much the same.
+        # One table's offer for each document and component of a hub.
         met = outside.join(offered, "key").join(another, "key").select("key", "id", "n", "main", F.array_append("others", F.col("another")).alias("others"))
         met = met.groupBy("id", "n", "main").agg(F.min_by("others", F.xxhash64("key", F.lit(turn))).alias("others"))
         met = met.select("id", "n", F.explode("others").alias("other")).where((F.col("id") != F.col("other.id")) & may_link(F.col("n"), F.col("other.n")))

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import io
 import struct
+import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,23 +14,33 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import new_path, small_batches
+from gridloom.llm.common import bloom_slots, id_filter, new_path, saved, small_batches
 
 # Fixed values of the formats: the WARC dictionary frame's magic number, and an empty skippable frame, which ends each file.
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "\x50\x2a\x4d\x18\x00\x00\x00\x00"
-URN = "urn:x-page:"
+URN, NO_ID = "urn:x-page:", "urn:x-page-without-id:"
+
+
+def _urn(page_id) -> str:
+    """The record id of a page: its id with all but letters, digits and ``_.-~`` as %XX; a null id has a name of its own."""
+    return f"<{NO_ID}>" if page_id is None else f"<{URN}{urllib.parse.quote(str(page_id), safe='')}>"
+
+
+def _page_id(urn: str) -> str | None:
+    return None if urn == f"<{NO_ID}>" else urllib.parse.unquote(urn[len(URN) + 1 : -1])
+
 
 
 def _record(kind: str, page_id, url: str | None, date: str, digest: str, refers_to, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{URN}{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -67,29 +78,37 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, roll_bytes: int = 16 << 20, dictionary_bytes: int = 65536, level: int = 3, date: str = "2020-01-01T00:00:00Z", rename: bool = True) -> None:
-    """Writes a record per page to ``path``, as .warc.zst files of about ``roll_bytes`` uncompressed.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, roll_bytes: int = 16 << 20, dictionary_bytes: int = 65536, level: int = 3, date: str = "2020-01-01T00:00:00Z", rename: bool = False) -> None:
+    """Writes a record per page to ``path``, as files of about ``roll_bytes`` uncompressed.
 
     The payload is the column in UTF-8, null as empty. Of records with equal payloads of at least ``min_bytes``, the
     one with the largest id is a response and the others are revisits of it; smaller ones are all responses. Only
-    (digest, id) are aggregated; the pages meet the few repeated digests in one join, whose hot keys AQE splits.
-    Rows that repeat both the largest id and its payload are all responses. A null id ranks below every other and is
-    written as ``null``; a null url leaves out its header. An empty table writes a folder without archives. Files
-    come through Spark's commit protocol, so lost tasks leave nothing behind.
+    (digest, id) are aggregated. The repeated digests are written as a table; pages whose digest may be among them meet it
+    in one join, whose hot keys AQE can split, and the others pass straight through.
+    Rows that repeat both the largest id and its payload are all responses. A null id ranks below every other and has a
+    record id of its own kind; ids are escaped in headers as in URLs. A null url leaves out its header. Other columns are
+    ignored, whatever their names; very long payloads are whole. An empty table writes a folder without archives. Files
+    come through Spark's commit protocol, so lost tasks leave nothing behind, and keep the names that it gives; ``rename``
+    has the driver change their ends to .warc.zst, one by one.
     """
     spark = pages.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body).alias("sha"))
     groups = rows.where(F.octet_length("body") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    decided = rows.join(groups, "sha", "left").select("id", "url", "body", "sha", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("body") >= min_bytes), F.col("first")).alias("to"))
+    groups = saved(groups, "warc-repeated")
+    maybe = id_filter(groups.select("sha"), bloom_slots(groups.count(), 16))(F.col("sha"))
+    meets = maybe & (F.octet_length("body") >= min_bytes)
+    to = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("to")
+    met = rows.where(meets).join(groups, "sha", "left").select("id", "url", "body", "sha", to)
+    decided = met.unionByName(rows.where(~meets).withColumn("to", F.lit(None).cast(pages.schema[id_col].dataType)))
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
         for b in batches:
             for i, url, payload, sha, to in zip(*(b.column(c).to_pylist() for c in ("id", "url", "body", "sha", "to")), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                record = _record("response" if to is None else "revisit", "null" if i is None else i, url, date, digest, to, payload)
+                record = _record("response" if to is None else "revisit", i, url, date, digest, to, payload)
                 records.append(record)
                 size += len(record)
                 if size >= roll_bytes:
@@ -117,7 +136,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
     Digests and lengths of responses are computed from the payload read, and a digest that differs from its header's
     is an error; revisits have no payload, so theirs come from the headers that they keep of the full one.
     """
-    small_batches(spark, 8)
+    small_batches(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
@@ -133,7 +152,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
                         if digest != told:
                             raise ValueError(f"damaged payload in {head['WARC-Record-ID']}")
                     refers = head.get("WARC-Refers-To")
-                    rows.append((head["WARC-Record-ID"][len(URN) + 1 : -1], head.get("WARC-Target-URI"), kind, refers and refers[len(URN) + 1 : -1], length, told, payload if kind == "response" else None))
+                    rows.append((_page_id(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), kind, refers and _page_id(refers), length, told, payload if kind == "response" else None))
                     size += len(payload)
                     if size > 8 << 20:
                         yield _batch(rows, names)
@@ -142,7 +161,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
                     yield _batch(rows, names)
 
     got = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parse, "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
-    as_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(id_type).alias(c)
+    as_id = lambda c: F.col(c).cast(id_type).alias(c)
     return got.select(as_id("page_id"), "url", "record_type", as_id("refers_to"), "payload_bytes", "payload_digest", "payload")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,61 +10,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches
+from gridloom.llm.common import give_back_memory, portions, small_batches
 
-LETTERS = 64  # symbols: 0 between words, a-z, and 37 shared by all other letters
 UNKNOWN = "und"
+_BITS = 21  # of a code point; three make a trigram's code
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point: letters by their lower case, anything else 0."""
-    out = np.zeros(0x110000, np.uint8)
+def letter_table() -> np.ndarray:
+    """The lower-case letter of each code point that is a letter; 0 for anything else."""
+    out = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 40503 >> 3) % 37
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """Codes of the trigrams of the whole text; runs of anything but letters are one symbol, and the ends are such runs."""
-    s = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the trigrams of whole texts, one text after the other, and each one's text.
+
+    Runs of anything but letters are one gap, and a text's ends are gaps. A trigram has a letter in its middle.
+    """
+    raw = "\x00".join(texts).encode("utf-32-le", "surrogatepass")
+    s = np.concatenate([[0], table[np.frombuffer(raw, np.uint32)], [0]]).astype(np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    of = np.searchsorted(ends, np.arange(-1, len(s) - 1), side="right")
+    keep = np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])
+    s, of = s[keep], of[keep]
     if len(s) < 3:
-        return np.zeros(0, np.int32)
-    g = (s[:-2] * LETTERS + s[1:-1]) * LETTERS + s[2:]
-    return g[s[1:-1] != 0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    mid = s[1:-1] != 0
+    return ((s[:-2] << 2 * _BITS | s[1:-1] << _BITS | s[2:])[mid], of[1:-1][mid])
 
 
 class Vectors:
-    """n-gram vectors, made when first met: letter vectors of +1 and -1, permuted by place and multiplied."""
+    """n-gram vectors, made when first met: each letter's own random vector of +1 and -1, permuted by place and multiplied."""
+
+    def __init__(self, dims: int, seed: int, most: int = 1 << 17):
+        self.dims, self.seed, self.most = dims, seed, most
+        self.letters: dict[int, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes, self.place, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.dims), np.int8)
 
-    def __init__(self, dims: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.letters = (rng.integers(0, 2, (LETTERS, dims), np.int8) * 2 - 1).astype(np.int8)
-        self.at = np.full(LETTERS**3, -1, np.int32)
-        self.rows = np.zeros((0, dims), np.int8)
-        self.used = 0
+    def letter(self, cp: int) -> np.ndarray:
+        """The three places of a letter's vector (0: of a gap)."""
+        if cp not in self.letters:
+            v = (np.random.default_rng([self.seed, cp]).integers(0, 2, self.dims, np.int8) * 2 - 1).astype(np.int8)
+            self.letters[cp] = np.stack([np.roll(v, 2), np.roll(v, 1), v])
+        return self.letters[cp]
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.at[codes] < 0]
+        """Rows of the vectors of distinct ascending codes. Beyond ``most`` n-grams, earlier ones are made again when they return."""
+        if len(self.codes) > self.most:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        new = codes[self.codes[at] != codes] if len(self.codes) else codes
         if len(new):
-            a, b, c = new // LETTERS**2, new // LETTERS % LETTERS, new % LETTERS
-            made = np.roll(self.letters[a], 2, 1) * np.roll(self.letters[b], 1, 1) * self.letters[c]
-            if self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows[: self.used], np.zeros((max(4096, self.used, len(new)), self.rows.shape[1]), np.int8)])
-            self.rows[self.used : self.used + len(new)] = made
-            self.at[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-        return self.rows[self.at[codes]]
-
-    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            cps, which = np.unique(np.stack([new >> 2 * _BITS, new >> _BITS & (1 << _BITS) - 1, new & (1 << _BITS) - 1]), return_inverse=True)
+            table, (a, b, c) = np.stack([self.letter(cp) for cp in cps.tolist()]), which.reshape(3, -1)
+            made = table[a, 0] * table[b, 1] * table[c, 2]
+            self.codes, self.place = np.concatenate([self.codes, new]), np.concatenate([self.place, np.arange(len(self.rows), len(self.rows) + len(new))])
+            order = np.argsort(self.codes, kind="stable")
+            self.codes, self.place, self.rows = self.codes[order], self.place[order], np.concatenate([self.rows, made])
+            at = np.searchsorted(self.codes, codes)
+        return self.place[at]
+
+    def bundle(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of n-gram vectors by their counts; in blocks, so that many distinct ones take little memory."""
-        out = np.zeros(self.rows.shape[1], np.float64)
-        for i in range(0, len(codes), 8192):
-            out += counts[i : i + 8192].astype(np.float32) @ self.of(codes[i : i + 8192]).astype(np.float32)
+        out = np.zeros(self.dims, np.float64)
+        for i in range(0, len(rows), 8192):
+            out += counts[i : i + 8192].astype(np.float32) @ self.rows[rows[i : i + 8192]].astype(np.float32)
         return out
 
 
@@ -75,28 +93,31 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     """
     spark = labelled.sparkSession
     small_batches(spark)
-    table = spark.sparkContext.broadcast(symbol_table())
+    table = spark.sparkContext.broadcast(letter_table())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, seen = Vectors(dims, seed), {}
+        vectors, sums = Vectors(dims, seed), {}
 
         def flush() -> pa.RecordBatch:
-            names, sums = list(seen), [vectors.bundle(np.flatnonzero(c), c[np.flatnonzero(c)]) for c in seen.values()]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], ["lang", "v"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
+            sums.clear()
+            return out
 
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lang not in seen:
-                    if len(seen) >= 32:
-                        yield flush()
-                    seen[lang] = np.zeros(LETTERS**3, np.int32)
-                g = grams(text, table.value)
-                if len(g) < 4096:
-                    np.add.at(seen[lang], g, 1)
-                else:
-                    seen[lang] += np.bincount(g, minlength=LETTERS**3).astype(np.int32)
-        if seen:
+            texts, langs, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            for part in portions(texts):
+                codes, of = grams(part, table.value)
+                names, lang = np.unique(langs[at : at + len(part)], return_inverse=True)
+                distinct, place = np.unique(codes, return_inverse=True)
+                rows, lang_of = vectors.of(distinct), lang[of]
+                for k, name in enumerate(names.tolist()):
+                    n = np.bincount(place[lang_of == k], minlength=len(distinct))
+                    some = np.flatnonzero(n)
+                    sums[name] = sums.get(name, 0) + vectors.bundle(rows[some], n[some])
+                at += len(part)
+            if len(sums) > 64:
+                yield flush()
+        if sums:
             yield flush()
 
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
@@ -111,33 +132,39 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: lis
     """``keep`` columns of each row with lang_pred and score, the cosine to the nearest prototype, held to 0..1.
 
     A null text, one without letters, or no prototype gives ``und`` and 0; equal cosines go to the first language in
-    order. Texts are read whole, and only the text tells the language.
+    order. Texts are read whole, however long, and only the text tells the language; repeated rows give repeated results, and
+    columns of any name are carried.
     """
     spark = docs.sparkSession
     small_batches(spark)
     langs = sorted(profiles)
     unit = np.stack([profiles[x] / max(1e-12, float(np.linalg.norm(profiles[x]))) for x in langs]) if langs else np.zeros((0, dims))
-    given = spark.sparkContext.broadcast((symbol_table(), unit))
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    names = rows.columns[:-1]
+    given = spark.sparkContext.broadcast((letter_table(), unit))
+    names = docs.select(*keep).columns
+    free = next(f"_text{i}" for i in itertools.count() if f"_text{i}" not in {n.lower() for n in names})
+    rows = docs.select(*keep, F.col(text_col).alias(free))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string, score double"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, (table, unit) = Vectors(dims, seed), given.value
         for b in batches:
             pred, score = [], []
-            for text in b.column("_text").to_pylist():
-                g = grams(text or "", table)
-                if not len(g) or not langs:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                codes, counts = np.unique(g, return_counts=True)
-                v = vectors.bundle(codes, counts)
-                cos = unit @ v / max(1e-12, float(np.linalg.norm(v)))
-                k = int(np.argmax(cos))
-                pred.append(langs[k])
-                score.append(min(1.0, max(0.0, float(cos[k]))))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            for part in portions([t or "" for t in b.column(len(names)).to_pylist()]):
+                codes, of = grams(part, table)
+                distinct, place = np.unique(codes, return_inverse=True)
+                rows = vectors.of(distinct)
+                for i, j in itertools.pairwise(np.searchsorted(of, np.arange(len(part) + 1)).tolist()):
+                    if i == j or not langs:
+                        pred.append(UNKNOWN)
+                        score.append(0.0)
+                        continue
+                    own, n = np.unique(place[i:j], return_counts=True)
+                    v = vectors.bundle(rows[own], n)
+                    cos = unit @ v / max(1e-12, float(np.linalg.norm(v)))
+                    k = int(np.argmax(cos))
+                    pred.append(langs[k])
+                    score.append(min(1.0, max(0.0, float(cos[k]))))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        give_back_memory()
 
     return rows.mapInArrow(work, schema)

@@ -101,3 +101,122 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     kept = {i for i in range(len(texts)) if not any(near(i, j) for j in range(i))}  # every group here is a clique
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(kept) == 7 and {r.doc_id for r in p.near_dedup(spark, docs, "").collect()} == kept
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The small table's documents with null, empty and blank texts, null ids and fields, repeated rows and ids, and a column more."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "src1", 0), (10**6 + 2, " \n ", "en", "src1", 3), (None, "a text without an id", "en", None, 20), (10**6 + 3, "same id", "en", "s", 7), (10**6 + 3, "same id", "en", "s", 7)], docs.schema)
+    return docs.unionByName(more).withColumn("_text", F.lit(1))
+
+
+def test_toxicity_stage_against_each_score(spark, odd):
+    import corpus_pipeline as p
+    from gridloom.llm.queries import toxicity_held_out
+    from gridloom.llm.toxicity import fit_toxicity
+
+    model = fit_toxicity(odd, spark.read.parquet(f"{SF}/labels.parquet"), ~toxicity_held_out())
+    want = [r for r in odd.collect() if model.scores([r.text or ""])[0] < 0.3]  # one text at a time
+    got = p.toxicity(spark, odd, SF)
+    assert got.columns == odd.columns and 0 < len(want) < odd.count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
+def test_lines_stage_against_brute_force(spark, odd):
+    import collections
+
+    import corpus_pipeline as p
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
+    rows, holders = odd.collect(), collections.defaultdict(list)
+    for r in rows:
+        for k in {key(line) for line in (r.text or "").split("\n")}:
+            if len(k) >= 40:
+                holders[k].append(-1 if r.doc_id is None else r.doc_id)
+    lost = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    assert lost
+
+    def of(r):
+        lines = (r.text or "").split("\n")
+        stay = [x for x in lines if key(x) not in lost or lost[key(x)] == r.doc_id]
+        text = "\n".join(stay)
+        return (r.doc_id, text, r.lang, r.source, r.n_chars if len(stay) == len(lines) else len(text), 1)
+
+    got = p.lines(spark, odd, SF)
+    assert got.columns == odd.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(of, rows)))
+
+
+def test_mixing_stage_against_its_rates(spark, odd):
+    import collections
+    import math
+
+    import corpus_pipeline as p
+    from gridloom.llm.mixing import mixing_rates, quality_domains
+
+    rated = mixing_rates(odd, quality_domains(spark.read.parquet(f"{SF}/labels.parquet")), p.TARGETS, scale=None, floor=1.0).collect()
+    got = p.mixing(spark, odd, SF)
+    assert got.columns == odd.columns
+    times = collections.Counter(str(tuple(r)) for r in got.collect())
+    each = collections.defaultdict(list)
+    for r in rated:
+        each[str(tuple(r[c] for c in odd.columns))].append(r._rate)
+    assert set(times) == set(each)
+    for k, rates in each.items():
+        assert sum(math.floor(x) for x in rates) <= times[k] <= sum(math.floor(x) + 1 for x in rates)
+
+
+def test_bpe_stage_against_the_library(spark, odd):
+    import hashlib
+
+    import corpus_pipeline as p
+    import numpy as np
+    from gridloom.llm.queries import tokenizer_path
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+
+    def of(r):
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        return (*r, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids, skip_special_tokens=False).encode()))
+
+    got = p.bpe(spark, odd, SF)
+    assert got.columns == [*odd.columns, "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(of, odd.collect())))
+
+
+def test_near_dedup_stage_against_brute_force(spark, odd):
+    import collections
+
+    import corpus_pipeline as p
+
+    rows, sets = odd.collect(), collections.defaultdict(set)
+    for r in rows:
+        ws = (r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        ws = [w for w in __import__("re").split("[\x20\x09-\x0D]+", ws) if w]
+        if ws and r.doc_id is not None:
+            sets[r.doc_id] |= {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+    least = {i: i for i in sets}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                least[y] = x
+    want = [r for r in rows if r.doc_id not in sets or top(r.doc_id) == r.doc_id]
+    assert len(want) < len(rows)
+    got = p.near_dedup(spark, odd, SF)
+    assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, want))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.align import align_tokenizers
 from gridloom.llm.bpe import bpe_encode
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.imatch import fingerprint_and_edit
@@ -15,6 +16,8 @@ from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.mixing import mixing_rates, quality_domains
 from gridloom.llm.ngram_lm import score_documents
+from gridloom.llm.prefix_trie import lend_heads, number_turns, prefix_trie
+from gridloom.llm.sharding import pack_shards
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 from gridloom.llm.warc import warc_round_trip
 
@@ -130,9 +133,63 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, profiles, ["doc_id", held_out])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*lend_heads(number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+OP11_SQL = """
+WITH said AS (
+  SELECT conv_id, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS said, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, said, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS depth FROM said),
+own AS (SELECT conv_id, max(depth) AS own FROM turns GROUP BY conv_id),
+convs AS (
+  SELECT conv_id, own, conv_id - conv_id % 100 AS lender,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM own),
+sized AS (
+  SELECT c.conv_id, c.lender, c.h, least(c.h, coalesce(l.own, 0)) AS took, least(c.h, coalesce(l.own, 0)) + greatest(c.own - c.h, 0) AS turns
+  FROM convs c LEFT JOIN own l ON l.conv_id = c.lender),
+rebuilt AS (
+  SELECT s.conv_id, t.depth, t.said, t.n FROM sized s JOIN turns t ON t.conv_id = s.lender AND t.depth <= s.h
+  UNION ALL SELECT s.conv_id, t.depth - s.h + s.took, t.said, t.n FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND t.depth > s.h),
+prefixes AS (
+  SELECT conv_id, depth, n, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM sized),
+nodes AS (
+  SELECT p.prefix, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(p.n) AS n,
+         sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (p.depth = s.turns), '')) AS ends_sha256
+  FROM prefixes p JOIN sized s ON s.conv_id = p.conv_id GROUP BY p.prefix, p.depth),
+linked AS (
+  SELECT v.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth > 0 AND left(c.prefix, 64 * (c.depth - 1)) = v.prefix AND c.depth = v.depth + 1) AS n_children
+  FROM nodes v LEFT JOIN nodes u ON v.depth > 0 AND u.depth = v.depth - 1 AND u.prefix = left(v.prefix, 64 * (v.depth - 1))),
+sums AS (
+  SELECT p.prefix, p.depth, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.n)::BIGINT AS saved_tokens
+  FROM linked v JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.prefix, p.depth)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM linked JOIN sums USING (prefix, depth)
+"""
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_shards(_documents(spark, sf_dir))
+
+
+def piece_path() -> str:
+    """Where the public sentencepiece model is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_documents(spark, sf_dir), tokenizer_path(), piece_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op3_minhash": op3_minhash, "op4_imatch_fingerprint": op4_imatch_fingerprint, "op5_ngram_lm": op5_ngram_lm, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_toxicity": op8_toxicity, "op9_line_dedup": op9_line_dedup, "op10_language": op10_language,
+            "op11_prefix_trie": op11_prefix_trie, "op12_vector_packing": op12_vector_packing, "op13_alignment": op13_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_minhash": OP3_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_minhash": OP3_SQL, "op9_line_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL}

@@ -220,7 +220,8 @@ def test_two_pointers_meet_where_both_end():
     r = random.Random(8)
     for _ in range(100):
         a, b = (sorted(r.sample(range(1, 40), r.randint(0, 20))) for _ in range(2))
-        assert list(merge_ends(a, b)) == [(a.index(x) + 1, b.index(x) + 1) for x in sorted({*a} & {*b})]
+        p, q = merge_ends(np.array(a, np.int64), np.array(b, np.int64))
+        assert list(zip(p, q, strict=True)) == [(a.index(x) + 1, b.index(x) + 1) for x in sorted({*a} & {*b})]
 
 
 def test_string_ids_pass(spark):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import prefix_trie as trie_module
-from gridloom.llm.align import align_tokenizers, merge_ends
+from gridloom.llm.align import Aligner, align_tokenizers, merge_ends
 from gridloom.llm.prefix_trie import lend_heads, number_turns, prefix_trie
 from gridloom.llm.queries import piece_path, tokenizer_path
 from gridloom.llm.sharding import pack_shards, place
@@ -224,6 +224,17 @@ def test_two_pointers_meet_where_both_end():
         assert list(zip(p, q, strict=True)) == [(a.index(x) + 1, b.index(x) + 1) for x in sorted({*a} & {*b})]
 
 
+def test_both_encoders_of_side_a_agree_on_every_code_point():
+    import tokenizers
+
+    tool = Aligner(tokenizer_path(), piece_path())
+    own = tokenizers.Tokenizer.from_file(tokenizer_path())
+    own.encode_special_tokens = True
+    for k in range(0, 0x110000, 40_000):
+        texts = [f" a{c}b {c}{c} 1{c}2 {c} " for c in map(chr, range(k, min(k + 40_000, 0x110000))) if not 0xD800 <= ord(c) < 0xE000]
+        assert tool.encode_a(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_string_ids_pass(spark):
     df = spark.createDataFrame([("b", "one two"), ("a", None)], "doc_id string, text string")
     assert sorted(r.doc_id for r in align_tokenizers(df, tokenizer_path(), piece_path()).collect()) == ["a", "b"]

@@ -71,6 +71,55 @@ def pairs(left: DataFrame, right: DataFrame, key: str = "image", how: str = "inn
     return prefixed(left, "l_", key).join(prefixed(right, "r_", key), key, how)
 
 
+def _level(prefix: str = "") -> Column:
+    """The least k >= 3 for which cells of 2^k units are as long as the box's longer side, 30 at most."""
+    side = F.greatest(F.col(prefix + "x1") - F.col(prefix + "x0"), F.col(prefix + "y1") - F.col(prefix + "y0"))
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(8.0)))), F.lit(3)), F.lit(30)).cast("int")
+
+
+def _cell(v: Column, level: Column) -> Column:
+    return F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _in_cells(df: DataFrame, prefix: str, levels: Column, key: str) -> DataFrame:
+    """Each box in every cell that it touches, at each of its ``levels``: one to four cells a level, as no cell is shorter than the box."""
+    at = df.withColumn("_level", F.explode(levels))
+    for axis in "xy":
+        lo, hi = _cell(F.col(f"{prefix}{axis}0"), F.col("_level")), _cell(F.col(f"{prefix}{axis}1"), F.col("_level"))
+        at = at.withColumn(f"_c{axis}", F.explode(F.sequence(lo, F.greatest(lo, hi))))
+    return at
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str = "image", crowd: int = 1_000_000) -> DataFrame:
+    """Pairs of boxes of the same ``key`` that share an area, each once; columns of the sides get the prefixes l_ and r_.
+
+    Keys with at most ``crowd`` pairs are joined as they are. The boxes of a crowded key go to the cells of grids whose cells
+    double in size: a box's own grid is the first whose cells are as long as it, and a pair meets in the own grid of the
+    larger box, in the cell of their intersection's first corner. Each side is joined by its own grids with the other side's
+    boxes of the same size or smaller, so that small boxes only ever meet boxes close to them. Boxes without an area, and those
+    with a null corner or key, are in no pair.
+    """
+    a, b = prefixed(left, "l_", key), prefixed(right, "r_", key)
+    full = lambda p: (F.col(p + "x1") > F.col(p + "x0")) & (F.col(p + "y1") > F.col(p + "y0"))
+    a, b = a.where(full("l_")), b.where(full("r_"))
+    size = lambda df, p, n: df.groupBy(key).agg(F.count("*").alias(n), F.collect_set(_level(p)).alias(f"{n}_levels"))
+    crowded = size(a, "l_", "_nl").join(size(b, "r_", "_nr"), key).where(F.col("_nl") * F.col("_nr") > crowd).select(key, "_nl_levels", "_nr_levels")
+    a, b = a.join(crowded, key, "left"), b.join(crowded.select(F.col(key).alias("_k"), *(F.col(c).alias(f"{c}_") for c in ("_nl_levels", "_nr_levels"))), F.col(key) == F.col("_k"), "left").drop("_k")
+    few = a.where("_nl_levels is null").drop("_nl_levels", "_nr_levels").join(b.where("_nl_levels_ is null").drop("_nl_levels_", "_nr_levels_"), key)
+    a, b = a.where("_nl_levels is not null"), b.where("_nl_levels_ is not null")
+    own_a, own_b = F.array(_level("l_")), F.array(_level("r_"))
+    coarser = lambda levels, own, equal: F.filter(levels, lambda k: (k >= own) if equal else (k > own))
+    roles = ((own_a, coarser(F.col("_nl_levels_"), _level("r_"), True)), (coarser(F.col("_nr_levels"), _level("l_"), False), own_b))
+    at = [key, "_level", "_cx", "_cy"]
+    parts = [few]
+    for of_a, of_b in roles:
+        met = _in_cells(a, "l_", of_a, key).drop("_nl_levels", "_nr_levels").join(_in_cells(b, "r_", of_b, key).drop("_nl_levels_", "_nr_levels_"), at)
+        corner = [_cell(F.greatest(f"l_{c}0", f"r_{c}0"), F.col("_level")) == F.col(f"_c{c}") for c in "xy"]
+        parts.append(met.where(corner[0] & corner[1]).drop("_level", "_cx", "_cy"))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.where(intersection(corners("l_"), corners("r_")) > 0)
+
+
 def box_iou_matrix(left: DataFrame, right: DataFrame, key: str = "image") -> DataFrame:
     p = pairs(left, right, key)
     return p.select(key, "l_idx", "r_idx", iou(corners("l_"), corners("r_"), 1e-6).alias("iou"), giou(corners("l_"), corners("r_")).alias("giou"))
@@ -78,16 +127,17 @@ def box_iou_matrix(left: DataFrame, right: DataFrame, key: str = "image") -> Dat
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str = "image") -> DataFrame:
     """Every left box with the largest IoU of any right box of its image, 0 where there is none."""
-    p = pairs(left, right, key, "left")
-    value = F.coalesce(iou(corners("l_"), corners("r_")), F.lit(0.0))
-    return p.groupBy(key, F.col("l_idx").alias("idx")).agg(F.max(value).alias("best_iou"))
+    hit = overlapping(left, right, key).select(key, F.col("l_idx").alias("idx"), iou(corners("l_"), corners("r_")).alias("v"))
+    return hit.unionByName(left.select(key, "idx", F.lit(0.0).alias("v"))).groupBy(key, "idx").agg(F.max("v").alias("best_iou"))
 
 
 def label_proposals(proposals: DataFrame, truth: DataFrame, threshold: float, background: str, key: str = "image") -> DataFrame:
-    """Every proposal with its best box of the truth (the least idx among equals) and that box's category, or ``background`` under the threshold."""
-    p = pairs(proposals, truth, key, "left")
-    v = F.coalesce(F.round(iou(corners("l_"), corners("r_")), 9), F.lit(0.0))
-    best = p.groupBy(key, F.col("l_idx").alias("idx")).agg(F.max(F.struct(v.alias("iou"), (-F.col("r_idx")).alias("neg"), F.col("r_category").alias("category"))).alias("b"))
+    """Every proposal with its best box of the truth (the least idx among equals) and that box's category, or ``background`` under the threshold, which is over 0."""
+    value = lambda v, neg, category: F.struct(v.alias("iou"), neg.alias("neg"), category.alias("category"))
+    hit = overlapping(proposals, truth, key).select(key, F.col("l_idx").alias("idx"), value(F.round(iou(corners("l_"), corners("r_")), 9), -F.col("r_idx"), F.col("r_category")).alias("b"))
+    types = dict(truth.dtypes)
+    alone = proposals.select(key, "idx", value(F.lit(0.0), F.lit(None).cast(types["idx"]), F.lit(None).cast(types["category"])).alias("b"))
+    best = hit.unionByName(alone).groupBy(key, "idx").agg(F.max("b").alias("b"))
     hit = F.col("b.iou") >= threshold
     return best.select(key, "idx", F.when(hit, -F.col("b.neg")).alias("gt_idx"), F.when(hit, F.col("b.category")).otherwise(background).alias("label"))
 
@@ -103,9 +153,9 @@ def pick_proposal(proposals: DataFrame, reference: DataFrame, px: Column, py: Co
 
 def paste_filter(pasted: DataFrame, targets: DataFrame, most: float = 0.5, key: str = "image") -> DataFrame:
     """Pasted boxes that cover less than ``most`` of every target of their image."""
-    p = pairs(pasted, targets, key, "left")
-    over = F.coalesce(F.when(area(corners("r_")) > 0, intersection(corners("l_"), corners("r_")) / area(corners("r_"))).otherwise(0.0), F.lit(0.0))
-    return p.groupBy(key, F.col("l_idx").alias("idx")).agg(F.max(over).alias("most")).where(F.col("most") < most).select(key, "idx")
+    over = (intersection(corners("l_"), corners("r_")) / area(corners("r_"))).alias("v")
+    hit = overlapping(pasted, targets, key).select(key, F.col("l_idx").alias("idx"), over)
+    return hit.unionByName(pasted.select(key, "idx", F.lit(0.0).alias("v"))).groupBy(key, "idx").agg(F.max("v").alias("most")).where(F.col("most") < most).select(key, "idx")
 
 
 def near_crop_edge(b: list[Column], crop: list[float], image: list[float], atol: float = 20.0) -> Column:
@@ -132,22 +182,19 @@ def jittered(df: DataFrame, key: list[str], fraction: float, seed: int) -> DataF
     return df.select(*(c for c in df.columns if c not in CORNERS), F.least(new[0], new[2]).alias("x0"), F.least(new[1], new[3]).alias("y0"), F.greatest(new[0], new[2]).alias("x1"), F.greatest(new[1], new[3]).alias("y1"))
 
 
-def tile_boxes(width: int, height: int, layers: int, overlap: float) -> list[tuple[int, int, int, int, int]]:
-    """Crop boxes (layer, x0, y0, x1, y1): layer 0 is the image; layer i has 2^i boxes a side that overlap by a share of the short side."""
-    out = [(0, 0, 0, width, height)]
-    for i in range(1, layers + 1):
-        n = 2**i
-        shared = int(overlap * min(width, height) * 2 / n)
-        w, h = (-(-(shared * (n - 1) + side) // n) for side in (width, height))
-        for ky in range(n):
-            for kx in range(n):
-                x, y = (w - shared) * kx, (h - shared) * ky
-                out.append((i, x, y, min(x + w, width), min(y + h, height)))
-    return out
+def tile_boxes(images: DataFrame, layers: int, overlap: float) -> DataFrame:
+    """``images`` (with width and height) by crop: layer, crop, x0, y0, x1, y1. Layer 0 is the image; layer i has 2^i boxes a side that overlap by a share of the short side."""
+    n = F.pow(F.lit(2), F.col("layer")).cast("int")
+    at = images.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers)))).withColumn("crop", F.explode(F.sequence(F.lit(0), n * n - 1)))
+    shared = F.floor(overlap * F.least("width", "height") * 2 / n)
+    box = {}
+    for axis, side, k in (("x", "width", F.col("crop") % n), ("y", "height", F.floor(F.col("crop") / n))):
+        long = F.ceil((shared * (n - 1) + F.col(side)) / n)
+        box |= {f"{axis}0": ((long - shared) * k).cast("int"), f"{axis}1": F.least((long - shared) * k + long, F.col(side)).cast("int")}
+    return at.withColumns(box)
 
 
-def point_grid(spark, n: int) -> DataFrame:
-    """n * n points, evenly spaced at the centres of the unit square's cells: x, y."""
-    axis = F.sequence(F.lit(0), F.lit(n - 1))
-    at = lambda c: (F.col(c) + 0.5) / n
-    return spark.range(1).select(F.explode(axis).alias("j")).select("j", F.explode(axis).alias("i")).select(at("i").alias("x"), at("j").alias("y"))
+def point_grid(images: DataFrame, n: int) -> DataFrame:
+    """``images`` (with width and height) by point: n * n points (px, py), evenly spaced at the centres of the image's cells."""
+    at = images.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    return at.withColumns({"px": (F.col("_k") % n + 0.5) / n * F.col("width"), "py": (F.floor(F.col("_k") / n) + 0.5) / n * F.col("height")}).drop("_k")

@@ -20,14 +20,6 @@ def encode(pixels: DataFrame, key: str = "mask") -> DataFrame:
     return packed.select(key, F.when(F.element_at("runs", 1)["run"] == 0, lengths).otherwise(F.concat(F.array(F.lit(0)), lengths)).alias("counts"))
 
 
-def decode(codes: DataFrame, key: str = "mask", counts: str = "counts") -> DataFrame:
-    """Pixel rows of the set pixels: (key, p)."""
-    ends = F.aggregate(counts, F.array().cast("array<int>"), lambda acc, c: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + c).cast("int"))))
-    ended = codes.select(key, F.col(counts).alias("c"), F.when(F.size(counts) > 0, ends).otherwise(F.array().cast("array<int>")).alias("e"))
-    runs = ended.select(key, F.posexplode(F.arrays_zip("c", "e")).alias("i", "r")).where("i % 2 = 1 and r.c > 0")
-    return runs.select(key, F.explode(F.sequence(F.col("r.e") - F.col("r.c"), F.col("r.e") - 1)).alias("p"))
-
-
 def rle_area(counts: Column) -> Column:
     """Set pixels: the runs at odd places."""
     return F.aggregate(F.filter(counts, lambda c, i: i % 2 == 1), F.lit(0), lambda a, c: (a + c).cast("int"))
@@ -43,17 +35,6 @@ def tight_box(on: DataFrame, height: int, key: str = "mask") -> DataFrame:
     return on.groupBy(key).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
 
 
-def overlaps(pairs: DataFrame, on: DataFrame, areas: DataFrame, key: str = "mask") -> DataFrame:
-    """IoU, coverage of a by b, and of b by a, of the mask pairs (a, b); 0 for empty denominators."""
-    left = pairs.join(on.select(F.col(key).alias("a"), "p"), "a")
-    both = left.join(on.select(F.col(key).alias("b"), "p"), ["b", "p"]).groupBy("a", "b").agg(F.count("*").alias("i"))
-    size = lambda c: areas.select(F.col(key).alias(c), F.col("area").alias(f"area_{c}"))
-    p = pairs.join(both, ["a", "b"], "left").join(size("a"), "a").join(size("b"), "b").withColumn("i", F.coalesce("i", F.lit(0)))
-    u = F.col("area_a") + F.col("area_b") - F.col("i")
-    share = lambda d: F.when(d > 0, F.col("i") / d).otherwise(0.0)
-    return p.select("a", "b", share(u).alias("iou"), share(F.col("area_a")).alias("coverage"), share(F.col("area_b")).alias("ioy"))
-
-
 def stability(values: DataFrame, key: str, value: str, threshold: float, offset: float) -> DataFrame:
     """Pixels over threshold + offset, per pixels over threshold - offset (null where there are none)."""
     n = lambda t: F.count(F.when(F.col(value) > t, 1))
@@ -81,11 +62,6 @@ def nearest_resize(pixels: DataFrame, side: int, new_side: int, key: str = "mask
     return pixels.join(F.broadcast(new), "p").select(key, F.col("new_p").alias("p"), "on_")
 
 
-def united(on: DataFrame, group: str) -> DataFrame:
-    """(group, p): pixels that any mask of the group sets."""
-    return on.select(group, "p").distinct()
-
-
 def bilinear_resize(pixels: DataFrame, side: int, new_side: int, key: str = "mask") -> DataFrame:
     """Masks at another size: values between pixel centres, set where they are over half of the mask's largest."""
     at = [min(max((k + 0.5) * side / new_side - 0.5, 0.0), side - 1.0) for k in range(new_side)]

@@ -11,11 +11,13 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.suppress import bucketed, in_groups
+from gridloom.sources.storage import materialized
 
 EXTRACTORS: dict[str, Callable] = {}
 
@@ -214,43 +216,47 @@ def sequential_grow(feat, y, x, q: float = 0.8, delta: float = 0.1, min_size: in
 
 
 def distribute(feat: np.ndarray, labels: np.ndarray, y: np.ndarray, x: np.ndarray, least: float = -2.0) -> np.ndarray:
-    """Free cells (label 0) go, best first, to the touching label whose prototype they resemble most; ties by row, column, label."""
-    near, u, out = neighbours_of(edges_of(y, x), len(feat)), unit(feat), labels.copy()
-    proto = {int(k): unit(feat[labels == k].mean(0)) for k in np.unique(labels[labels > 0])}
-    heap: list[tuple] = []
-
-    def offer(i: int) -> None:
-        for j in near[i]:
-            if out[j] == 0:
-                s = round(float(u[j] @ proto[int(out[i])]), 9)
-                if s >= least:
-                    heapq.heappush(heap, (-s, int(y[j]), int(x[j]), int(out[i]), j))
-
-    for i in np.flatnonzero(out > 0):
-        offer(i)
-    while heap:
-        *_, k, j = heapq.heappop(heap)
-        if out[j] == 0:
-            out[j] = k
-            offer(j)
-    return out
+    """Free cells (label 0) go, best first, to the touching label whose prototype they resemble most; ties by row, column, label.
+
+    Every cell's likeness to every label is known from the start, so all claims are ranked once; what is open is a queue
+    of ranks.
+    """
+    names = np.unique(labels[labels > 0])
+    if not len(names):
+        return labels.copy()
+    near, k = neighbours_of(edges_of(y, x), len(feat)), len(names)
+    score = np.round(unit(feat) @ unit(np.stack([feat[labels == n].mean(0) for n in names])).T, 9).ravel()
+    cell, of = np.divmod(np.arange(len(score)), k)
+    claims = np.lexsort((of, x[cell], y[cell], -score))
+    rank = np.empty(len(claims), np.int64)
+    rank[claims] = np.arange(len(claims))
+    owner = np.where(labels > 0, np.searchsorted(names, labels), -1)
+
+    def opened(i: int) -> list[int]:
+        return [int(rank[c]) for j in near[i] if owner[j] < 0 and score[c := j * k + owner[i]] >= least]
+
+    queue = [r for i in np.flatnonzero(owner >= 0).tolist() for r in opened(i)]
+    heapq.heapify(queue)
+    while queue:
+        j, n = divmod(int(claims[heapq.heappop(queue)]), k)
+        if owner[j] < 0:
+            owner[j] = n
+            for r in opened(j):
+                heapq.heappush(queue, r)
+    return np.where(owner >= 0, names[owner], 0)
 
 
 def merge_similar(feat: np.ndarray, labels: np.ndarray, threshold: float, pairs: set[tuple[int, int]] | None = None) -> np.ndarray:
     """Labels over 0 whose prototypes' cosine is at least the threshold become one (the least), of all pairs or of the given ones, transitively."""
-    names = np.unique(labels[labels > 0])
-    if not len(names):
+    names, at = np.unique(labels, return_inverse=True)
+    real = names > 0
+    if not real.any():
         return labels
-    proto = unit(np.stack([feat[labels == k].mean(0) for k in names]))
-    f = Forest(len(names))
-    for a in range(len(names)):
-        for b in range(a + 1, len(names)):
-            if (pairs is None or (int(names[a]), int(names[b])) in pairs) and round(float(proto[a] @ proto[b]), 9) >= threshold:
-                f.union(a, b)
-    out = labels.copy()
-    for k in range(len(names)):
-        out[labels == names[k]] = min(names[j] for j in range(len(names)) if f.find(j) == f.find(k))
-    return out
+    proto = unit(np.stack([feat[labels == k].mean(0) for k in names[real]]))
+    alike = np.argwhere(np.triu(np.round(proto @ proto.T, 9) >= threshold, 1)) + np.flatnonzero(real)[0]
+    if pairs is not None:
+        alike = np.array([p for p in alike.tolist() if (int(names[p[0]]), int(names[p[1]])) in pairs], np.int64).reshape(-1, 2)
+    return names[components(len(names), alike)][at]
 
 
 @register_extractor("grow_and_merge")
@@ -299,10 +305,15 @@ def seam_merge(feat, y, x, q: float = 0.7, threshold: float = 0.4, thickness: in
     near = neighbours_of(e, len(feat))
     f = Forest(int(labels.max(initial=0)) + 1)
 
+    along: dict[tuple[int, int], set[int]] = {}
+    for i, j in np.concatenate([e, e[:, ::-1]]).tolist():
+        if labels[i] != labels[j]:
+            along.setdefault((int(labels[i]), int(labels[j])), set()).add(i)
+
     def band(a: int, b: int) -> np.ndarray:
-        inside = {i for p in e.tolist() for i, j in (p, p[::-1]) if labels[i] == a and labels[j] == b}
+        inside = along[a, b]
         for _ in range(thickness - 1):
-            inside |= {j for i in inside for j in near[i] if labels[j] == a}
+            inside = inside | {j for i in inside for j in near[i] if labels[j] == a}
         return unit(feat[sorted(inside)].mean(0))
 
     for a, b in sorted(touching_pairs(labels, y, x)):
@@ -318,34 +329,39 @@ def agglomerate(feat: np.ndarray, y: np.ndarray, x: np.ndarray, thresholds: list
     each other; a level at which only one cluster is left has no labelling.
     """
     n = len(feat)
-    total, members = feat.copy(), {i: [i] for i in range(n)}
+    total = np.concatenate([feat, np.zeros_like(feat[:-1])]).astype(float)  # of every cluster that may come up
+    unit_of = unit(total)
+    members = {i: [i] for i in range(n)}
     edges = edges_of(y, x)
     near = {i: set(v) for i, v in enumerate(neighbours_of(edges, n))}
-    came = iter(range(10**9))
-    sim: dict[tuple[int, int], tuple[float, int]] = {}
-    norms = unit(total)
-    for a, b in edges.tolist():
-        sim[min(a, b), max(a, b)] = (float(norms[a] @ norms[b]), next(came))
+    came = iter(range(10**12))
+    # entries of clusters that have been merged since are dropped when they come up
+    heap = [(-float(unit_of[a] @ unit_of[b]), next(came), min(a, b), max(a, b)) for a, b in edges.tolist()]
+    heapq.heapify(heap)
     out, fresh = {}, n
     for t in thresholds:
-        while sim:
-            (a, b), (s, _) = max(sim.items(), key=lambda kv: (kv[1][0], -kv[1][1]))
-            if s < t:
+        while heap:
+            s, _, a, b = heap[0]
+            if a not in near or b not in near:
+                heapq.heappop(heap)
+                continue
+            if -s < t:
                 break
-            total = np.vstack([total, total[a] + total[b]])
-            members[fresh] = members.pop(a) + members.pop(b)
-            around = (near.pop(a) | near.pop(b)) - {a, b}
-            for k in list(sim):
-                if a in k or b in k:
-                    del sim[k]
-            u = unit(total[fresh])
+            total[fresh] = total[a] + total[b]
+            unit_of[fresh] = unit(total[fresh])
+            few, many = sorted((members.pop(a), members.pop(b)), key=len)
+            many += few
+            members[fresh] = many
+            few, around = sorted((near.pop(a), near.pop(b)), key=len)
+            around |= few
+            around -= {a, b}
             for c in sorted(around):
                 near[c] -= {a, b}
                 near[c].add(fresh)
-                sim[c, fresh] = (float(u @ unit(total[c])), next(came))
+                heapq.heappush(heap, (-float(unit_of[fresh] @ unit_of[c]), next(came), c, fresh))
             near[fresh] = around
             fresh += 1
-        if sim:
+        if heap:
             labels = np.full(n, -1)
             for k, m in members.items():
                 if len(m) >= min_size:
@@ -354,6 +370,23 @@ def agglomerate(feat: np.ndarray, y: np.ndarray, x: np.ndarray, thresholds: list
     return out
 
 
+def agglomerated(grid: DataFrame, thresholds: list[float], min_size: int = 1) -> DataFrame:
+    """(image, node, threshold, label): ``agglomerate`` for each image, merged once for all thresholds."""
+
+    def many(t: pa.Table) -> pa.Table:
+        t, starts = in_groups(t, ["image"], [("node", True)])
+        y, x, out = t.column("y").to_numpy(), t.column("x").to_numpy(), []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            rows = t.slice(i, j - i)
+            feat = np.array(rows.column("feat").to_pylist(), np.float64)
+            for level, labels in agglomerate(feat, y[i:j], x[i:j], thresholds, min_size).items():
+                out.append(rows.select(["image", "node"]).append_column("threshold", pa.array(np.full(j - i, level))).append_column("label", pa.array(labels.astype(np.int64))))
+        return pa.concat_tables(out) if out else pa.table({"image": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "threshold": pa.array([], pa.float64()), "label": pa.array([], pa.int64())})
+
+    rows = bucketed(grid.select(F.col("image").cast("long").alias("image"), F.col("node").cast("long").alias("node"), "y", "x", "feat"), "image")
+    return rows.groupBy("_bucket").applyInArrow(many, "image long, node long, threshold double, label long")
+
+
 @register_extractor("agglomerative")
 def agglomerative(feat, y, x, threshold: float = 0.2, min_size: int = 1) -> np.ndarray:
     return agglomerate(feat, y, x, [threshold], min_size).get(threshold, np.zeros(len(feat), np.int64))
@@ -374,6 +407,72 @@ def affinity_matrix(feat: np.ndarray, tau: float, floor: float = 1e-5) -> np.nda
     return np.where(u @ u.T > tau, 1.0, floor)
 
 
+class SparseAffinity:
+    """The affinity of ``affinity_matrix`` as its pattern: 1 for alike cells and ``floor`` for all other pairs, without an n x n matrix.
+
+    Painted cells are alike to none, themselves included.
+    """
+
+    def __init__(self, feat: np.ndarray, tau: float, floor: float = 1e-5):
+        u, self.n, self.floor = unit(feat), len(feat), floor
+        step = max(1, (1 << 24) // self.n)
+        parts = [np.nonzero(u[k : k + step] @ u.T > tau) for k in range(0, self.n, step)]
+        self.row = np.concatenate([r + k * step for k, (r, _) in enumerate(parts)])
+        self.col = np.concatenate([c for _, c in parts]).astype(np.int32)
+
+    def painted_out(self, done: np.ndarray) -> SparseAffinity:
+        out = object.__new__(SparseAffinity)
+        keep = ~done[self.row] & ~done[self.col]
+        out.n, out.floor, out.row, out.col = self.n, self.floor, self.row[keep], self.col[keep]
+        return out
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The affinity times each column of ``v``."""
+        alike = np.stack([np.bincount(self.row, c[self.col], self.n) for c in v.T], 1)
+        return (1 - self.floor) * alike + self.floor * v.sum(0)
+
+    def fiedler(self, tol: float = 1e-10, block: int = 3, room: int = 60, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """The three least eigenvalues of the normalized Laplacian and its second eigenvector, as ``fiedler`` gives them.
+
+        A block Lanczos iteration with full orthogonalisation, so that equal eigenvalues are seen, and restarts from its best
+        vectors; the first eigenvector is known and kept out.
+        """
+        s = 1 / np.sqrt(np.maximum(self.times(np.ones((self.n, 1)))[:, 0], 1e-12))
+        top = (1 / s)[:, None]
+        top /= np.linalg.norm(top)
+        step = lambda v: s[:, None] * self.times(s[:, None] * v)
+        basis, image = np.zeros((self.n, 0)), np.zeros((self.n, 0))
+        new = np.random.default_rng(0).normal(size=(self.n, block))
+        for _ in range(most):
+            for _ in range(2):  # twice is enough
+                new -= top @ (top.T @ new)
+                new -= basis @ (basis.T @ new)
+            new, size = np.linalg.qr(new)
+            new = new[:, np.abs(np.diag(size)) > 1e-12]
+            if not new.shape[1]:
+                break
+            basis = np.concatenate([basis, new], 1)
+            image = np.concatenate([image, step(new)], 1)
+            values, mix = np.linalg.eigh(basis.T @ image)
+            lead = mix[:, ::-1][:, : 2 * block]
+            rest = image @ lead[:, :2] - basis @ lead[:, :2] * values[::-1][:2]
+            if np.linalg.norm(rest, axis=0).max() < tol:
+                break
+            if basis.shape[1] >= room:
+                basis, image = basis @ lead, image @ lead
+                new = image - basis * values[::-1][: lead.shape[1]]
+                new = new[:, :block]
+            else:
+                new = image[:, -new.shape[1] :]
+        values, mix = np.linalg.eigh(basis.T @ image)
+        v = (basis @ mix[:, -1]) * s
+        big = np.flatnonzero(np.abs(v) > 1e-9)
+        return np.array([0.0, *(1 - values[::-1][:2])]), -v if len(big) and v[big[0]] < 0 else v
+
+
+MOST_DENSE = 400  # cells; the affinity of larger regions is kept sparse
+
+
 @register_extractor("normalized_cut")
 def normalized_cut(feat, y, x, tau: float = 0.15, most: int = 3, most_share: float = 1.0, most_overlap: float = 1.0) -> np.ndarray:
     """Repeated bipartition: the side of the strongest cell, its component there, is one object and is painted out.
@@ -395,11 +494,15 @@ def normalized_cut(feat, y, x, tau: float = 0.15, most: int = 3, most_share: flo
                 todo += near[i]
         return got
 
+    sparse = SparseAffinity(feat, tau) if len(feat) > MOST_DENSE else None
     for k in range(1, most + 1):
-        w = affinity_matrix(feat, tau)
         done = labels > 0
-        w[done], w[:, done] = 1e-5, 1e-5
-        values, v = fiedler(w)
+        if sparse is not None:
+            values, v = sparse.painted_out(done).fiedler()
+        else:
+            w = affinity_matrix(feat, tau)
+            w[done], w[:, done] = 1e-5, 1e-5
+            values, v = fiedler(w)
         if len(values) > 2 and values[2] - values[1] < 1e-9:
             break
         v = np.round(v, 7)  # so that ties are ties
@@ -481,6 +584,44 @@ def mean_field(unary: np.ndarray, guide: np.ndarray, radius: int = 1, steps: int
     return q
 
 
+def spectral_tree(grid: DataFrame, taus: list[float], most: int = 3, least_share: float = 0.0, most_overlap: float = 0.9) -> DataFrame:
+    """(image, level, parent, child, node): the objects of each image by normalized cuts, and within each object's box again, level by level.
+
+    Level 1 cuts whole images with the first threshold. Every deeper level takes the objects of the one before as a list of
+    work: a row (image, level, box) each, which meets the cells of its box, so that regions, not images, are dealt
+    to tasks. A box has all its cells, those between and around the object among them. Objects of an image and level are
+    numbered from 0 by (parent, child) and are the parents of the next level's; level 1 has parent -1. An object of less
+    than ``least_share`` of its region's cells ends its region's search, as do the rules of ``normalized_cut``.
+    """
+    long = lambda c: F.col(c).cast("long").alias(c)
+    cells = materialized(grid.select(long("image"), long("node"), long("y"), long("x"), "feat"))
+    box = [F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")]
+    work = cells.groupBy("image").agg(*box).withColumn("parent", F.lit(-1).cast("long"))
+    found = []
+
+    def cut(tau: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def region(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("node")
+            y, x, feat = part["y"].to_numpy(), part["x"].to_numpy(), np.stack(part["feat"].to_numpy()).astype(float)
+            labels = normalized_cut(feat, y, x, tau=tau, most=most, most_overlap=most_overlap) if len(part) > 2 else np.zeros(len(part), np.int64)
+            small = [k for k in range(1, labels.max(initial=0) + 1) if (labels == k).sum() < max(1, int(least_share * len(part)))]
+            last = small[0] if small else labels.max(initial=0) + 1
+            at = (labels > 0) & (labels < last)
+            return pd.DataFrame({"image": part["image"][at], "parent": part["parent"][at], "child": labels[at] - 1, "node": part["node"][at], "y": y[at], "x": x[at]})
+
+        return region
+
+    for level, tau in enumerate(taus, 1):
+        inside = F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
+        regions = cells.join(work, "image").where(inside).select("image", "parent", "node", "y", "x", "feat")
+        objects = materialized(regions.groupBy("image", "parent").applyInPandas(cut(tau), "image long, parent long, child long, node long, y long, x long"))
+        found.append(objects.select("image", F.lit(level).alias("level"), "parent", "child", "node"))
+        boxes = objects.groupBy("image", "parent", "child").agg(*box)
+        number = F.row_number().over(Window.partitionBy("image").orderBy("parent", "child")) - 1
+        work = materialized(boxes.select("image", "y0", "y1", "x0", "x1", number.cast("long").alias("parent")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def nearest_labels(labels: np.ndarray, height: int, width: int) -> np.ndarray:
     """A label map of another size: each cell takes the label at its place, rounded down."""
     h, w = labels.shape

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,6 +155,62 @@ def reseeded(scores: DataFrame, every: int, least: float, group: str = "clip", o
     return scores.select(group, F.col("frame").cast("long").alias("frame"), state.cast("long").alias("state"))
 
 
+def fold_state(box: np.ndarray | None, shift: np.ndarray, proposals: np.ndarray, scores: np.ndarray, ids: np.ndarray, reseed: bool, least_score: float, least_overlap: float) -> tuple[np.ndarray | None, int, float | None]:
+    """One frame of re-seeding: the state after it, the proposal that it was replaced by (-1: none), and that proposal's overlap.
+
+    The carried state moves by ``shift``. At a frame that re-seeds, the proposal of enough score that overlaps what was
+    carried most (the least id among equals) replaces it if it overlaps by enough. Without a state the best-scored one starts it.
+    """
+    ok = np.flatnonzero(scores >= least_score)
+    ok = ok[np.argsort(ids[ok], kind="stable")]
+    if box is None:
+        if not len(ok):
+            return None, -1, None
+        k = ok[int(np.argmax(scores[ok]))]
+        return proposals[k], int(ids[k]), None
+    box = box + np.concatenate([shift, shift])
+    if not reseed or not len(ok):
+        return box, -1, None
+    v = np.round(iou_matrix(box[None], proposals[ok])[0], 9)
+    k = int(np.argmax(v))
+    return (proposals[ok[k]], int(ids[ok[k]]), float(v[k])) if v[k] >= least_overlap else (box, -1, float(v[k]))
+
+
+FOLDED = "frame long, x0 double, y0 double, x1 double, y1 double, taken long, overlap double"
+
+
+def fold_frames(clip, frames: pd.DataFrame, box: np.ndarray | None, every: int, least_score: float, least_overlap: float) -> tuple[list[tuple], np.ndarray | None]:
+    """The rows of ``reseed_fold`` for frames of one clip in order (a row a proposal, or one with a null idx), and the state after them."""
+    out = []
+    for frame, part in frames.sort_values(["frame", "idx"]).groupby("frame", sort=True):
+        real = part[part["idx"].notna()]
+        box, taken, overlap = fold_state(box, part[["dx", "dy"]].to_numpy(float)[0], real[list(CORNERS)].to_numpy(float), real["score"].to_numpy(float), real["idx"].to_numpy(), frame % every == 0, least_score, least_overlap)
+        out.append((clip, int(frame), *(map(float, box) if box is not None else (None,) * 4), taken, overlap))
+    return out, box
+
+
+def frame_rows(frames: DataFrame, proposals: DataFrame, group: str = "clip") -> DataFrame:
+    """Frames (clip, frame, dx, dy) with their proposals (clip, frame, idx, corners, score): a row for each, or one without a proposal."""
+    p = proposals.select(group, "frame", F.col("idx").cast("double").alias("idx"), *(F.col(c).cast("double").alias(c) for c in (*CORNERS, "score")))
+    f = frames.select(F.col(group), "frame", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))
+    return f.join(p, [group, "frame"], "left").select(F.col(group).cast("long").alias(group), F.col("frame").cast("long").alias("frame"), "dx", "dy", "idx", *CORNERS, "score")
+
+
+def reseed_fold(frames: DataFrame, proposals: DataFrame, every: int, least_score: float = 0.0, least_overlap: float = 0.5, group: str = "clip") -> DataFrame:
+    """(clip, frame, x0, y0, x1, y1, taken, overlap): a box carried from frame to frame, whose own place decides what may replace it.
+
+    Every frame's motion (dx, dy) moves the carried box. At each ``every``-th frame the proposal that overlaps the moved box
+    most takes its place if the overlap is enough, so later overlaps depend on what was taken before: a fold along the
+    clip, one clip's frames at a time. A clip has no box until a frame proposes one.
+    """
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [r for clip, part in pdf.groupby(group) for r in fold_frames(clip, part, None, every, least_score, least_overlap)[0]]
+        return pd.DataFrame(rows, columns=[group, *(c.split()[0] for c in FOLDED.split(", "))])
+
+    return bucketed(frame_rows(frames, proposals, group), group).groupBy("_bucket").applyInPandas(many, f"{group} long, {FOLDED}")
+
+
 def correction_click(truth: np.ndarray, pred: np.ndarray) -> tuple[int, int, int] | None:
     """Next click (y, x, label): the deepest cell of the larger error, missed cells first among equals; None without errors."""
     missed, extra = truth & ~pred, pred & ~truth

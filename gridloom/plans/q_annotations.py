@@ -73,12 +73,11 @@ def f20(spark, sf):
     return docs.join(A.contiguous_ids(docs, "lang"), "lang").select("doc_id", "contiguous_id")
 
 
-@query("j2_images_proposals", f"WITH {BOXES_SQL}, p AS (SELECT CAST(image AS VARCHAR) AS image_id, string_agg(idx, ',' ORDER BY score DESC, idx) AS ranked FROM det GROUP BY image) SELECT o_orderkey AS image, ranked FROM orders JOIN p ON image_id = CAST(o_orderkey AS VARCHAR)")
+@query("j2_images_proposals", f"WITH {BOXES_SQL}, p AS (SELECT CAST(image AS VARCHAR) AS image_id, string_agg(idx, ',' ORDER BY score DESC, idx) AS ranked FROM boxes GROUP BY image) SELECT image, ranked FROM (SELECT DISTINCT l_orderkey AS image FROM lineitem) JOIN p ON image_id = CAST(image AS VARCHAR)")
 def j2(spark, sf):
-    det = boxes(spark, sf).where("not is_gt")
-    ranked = det.groupBy(F.col("image").cast("string").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "idx"))).alias("r"))
-    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderkey").cast("string").alias("image_id"))
-    images = images.join(ranked.select("image_id"), "image_id", "left_semi")
+    """Images that orders with lines stand for, with all boxes as their proposals; an image without any fails."""
+    ranked = boxes(spark, sf).groupBy(F.col("image").cast("string").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "idx"))).alias("r"))
+    images = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image")).distinct().withColumn("image_id", F.col("image").cast("string"))
     return A.must_join(images, ranked, "image_id", "image of a proposal").select("image", F.array_join(F.transform("r", lambda x: x["idx"].cast("string")), ",").alias("ranked"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import boxes as B
 from gridloom.operators.annotations import top_per_group
 from gridloom.plans.bridge import BOXES_SQL, boxes, gt_and_det
-from gridloom.plans.registry import query
+from gridloom.plans.registry import query, table
 
 INTER = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 AREA = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
@@ -27,7 +27,7 @@ def j8(spark, sf):
 def j7(spark, sf):
     gt, det = gt_and_det(spark, sf)
     a, b = B.corners("l_"), B.corners("r_")
-    return B.pairs(gt, det).where(B.intersection(a, b) > 0).select("image", "l_idx", "r_idx", F.round(B.coverage(a, b), 6).alias("coverage"), F.round(B.coverage(b, a), 6).alias("ioy"))
+    return B.overlapping(gt, det).select("image", "l_idx", "r_idx", F.round(B.coverage(a, b), 6).alias("coverage"), F.round(B.coverage(b, a), 6).alias("ioy"))
 
 
 BEST = f"SELECT a.image, a.idx, max(coalesce({IOU}, 0.0)) AS best_iou FROM {{left}} a LEFT JOIN {{right}} b USING (image) GROUP BY a.image, a.idx"
@@ -60,6 +60,17 @@ def j10(spark, sf):
     return B.label_proposals(det, gt, 0.3, "background")
 
 
+@query("j7_crowded_overlaps", f"WITH {BOXES_SQL}, a AS (SELECT image % 3 AS scene, image * 10 + idx AS id, x0 + image % 1000 * 7 AS x0, y0 + image % 700 * 9 AS y0, x1 + image % 1000 * 7 AS x1, y1 + image % 700 * 9 AS y1, is_gt FROM boxes), g AS (SELECT * FROM a WHERE is_gt), d AS (SELECT * FROM a WHERE NOT is_gt) SELECT a.scene, a.id AS gt_id, count(b.id) AS n, round(coalesce(max({IOU}), 0.0), 6) AS best_iou FROM g a LEFT JOIN d b ON a.scene = b.scene AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.scene, a.id")
+def j7_crowded(spark, sf):
+    """All boxes moved into three large scenes: for each truth, how many detections overlap it, and the best of them."""
+    move = lambda c, n, k: (F.col(c) + F.col("image") % n * k).alias(c)
+    scenes = boxes(spark, sf).select((F.col("image") % 3).alias("scene"), (F.col("image") * 10 + F.col("idx")).alias("idx"), move("x0", 1000, 7), move("y0", 700, 9), move("x1", 1000, 7), move("y1", 700, 9), "is_gt")
+    gt, det = scenes.where("is_gt").drop("is_gt"), scenes.where("not is_gt").drop("is_gt")
+    hit = B.overlapping(gt, det, "scene").groupBy("scene", F.col("l_idx").alias("gt_id")).agg(F.count("*").alias("n"), F.max(B.iou(B.corners("l_"), B.corners("r_"))).alias("v"))
+    every = gt.select("scene", F.col("idx").alias("gt_id")).join(hit, ["scene", "gt_id"], "left")
+    return every.select("scene", "gt_id", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("v", F.lit(0.0)), 6).alias("best_iou"))
+
+
 HOLDS = "CASE WHEN b.x0 <= 300 AND 300 < b.x1 AND b.y0 <= 200 AND 200 < b.y1 THEN 1 ELSE 0 END"
 
 
@@ -106,7 +117,7 @@ def f7(spark, sf):
 @query("f8_coverage_filter", f"WITH {BOXES_SQL} SELECT a.image, a.idx AS child, b.idx AS parent FROM det a JOIN gt b USING (image) WHERE round({INTER} / {AREA.format('a')}, 9) > 0.9")
 def f8(spark, sf):
     gt, det = gt_and_det(spark, sf)
-    return B.pairs(det, gt).where(F.round(B.coverage(B.corners("l_"), B.corners("r_")), 9) > 0.9).select("image", F.col("l_idx").alias("child"), F.col("r_idx").alias("parent"))
+    return B.overlapping(det, gt).where(F.round(B.coverage(B.corners("l_"), B.corners("r_")), 9) > 0.9).select("image", F.col("l_idx").alias("child"), F.col("r_idx").alias("parent"))
 
 
 @query("f9_area_iou_gate", f"WITH {BOXES_SQL} SELECT image, idx FROM (SELECT a.image, a.idx, {AREA.format('a')} / 307200.0 AS frac, {IOU} AS v FROM det a JOIN gt b ON a.image = b.image AND a.idx = b.idx + 1) WHERE frac BETWEEN 0.01 AND 0.9 AND round(v, 9) >= 0.1")
@@ -197,12 +208,19 @@ def drop_loss(spark, sf):
     return B.best_overlap(det, gt).select("image", "idx", F.when(F.round("best_iou", 6) <= 0.01, 0).otherwise(1).alias("weight"))
 
 
-@query("crop_tiling", "SELECT layer, count(*) AS boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (VALUES (0, 0, 0, 640, 480), (1, 0, 0, 402, 322), (1, 239, 0, 640, 322), (1, 0, 159, 402, 480), (1, 239, 159, 640, 480)) t(layer, x0, y0, x1, y1) GROUP BY layer")
+IMAGES_SQL = "images AS (SELECT p_partkey AS image, CAST(200 + p_size * 13 AS INTEGER) AS width, CAST(150 + p_partkey % 97 * 5 AS INTEGER) AS height FROM part)"
+
+
+def _images(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 13 + 200).cast("int").alias("width"), (F.col("p_partkey") % 97 * 5 + 150).cast("int").alias("height"))
+
+
+@query("crop_tiling", f"WITH {IMAGES_SQL}, n AS (SELECT *, floor(0.34 * least(width, height) * 2 / side) AS shared FROM images, (SELECT layer, 1 << layer AS side FROM (SELECT unnest(range(3)) AS layer))), c AS (SELECT *, crop % side AS kx, crop // side AS ky, ceil((shared * (side - 1) + width) / side) AS w, ceil((shared * (side - 1) + height) / side) AS h FROM n, (SELECT unnest(range(16)) AS crop) WHERE crop < side * side) SELECT image, CAST(layer AS INTEGER) AS layer, CAST(crop AS INTEGER) AS crop, CAST((w - shared) * kx AS INTEGER) AS x0, CAST((h - shared) * ky AS INTEGER) AS y0, CAST(least((w - shared) * kx + w, width) AS INTEGER) AS x1, CAST(least((h - shared) * ky + h, height) AS INTEGER) AS y1 FROM c")
 def crop_tiling(spark, sf):
-    df = spark.createDataFrame(B.tile_boxes(640, 480, 1, 0.34), "layer int, x0 int, y0 int, x1 int, y1 int")
-    return df.groupBy("layer").agg(F.count("*").alias("boxes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """The crops of every image, whose sizes come from the parts, in three layers."""
+    return B.tile_boxes(_images(spark, sf), 2, 0.34).select("image", "layer", "crop", "x0", "y0", "x1", "y1")
 
 
-@query("point_grid", "SELECT (i + 0.5) / 8 AS x, (j + 0.5) / 8 AS y FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)")
+@query("point_grid", f"WITH {IMAGES_SQL} SELECT image, round((i + 0.5) / 8 * width, 6) AS px, round((j + 0.5) / 8 * height, 6) AS py FROM images, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)")
 def point_grid(spark, sf):
-    return B.point_grid(spark, 8)
+    return B.point_grid(_images(spark, sf), 8).select("image", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))

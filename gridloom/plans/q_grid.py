@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import similarity as S
 from gridloom.operators import grid as G
 from gridloom.operators import segment as X
-from gridloom.plans.bridge import GRID_WIDTH, grid
+from gridloom.operators import tiles as TL
+from gridloom.plans.bridge import GRID_SQL, GRID_WIDTH, grid
 from gridloom.plans.registry import query
 from gridloom.sources.label_images import label_images, read_label_images
 from gridloom.sources.storage import new_folder
@@ -135,6 +136,28 @@ def g1(spark, sf):
     return X.segment(cells(spark, sf), least).select("node", (F.col("image") * GRID_WIDTH * ROWS + F.col("label")).alias("component"))
 
 
+TILED_SQL = f"""
+WITH RECURSIVE {GRID_SQL},
+near AS (SELECT a.node AS a, b.node AS b FROM grid a JOIN grid b ON a.label % 3 = b.label % 3 AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
+walk(node, other) AS (SELECT node, node FROM grid UNION SELECT w.node, n.b FROM walk w JOIN near n ON n.a = w.other),
+comp AS (SELECT node, min(other) AS c FROM walk GROUP BY node)"""
+
+
+@query("g1_tiled_components", f"{TILED_SQL} SELECT node, c AS component FROM comp")
+def g1_tiled(spark, sf):
+    """The whole grid as one image of label classes, in tiles of four by four cells."""
+    g = grid(spark, sf).select(F.lit(0).alias("image"), "y", "x", (F.col("label") % 3).alias("class"))
+    c, row = TL.components(g, tile=4, value="class"), F.lit(1 << 31)
+    return c.select((F.col("y") * GRID_WIDTH + F.col("x")).alias("node"), (F.floor(F.col("component") / row) * GRID_WIDTH + F.col("component") % row).alias("component"))
+
+
+@query("g22_tiled_islands", f"{TILED_SQL}, sized AS (SELECT c, count(*) AS n FROM comp JOIN grid USING (node) WHERE label % 3 = 1 GROUP BY c) SELECT node FROM comp JOIN sized USING (c) WHERE n >= 4 OR ((SELECT max(n) FROM sized) < 4 AND c = (SELECT min(c) FROM sized WHERE n = (SELECT max(n) FROM sized)))")
+def g22_tiled(spark, sf):
+    """One class of that image without its islands of fewer than four cells."""
+    g = grid(spark, sf).where("label % 3 = 1").select(F.lit(0).alias("image"), "y", "x")
+    return TL.without_islands(g, 4, tile=4, connectivity=4).select((F.col("y") * GRID_WIDTH + F.col("x")).alias("node"))
+
+
 @query("g2_greedy_graph", f"WITH RECURSIVE {reach('round(sim, 9) >= t', RELABEL)} SELECT node, CAST(r - 1 AS BIGINT) AS label FROM comp JOIN cells USING (node) JOIN ranked USING (image, c)")
 def g2(spark, sf):
     return X.segment(cells(spark, sf), "greedy_graph", q=0.6).select("node", "label")
@@ -453,3 +476,15 @@ def t8(spark, sf):
         return [int((a, b) in got) for a, b in zip(y.tolist(), x.tolist(), strict=True)]
 
     return X.segment(cells(spark, sf), peaks).select("image", "node", F.col("label").alias("is_peak"))
+
+
+@query("g23_level_tree")
+def g23_tree(spark, sf):
+    """Two levels of objects: those of each image, and those of each object's box with a stricter threshold."""
+    return X.spectral_tree(cells(spark, sf), [0.1, 0.25])
+
+
+@query("g14_agglomerative_levels")
+def g14_levels(spark, sf):
+    """The merging's state at three falling thresholds, each going on from the one before."""
+    return X.agglomerated(cells(spark, sf), [0.4, 0.2, 0.1], min_size=2)

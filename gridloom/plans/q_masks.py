@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import masks as M
+from gridloom.operators import runs as R
 from gridloom.plans.bridge import PIXELS_SQL, raster
 from gridloom.plans.registry import query
 
@@ -22,7 +23,7 @@ def w16(spark, sf):
 
 @query("w17_rle_decode", f"WITH {PIXELS_SQL} SELECT mask, p FROM raster WHERE on_ = 1")
 def w17(spark, sf):
-    return M.decode(M.encode(raster(spark, sf)))
+    return R.pixels(R.rows(M.encode(raster(spark, sf)), "mask"), "mask")
 
 
 @query("a7_rle_area", f"WITH {PIXELS_SQL} SELECT mask, CAST(sum(on_) AS INTEGER) AS area FROM raster GROUP BY mask")
@@ -52,8 +53,15 @@ def a2(spark, sf):
     px = raster(spark, sf)
     ids = px.select("mask").distinct()
     pairs = ids.select(F.col("mask").alias("a"), F.explode(F.array(F.col("mask") + 1, F.col("mask") + 2)).alias("b")).join(ids.select(F.col("mask").alias("b")), "b").select("a", "b")
-    areas = px.groupBy("mask").agg(F.sum("on_").alias("area"))
-    return M.overlaps(pairs, px.where("on_ = 1"), areas).withColumns({c: F.round(c, 6) for c in ("iou", "coverage", "ioy")})
+    return R.overlaps(pairs, M.encode(px)).withColumns({c: F.round(c, 6) for c in ("iou", "coverage", "ioy")})
+
+
+@query("j7_mask_matrix", f"WITH {PIXELS_SQL}, area AS (SELECT mask, sum(on_) AS area FROM raster GROUP BY mask), cut AS (SELECT x.mask AS a, y.mask AS b, count(*) AS i FROM raster x JOIN raster y ON y.mask // 6 = x.mask // 6 AND x.p = y.p WHERE x.on_ = 1 AND y.on_ = 1 AND x.mask % 2 = 0 AND y.mask % 2 = 1 GROUP BY ALL) SELECT a.mask // 6 AS image, a.mask AS l_idx, b.mask AS r_idx, CAST(coalesce(i, 0) AS BIGINT) AS shared, round(CASE WHEN a.area + b.area - coalesce(i, 0) > 0 THEN coalesce(i, 0) / (a.area + b.area - coalesce(i, 0)) ELSE 0 END, 6) AS iou FROM area a JOIN area b ON a.mask // 6 = b.mask // 6 AND a.mask % 2 = 0 AND b.mask % 2 = 1 LEFT JOIN cut ON cut.a = a.mask AND cut.b = b.mask")
+def j7_matrix(spark, sf):
+    """Six masks an image: the even ones against the odd ones, from their codes."""
+    codes = M.encode(raster(spark, sf)).select(F.expr("mask div 6").alias("image"), F.col("mask").alias("idx"), "counts")
+    m = R.matrix(codes.where("idx % 2 = 0"), codes.where("idx % 2 = 1"))
+    return m.select("image", "l_idx", "r_idx", "shared", F.round("iou", 6).alias("iou"))
 
 
 LOGIT = "((p * 13 + mask * 7) % 41 - 20) / 10.0"
@@ -90,11 +98,25 @@ def a36(spark, sf):
 
 @query("mask_subtraction", f"WITH {PIXELS_SQL} SELECT a.mask, a.p FROM raster a JOIN mask_ids n ON n.mask = a.mask + 1 WHERE a.on_ = 1 AND NOT EXISTS (SELECT 1 FROM raster b WHERE b.mask = a.mask + 1 AND b.p = a.p AND b.on_ = 1)")
 def mask_subtraction(spark, sf):
-    """Each mask without the pixels of the next one."""
-    px = raster(spark, sf)
-    on = px.where("on_ = 1").select("mask", "p")
-    paired = on.join(px.select((F.col("mask") - 1).alias("mask")).distinct(), "mask", "left_semi")
-    return paired.join(on.select((F.col("mask") - 1).alias("mask"), "p"), ["mask", "p"], "left_anti")
+    """Each mask without the pixels of the next one, from their codes."""
+    codes = M.encode(raster(spark, sf))
+    both = codes.join(codes.select((F.col("mask") - 1).alias("mask"), F.col("counts").alias("other")), "mask")
+    left = both.select("mask", R.difference(F.col("counts"), F.col("other")).alias("counts"))
+    return R.pixels(R.rows(left, "mask"), "mask")
+
+
+@query("mask_run_algebra", f"""WITH {PIXELS_SQL}, j AS (SELECT a.mask, a.p, greatest(a.on_, b.on_) AS either, a.on_ * b.on_ AS shared FROM raster a JOIN raster b ON b.mask = a.mask + 1 AND b.p = a.p),
+l AS (SELECT mask, p, 'union' AS op, either AS on_ FROM j UNION ALL SELECT mask, p, 'intersection', shared FROM j),
+begun AS (SELECT *, CASE WHEN coalesce(lag(on_) OVER (PARTITION BY mask, op ORDER BY p), 0) <> on_ THEN 1 ELSE 0 END AS new FROM l),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY mask, op ORDER BY p) AS run FROM begun),
+lengths AS (SELECT mask, op, run, count(*) AS n FROM numbered GROUP BY ALL)
+SELECT mask, op, CASE WHEN min(run) > 0 THEN '0 ' ELSE '' END || string_agg(n, ' ' ORDER BY run) AS counts FROM lengths GROUP BY mask, op""")
+def mask_run_algebra(spark, sf):
+    """The codes of each mask's union and intersection with the next one, made from their codes."""
+    codes = M.encode(raster(spark, sf))
+    both = codes.join(codes.select((F.col("mask") - 1).alias("mask"), F.col("counts").alias("other")), "mask")
+    made = both.select("mask", F.explode(F.create_map(F.lit("union"), R.union(F.col("counts"), F.col("other")), F.lit("intersection"), R.intersection(F.col("counts"), F.col("other")))).alias("op", "counts"))
+    return made.withColumn("counts", M.pack_counts(F.col("counts")))
 
 
 @query("f18_visible_in_frames", f"WITH {PIXELS_SQL}, v AS (SELECT mask, p // 16 AS frame, sum(on_) AS n FROM raster GROUP BY ALL) SELECT mask, bool_and(n >= 3) AS in_all, max(CASE WHEN frame = 0 THEN n END) >= 3 AS in_prompt FROM v GROUP BY mask")
@@ -106,8 +128,9 @@ def f18(spark, sf):
 @query("mask_union", f"WITH {PIXELS_SQL} SELECT DISTINCT mask // 4 AS object, p FROM raster WHERE on_ = 1")
 def mask_union(spark, sf):
     """The masks of four neighbouring parts as one object."""
-    on = raster(spark, sf).where("on_ = 1").select(F.expr("mask div 4").alias("object"), "p")
-    return M.united(on, "object")
+    codes = M.encode(raster(spark, sf)).select(F.expr("mask div 4").alias("object"), "counts")
+    runs = R.united(codes, "object").select("object", F.explode("runs").alias("r")).select("object", "r.start", "r.stop")
+    return R.pixels(runs, "object")
 
 
 TAPS = "(SELECT k, least(CAST(floor(v) AS INTEGER) + d, 7) AS old, CASE WHEN d = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END AS w FROM (SELECT k, greatest(0.0, least(7.0, (k + 0.5) * 8 / 12.0::DOUBLE - 0.5))::DOUBLE AS v FROM (SELECT unnest(range(12)) AS k)), (SELECT unnest([0, 1]) AS d))"

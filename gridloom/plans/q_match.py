@@ -14,7 +14,8 @@ from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, boxes, fram
 from gridloom.plans.q_boxes import BEST, IOU
 from gridloom.functions.text import hash_number
 from gridloom.plans.registry import query, table
-from gridloom.sources.storage import materialized
+from gridloom.sources.storage import materialized, new_folder
+from gridloom.streaming import clips as C
 
 
 def nms_sql(source: str, order: str, threshold: float, group: str = "image", window: int | None = None) -> str:
@@ -431,6 +432,63 @@ def v7_overlap(spark, sf):
     return T.reseeded(f, 5, 0.1, overlap="overlap", least_overlap=0.5)
 
 
+def _iou_sql(a: str) -> str:
+    inter = f"greatest(0.0, least({a}x1, mx1) - greatest({a}x0, mx0)) * greatest(0.0, least({a}y1, my1) - greatest({a}y0, my0))"
+    return f"round({inter} / (({a}x1 - {a}x0) * ({a}y1 - {a}y0) + (mx1 - mx0) * (my1 - my0) - {inter}), 9)"
+
+
+FOLD_SQL = f"""
+WITH RECURSIVE {FRAMES_SQL},
+f AS (
+  SELECT clip, frame, event_id % 5 - 2 AS dx, event_id % 3 - 1 AS dy, score AS sa, 1 - score AS sb,
+         CAST(event_id * 13 % 40 AS DOUBLE) AS ax0, CAST(event_id * 7 % 30 AS DOUBLE) AS ay0, CAST(event_id * 13 % 40 + 60 AS DOUBLE) AS ax1, CAST(event_id * 7 % 30 + 50 AS DOUBLE) AS ay1,
+         CAST(event_id * 29 % 60 AS DOUBLE) AS bx0, CAST(event_id * 17 % 40 AS DOUBLE) AS by0, CAST(event_id * 29 % 60 + 50 + event_id % 20 AS DOUBLE) AS bx1, CAST(event_id * 17 % 40 + 60 AS DOUBLE) AS by1
+  FROM frames),
+walk AS (
+  SELECT clip, frame, {", ".join(f"CASE WHEN sa >= sb THEN a{c} ELSE b{c} END AS {c}" for c in ("x0", "y0", "x1", "y1"))}, CASE WHEN sa >= sb THEN 1 ELSE 2 END AS taken, CAST(NULL AS DOUBLE) AS overlap FROM f WHERE frame = 0
+  UNION ALL
+  SELECT clip, frame, {", ".join(f"CASE hit WHEN 1 THEN a{c} WHEN 2 THEN b{c} ELSE m{c} END" for c in ("x0", "y0", "x1", "y1"))}, hit, v FROM (
+    SELECT *, CASE WHEN NOT seed THEN -1 WHEN va >= vb AND va >= 0.5 THEN 1 WHEN vb > va AND vb >= 0.5 THEN 2 ELSE -1 END AS hit, CASE WHEN seed THEN greatest(va, vb) END AS v FROM (
+      SELECT *, frame % 2 = 0 AS seed, {_iou_sql("a")} AS va, {_iou_sql("b")} AS vb FROM (
+        SELECT f.*, w.x0 + dx AS mx0, w.y0 + dy AS my0, w.x1 + dx AS mx1, w.y1 + dy AS my1 FROM walk w JOIN f ON f.clip = w.clip AND f.frame = w.frame + 1))))
+SELECT clip, CAST(frame AS BIGINT) AS frame, x0, y0, x1, y1, CAST(taken AS BIGINT) AS taken, overlap FROM walk
+"""
+
+
+def _motion(spark, sf):
+    """Frames with their motion, and two proposals each."""
+    f, e = frames(spark, sf), F.col("event_id")
+    box = lambda k, x, y, w, h, score: f.select("clip", "frame", F.lit(k).alias("idx"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"), score.alias("score"))
+    first = box(1, e * 13 % 40, e * 7 % 30, F.lit(60), F.lit(50), F.col("score"))
+    second = box(2, e * 29 % 60, e * 17 % 40, 50 + e % 20, F.lit(60), 1 - F.col("score"))
+    return f.select("clip", "frame", (e % 5 - 2).alias("dx"), (e % 3 - 1).alias("dy")), first.unionByName(second)
+
+
+@query("v7_reseed_fold", FOLD_SQL)
+def v7_fold(spark, sf):
+    """A box carried along each clip, re-seeded at every second frame by the proposal that overlaps what was carried most."""
+    return T.reseed_fold(*_motion(spark, sf), every=2, least_score=-100.0)
+
+
+def _in_triggers(spark, rows, label: str, parts: int = 3):
+    """A stream of ``rows`` that comes in ``parts`` triggers, by falling thirds of the frames, and a folder for what is made of it."""
+    path = new_folder(spark, label)
+    rows = materialized(rows)
+    most = rows.agg(F.max("frame")).first()[0] or 0
+    for k in range(parts):
+        of = F.least(F.floor(F.col("frame") * parts / (most + 1)), F.lit(parts - 1))
+        rows.where(of == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+@query("v7_reseed_stream", FOLD_SQL)
+def v7_stream(spark, sf):
+    """The same as a stream, every clip cut over three triggers."""
+    stream, path = _in_triggers(spark, T.frame_rows(*_motion(spark, sf)), "reseed")
+    return C.run_to_end(C.stream_reseed(stream, every=2, least_score=-100.0), path, timers=True)
+
+
 CLICK_SQL = PIXELS_SQL + """,
 d AS (SELECT a.mask, a.p % 8 AS y, a.p // 8 AS x, a.on_ = 1 AND b.on_ = 0 AS missed, a.on_ = 0 AND b.on_ = 1 AS extra FROM raster a JOIN raster b ON b.mask = a.mask + 1 AND b.p = a.p),
 s AS (SELECT mask, count(*) FILTER (missed) AS m, count(*) FILTER (extra) AS e FROM d GROUP BY mask),
@@ -460,10 +518,20 @@ def v9_views(spark, sf):
     return v.select("image", "idx", "frame", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
+def _track_boxes(spark, sf):
+    return boxes(spark, sf).select((F.col("image") % 200).alias("clip"), F.expr("image div 200").alias("frame"), "idx", "x0", "y0", "x1", "y1")
+
+
 @query("v5_track_assignment")
 def v5(spark, sf):
-    b = boxes(spark, sf).select((F.col("image") % 200).alias("clip"), F.expr("image div 200").alias("frame"), "idx", "x0", "y0", "x1", "y1")
-    return T.assign_tracks(b)
+    return T.assign_tracks(_track_boxes(spark, sf))
+
+
+@query("v5_track_stream")
+def v5_stream(spark, sf):
+    """The same tracks from a stream, every clip cut over three triggers."""
+    stream, path = _in_triggers(spark, _track_boxes(spark, sf), "tracks")
+    return C.run_to_end(C.stream_tracks(stream), path, timers=True)
 
 
 @query("v2_v3_v4_transport_chain")

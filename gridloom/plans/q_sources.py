@@ -9,9 +9,11 @@ from gridloom.functions import text as X
 from gridloom.operators import annotations as A
 from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, boxes, frames, raster
 from gridloom.plans.registry import query, table
+from gridloom.operators import masks as M
 from gridloom.sources import annotation_files as S
+from gridloom.sources import array_archives as Z
 from gridloom.sources import shards as H
-from gridloom.sources.storage import in_chunks, new_folder, publish
+from gridloom.sources.storage import in_batches, materialized, new_folder, publish
 from gridloom.streaming import clips as C
 
 
@@ -29,6 +31,16 @@ def s18(spark, sf):
     return packed.select("id", F.round(S.mean_area(F.transform("r", lambda x: x["a"])), 6).alias("avg_area"))
 
 
+@query("s18_load_results", f"WITH {FRAMES_SQL} SELECT row_number() OVER (ORDER BY clip, class) AS id, clip AS video_id, class AS category, count(*) AS frames, round(coalesce(avg(CASE WHEN event_id % 3 <> 0 AND score <> 0 THEN score END), 0.0), 6) AS avg_area, 0 AS iscrowd FROM frames GROUP BY clip, class")
+def s18_results(spark, sf):
+    """A result for each clip and class, with an area a frame, loaded against the clips that there are."""
+    f = frames(spark, sf)
+    area = F.when(F.col("event_id") % 3 != 0, F.col("score"))
+    results = f.groupBy(F.col("clip").alias("video_id"), F.col("class").alias("category")).agg(F.array_sort(F.collect_list(F.struct("frame", area.alias("a")))).alias("r"))
+    loaded = S.load_results(results.select("video_id", "category", F.transform("r", lambda x: x["a"]).alias("areas")), f.select(F.col("clip").alias("video_id")), ["video_id", "category"])
+    return loaded.select(F.col("id").cast("long").alias("id"), "video_id", "category", F.size("areas").cast("long").alias("frames"), F.round("avg_area", 6).alias("avg_area"), "iscrowd")
+
+
 @query("s4_panoptic_remap", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 22 WHEN 3 THEN 23 END AS category, n_regionkey IN (0, 1) AS isthing, replace('images/' || lower(n_name) || '.jpg', '.jpg', '.png') AS mask_file FROM nation")
 def s4(spark, sf):
     n = table(spark, sf, "nation")
@@ -78,17 +90,45 @@ def s14_archive(spark, sf):
     return S.read_proposals(spark, path)
 
 
-@query("s1_document_scan", f"WITH {BOXES_SQL} SELECT image AS image_id, string_agg(idx || ':' || category || ':' || (x0 + 0.5) || ':' || (CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END), ',' ORDER BY idx) AS annotations FROM boxes GROUP BY image")
+S1_SQL = f"""
+WITH {BOXES_SQL},
+made AS (SELECT *, [CAST(idx + 3 AS INTEGER), CAST(2 * idx AS INTEGER)] AS sizes FROM boxes),
+cut AS (SELECT *, list_filter(sizes, lambda n: n % 2 = 0 AND n >= 6) AS good FROM made),
+told AS (
+  SELECT image, idx, idx || ':' || category || ':' || (x0 + 0.5) || ':' || (CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) || ':'
+         || CASE idx % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'packed ' || idx WHEN 2 THEN 'runs 3 ' || idx ELSE array_to_string(good, ' ') END AS text
+  FROM cut WHERE idx % 4 <> 3 OR len(good) > 0)
+SELECT image AS image_id, coalesce(string_agg(text, ',' ORDER BY idx), '') AS annotations FROM (SELECT DISTINCT image FROM boxes) LEFT JOIN told USING (image) GROUP BY image
+"""
+
+
+@query("s1_document_scan", S1_SQL)
 def s1_scan(spark, sf):
-    """Boxes written as annotation documents of one image each, scanned, checked against their categories, and assembled."""
+    """Boxes written as annotation documents of one image each, scanned, checked against their categories, and assembled.
+
+    Of four annotations one has no segmentation, one a packed run-length code, one a code in numbers, and one two polygons,
+    of which those that cannot be drawn go.
+    """
     path, b = new_folder(spark, "documents"), boxes(spark, sf)
     number = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("category")).cast("int")
     crowd = F.when(F.col("idx") % 3 == 0, 1)  # others have no flag
-    ann = F.struct(F.col("idx").cast("long").alias("id"), F.col("image").alias("image_id"), number.alias("category_id"), crowd.alias("iscrowd"), F.array("x0", "y0", F.lit(2.0)).alias("keypoints"))
+    polygon = lambda n: F.array_repeat(F.lit(1.5), n.cast("int"))
+    size, kind = F.array(F.lit(3), F.lit(4)), F.col("idx") % 4
+    kinds = {1: F.struct(size.alias("size"), F.col("idx").cast("string").alias("counts")), 2: F.struct(size.alias("size"), F.array(F.lit(3), F.col("idx")).alias("counts")), 3: F.array(polygon(F.col("idx") + 3), polygon(F.col("idx") * 2))}
+    drawn = F.lit(None).cast("variant")
+    for k, v in kinds.items():
+        drawn = F.when(kind == k, F.parse_json(F.to_json(v))).otherwise(drawn)
+    ann = F.struct(F.col("idx").cast("long").alias("id"), F.col("image").alias("image_id"), number.alias("category_id"), crowd.alias("iscrowd"), F.array("x0", "y0", F.lit(2.0)).alias("keypoints"), drawn.alias("segmentation"))
     categories = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(n).alias("name")) for k, n in ((1, "A"), (2, "N"), (3, "R"))))
     b.groupBy("image").agg(F.collect_list(ann).alias("annotations")).select(F.struct(F.col("image").alias("id")).alias("image"), "annotations", categories.alias("categories")).write.json(path)
     got = S.image_records(S.read_documents(spark, path, per_image=True, multi_line=False))
-    text = lambda a: F.concat_ws(":", a["id"].cast("string"), a["category"], F.get(a["keypoints"], F.lit(0)).cast("string"), a["iscrowd"].cast("string"))
+    numbers = lambda v: F.array_join(F.transform(v, lambda n: n.cast("string")), " ")
+
+    def text(a):
+        seg = a["segmentation"]
+        told = F.coalesce(F.concat(F.lit("packed "), seg["counts"]), F.concat(F.lit("runs "), numbers(seg["runs"])), numbers(F.transform(seg["polygons"], F.size)), F.lit("none"))
+        return F.concat_ws(":", a["id"].cast("string"), a["category"], F.get(a["keypoints"], F.lit(0)).cast("string"), a["iscrowd"].cast("string"), told)
+
     return got.select("image_id", F.array_join(F.transform("annotations", text), ",").alias("annotations"))
 
 
@@ -97,6 +137,19 @@ def s7(spark, sf):
     return H.line_offsets(table(spark, sf, "documents"), "doc_id", "text", "source")
 
 
+@query("s6_fetch_by_offset", "SELECT key, lang, bytes, CAST(count(*) AS BIGINT) AS times FROM (SELECT CAST(doc_id AS VARCHAR) AS key, lang, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, unnest(range(CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END)) FROM documents WHERE doc_id % 3 = 0) GROUP BY ALL")
+def s6_fetch(spark, sf):
+    """Every third document, and every sixth once more, fetched by place from shards through their written index: only those lines' bytes are read."""
+    path = new_folder(spark, "shards")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("lang")).alias("json"), F.col("text").cast("binary").alias("image"))
+    H.write_tsv(docs, path)
+    index = materialized(H.file_index(spark, path))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).alias("at"), F.split_part("value", F.lit("\t"), F.lit(1)).cast("long").alias("doc_id"))
+    asked = H.shard_rows(lines, "at", "path").where("doc_id % 3 = 0").select("path", F.col("row_in_shard").alias("row"), F.explode(F.sequence(F.lit(0), F.when(F.col("doc_id") % 6 == 0, 1).otherwise(0))).alias("again"))
+    got = H.fetch_rows(index, asked)
+    return got.groupBy("key", F.get_json_object("json", "$.lang").alias("lang"), F.octet_length("image").cast("long").alias("bytes")).agg(F.count("*").alias("times"))
+
+
 @query("s8_s9_shard_index", "SELECT source AS shard, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS row_in_shard FROM documents WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 4 = 1")
 def s8(spark, sf):
     d = table(spark, sf, "documents").withColumn("number", H.shard_number(F.concat(F.lit("x-"), F.regexp_extract("source", r"(\d+)$", 1), F.lit(".tsv"))))
@@ -163,10 +216,9 @@ def s13_masks(spark, sf):
     return S.instance_masks(_label_maps(spark, sf), [1, 3])
 
 
-@query("s14_k10_proposals", "SELECT l_orderkey AS ids, string_agg(CAST(l_discount AS VARCHAR), ' ' ORDER BY l_discount DESC, l_linenumber) AS objectness_logits FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey")
+@query("s14_k10_proposals", "SELECT l_orderkey AS ids, string_agg(CAST(l_discount AS VARCHAR), ' ' ORDER BY l_discount DESC, l_linenumber) AS objectness_logits FROM lineitem GROUP BY l_orderkey")
 def s14(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 3")
-    packed = li.groupBy(F.col("l_orderkey").alias("ids")).agg(F.array_sort(F.collect_list(F.struct((-F.col("l_discount")).alias("neg"), "l_linenumber", "l_discount"))).alias("r"))
+    packed = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("ids")).agg(F.array_sort(F.collect_list(F.struct((-F.col("l_discount")).alias("neg"), "l_linenumber", "l_discount"))).alias("r"))
     return packed.select("ids", F.array_join(F.transform("r", lambda x: x["l_discount"].cast("string")), " ").alias("objectness_logits"))
 
 
@@ -178,6 +230,25 @@ def s16(spark, sf):
     return m.where("kind = 1").join(tops, "parent").select("idx", "parent", "parent_size")
 
 
+MASK_SQL = PIXELS_SQL + """,
+begun AS (SELECT mask, p, on_, CASE WHEN coalesce(lag(on_) OVER (PARTITION BY mask ORDER BY p), 0) <> on_ THEN 1 ELSE 0 END AS new FROM raster),
+numbered AS (SELECT mask, on_, sum(new) OVER (PARTITION BY mask ORDER BY p) AS run FROM begun),
+runs AS (SELECT mask, run, count(*) AS n FROM numbered GROUP BY ALL),
+codes AS (SELECT mask, CASE WHEN min(run) > 0 THEN '0 ' ELSE '' END || string_agg(n, ' ' ORDER BY run) AS counts FROM runs GROUP BY mask)"""
+
+
+@query("s16_k7_mask_archives", f"WITH {MASK_SQL} SELECT 'image ' || (c.mask // 12) AS image, CAST(c.mask % 12 AS INTEGER) AS mask_idx, CAST(c.mask % 12 - c.mask % 4 AS INTEGER) AS divide_idx, c.counts, h.counts AS holder FROM codes c LEFT JOIN codes h ON h.mask = c.mask - c.mask % 4 WHERE c.mask % 4 <> 0")
+def s16_archives(spark, sf):
+    """Twelve masks an image, every fourth of which holds the next three, written as archives of arrays; the held ones scanned by kind and joined to their holders."""
+    path = new_folder(spark, "archives")
+    at = F.col("mask") % 12
+    codes = M.encode(raster(spark, sf)).select(F.concat(F.lit("image "), F.expr("mask div 12").cast("string")).alias("image"), F.when(F.col("mask") % 4 == 0, "divide").otherwise("conquer").alias("kind"), at.cast("int").alias("mask_idx"), F.when(F.col("mask") % 4 == 0, -1).otherwise(at - F.col("mask") % 4).cast("int").alias("divide_idx"), "counts")
+    Z.write_archives(codes, path)
+    held = Z.read_archives(spark, path, ["conquer"]).select("image", "mask_idx", "divide_idx", M.pack_counts(F.col("counts")).alias("counts"))
+    holders = Z.read_archives(spark, path, ["divide"]).select("image", F.col("mask_idx").alias("divide_idx"), M.pack_counts(F.col("counts")).alias("holder"))
+    return held.join(holders, ["image", "divide_idx"], "left").select("image", "mask_idx", "divide_idx", "counts", "holder")
+
+
 @query("k6_video_predictions", f"WITH {FRAMES_SQL} SELECT clip AS video_id, class, round(avg(score), 12) AS score, string_agg(frame, ',' ORDER BY frame) AS frames FROM frames GROUP BY clip, class")
 def k6(spark, sf):
     g = frames(spark, sf).groupBy(F.col("clip").alias("video_id"), "class").agg(F.round(F.avg("score"), 12).alias("score"), F.array_sort(F.collect_list("frame")).alias("f"))
@@ -214,11 +285,14 @@ def k4(spark, sf):
 
 @query("v10_chunked_work", f"WITH {BOXES_SQL} SELECT image, count(*) AS n, round(sum((x1 - x0) * (y1 - y0)), 3) AS area FROM boxes GROUP BY image")
 def v10(spark, sf):
-    """Work in eight parts, each published before the next; a second run finds them done."""
-    path, rows = new_folder(spark, "chunks"), boxes(spark, sf)
+    """Work on two files at a time, in micro-batches; a second run finds nothing left to do."""
+    path, source = new_folder(spark, "batches"), new_folder(spark, "files")
+    rows = boxes(spark, sf)
+    rows.repartition(8, "image").write.parquet(source)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     work = lambda df: df.groupBy("image").agg(F.count("*").alias("n"), F.round(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), 3).alias("area"))
-    in_chunks(rows, "image", 8, work, path)
-    return in_chunks(rows, "image", 8, work, path)
+    in_batches(spark, source, schema, work, path, files=2)
+    return in_batches(spark, source, schema, work, path, files=2).select("image", "n", "area")
 
 
 @query("a35_gather_merge", "SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY source")

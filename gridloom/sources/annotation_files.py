@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.annotations import assemble, must_join
+from gridloom.operators.annotations import assemble, global_row_number, must_join, valid_polygons
 
 IMAGE = "id BIGINT, file_name STRING, width INT, height INT, date_captured STRING, license INT, coco_url STRING, flickr_url STRING"
-ANNOTATION = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation STRUCT<size: ARRAY<INT>, counts: STRING>, score DOUBLE, track_id BIGINT, keypoints ARRAY<DOUBLE>"
+ANNOTATION = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation VARIANT, score DOUBLE, track_id BIGINT, keypoints ARRAY<DOUBLE>"
 CATEGORY = "id INT, name STRING, supercategory STRING"
 
 
@@ -27,15 +27,38 @@ def document_schema(per_image: bool = False) -> str:
 def read_documents(spark: SparkSession, path: str, per_image: bool = False, multi_line: bool = True) -> dict[str, DataFrame]:
     """images, annotations and categories of all documents in ``path``, each with the file it is from. Missing crowd flags are 0.
 
-    A document is a file, or without ``multi_line`` a line, so that files can be split.
+    A document is a file, or without ``multi_line`` a line, so that files can be split. An annotation's segmentation is told
+    as a struct of what its JSON may hold (see ``segmentation``).
     """
     docs = spark.read.schema(document_schema(per_image)).json(path, multiLine=multi_line).withColumn("file", F.col("_metadata.file_path"))
     each = lambda c: docs.select("file", F.explode(c).alias("r")).select("file", "r.*")
     images = docs.select("file", "image.*") if per_image else each("images")
-    ann = each("annotations").withColumn("iscrowd", F.coalesce("iscrowd", F.lit(0)))
+    ann = each("annotations").withColumns({"iscrowd": F.coalesce("iscrowd", F.lit(0)), "segmentation": segmentation(F.col("segmentation"))})
     return {"images": images, "annotations": ann, "categories": each("categories").drop("file").distinct()}
 
 
+def segmentation(v: Column) -> Column:
+    """What a segmentation field of either kind holds: polygons, or a run-length code's size with counts (packed text) or runs (numbers).
+
+    Whatever is neither a list of lists of numbers nor an object has nulls alone, and an absent field is null.
+    """
+    of = lambda path, kind: F.try_variant_get(v, path, kind)
+    kind = F.schema_of_variant(v)
+    runs = F.when(kind.startswith("OBJECT"), of("$.counts", "array<int>"))
+    counts = F.when(kind.startswith("OBJECT") & runs.isNull(), of("$.counts", "string"))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.struct(of("$", "array<array<double>>").alias("polygons"), of("$.size", "array<int>").alias("size"), counts.alias("counts"), runs.alias("runs")))
+
+
+def with_valid_polygons(annotations: DataFrame) -> DataFrame:
+    """Annotations whose polygons have an even number of coordinates, six at least; one that had polygons and keeps none goes.
+
+    Run-length codes, empty lists of polygons and annotations without a segmentation stay as they are.
+    """
+    had, kept = F.col("segmentation.polygons"), valid_polygons(F.col("segmentation.polygons"))
+    left = annotations.where((F.size(F.coalesce(had, F.array())) == 0) | (F.size(kept) > 0))
+    return left.withColumn("segmentation", F.when(had.isNotNull(), F.col("segmentation").withField("polygons", kept)).otherwise(F.col("segmentation")))
+
+
 def centred_keypoints(keypoints: Column) -> Column:
     """x, y, v triples whose x and y, given for a pixel's corner, move to its centre."""
     return F.transform(keypoints, lambda v, i: F.when(i % 3 == 2, v).otherwise(v + 0.5))
@@ -44,10 +67,11 @@ def centred_keypoints(keypoints: Column) -> Column:
 def image_records(documents: dict[str, DataFrame]) -> DataFrame:
     """A row per image with the array of its annotations (in the order of their ids; empty for none), each with its category's name.
 
-    A category that the documents do not list is an error. Keypoints move to pixel centres.
+    A category that the documents do not list is an error. Keypoints move to pixel centres. Polygons that cannot be drawn
+    go, and with them annotations that have no other.
     """
     names = documents["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category"))
-    ann = must_join(documents["annotations"], names, "category_id", "category").withColumn("keypoints", centred_keypoints(F.col("keypoints")))
+    ann = must_join(with_valid_polygons(documents["annotations"]), names, "category_id", "category").withColumn("keypoints", centred_keypoints(F.col("keypoints")))
     fields = ["id", "category", "iscrowd", "area", "bbox", "keypoints", "segmentation"]
     return assemble(documents["images"].withColumnRenamed("id", "image_id"), ann, fields, "image_id")
 
@@ -114,6 +138,15 @@ def mean_area(areas: Column) -> Column:
     return F.when(F.size(real) > 0, F.aggregate(real, F.lit(0.0), lambda s, a: s + a) / F.size(real)).otherwise(0.0)
 
 
+def load_results(results: DataFrame, videos: DataFrame, order: list[str]) -> DataFrame:
+    """Results (video_id, areas, ...) as annotations of known ``videos`` (video_id): id from 1 by ``order``, avg_area, and no crowd.
+
+    A video that is not known fails the query. Ids are numbered by ranges, however many results there are.
+    """
+    known = must_join(results, videos.select("video_id").distinct(), "video_id", "video of a result")
+    return global_row_number(known, order, "id").withColumns({"avg_area": mean_area(F.col("areas")), "iscrowd": F.lit(0)})
+
+
 def remap(value: Column, first: dict, second: dict) -> Column:
     """``first[value]``, or else ``second[value]``."""
     look = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[value]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.annotations import must_join
 from gridloom.sources.storage import materialized
 
 
@@ -21,8 +25,8 @@ def write_tsv(rows: DataFrame, path: str) -> None:
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The JSON column replaced by that of a label table with the same keys."""
-    return rows.drop("json").join(labels.select("key", "json"), "key")
+    """The JSON column replaced by that of a label table with the same keys; a key without a label fails the query."""
+    return must_join(rows.drop("json"), labels.select("key", "json"), "key", "key in the labels")
 
 
 def line_offsets(lines: DataFrame, order: str, text: str, group: str) -> DataFrame:
@@ -40,6 +44,49 @@ def line_offsets(lines: DataFrame, order: str, text: str, group: str) -> DataFra
     return rows.join(carried, ["_part", group]).select(group, order, (F.col("_start") + F.col("_own")).alias("offset"))
 
 
+def file_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, offset, bytes) of every line of the files in ``path``: where it begins, and its bytes without the line end.
+
+    Lines keep their order by the block of the file that they are from and their place in it, so files are read split.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    lines = materialized(spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), at.alias("at"), F.octet_length("value").cast("long").alias("bytes"), F.col("value").alias("line")))
+    placed = line_offsets(lines, "at", "line", "path").join(lines.select("path", "at", "bytes"), ["path", "at"])
+    return shard_rows(placed, "at", "path").select("path", F.col("row_in_shard").alias("row"), "offset", "bytes")
+
+
+def fetch_rows(index: DataFrame, wanted: DataFrame, window: int = 64 << 20) -> DataFrame:
+    """(path, row, key, json, image) of the ``wanted`` (path, row) lines: only their bytes are read, through a written index.
+
+    Requests are dealt by stretches of ``window`` bytes of a file and read in ascending order, so that a task opens a file
+    once and a file with many requests is read by many tasks. A row that the index lacks fails the query; rows asked for
+    twice are given twice. Files are opened with Arrow's file systems (local or mounted paths, HDFS, object stores).
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        now, file = None, None
+        for f in frames:
+            out = []
+            for path, row, offset, size in f[["path", "row", "offset", "bytes"]].itertuples(index=False):
+                if path != now:
+                    if file is not None:
+                        file.close()
+                    system, name = fs.FileSystem.from_uri(path)
+                    now, file = path, system.open_input_file(name)
+                file.seek(offset)
+                parts = [p.strip() for p in file.read(size).decode().split("\t")]
+                out.append((path, row, *(parts + [None] * 3)[:3]))
+            yield pd.DataFrame(out, columns=["path", "row", "key", "json", "image"])
+        if file is not None:
+            file.close()
+
+    at = must_join(wanted.select(F.struct("path", "row").alias("at")), index.select(F.struct("path", "row").alias("at"), "offset", "bytes"), "at", "row")
+    dealt = at.select("at.path", "at.row", "offset", "bytes").repartition("path", F.floor(F.col("offset") / window)).sortWithinPartitions("path", "offset")
+    return dealt.mapInPandas(read, "path string, row int, key string, json string, image string").withColumn("image", F.unbase64("image"))
+
+
 def shard_rows(lines: DataFrame, order: str, group: str) -> DataFrame:
     """``lines`` with row_in_shard, from 0; numbered by ranges as ``line_offsets`` sums, so that no shard needs one task."""
     dealt = materialized(lines.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import functools
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
 _MADE: dict[str, list[str]] = {}
 
@@ -54,26 +53,48 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> DataFrame:
-    """The table at ``path``, which is computed and written only where there is none; it appears there whole, by one rename, or not at all.
+    """The table at ``path``, which is computed and written only where there is none; it is there whole, or not at all.
 
-    A writer that finds another one's table in its place at the end drops its own.
+    Each writer writes a folder of its own under ``path`` and then creates the file ``current``, which names it and can be
+    created only once: the first writer's table is the one that is read, and others drop theirs. The name is one
+    short write; a reader that finds the file still without it waits.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(conf)
-    if not fs.exists(to):
-        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
-        df.write.parquet(part.toString())
-        if fs.exists(to) or not fs.rename(part, to):
-            fs.delete(part, True)
-    return spark.read.schema(df.schema).parquet(path)
-
+    name = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    fs = name.getFileSystem(conf)
+    if not fs.exists(name):
+        own = f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{own}")
+        try:
+            out = fs.create(name, False)
+            out.writeBytes(own)
+            out.close()
+        except Py4JJavaError:
+            if not fs.exists(name):
+                raise
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{own}"), True)
+    for _ in range(600):
+        if fs.getFileStatus(name).getLen() > 0:
+            break
+        time.sleep(0.1)
+    held = spark.read.text(f"{path}/current").first()  # the one line of a manifest
+    return spark.read.schema(df.schema).parquet(f"{path}/{held[0]}")
+
+
+def in_batches(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], path: str, files: int = 8) -> DataFrame:
+    """``work`` applied to the Parquet files in ``source``, some ``files`` at a time, as micro-batches over all there is.
+
+    The input is listed and scanned once in all. Each batch's result goes to a folder of its number, which a repeated
+    batch writes again; what is done is kept under ``path``, so that a run that was stopped goes on where it was, and a
+    later run takes only new files. Rows that ``work`` needs together have to be in one file.
+    """
 
-def in_chunks(df: DataFrame, key: str, n: int, work: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """``work`` applied to ``n`` parts of ``df`` by a hash of ``key``, each published under ``path`` before the next, so that a run that was stopped goes on where it was.
+    def write(rows: DataFrame, number: int) -> None:
+        work(rows).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    A part is a distributed job of its own; parts whose table is there are not computed again.
-    """
-    parts = [publish(work(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)), f"{path}/chunk={k}") for k in range(n)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    shape = work(spark.createDataFrame([], schema)).schema
+    return spark.read.schema(shape).parquet(f"{path}/out")

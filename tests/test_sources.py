@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import annotations as A
 from gridloom.operators import masks as M
+from gridloom.operators import runs as R
 from gridloom.sources import annotation_files as S
+from gridloom.sources import array_archives as Z
 from gridloom.sources import catalog, label_images, storage
 from gridloom.sources import shards as H
 from gridloom.streaming import clips as C
@@ -62,7 +64,7 @@ def test_run_lengths(spark):
     codes = M.encode(px)
     got = {r.mask: list(r.counts) for r in codes.collect()}
     assert got == {1: [12], 2: [0, 12], 3: [0, 1, 11], 4: [1] * 12, 5: [11, 1]}
-    assert sorted((r.mask, r.p) for r in M.decode(codes).collect()) == sorted((k, p) for k, m in masks.items() for p, v in enumerate(m) if v)
+    assert sorted((r.mask, r.p) for r in R.pixels(R.rows(codes, "mask"), "mask").collect()) == sorted((k, p) for k, m in masks.items() for p, v in enumerate(m) if v)
     assert {r.mask: r.a for r in codes.select("mask", M.rle_area(F.col("counts")).alias("a")).collect()} == {k: sum(m) for k, m in masks.items()}
     box = {r.mask: (r.x0, r.y0, r.x1, r.y1) for r in M.tight_box(px.where("on_ = 1"), 3).collect()}
     assert box[3] == (0, 0, 0, 0) and box[5] == (3, 2, 3, 2) and 1 not in box
@@ -76,7 +78,7 @@ def test_streams_agree_with_batch(spark, tmp_path):
     for k in range(3):  # a file for each two frames, read one a trigger
         df.where(F.expr(f"frame div 2 = {k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    got = C.run_to_end(C.stream_tracks(stream), str(tmp_path / "s"))
+    got = C.run_to_end(C.stream_tracks(stream), str(tmp_path / "s"), timers=True)
     key = lambda r: (r.clip, r.frame, r.idx)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.assign_tracks(df).collect()))
 
@@ -105,15 +107,99 @@ def test_tables_are_published_once(spark, tmp_path):
     path, rows = str(tmp_path / "t"), spark.range(10)
     assert storage.publish(rows, path).count() == 10 and storage.publish(rows.limit(1), path).count() == 10
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
-    done = []
+
+
+def test_a_table_that_another_writer_published_first_is_the_one_that_is_read(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    slow = spark.range(3)
+    write = type(slow.write).parquet
+
+    def meanwhile(self, to, *a, **kw):
+        write(self, to, *a, **kw)
+        if f"{path}/rows-" in to and not (tmp_path / "t" / "current").exists():
+            spark.range(10).write.format("parquet").save(f"{path}/rows-other")
+            (tmp_path / "t" / "current").write_text("rows-other")
+
+    monkeypatch.setattr(type(slow.write), "parquet", meanwhile)
+    assert storage.publish(slow, path).count() == 10
+    assert fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)) and sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["current", "rows-other"]
+
+
+def test_batches_scan_files_once_and_go_on(spark, tmp_path):
+    source, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), []
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
 
     def work(df):
-        done.append(1)
+        seen.append(df.count())
+        if len(seen) == 2:
+            raise RuntimeError("stopped")
         return df.selectExpr("id * 2 as id")
 
-    for _ in range(2):
-        assert sorted(r.id for r in storage.in_chunks(rows, "id", 3, work, str(tmp_path / "c")).collect()) == list(range(0, 20, 2))
-    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["chunk=0", "chunk=1", "chunk=2"]
+    with pytest.raises(Exception, match="stopped"):
+        storage.in_batches(spark, source, "id long", work, out, files=1)
+    got = storage.in_batches(spark, source, "id long", work, out, files=1)
+    assert sorted(r.id for r in got.collect()) == list(range(0, 60, 2))
+    assert seen == [10, 10, 10, 10, 0]  # the stopped batch once more, and an empty table for the result's columns
+    spark.range(30, 40).coalesce(1).write.mode("append").parquet(source)
+    assert storage.in_batches(spark, source, "id long", work, out, files=1).count() == 40
+
+
+def test_rows_are_fetched_by_their_offsets(spark, tmp_path):
+    rows = [(f"k{i}", json.dumps({"n": i}), bytes([i % 256]) * (i % 700)) for i in range(300)]
+    for part in range(2):
+        (tmp_path / f"part-{part}.tsv").write_text("".join(f"{k}\t{j} \t{base64.b64encode(b).decode()}\n" for k, j, b in rows[part * 150 : part * 150 + 150]))
+    index = H.file_index(spark, str(tmp_path)).cache()
+    paths = sorted({r.path for r in index.collect()})
+    size = {r.path: r.offset + r.bytes + 1 for r in index.collect() if r.row == 149}
+    assert size == {f"file://{tmp_path}/part-{p}.tsv": (tmp_path / f"part-{p}.tsv").stat().st_size for p in range(2)}
+    wanted = spark.createDataFrame([(paths[1], 0), (paths[0], 149), (paths[0], 7), (paths[0], 7)], "path string, row int")
+    got = H.fetch_rows(index, wanted)
+    assert sorted((r.key, r.json, bytes(r.image)) for r in got.collect()) == sorted([rows[150], rows[149], rows[7], rows[7]])
+    asked = sum(r.bytes for r in index.join(wanted, ["path", "row"]).collect())
+    assert asked < 0.02 * sum(size.values())
+    assert [r.row for r in H.fetch_rows(index, wanted.limit(0)).collect()] == []
+    with pytest.raises(Exception, match="unknown row"):
+        H.fetch_rows(index, spark.createDataFrame([(paths[0], 999)], "path string, row int")).collect()
+    with pytest.raises(Exception, match="unknown key in the labels: k9"):
+        H.with_labels(H.read_tsv(spark, str(tmp_path)), spark.createDataFrame([(f"k{i}", "x") for i in range(300) if i != 9], "key string, json string")).collect()
+
+
+def test_segmentations_of_both_kinds(spark, tmp_path):
+    kinds = [None, [], [[0, 0, 4, 0, 4, 3]], [[0, 0, 4, 0, 4]], [[1, 2, 3, 4], [0, 0, 4, 0, 4, 3.5]], {"size": [3, 4], "counts": "ab1"}, {"size": [3, 4], "counts": [2, 3, 7]}, "odd", {"size": None}]
+    ann = [{"id": i, "image_id": 1, "category_id": 1, **({} if i == 0 else {"segmentation": s})} for i, s in enumerate(kinds)] + [{"id": 50, "image_id": 1, "category_id": 1, "segmentation": None}]
+    (tmp_path / "d.json").write_text(json.dumps({"images": [{"id": 1}], "annotations": ann, "categories": [{"id": 1, "name": "thing"}]}))
+    got = {a["id"]: a["segmentation"] for a in S.image_records(S.read_documents(spark, str(tmp_path / "d.json"))).first()["annotations"]}
+    assert sorted(got) == [0, 1, 2, 4, 5, 6, 7, 8, 50] and got[0] is got[50] is None  # 3 has no polygon left
+    assert got[1]["polygons"] == [] and got[2]["polygons"] == [[0, 0, 4, 0, 4, 3]] and got[4]["polygons"] == [[0, 0, 4, 0, 4, 3.5]]
+    assert got[5]["counts"] == "ab1" and got[5]["runs"] is None and got[5]["size"] == [3, 4] and got[5]["polygons"] is None
+    assert got[6]["runs"] == [2, 3, 7] and got[6]["counts"] is None
+    assert set(got[7].asDict().values()) == set(got[8].asDict().values()) == {None}
+
+
+def test_results_of_unknown_videos_fail(spark):
+    videos = spark.createDataFrame([(1,), (2,)], "video_id long")
+    results = spark.createDataFrame([(2, [1.0, None, 0.0, 3.0]), (1, [None])], "video_id long, areas array<double>")
+    got = [(r.id, r.video_id, r.avg_area, r.iscrowd) for r in S.load_results(results, videos, ["video_id"]).orderBy("id").collect()]
+    assert got == [(1, 1, 0.0, 0), (2, 2, 2.0, 0)]
+    with pytest.raises(Exception, match="unknown video of a result: 2"):
+        S.load_results(results, videos.where("video_id = 1"), ["video_id"]).collect()
+
+
+def test_archives_of_masks(spark, tmp_path):
+    rows = [("a/b c", "divide", 0, -1, [0, 3]), ("a/b c", "conquer", 1, 0, []), ("a/b c", "conquer", 2, 0, [1, 2]), ("é", "conquer", 0, -1, [5])] + [(f"i{k}", "divide", 0, -1, [k]) for k in range(20)]
+    path = str(tmp_path / "z")
+    Z.write_archives(spark.createDataFrame(rows, Z.SCHEMA), path)
+    told = lambda df: sorted((r.image, r.kind, r.mask_idx, r.divide_idx, list(r.counts)) for r in df.collect())
+    assert told(Z.read_archives(spark, path)) == sorted(rows)
+    assert told(Z.read_archives(spark, path, ["conquer"])) == sorted(r for r in rows if r[1] == "conquer")
+    assert told(Z.read_archives(spark, path, [])) == []
+    (tmp_path / "z" / "part-lost").mkdir()
+    (tmp_path / "z" / "part-lost" / "x.npz").write_bytes(b"of a task that did not count")
+    assert len(told(Z.read_archives(spark, path))) == len(rows)
+    with pytest.raises(Exception, match="a mask without an image"):
+        Z.write_archives(spark.createDataFrame([(None, "divide", 0, -1, [1])], Z.SCHEMA), str(tmp_path / "y"))
 
 
 def test_label_images():

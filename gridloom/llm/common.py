@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import itertools
 import re
 import tempfile
 import uuid
@@ -57,6 +58,22 @@ def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, label: str) -> str:
+    """``label``, or with a number the first name like it that no column of ``docs`` has (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for i in itertools.count() if (n := f"{label}{i or ''}").lower() not in taken)
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], list]]:
+    """``docs`` with columns that are called like one of ``names`` under free names, and the docs' own columns of a result under their own names."""
+    own: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            own[c] = free_name(docs.select(*docs.columns, *(F.lit(0).alias(n) for n in own.values())), f"_own_{c}")
+    given = docs.columns
+    return docs.withColumnsRenamed(own), lambda out: [out[f"`{own.get(c, c)}`"].alias(c) for c in given]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Bounds what one Arrow batch takes to a Python worker: texts can be very long."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):

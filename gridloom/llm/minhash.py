@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unlinked but share rare shingles. All links that count are confirmed on the full sets.
 
     Null or empty text, or text without words, has an empty set and links with nothing. A null id takes no part: its
-    component_id is null and it is kept. Rows that repeat an id are one node. Other columns are ignored; an empty table gives
+    component_id is null and it is kept. Rows that repeat an id are one node, also where their texts differ: what any of them is
+    linked to is linked to all of them, but for rows without words, which stand by themselves. Other columns are ignored; an empty table gives
     an empty result.
     """
     spark = docs.sparkSession
@@ -298,5 +299,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest, share = saved(rest.where(~chosen).join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b"), "rest"), share * 4
 
     out = placed.join(part.withColumnRenamed("id", "rep"), "rep", "left")
+    # Texts of one id that are in different components join them.
+    real = out.where("doc_id is not null and n > 0").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    torn = saved(real.groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("doc_id", "least"), "torn")
+    if not torn.isEmpty():
+        up = components(real.join(torn, "doc_id").select(F.col("least").alias("a"), F.col("component").alias("b")))
+        up = up.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        out = out.withColumn("component", F.coalesce("component", "rep")).join(up, "component", "left").withColumn("component", F.coalesce("up", "component"))
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -13,7 +13,8 @@ def test_queries_agree_with_their_sql(spark):
     from gridloom.llm import queries as q
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in q.oracle_sql().items():
         df = q.queries()[name](spark, SF)
         got = c.sql(sql)
@@ -40,6 +41,39 @@ def test_stages(spark):
     assert docs.where("n_tokens is null or ids_sha256 is null").count() == 0
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    """Names that the stages use themselves, in two spellings, come through with their values."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+
+    names = ["_toxic", "_Toxic1", "_n_lines", "_n_dropped", "_lost0", "_tokens", "_Posteriors", "_rate", "ids", "Decoded", "_own_ids", "n", "same", "sig", "rep", "id", "key", "component", "score", "up"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    odd = docs.withColumns({c: F.concat(F.lit(f"{k} "), F.col("doc_id").cast("string")) for k, c in enumerate(names)})
+    for name, stage in p.STAGES:
+        plain, got = stage(spark, docs, SF), stage(spark, odd, SF)
+        assert got.columns == (odd.columns if name != "bpe" else [*odd.columns, "n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = got.collect()
+        assert all(r[c] == f"{k} {r.doc_id}" for r in rows for k, c in enumerate(names))
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+    again = p.bpe(spark, docs.withColumns({"n_tokens": F.lit("x"), "ids_sha256": F.lit("y")}), SF)
+    assert again.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256"] and dict(again.dtypes)["n_tokens"] == "bigint"
+
+
+def test_near_dedup_of_rows_that_repeat_an_id(spark):
+    import corpus_pipeline as p
+    from gridloom.llm.minhash import near_duplicates
+
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, b), (20, "other words altogether here now"), (21, b + " more"), (30, ""), (30, a), (None, a), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(docs, k=4, percent=80).collect())
+    want = [(0, 57, 0, True)] * 2 + [(1, 57, 1, True)] + [(5, 57, 1, False)] * 2 + [(9, 57, 1, False)] * 2 + [(20, 2, 20, True), (21, 58, 1, False), (30, 0, 30, True), (30, 57, 1, False)]
+    assert got == want
+    kept = sorted((r.doc_id or 0, r.text) for r in p.near_dedup(spark, docs, SF).collect())
+    assert kept == sorted([(0, a), (0, b), (1, a), (20, "other words altogether here now")])
+
+
 @pytest.mark.parametrize("poor", [0.13, 0.5])
 def test_mixing_meets_its_targets(spark, tmp_path, poor):
     import random

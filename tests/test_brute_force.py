@@ -556,6 +556,49 @@ def _():
     return sorted(out)
 
 
+EXPECTED["v5_track_stream"] = lambda: EXPECTED["v5_track_assignment"]()
+
+
+@expects("g14_agglomerative_levels")
+def _():
+    out = []
+    for i, img in cells().items():
+        groups, t = [{n} for n in img], [0.4, 0.2, 0.1]
+        touch = lambda a, b, img=img: any(m in b for n in a for m in around(img, n))
+        total = lambda g, img=img: np.sum([img[n][2] for n in sorted(g)], 0)
+        while t:
+            sims = [(float(one(total(a)) @ one(total(b))), k, j) for (k, a), (j, b) in itertools.combinations(enumerate(groups), 2) if touch(a, b)]
+            if not sims:
+                break
+            if max(sims)[0] < t[0]:
+                labels = by_size(img, dict.fromkeys(img, 0) | {n: k + 1 for k, g in enumerate(g for g in groups if len(g) >= 2) for n in g})
+                out += [(i, n, t[0], labels[n]) for n in img]
+                t = t[1:]
+                continue
+            _, k, j = max(sims)
+            groups = [g for m, g in enumerate(groups) if m not in (k, j)] + [groups[k] | groups[j]]
+    return sorted(out)
+
+
+@expects("g23_level_tree")
+def _():
+    out = []
+    for i, img in cells().items():
+        regions = [(-1, img)]
+        for level, tau in enumerate((0.1, 0.25), 1):
+            objects = []
+            for parent, inner in regions:
+                labels = cut_objects(inner, tau) if len(inner) > 2 else {}
+                for k in range(1, max(labels.values(), default=0) + 1):
+                    objects.append((parent, k - 1, [n for n in inner if labels[n] == k]))
+            out += [(i, level, p, c, n) for p, c, nodes in objects for n in nodes]
+            regions = []
+            for number, (_, _, nodes) in enumerate(objects):
+                ys, xs = [img[n][0] for n in nodes], [img[n][1] for n in nodes]
+                regions.append((number, {n: v for n, v in img.items() if min(ys) <= v[0] <= max(ys) and min(xs) <= v[1] <= max(xs)}))
+    return sorted(out)
+
+
 CHECKS = {"g18_kmeans": check_kmeans, "g19_pca": check_pca, "g19_pca_rgb": check_rgb, "j14_optimal_assignment": check_boxes, "j14_mask_assignment": check_masks, "v2_v3_v4_transport_chain": check_transport}
 
 

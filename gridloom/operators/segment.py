@@ -456,14 +456,14 @@ class SparseAffinity:
             values, mix = np.linalg.eigh(basis.T @ image)
             lead = mix[:, ::-1][:, : 2 * block]
             rest = image @ lead[:, :2] - basis @ lead[:, :2] * values[::-1][:2]
-            if np.linalg.norm(rest, axis=0).max() < tol:
-                break
+            rest = np.linalg.norm(rest, axis=0)
+            if rest[0] < tol and (rest[-1] < tol or values[-1] - values[-2] > 10 * rest[-1]):
+                break  # the third need only be told from the second
             if basis.shape[1] >= room:
                 basis, image = basis @ lead, image @ lead
-                new = image - basis * values[::-1][: lead.shape[1]]
-                new = new[:, :block]
+                new = (image - basis * values[::-1][: lead.shape[1]])[:, :block]
             else:
-                new = image[:, -new.shape[1] :]
+                new = image[:, -new.shape[1] :].copy()
         values, mix = np.linalg.eigh(basis.T @ image)
         v = (basis @ mix[:, -1]) * s
         big = np.flatnonzero(np.abs(v) > 1e-9)

@@ -124,7 +124,7 @@ def test_overlapping_boxes_are_found_once(spark, crowd):
 
 
 def test_an_image_of_many_boxes_is_joined_by_cells(spark):
-    """20,000 boxes on each side of one image, 400 million pairs, of which some hundred thousand overlap."""
+    """20,000 boxes on each side of one image, 400 million pairs, of which some twenty thousand overlap."""
     n = 20_000
     at = lambda seed: [(F.pmod(F.xxhash64("idx", F.lit(seed + k)), F.lit(1_000_000)) / 1e6).alias(f"u{k}") for k in range(3)]
     side = lambda seed: spark.range(n).withColumnRenamed("id", "idx").select(F.lit(0).alias("image"), "idx", *at(seed)).select("image", "idx", (F.col("u0") * 9000).alias("x0"), (F.col("u1") * 9000).alias("y0"), (F.col("u0") * 9000 + 5 + F.col("u2") * 60).alias("x1"), (F.col("u1") * 9000 + 5 + F.col("u2") * 40).alias("y1"))
@@ -138,7 +138,7 @@ def test_an_image_of_many_boxes_is_joined_by_cells(spark):
         p = x[i : i + 500, None]
         hit = (np.minimum(p[..., 3], y[None, :, 3]) > np.maximum(p[..., 1], y[None, :, 1])) & (np.minimum(p[..., 4], y[None, :, 4]) > np.maximum(p[..., 2], y[None, :, 2]))
         want |= {(int(j) + i, int(k)) for j, k in np.argwhere(hit)}
-    assert got == want and len(want) > 20_000
+    assert got == want and len(want) > 10_000
 
 
 def test_tiling_and_points(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,11 +182,15 @@ FOLDED = "frame long, x0 double, y0 double, x1 double, y1 double, taken long, ov
 
 def fold_frames(clip, frames: pd.DataFrame, box: np.ndarray | None, every: int, least_score: float, least_overlap: float) -> tuple[list[tuple], np.ndarray | None]:
     """The rows of ``reseed_fold`` for frames of one clip in order (a row a proposal, or one with a null idx), and the state after them."""
-    out = []
-    for frame, part in frames.sort_values(["frame", "idx"]).groupby("frame", sort=True):
-        real = part[part["idx"].notna()]
-        box, taken, overlap = fold_state(box, part[["dx", "dy"]].to_numpy(float)[0], real[list(CORNERS)].to_numpy(float), real["score"].to_numpy(float), real["idx"].to_numpy(), frame % every == 0, least_score, least_overlap)
-        out.append((clip, int(frame), *(map(float, box) if box is not None else (None,) * 4), taken, overlap))
+    f = frames.sort_values(["frame", "idx"], kind="stable")
+    at, ids, scores = f["frame"].to_numpy(), f["idx"].to_numpy(float), f["score"].to_numpy(float)
+    shifts, corners = f[["dx", "dy"]].to_numpy(float), f[list(CORNERS)].to_numpy(float)
+    real, out = ~np.isnan(ids), []
+    cut = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+    for i, j in itertools.pairwise(cut):
+        k = i + np.flatnonzero(real[i:j])
+        box, taken, overlap = fold_state(box, shifts[i], corners[k], scores[k], ids[k], at[i] % every == 0, least_score, least_overlap)
+        out.append((clip, int(at[i]), *(map(float, box) if box is not None else (None,) * 4), taken, overlap))
     return out, box
 
 

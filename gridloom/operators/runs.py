@@ -109,6 +109,44 @@ def _set_runs(codes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), runs)
 
 
+def _encoded(bits: pa.Array) -> pa.Array:
+    """Codes of whole masks: a run begins where a pixel differs from the one before it (from 0 at the first)."""
+    n = pc.fill_null(pc.list_value_length(bits), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    on = pc.fill_null(bits.flatten(), 0).to_numpy(zero_copy_only=False) != 0
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(on)) - (np.cumsum(n) - n)[row]
+    before = np.concatenate([[False], on[:-1]])[: len(on)] & (place > 0)
+    turn = on != before
+    whole = np.flatnonzero(n > 0)
+    r, p = np.concatenate([row[turn], whole]), np.concatenate([place[turn], n[whole]])
+    order = np.argsort(r, kind="stable")
+    r, p = r[order], p[order]
+    inner = np.append(False, r[1:] == r[:-1])[: len(r)]
+    counts = p - np.where(inner, np.concatenate([[0], p[:-1]])[: len(p)], 0)
+    size = np.bincount(r, minlength=len(n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(counts.astype(np.int32)))
+
+
+def _boxed(codes: pa.Array, height: pa.Array) -> pa.Array:
+    """(x0, y0, x1, y1), inclusive, of the set runs of each code; null without any. A run over two columns has both their ends."""
+    runs = _set_runs(codes)
+    n = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = n > 0
+    first = (np.cumsum(n) - n)[some]
+    h = np.repeat(height.to_numpy(zero_copy_only=False).astype(np.int64), n)
+    of = runs.flatten()
+    start, last = (of.field(k).to_numpy().astype(np.int64) - k for k in (0, 1))
+    within = start // h == last // h if len(h) else np.zeros(0, bool)
+    at = {"x0": (np.minimum, start // h), "y0": (np.minimum, np.where(within, start % h, 0)), "x1": (np.maximum, last // h), "y1": (np.maximum, np.where(within, last % h, h - 1))}
+    out = []
+    for f, v in at.values():
+        whole = np.zeros(len(n), np.int64)
+        if len(first):
+            whole[some] = f.reduceat(v, first)
+        out.append(pa.array(whole.astype(np.int32)))
+    return pa.StructArray.from_arrays(out, list(at), mask=pa.array(~some))
+
+
 def _arrow(f, returns: str, codes: int):
     """``f`` over Arrow arrays as a function of ``codes`` columns; a row with a null code gives null."""
     kernel = (lambda a: f(a)) if codes == 1 else (lambda a, b: f(a, b))
@@ -129,6 +167,26 @@ union = _arrow(_union, "array<int>", 2)
 difference = _arrow(_difference, "array<int>", 2)
 intersection = _arrow(_common, "array<int>", 2)
 set_runs = _arrow(_set_runs, "array<struct<start:int,stop:int>>", 1)
+#: The code of an array of pixels (0 or 1, column-major), a mask a row, so that no mask's pixels are shuffled or sorted; and
+#: the inclusive box (x0, y0, x1, y1) of a code's set pixels, given the height, null where there are none.
+encoded = _arrow(_encoded, "array<int>", 1)
+boxed = _arrow(_boxed, "struct<x0:int,y0:int,x1:int,y1:int>", 2)
+
+
+def with_neighbours(codes: DataFrame, other: str = "other", key: str = "mask", counts: str = "counts") -> DataFrame:
+    """``codes`` with the code of the mask of the next number as ``other``; masks without one are left out.
+
+    The sides are merged: sizes that Spark guesses from the files say nothing of codes, and one broadcast of all could be too large.
+    """
+    after = codes.select((F.col(key) - 1).alias(key), F.col(counts).alias(other))
+    return codes.join(after.hint("merge"), key)
+
+
+def annotations(codes: DataFrame, height: int, least_area: int = 1, key: str = "mask", counts: str = "counts") -> DataFrame:
+    """(mask, counts, area, x, y, w, h) of masks with at least ``least_area`` set pixels, from their codes."""
+    a = codes.withColumns({"area": rle_area(F.col(counts)), "_box": boxed(F.col(counts), F.lit(height))}).where(F.col("area") >= least_area)
+    side = lambda lo, hi: (F.col(f"_box.{hi}") - F.col(f"_box.{lo}") + 1).cast("long")
+    return a.select(key, counts, "area", F.col("_box.x0").cast("long").alias("x"), F.col("_box.y0").cast("long").alias("y"), side("x0", "x1").alias("w"), side("y0", "y1").alias("h"))
 
 
 def overlap_measures(a: Column, b: Column, shared: Column) -> dict[str, Column]:
@@ -141,7 +199,7 @@ def overlap_measures(a: Column, b: Column, shared: Column) -> dict[str, Column]:
 def overlaps(pairs: DataFrame, codes: DataFrame, key: str = "mask", counts: str = "counts") -> DataFrame:
     """IoU, coverage of a by b, and of b by a, of the mask pairs (a, b), from the masks' codes."""
     side = lambda c: codes.select(F.col(key).alias(c), F.col(counts).alias(f"code_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     shared = both.withColumn("shared", shared_area(F.col("code_a"), F.col("code_b")))
     measures = overlap_measures(F.col("code_a"), F.col("code_b"), F.col("shared"))
     return shared.select("a", "b", *(m.alias(n) for n, m in measures.items()))
@@ -150,7 +208,7 @@ def overlaps(pairs: DataFrame, codes: DataFrame, key: str = "mask", counts: str
 def matrix(left: DataFrame, right: DataFrame, key: str = "image", counts: str = "counts") -> DataFrame:
     """The overlap measures of all pairs of masks of the same image: (key, l_idx, r_idx, shared, iou, coverage, ioy)."""
     side = lambda df, s: df.select(key, F.col("idx").alias(f"{s}_idx"), F.col(counts).alias(f"{s}_code"))
-    p = side(left, "l").join(side(right, "r"), key)
+    p = side(left, "l").join(side(right, "r").hint("merge"), key)
     p = p.withColumn("shared", shared_area(F.col("l_code"), F.col("r_code")))
     return p.select(key, "l_idx", "r_idx", "shared", *(m.alias(n) for n, m in overlap_measures(F.col("l_code"), F.col("r_code"), F.col("shared")).items()))
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from gridloom.operators import detection_eval as V
 from gridloom.operators import match as M
 from gridloom.operators import metrics as E
+from gridloom.operators import runs as R
 from gridloom.operators import suppress as D
 from gridloom.operators import temporal as T
-from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, boxes, frames, gt_and_det, raster
+from gridloom.plans.bridge import BOXES_SQL, FRAMES_SQL, PIXELS_SQL, bitmaps, boxes, frames, gt_and_det
 from gridloom.plans.q_boxes import BEST, IOU
 from gridloom.functions.text import hash_number
 from gridloom.plans.registry import query, table
@@ -501,10 +502,8 @@ depth AS (SELECT r.mask, r.y, r.x, r.label, min(abs(r.y - o.y) + abs(r.x - o.x))
 @query("v8_correction_clicks", f"WITH {CLICK_SQL} SELECT mask, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY deep DESC, y, x) AS place FROM depth) WHERE place = 1")
 def v8(spark, sf):
     """The next click for each mask, with its neighbour as the prediction."""
-    px = raster(spark, sf)
-    packed = px.groupBy("mask").agg(F.array_sort(F.collect_list(F.struct("p", "on_"))).alias("r")).select("mask", F.transform("r", lambda r: r["on_"]).alias("truth"))
-    pred = packed.select((F.col("mask") - 1).alias("mask"), F.col("truth").alias("pred"))
-    return T.correction_clicks(packed.join(pred, "mask"), 8)
+    packed = bitmaps(spark, sf).withColumnRenamed("bits", "truth")
+    return T.correction_clicks(R.with_neighbours(packed, "pred", counts="truth"), 8)
 
 
 def _shift_sql(k: int) -> str:

@@ -132,21 +132,26 @@ def assign_to_centres(nodes: DataFrame, centres: DataFrame) -> DataFrame:
     return p.groupBy("image", "node").agg(F.min(F.struct(d.alias("d"), "centre")).alias("m")).select("image", "node", F.col("m.centre").alias("centre"))
 
 
-def gaussian_smooth(values: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
-    """Values (image, y, x, v) smoothed with a Gaussian of radius round(3 sigma); edges reflect without repeating the border cell."""
+def gaussian_smooth(values: DataFrame, sigma: float, height: int, width: int, through_gaps: bool = False) -> DataFrame:
+    """Values (image, y, x, v) smoothed with a Gaussian of radius round(3 sigma); edges reflect without repeating the border cell.
+
+    Cells without a row add nothing. The columns are smoothed first, then the rows: with ``through_gaps`` also at cells
+    without a row, so that every cell gets the sum over all there are in its square.
+    """
     import math
 
     radius = max(1, round(3 * sigma))
     k = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-radius, radius + 1)]
     total = sum(k)
 
-    def along(df: DataFrame, axis: str, size: int) -> DataFrame:
+    def along(df: DataFrame, at: DataFrame, axis: str, size: int) -> DataFrame:
         taps = F.array(*(F.struct(F.lit(i - radius).alias("d"), F.lit(w / total).alias("w")) for i, w in enumerate(k)))
         period = 2 * (size - 1) if size > 1 else 1
         other = "x" if axis == "y" else "y"
-        t = df.select("image", other, F.col(axis), F.explode(taps).alias("t")).withColumn("_m", F.pmod(F.col(axis) + F.col("t.d"), F.lit(period)))
+        t = at.select("image", other, F.col(axis), F.explode(taps).alias("t")).withColumn("_m", F.pmod(F.col(axis) + F.col("t.d"), F.lit(period)))
         t = t.withColumn("_s", F.when(F.col("_m") < size, F.col("_m")).otherwise(period - F.col("_m")).cast("long"))
         src = df.select("image", other, F.col(axis).cast("long").alias("_s"), "v")
         return t.join(src, ["image", other, "_s"]).groupBy("image", "y", "x").agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
 
-    return along(along(values, "y", height), "x", width)
+    whole = values.select("image", "x").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))) if through_gaps else values
+    return along(along(values, whole, "y", height), values, "x", width)

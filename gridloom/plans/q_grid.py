@@ -68,7 +68,8 @@ def l2_normalize(spark, sf):
 @query("l2_normalize_all", "SELECT vec_id AS node, list_transform(CAST(embedding AS DOUBLE[]), lambda e: round(e / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS unit FROM embeddings")
 def l2_normalize_all(spark, sf):
     g = grid(spark, sf).select("node", S.normalized(F.col("feat")).alias("u"))
-    return g.select("node", F.transform("u", lambda e: F.round(e, 6)).alias("unit"))
+    # a negative entry that rounds to zero keeps its sign
+    return g.select("node", F.transform("u", lambda e: F.signum(e) * F.abs(F.round(e, 6))).alias("unit"))
 
 
 @query("j19_pairwise_in_label", f"WITH {CELLS_SQL} SELECT a.node AS a, b.node AS b, round(list_cosine_similarity(a.feat, b.feat), 6) AS sim FROM cells a JOIN cells b ON a.image = b.image AND a.label = b.label AND a.node < b.node")
@@ -179,7 +180,7 @@ def k8_images(spark, sf):
     path = new_folder(spark, "label-images")
     c = cells(spark, sf).withColumn("label", F.col("label") * 257 + 1)
     label_images(c).write.parquet(path)
-    return read_label_images(spark.read.schema("image long, png binary").parquet(path))
+    return read_label_images(spark.read.schema("image long, png binary").parquet(path)).where("label > 0")  # 0: no cell
 
 
 @query("w5_relabel_by_size", f"WITH {CELLS_SQL}, n AS (SELECT image, label, count(*) AS n, min(node) AS f FROM cells GROUP BY ALL), k AS (SELECT image, label, row_number() OVER (PARTITION BY image ORDER BY n DESC, f) AS new FROM n WHERE n >= 8) SELECT node, CAST(coalesce(new, 0) AS INTEGER) AS label FROM cells LEFT JOIN k USING (image, label)")
@@ -289,7 +290,7 @@ def _mirror(c: str, n: int) -> str:
 @query("g20_gaussian_smooth", f"WITH {CELLS_SQL}, k AS (SELECT i, exp(-(i * i) / 0.98::DOUBLE) / (SELECT sum(exp(-(j * j) / 0.98::DOUBLE)) FROM (SELECT unnest(range(-2, 3)) AS j)) AS w FROM (SELECT unnest(range(-2, 3)) AS i)), v AS (SELECT image, y, x, feat[1] AS v FROM cells) SELECT a.image, a.y, a.x, round(sum(b.v * ky.w * kx.w), 6) AS v FROM v a, k ky, k kx, v b WHERE b.image = a.image AND b.y = {_mirror('a.y + ky.i', ROWS)} AND b.x = {_mirror('a.x + kx.i', GRID_WIDTH)} GROUP BY ALL")
 def g20(spark, sf):
     v = cells(spark, sf).select("image", "y", "x", F.element_at("feat", 1).alias("v"))
-    return G.gaussian_smooth(v, 0.7, ROWS, GRID_WIDTH).withColumn("v", F.round("v", 6))
+    return G.gaussian_smooth(v, 0.7, ROWS, GRID_WIDTH, through_gaps=True).withColumn("v", F.round("v", 6))
 
 
 @query("g20_gaussian_smooth_all", f"WITH {CELLS_SQL}, k AS (SELECT i, exp(-(i * i) / 0.98::DOUBLE) / (SELECT sum(exp(-(j * j) / 0.98::DOUBLE)) FROM (SELECT unnest(range(-2, 3)) AS j)) AS w FROM (SELECT unnest(range(-2, 3)) AS i)), v AS (SELECT image * 64 + d - 1 AS plane, y, x, feat[d] AS v FROM cells, (SELECT unnest(range(1, 65)) AS d)), h AS (SELECT a.plane, a.y, a.x, sum(b.v * ky.w) AS v FROM v a, k ky, v b WHERE b.plane = a.plane AND b.x = a.x AND b.y = {_mirror('a.y + ky.i', ROWS)} GROUP BY ALL) SELECT a.plane, a.y, a.x, round(sum(b.v * kx.w), 6) AS v FROM h a, k kx, h b WHERE b.plane = a.plane AND b.y = a.y AND b.x = {_mirror('a.x + kx.i', GRID_WIDTH)} GROUP BY ALL")
@@ -471,7 +472,7 @@ def t8(spark, sf):
 
     def peaks(feat, y, x):
         v = X.np.full((int(y.max()) + 1, int(x.max()) + 1), -X.np.inf)
-        v[y, x] = X.np.linalg.norm(feat, axis=1)
+        v[y, x] = X.np.round(X.np.linalg.norm(feat, axis=1), 9)  # so that ties are ties, which the first node wins
         got = set(spaced_peaks(v, 5, 2))
         return [int((a, b) in got) for a, b in zip(y.tolist(), x.tolist(), strict=True)]
 

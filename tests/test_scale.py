@@ -30,3 +30,38 @@ def test_codes_of_whole_masks_equal_those_of_pixel_rows(spark):
     assert sorted(codes.collect()) == sorted(M.encode(pixels).collect())
     assert sorted(map(tuple, R.annotations(codes, 4).collect())) == sorted(map(tuple, M.annotations(pixels, 4).collect()))
     assert R._encoded(pa.array([[], None, [1], [0]], pa.list_(pa.int32()))).to_pylist() == [[], [], [0, 1], [1]]
+
+
+def _duck(folder):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("lineitem", "embeddings", "part", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["g20_gaussian_smooth", "k8_label_images", "t8_spaced_peaks"])
+def test_last_image_cut_within_a_row_and_ties_of_unit_vectors(spark, tmp_path, name):
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(256, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = pa.table({"vec_id": pa.array(np.arange(256)), "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "label": pa.array(np.arange(256) % 7)})
+    import pyarrow.parquet as pq
+
+    pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
+    duckdb.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = duckdb.sql(reference.ORACLE[name])
+    got = reference.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_entries_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = pa.table({"vec_id": pa.array([0]), "embedding": pa.array([[1.0, -1e-8, 1e-8, 0.0]], pa.list_(pa.float32())), "label": pa.array([0])})
+    pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
+    unit = reference.QUERIES["l2_normalize_all"](spark, str(tmp_path)).first()["unit"]
+    assert [str(x) for x in unit] == ["1.0", "-0.0", "0.0", "0.0"]  # as the SQL gives them

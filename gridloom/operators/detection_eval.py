@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.match import area_of, best_covered, evaluate_image, two_sided
-from gridloom.operators.metrics import average_precision, mean_over_valid
+from gridloom.operators.match import area_of, by_score, evaluate_images, named, paired, two_sided
+from gridloom.operators.metrics import average_precision, mean_over_valid, packed_curves
 from gridloom.operators.suppress import iou_matrix
 from gridloom.sources.storage import materialized
 
@@ -25,24 +25,44 @@ def matches_by_area(det: DataFrame, truth: DataFrame, thresholds: list[float] =
     what matches it, and an unmatched detection outside the range. ``rank`` is the place by score, so that fewer detections
     an image are those of lesser rank: what they match does not depend on the rest.
     """
-    ts, names = np.array(thresholds), list(areas)
+    ts, names, bounds = np.array(thresholds), list(areas), np.array(list(areas.values()))[:, :, None]
 
     def one(di, db, ds, gi, gb, crowd):
-        o = np.lexsort((di, -ds))[:most]
-        di, db, ds = di[o], db[o], ds[o]
-        size_d, size_g, parts = area_of(db), area_of(gb), []
-        for k, (lo, hi) in enumerate(areas.values()):
-            got, skip = evaluate_image(db, gb, crowd, crowd | (size_g < lo) | (size_g > hi), ts)
-            skip |= (got < 0) & ((size_d < lo) | (size_d > hi))
-            parts.append((np.full(got.size, k), np.repeat(ts, len(di)), np.append(gi, -1)[got.reshape(-1)], skip.reshape(-1)))
-        part, threshold, gt, skip = (np.concatenate(x) for x in zip(*parts, strict=True))
-        n = len(areas) * len(ts)
-        return {"idx": np.tile(di, n), "score": np.tile(ds, n), "rank": np.tile(np.arange(len(di)), n), "part": part, "threshold": threshold, "gt_idx": gt, "ignored": skip}
-
-    got = two_sided(det, truth, ["image", "category"], one, "idx long, score double, rank long, part long, threshold double, gt_idx long, ignored boolean")
+        di, ds, got, skip = _evaluated(di, db, ds, gb, crowd, ts, bounds, most)
+        flat = lambda v: np.broadcast_to(v, got.shape).reshape(len(got), -1)
+        part, rank = np.arange(len(names))[:, None, None], np.arange(di.shape[1])
+        gt = named(gi, got.reshape(len(got), -1))
+        return {"idx": flat(di[:, None, None]), "score": flat(ds[:, None, None]), "rank": flat(rank), "part": flat(part), "threshold": flat(ts[:, None]), "gt_idx": gt, "ignored": flat(skip)}
+
+    got = two_sided(det, truth, ["image", "category"], one, "idx long, score double, rank long, part long, threshold double, gt_idx long, ignored boolean", width=len(names) * len(ts))
     return got.withColumn("area", F.element_at(F.array(*map(F.lit, names)), (F.col("part") + 1).cast("int"))).drop("part")
 
 
+def _evaluated(di, db, ds, gb, crowd, ts, bounds, most):
+    """idx and score by falling score, and the matched truth's place (or -1) and whether it is ignored by range, threshold and detection."""
+    o = by_score(di, ds, most)
+    di, ds, db = np.take_along_axis(di, o, 1), np.take_along_axis(ds, o, 1), np.take_along_axis(db, o[..., None], 1)
+    outside = lambda b: (area_of(b)[:, None] < bounds[:, 0]) | (area_of(b)[:, None] > bounds[:, 1])
+    got, skip = evaluate_images(db, gb, crowd, crowd[:, None] | outside(gb), ts)
+    return di, ds, got, skip | ((got < 0) & outside(db)[:, :, None])
+
+
+def packed_matches(det: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS, areas: dict[str, tuple[float, float]] = AREAS, most: int = 100, category: str | None = "category") -> DataFrame:
+    """(image, category, idx, score, rank, hit, counts) of the same matches, a row a detection: bits by area and threshold.
+
+    ``hit`` is set where it has a truth that counts, ``counts`` where it is not ignored. Without ``category`` all are of one.
+    """
+    ts, bounds = np.array(thresholds), np.array(list(areas.values()))[:, :, None]
+
+    def one(di, db, ds, gi, gb, crowd):
+        di, ds, got, skip = _evaluated(di, db, ds, gb, crowd, ts, bounds, most)
+        bits = lambda v: np.packbits(v.reshape(len(v), -1, v.shape[-1]).transpose(0, 2, 1), axis=-1)
+        return {"idx": di, "score": ds, "rank": np.broadcast_to(np.arange(di.shape[1]), di.shape), "hit": bits((got >= 0) & ~skip), "counts": bits(~skip)}
+
+    got = two_sided(det, truth, ["image", category] if category else ["image"], one, "idx long, score double, rank long, hit binary, counts binary", width=len(areas) * len(ts))
+    return got if category else got.withColumn("category", F.lit("all"))
+
+
 def truths_by_area(truth: DataFrame, areas: dict[str, tuple[float, float]] = AREAS) -> DataFrame:
     """(category, area, n): truths that count."""
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
@@ -77,8 +97,25 @@ def summary(ap: DataFrame, recall: DataFrame, most: tuple[int, ...] = MOST) -> D
 
 def evaluate(det: DataFrame, truth: DataFrame, **options) -> DataFrame:
     """The twelve statistics of detections (image, category, idx, score, corners) against truths (with iscrowd)."""
-    m = materialized(matches_by_area(det, truth, **options))
-    return summary(*precision_and_recall(m, truths_by_area(truth)))
+    thresholds, areas = options.get("thresholds", THRESHOLDS), options.get("areas", AREAS)
+    cells = [(a, t) for a in areas for t in thresholds]
+    of = truth.sparkSession.createDataFrame([(k, a, t) for k, (a, t) in enumerate(cells)], "cell long, area string, threshold double")
+    n = truths_by_area(truth, areas).join(F.broadcast(of), "area")
+    curves = packed_curves(packed_matches(det, truth, **options), n.select("category", "cell", "n"), len(cells), MOST)
+    every = n.join(curves, ["category", "cell"], "left")
+    ap = every.select("category", "area", "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("most"), F.coalesce(f"h{k}", F.lit(0)).alias("hits")) for k in MOST))).alias("r")
+    recall = every.select("category", "area", "threshold", "n", each).select("category", "area", "threshold", "r.most", (F.col("r.hits") / F.col("n")).alias("recall"))
+    return summary(ap, recall)
+
+
+def precision_by_threshold(det: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, ap) of all detections together."""
+    n = truth.where(~F.col("iscrowd")).agg(F.count("*").alias("n"))
+    of = truth.sparkSession.createDataFrame(list(enumerate(thresholds)), "cell long, threshold double")
+    n = n.crossJoin(F.broadcast(of)).select(F.lit("all").alias("category"), "cell", "n", "threshold")
+    matched = packed_matches(det, truth, thresholds, {"all": AREAS["all"]}, category=None)
+    return packed_curves(matched, n.drop("threshold"), len(thresholds), ()).join(F.broadcast(of), "cell").select("threshold", "ap")
 
 
 def proposal_recall(proposals: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS, areas: dict[str, tuple[float, float]] = PROPOSAL_AREAS, limits: tuple[int, ...] = (100, 1000)) -> DataFrame:
@@ -86,20 +123,29 @@ def proposal_recall(proposals: DataFrame, truth: DataFrame, thresholds: list[flo
 
     Within an image the best covered truth and its proposal are paired and retire, until one side is used up.
     """
-    ts, cells = np.array(thresholds), [(a, k) for a in range(len(areas)) for k in limits]
+    ts, lo, hi = np.array(thresholds), *np.array(list(areas.values())).T
+    part, most, threshold = (v.reshape(1, -1) for v in np.meshgrid(np.arange(len(areas)), np.array(limits), ts, indexing="ij"))
 
     def one(di, db, ds, gi, gb, crowd):
-        gb, rows = gb[~crowd], []
-        o = np.lexsort((di, -ds))
-        size = area_of(gb)
-        for a, k in cells:
-            lo, hi = list(areas.values())[a]
-            of = gb[(size >= lo) & (size <= hi)]
-            found = np.array([v for *_, v in best_covered(iou_matrix(db[o[:k]], of))] if len(of) else [])
-            rows += [(a, k, t, int((found >= t).sum()), len(of)) for t in ts.tolist()]
-        return dict(zip(("part", "most", "threshold", "hits", "n"), zip(*rows, strict=True), strict=True))
-
-    got = two_sided(proposals, truth, ["image"], one, "part long, most long, threshold double, hits long, n long")
+        g, n, m = len(di), di.shape[1], gb.shape[1]
+        rank = np.empty(di.shape, np.int64)
+        np.put_along_axis(rank, by_score(di, ds, n), np.broadcast_to(np.arange(n), di.shape), 1)
+        size = area_of(gb)[:, None]
+        of = ~crowd[:, None] & (size >= lo[:, None]) & (size <= hi[:, None])  # groups, areas, truths
+        first = rank[:, None] < np.array(limits)[:, None]  # groups, limits, proposals
+        hits = np.zeros((len(lo), len(limits), len(ts)), np.int64)
+        if m:
+            iou = iou_matrix(db, gb)
+            some = np.flatnonzero((iou >= ts.min()).any((1, 2)))  # pairs under every threshold are no hits, and come last
+            if len(some):
+                v = np.where(of[some][:, :, None, None, :] & first[some][:, None, :, :, None], iou[some][:, None, None], -1.0)
+                got = paired(v.reshape(-1, n, m), float(ts.min()))[2].reshape(len(some), len(lo), len(limits), -1)
+                for k, t in enumerate(ts.tolist()):
+                    hits[..., k] = (got >= t).sum((0, 3))
+        total = np.broadcast_to(of.sum((0, 2))[:, None, None], hits.shape)
+        return {"part": part, "most": most, "threshold": threshold, "hits": hits.reshape(1, -1), "n": total.reshape(1, -1)}
+
+    got = two_sided(proposals, truth, ["image"], one, "part long, most long, threshold double, hits long, n long", width=len(areas) * len(limits), keyed=False)
     total = got.groupBy("part", "most", "threshold").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     name = F.element_at(F.array(*map(F.lit, areas)), (F.col("part") + 1).cast("int"))
     return total.select(name.alias("area"), "most", "threshold", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(-1.0).alias("recall"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +70,89 @@ def average_precision(matches: DataFrame, n_truth: DataFrame, by: list[str]) ->
     return interpolated(precision_recall(matches, n_truth, by), by).groupBy(*by).agg(F.avg("precision").alias("ap"))
 
 
+#: Detections that a range of the ranking holds, about.
+RANGE = 500_000
+
+
+def packed_curves(matches: DataFrame, n_truth: DataFrame, cells: int, most: tuple[int, ...]) -> DataFrame:
+    """(category, cell, ap, h..): average precision at 101 recalls, and hits of ranks under each of ``most``, by category and cell.
+
+    ``matches`` has a row a detection (image, category, idx, score, rank), and ``hit`` and ``counts``, a bit a cell (a size
+    and threshold): all cells share one ranking, so it is sorted once. It is dealt by ranges, a Python call each; what the
+    ranges before it have counted comes as a row a range and cell, and what later ones reach is taken up at the end.
+    ``n_truth`` (category, cell, n) says which cells there are.
+    """
+    spark = matches.sparkSession
+    held = materialized(matches)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held.count() // RANGE)
+    ranked = materialized(held.repartitionByRange(ranges, "category", F.desc("score"), "image", "idx").withColumn("_part", F.spark_partition_id()))
+    names = ["hits", "places", *(f"h{k}" for k in most)]
+    width = -(-cells // 8)
+
+    def bits(column) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+        return np.unpackbits(raw, axis=1, count=cells).astype(bool)
+
+    def classes(t) -> list[tuple[str, np.ndarray]]:
+        codes = t.column("category").combine_chunks().dictionary_encode()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        of = codes.indices.to_numpy(zero_copy_only=False)
+        return [(v, np.flatnonzero(of == k)) for k, v in enumerate(codes.dictionary.to_pylist())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, rows = pa.Table.from_batches([b]), []
+            part, rank, hit, there = t.column("_part").to_numpy(), t.column("rank").to_numpy(), bits(t.column("hit")), bits(t.column("counts"))
+            for name, at in classes(t):
+                for p in np.unique(part[at]):
+                    k = at[part[at] == p]
+                    sums = [hit[k].sum(0), there[k].sum(0), *(hit[k[rank[k] < m]].sum(0) for m in most)]
+                    rows += [(int(p), name, c, *(int(s[c]) for s in sums)) for c in range(cells)]
+            kinds = [pa.int32(), pa.string(), pa.int64(), *[pa.int64()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["_part", "category", "cell", *names])
+
+    schema = "_part int, category string, cell long, " + ", ".join(f"{n} long" for n in names)
+    counted = ranked.select("_part", "category", "rank", "hit", "counts").mapInArrow(count, schema).groupBy("_part", "category", "cell").agg(*(F.sum(n).alias(n) for n in names))
+    counted = materialized(counted)
+    before = Window.partitionBy("category", "cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counted.select("_part", "category", "cell", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("hits", "places"))).join(n_truth, ["category", "cell"])
+
+    def curve(t: pa.Table, c: pa.Table) -> pa.Table:
+        score, image, idx = (t.column(k).to_numpy() for k in ("score", "image", "idx"))
+        down = np.where(np.isnan(score), -np.inf, -score)  # as Spark orders them
+        hit, there, rows = bits(t.column("hit")), bits(t.column("counts")), []
+        known = {(r["category"], r["cell"]): r for r in c.to_pylist()}
+        part = c.column("_part")[0].as_py() if len(c) else 0
+        for name, at in classes(t):
+            at = at[np.lexsort((idx[at], image[at], down[at]))]
+            for cell in range(cells):
+                k, r = at[there[at, cell]], known.get((name, cell))
+                if r is None or not len(k):
+                    continue
+                h = hit[k, cell]
+                tp, place, n = r["hits"] + np.cumsum(h), r["places"] + np.arange(1, len(k) + 1), r["n"]
+                envelope = np.maximum.accumulate((tp / place)[::-1])[::-1]
+                ends = np.flatnonzero(h | (place == 1))
+                reached = lambda v: np.floor(v / n * 100 + 1e-6)  # noqa: B023, E731
+                a, b = np.where(place[ends] == 1, 0, reached(tp[ends] - 1) + 1), reached(tp[ends])
+                rows.append((part, name, cell, -1, -1, envelope[0]))
+                new = np.flatnonzero(a <= b)  # places that reach another of the 101 recalls
+                rows += [(part, name, cell, int(x), int(y), v) for x, y, v in zip(a[new], b[new], envelope[ends[new]], strict=True)]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 3, pa.float64()]
+        return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(("_part", "category", "cell", "a", "b", "envelope"), kinds, strict=True))})
+
+    got = ranked.drop("rank").groupBy("_part").cogroup(carried.groupBy("_part")).applyInArrow(curve, "_part int, category string, cell long, a long, b long, envelope double")
+    got = materialized(got)  # a hundred rows a cell, and one a range
+    key = ["category", "cell"]
+    later = Window.partitionBy(*key).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = got.where("a < 0").select("_part", *key, F.max("envelope").over(later).alias("_later"))
+    reach = got.where("a >= 0").join(tops, ["_part", *key]).select(*key, F.greatest("envelope", "_later").alias("v"), F.explode(F.sequence("a", "b")).alias("point"))
+    points = reach.groupBy(*key, "point").agg(F.max("v").alias("v")).groupBy(*key).agg((F.sum("v") / 101).alias("ap"))
+    sums = counted.groupBy(*key).agg(F.sum("places").alias("_places"), *(F.sum(f"h{k}").alias(f"h{k}") for k in most))
+    return n_truth.select(*key).join(sums.where("_places > 0"), key).join(points, key, "left").select(*key, F.coalesce("ap", F.lit(0.0)).alias("ap"), *(f"h{k}" for k in most))
+
+
 def mean_over_valid(value: Column) -> Column:
     """Mean of the entries over -1; -1 where there is none."""
     return F.coalesce(F.avg(F.when(value > -1, value)), F.lit(-1.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,40 +22,63 @@ def iou_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b."""
-    return iou_pairs(a[:, None], b[None]) if len(a) and len(b) else np.zeros((len(a), len(b)))
+    """IoU of every box of a with every box of b; leading dimensions are groups side by side."""
+    return iou_pairs(a[..., :, None, :], b[..., None, :, :])
 
 
 def keep_windowed(near: np.ndarray, threshold: float) -> np.ndarray:
     """A kept item suppresses those after it, within the band, that overlap it by more than the threshold; suppressed items suppress nobody.
 
-    ``near[k, i]`` is the overlap of item i with item i + 1 + k; entries beyond the last item count for nothing.
+    ``near[..., k, i]`` is the overlap of item i with item i + 1 + k; entries beyond the last item count for nothing.
     """
-    n = near.shape[1]
-    keep = np.ones(n, bool)
+    n = near.shape[-1]
+    keep = np.ones((*near.shape[:-2], n), bool)
     for i in range(n):
-        if keep[i]:
-            most = min(len(near), n - 1 - i)
-            keep[i + 1 : i + 1 + most] &= near[:most, i] <= threshold
+        most = min(near.shape[-2], n - 1 - i)
+        keep[..., i + 1 : i + 1 + most] &= ~keep[..., i, None] | (near[..., :most, i] <= threshold)
     return keep
 
 
 def iou_band(b: np.ndarray, width: int) -> np.ndarray:
     """``width`` rows: the IoU of each box with the one 1, 2, ... after it (0 beyond the last)."""
-    out = np.zeros((width, len(b)))
-    for k in range(min(width, len(b) - 1)):
-        out[k, : len(b) - 1 - k] = iou_pairs(b[: len(b) - 1 - k], b[1 + k :])
+    n = b.shape[-2]
+    out = np.zeros((*b.shape[:-2], width, n))
+    for k in range(min(width, n - 1)):
+        out[..., k, : n - 1 - k] = iou_pairs(b[..., : n - 1 - k, :], b[..., 1 + k :, :])
     return out
 
 
-def keep_full(iou: np.ndarray, threshold: float) -> np.ndarray:
-    """An item stays when it overlaps every kept one before it by at most the threshold."""
-    keep = np.zeros(len(iou), bool)
-    for i in range(len(iou)):
-        keep[i] = not (iou[i, keep] > threshold).any()
+def keep_full(iou: np.ndarray, threshold: float, able: np.ndarray | None = None) -> np.ndarray:
+    """An item stays when it overlaps every kept one before it by at most the threshold; with ``able``, only those that are."""
+    keep = np.zeros(iou.shape[:-1], bool)
+    for i in range(iou.shape[-1]):
+        keep[..., i] = ~((iou[..., i, :i] > threshold) & keep[..., :i]).any(-1)
+        if able is not None:
+            keep[..., i] &= able[..., i]
     return keep
 
 
+#: Pairs of rows that groups of one shape, stacked in one call of a kernel, may have in all; a larger group comes by itself.
+STACKED = 1 << 20
+
+
+def stacks(*sizes: np.ndarray, width: int = 1) -> Iterator[np.ndarray]:
+    """Places of groups that are alike in all their ``sizes``, as many together as ``STACKED`` pairs (times ``width``) allow.
+
+    So a kernel runs a few times for many small groups, and its Python steps do not grow with their number.
+    """
+    order = np.lexsort(sizes[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for s in sizes:
+        new[1:] |= s[order][1:] != s[order][:-1]
+    for part in np.split(order, np.flatnonzero(new)[1:]) if len(order) else ():
+        pairs = width * max(1, int(sizes[0][part[0]])) * max(1, int(sizes[-1][part[0]]))
+        step = max(1, STACKED // pairs)
+        for k in range(0, len(part), step):
+            yield part[k : k + step]
+
+
 def in_groups(table: pa.Table, groups: list[str], order: list[tuple[str, bool]]) -> tuple[pa.Table, np.ndarray]:
     """The rows sorted by group and then by (column, ascending), and where each group begins; one more entry ends the last."""
     at = pa.compute.sort_indices(table, [(g, "ascending") for g in groups] + [(c, "ascending" if up else "descending") for c, up in order])
@@ -79,7 +102,7 @@ def bucketed(df: DataFrame, key: str, each: int = 8) -> DataFrame:
 
 
 def suppress(boxes: DataFrame, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], order: list[tuple[str, bool]], groups: list[str]) -> DataFrame:
-    """The rows that ``rule`` keeps, given each group's boxes and scores (0 without) in the given order."""
+    """The rows that ``rule`` keeps, given the boxes and scores (0 without) of groups of one size, a group a row, in the given order."""
     schema, has_score = boxes.schema, "score" in boxes.columns
 
     def many(t: pa.Table) -> pa.Table:
@@ -87,8 +110,10 @@ def suppress(boxes: DataFrame, rule: Callable[[np.ndarray, np.ndarray], np.ndarr
         b = box_array(t)
         score = t.column("score").to_numpy() if has_score else np.zeros(len(t))
         keep = np.zeros(len(t), bool)
-        for i, j in zip(begins[:-1], begins[1:], strict=True):
-            keep[i:j] = rule(b[i:j], score[i:j])
+        first, size = begins[:-1], np.diff(begins)
+        for of in stacks(size):
+            at = first[of][:, None] + np.arange(size[of[0]])
+            keep[at] = rule(b[at], score[at])
         return t.filter(pa.array(keep)).drop_columns("_bucket")
 
     return bucketed(boxes, groups[0]).groupBy("_bucket").applyInArrow(many, schema)
@@ -120,10 +145,8 @@ def candidate_dedup(candidates: DataFrame, least_score: float, threshold: float
     """By falling score: those under ``least_score`` or alike to a kept one go, but the last one stays where nothing else does."""
 
     def rule(b: np.ndarray, score: np.ndarray) -> np.ndarray:
-        good = score >= least_score
-        keep = np.zeros(len(b), bool)
-        keep[good] = keep_full(iou_matrix(b[good], b[good]), threshold)
-        keep[-1] |= not keep.any()
+        keep = keep_full(iou_matrix(b, b), threshold, score >= least_score)
+        keep[:, -1] |= ~keep.any(1)
         return keep
 
     return suppress(candidates, rule, [("score", False), ("idx", True)], [group])
@@ -133,8 +156,8 @@ def until_repeat(steps: DataFrame, most_iou: float, group: str = "image", order:
     """Rows in order up to, not with, the first that overlaps an earlier one by more than ``most_iou``."""
 
     def rule(b: np.ndarray, _: np.ndarray) -> np.ndarray:
-        bad = np.triu(iou_matrix(b, b) > most_iou, 1).any(0)
-        return np.arange(len(b)) < (int(np.argmax(bad)) if bad.any() else len(b))
+        bad = np.triu(iou_matrix(b, b) > most_iou, 1).any(1)
+        return np.arange(b.shape[1]) < np.where(bad.any(1), bad.argmax(1), b.shape[1])[:, None]
 
     return suppress(steps, rule, [(order, True)], [group])
 

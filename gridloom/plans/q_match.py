@@ -110,10 +110,9 @@ def j14_masks(spark, sf):
     return M.optimal_mask_match(pred, truth)
 
 
-def _matches(spark, sf, thresholds):
+def _truth_and_det(spark, sf):
     gt, det = gt_and_det(spark, sf)
-    truth = gt.withColumn("iscrowd", F.col("idx") % 5 == 0)
-    return materialized(M.match_detections(det, truth, thresholds)), truth.where("not iscrowd").agg(F.count("*").alias("n"))
+    return det, gt.withColumn("iscrowd", F.col("idx") % 5 == 0)
 
 
 def match_sql(det: str, truth: str, thresholds: str, areas: str = "(VALUES ('all', 0.0, 1e10))", group: str = "image", most: int = 100) -> str:
@@ -150,7 +149,7 @@ TRUTH = "SELECT image, idx, idx % 5 = 0 AS crowd, x0, y0, x1, y1 FROM gt"
 
 @query("j12_coco_matches", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.3, 0.5]')} SELECT image, idx, score, threshold, gt_idx, ignored FROM matched")
 def j12(spark, sf):
-    return _matches(spark, sf, [0.3, 0.5])[0]
+    return M.match_detections(*_truth_and_det(spark, sf), [0.3, 0.5])
 
 
 N_SQL = "CROSS JOIN (SELECT count(*) AS n FROM gt WHERE idx % 5 <> 0)"
@@ -158,15 +157,13 @@ N_SQL = "CROSS JOIN (SELECT count(*) AS n FROM gt WHERE idx % 5 <> 0)"
 
 @query("w1_w2_w3_a22_average_precision", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.1, 0.3, 0.5]')}, {ap_sql('matched', N_SQL, 'threshold')} SELECT threshold, round(ap, 6) AS ap FROM ap")
 def a22(spark, sf):
-    m, n = _matches(spark, sf, [0.1, 0.3, 0.5])
-    return E.average_precision(m, n, ["threshold"]).withColumn("ap", F.round("ap", 6))
+    return V.precision_by_threshold(*_truth_and_det(spark, sf), [0.1, 0.3, 0.5]).withColumn("ap", F.round("ap", 6))
 
 
 @query("a23_a24_summary", f"WITH RECURSIVE {BOXES_SQL}, {match_sql('SELECT image, idx, score, x0, y0, x1, y1 FROM det', TRUTH, '[0.1, 0.2, 0.3, 0.4, 0.5]')}, {ap_sql('matched', N_SQL, 'threshold')} SELECT round(avg(ap) * 100, 4) AS ap, round(avg(ap) FILTER (threshold = 0.3) * 100, 4) AS ap30, round(avg(ap) FILTER (threshold = 0.5) * 100, 4) AS ap50 FROM ap")
 def a23(spark, sf):
     """Mean AP over thresholds, percent, with -1 for none."""
-    m, n = _matches(spark, sf, [0.1, 0.2, 0.3, 0.4, 0.5])
-    ap = E.average_precision(m, n, ["threshold"])
+    ap = V.precision_by_threshold(*_truth_and_det(spark, sf), [0.1, 0.2, 0.3, 0.4, 0.5])
     one = lambda t: E.mean_over_valid(F.when(F.round("threshold", 2) == t, F.col("ap")))
     return ap.agg(F.round(E.mean_over_valid(F.col("ap")) * 100, 4).alias("ap"), F.round(one(0.3) * 100, 4).alias("ap30"), F.round(one(0.5) * 100, 4).alias("ap50"))
 

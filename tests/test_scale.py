@@ -65,3 +65,39 @@ def test_entries_that_round_to_zero_keep_their_sign(spark, tmp_path):
     pq.write_table(rows, f"{tmp_path}/embeddings.parquet")
     unit = reference.QUERIES["l2_normalize_all"](spark, str(tmp_path)).first()["unit"]
     assert [str(x) for x in unit] == ["1.0", "-0.0", "0.0", "0.0"]  # as the SQL gives them
+
+
+def test_kernels_take_groups_side_by_side():
+    from gridloom.operators import match as K
+    from gridloom.operators import suppress as D
+
+    rng = np.random.default_rng(5)
+    cost = np.round(rng.random((40, 3, 5)), 1)  # many ties
+    owner = K.assign_all(cost)
+    for c, o in zip(cost, owner, strict=True):
+        assert K.assign(c) == sorted((int(a), j) for j, a in enumerate(o) if a >= 0)
+    iou = np.round(rng.random((40, 3, 4)), 1)
+    rows, cols, _ = K.paired(iou, 0.3)
+    for v, r, c in zip(iou, rows, cols, strict=True):
+        assert K.greedy_pairs(v, 0.3) == [(int(a), int(b)) for a, b in zip(r, c, strict=True) if a >= 0]
+    sizes, truths = rng.integers(1, 4, 500), rng.integers(0, 4, 500)
+    parts = list(D.stacks(sizes, truths, width=40))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(500)) and len(parts) <= 12  # calls follow the shapes, not the groups
+    assert all(len(set(zip(sizes[p].tolist(), truths[p].tolist(), strict=True))) == 1 for p in parts)
+
+
+def test_one_ranking_serves_all_cells(spark, monkeypatch):
+    """Curves over packed bits, cut into many ranges, equal those of a row for each detection, size and threshold."""
+    from gridloom.operators import detection_eval as V
+    from gridloom.operators import metrics as E
+
+    rng = np.random.default_rng(2)
+    lo = rng.integers(0, 60, (300, 2))
+    rows = [(int(k // 6), "ab"[k % 2], int(k % 6), float(k % 5), *map(float, lo[k]), float(lo[k, 0] + 40), float(lo[k, 1] + 30 + k % 90), k % 7 == 0) for k in range(300)]
+    truth = spark.createDataFrame(rows, "image long, category string, idx long, score double, x0 double, y0 double, x1 double, y1 double, iscrowd boolean")
+    det = truth.drop("iscrowd").withColumn("x0", F.col("x0") + F.col("idx") % 4).withColumn("x1", F.col("x1") + F.col("idx") % 4)
+    want = V.summary(*V.precision_and_recall(V.matches_by_area(det, truth), V.truths_by_area(truth)))
+    monkeypatch.setattr(E, "RANGE", 40)
+    got = V.evaluate(det, truth)
+    near = lambda df: {r["statistic"]: round(r["value"], 9) for r in df.collect()}
+    assert near(got) == near(want)

@@ -469,15 +469,19 @@ def v7_fold(spark, sf):
 
 
 def _in_triggers(spark, rows, label: str, parts: int = 3):
-    """A stream of ``rows`` that comes in ``parts`` triggers, by falling thirds of the frames, and a folder for what is made of it."""
+    """A stream of ``rows`` that comes in ``parts`` triggers, by falling thirds of the frames, and a folder for what is made of it.
+
+    A trigger's rows are written by many tasks. A clip's rows of one third are in one file, so that they stay in order
+    also where a third has fewer files than a trigger takes.
+    """
     path = new_folder(spark, label)
-    rows = materialized(rows)
+    rows, files = materialized(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = rows.agg(F.max("frame")).first()[0] or 0
     for k in range(parts):
         of = F.least(F.floor(F.col("frame") * parts / (most + 1)), F.lit(parts - 1))
-        rows.where(of == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        rows.where(of == k).repartition(files, "clip").write.mode("append").parquet(f"{path}/in")
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in"), path
 
 
 @query("v7_reseed_stream", FOLD_SQL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ class _Clip(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
-    def in_order(self, rows: Iterator[pd.DataFrame], timers: TimerValues) -> list[pd.DataFrame]:
+    def in_order(self, rows: Iterator[pd.DataFrame], timers: TimerValues) -> pd.DataFrame:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
-        return [part for _, part in sorted(pd.concat(list(rows)).groupby("frame"), key=lambda kv: kv[0])]
+        return pd.concat(list(rows)).sort_values(["frame", "idx"], kind="stable")
 
     def close(self) -> None:
         pass
@@ -46,17 +47,20 @@ class _Tracks(_Clip):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = {int(k[0]): np.array(v, float) for k, v in self.boxes.iterator()}
-        active, fresh, out = before, self.begun.get()[0] if self.begun.exists() else -1, []
-        for part in self.in_order(rows, timerValues):
-            part = part.sort_values("idx")
-            got, active, fresh = advance(active, part[CORNERS].to_numpy(float), self.least, max(fresh, 0), fresh < 0)
-            out.append(pd.DataFrame({self.group: key[0], "frame": part["frame"], "idx": part["idx"], "track": got}))
+        active, fresh = before, self.begun.get()[0] if self.begun.exists() else -1
+        part = self.in_order(rows, timerValues)
+        at, b, track = part["frame"].to_numpy(), part[CORNERS].to_numpy(float), np.full(len(part), -1)
+        for i, j in itertools.pairwise([0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]):
+            if fresh >= 0 and not active:
+                break  # every track has ended, and no later box gets one
+            got, active, fresh = advance(active, b[i:j], self.least, max(fresh, 0), fresh < 0)
+            track[i:j] = got
         for k in before.keys() - active.keys():
             self.boxes.removeKey((k,))
         for k, box in active.items():
             self.boxes.updateValue((k,), tuple(map(float, box)))
         self.begun.update((int(fresh),))
-        yield pd.concat(out)
+        yield pd.DataFrame({self.group: key[0], "frame": at, "idx": part["idx"].to_numpy(), "track": track})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.boxes.clear()
@@ -74,7 +78,7 @@ class _Reseed(_Clip):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         box = np.array(self.box.get(), float) if self.box.exists() else None
-        out, box = fold_frames(key[0], pd.concat(self.in_order(rows, timerValues)), box, *self.rule)
+        out, box = fold_frames(key[0], self.in_order(rows, timerValues), box, *self.rule)
         if box is not None:
             self.box.update(tuple(map(float, box)))
         yield pd.DataFrame(out, columns=self.names)

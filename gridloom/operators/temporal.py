@@ -253,9 +253,12 @@ def synthetic_clips(boxes: DataFrame, frames: int, most_shift: float, width: flo
     """
     from gridloom.functions.text import hash_number
 
-    views = boxes.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
-    draw = lambda k: hash_number(key, "frame", F.lit(seed + k))
-    shift = lambda k: (draw(k) % 2_000_001 / 1e6 - 1) * most_shift
-    moved = views.withColumns({"_flip": draw(0) % 2 == 1, "_dx": shift(1), "_dy": shift(2)})
+    of, image = Window.partitionBy(key), F.row_number().over(Window.partitionBy(key).orderBy(key)) == 1
+    draw = lambda frame, k: hash_number(key, F.lit(frame), F.lit(seed + k))
+    shift = lambda frame, k: (draw(frame, k) % 2_000_001 / 1e6 - 1) * most_shift
+    drawn = F.array(*(F.struct(F.lit(f).alias("frame"), (draw(f, 0) % 2 == 1).alias("_flip"), shift(f, 1).alias("_dx"), shift(f, 2).alias("_dy")) for f in range(frames)))
+    # drawn at one box of each image, whose views all its boxes take
+    views = boxes.withColumn("_first", image).withColumn("_views", F.when(F.col("_first"), drawn)).withColumn("_views", F.max("_views").over(of))
+    moved = views.select(*boxes.columns, F.explode("_views").alias("_view")).select(*boxes.columns, "_view.*")
     x0, x1 = (F.when(F.col("_flip"), width - F.col(b)).otherwise(F.col(a)) + F.col("_dx") for a, b in (("x0", "x1"), ("x1", "x0")))
     return moved.withColumns({"x0": x0, "x1": x1, "y0": F.col("y0") + F.col("_dy"), "y1": F.col("y1") + F.col("_dy")}).drop("_flip", "_dx", "_dy")

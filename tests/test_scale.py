@@ -101,3 +101,27 @@ def test_one_ranking_serves_all_cells(spark, monkeypatch):
     got = V.evaluate(det, truth)
     near = lambda df: {r["statistic"]: round(r["value"], 9) for r in df.collect()}
     assert near(got) == near(want)
+
+
+@pytest.mark.parametrize("name", ["v5_track_stream", "v7_reseed_stream"])
+def test_triggers_are_written_by_many_tasks(spark, monkeypatch, name):
+    from gridloom.plans import q_match
+
+    folders, new_folder = [], q_match.new_folder
+    monkeypatch.setattr(q_match, "new_folder", lambda s, label: folders.append(new_folder(s, label)) or folders[-1])
+    batch = {"v5_track_stream": "v5_track_assignment", "v7_reseed_stream": "v7_reseed_fold"}[name]
+    got = reference.QUERIES[name](spark, SF)
+    want = reference.QUERIES[batch](spark, SF).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    import glob
+
+    assert len(glob.glob(f"{folders[0]}/in/*.parquet")) > 3
+
+
+def test_views_are_drawn_once_an_image(spark):
+    from gridloom.operators import temporal as T
+
+    rows = spark.range(12).selectExpr("id div 4 AS image", "id % 4 AS idx", "1d AS x0", "2d AS y0", "3d AS x1", "4d AS y1")
+    views = T.synthetic_clips(rows, 2, 20.0, 640.0)
+    assert "Window" in views._jdf.queryExecution().optimizedPlan().toString() and views.count() == 24
+    assert views.select("image", "frame", "x0", "y0").distinct().count() == 6

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.annotations import assemble, global_row_number, must_join, valid_polygons
+from gridloom.sources.storage import materialized
 
 IMAGE = "id BIGINT, file_name STRING, width INT, height INT, date_captured STRING, license INT, coco_url STRING, flickr_url STRING"
 ANNOTATION = "id BIGINT, image_id BIGINT, category_id INT, iscrowd INT, area DOUBLE, bbox ARRAY<DOUBLE>, segmentation VARIANT, score DOUBLE, track_id BIGINT, keypoints ARRAY<DOUBLE>"
@@ -33,7 +34,9 @@ def read_documents(spark: SparkSession, path: str, per_image: bool = False, mult
     docs = spark.read.schema(document_schema(per_image)).json(path, multiLine=multi_line).withColumn("file", F.col("_metadata.file_path"))
     each = lambda c: docs.select("file", F.explode(c).alias("r")).select("file", "r.*")
     images = docs.select("file", "image.*") if per_image else each("images")
-    ann = each("annotations").withColumns({"iscrowd": F.coalesce("iscrowd", F.lit(0)), "segmentation": segmentation(F.col("segmentation"))})
+    # told within the array, once an annotation: past the explode, each filter on it would work it out again
+    told = F.transform("annotations", lambda a: a.withField("segmentation", segmentation(a["segmentation"])))
+    ann = each(told).withColumn("iscrowd", F.coalesce("iscrowd", F.lit(0)))
     return {"images": images, "annotations": ann, "categories": each("categories").drop("file").distinct()}
 
 
@@ -43,9 +46,8 @@ def segmentation(v: Column) -> Column:
     Whatever is neither a list of lists of numbers nor an object has nulls alone, and an absent field is null.
     """
     of = lambda path, kind: F.try_variant_get(v, path, kind)
-    kind = F.schema_of_variant(v)
-    runs = F.when(kind.startswith("OBJECT"), of("$.counts", "array<int>"))
-    counts = F.when(kind.startswith("OBJECT") & runs.isNull(), of("$.counts", "string"))
+    runs = of("$.counts", "array<int>")  # only an object has a path
+    counts = F.when(runs.isNull(), of("$.counts", "string"))
     return F.when(v.isNotNull() & ~F.is_variant_null(v), F.struct(of("$", "array<array<double>>").alias("polygons"), of("$.size", "array<int>").alias("size"), counts.alias("counts"), runs.alias("runs")))
 
 
@@ -67,10 +69,11 @@ def centred_keypoints(keypoints: Column) -> Column:
 def image_records(documents: dict[str, DataFrame]) -> DataFrame:
     """A row per image with the array of its annotations (in the order of their ids; empty for none), each with its category's name.
 
-    A category that the documents do not list is an error. Keypoints move to pixel centres. Polygons that cannot be drawn
+    A category that the documents do not list is an error. The categories are written first, so that Spark knows their size
+    and no task gets all annotations of one. Keypoints move to pixel centres. Polygons that cannot be drawn
     go, and with them annotations that have no other.
     """
-    names = documents["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    names = materialized(documents["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category")))
     ann = must_join(with_valid_polygons(documents["annotations"]), names, "category_id", "category").withColumn("keypoints", centred_keypoints(F.col("keypoints")))
     fields = ["id", "category", "iscrowd", "area", "bbox", "keypoints", "segmentation"]
     return assemble(documents["images"].withColumnRenamed("id", "image_id"), ann, fields, "image_id")

@@ -125,3 +125,9 @@ def test_views_are_drawn_once_an_image(spark):
     views = T.synthetic_clips(rows, 2, 20.0, 640.0)
     assert "Window" in views._jdf.queryExecution().optimizedPlan().toString() and views.count() == 24
     assert views.select("image", "frame", "x0", "y0").distinct().count() == 6
+
+
+def test_scanned_annotations_are_told_once_and_not_dealt_by_category(spark):
+    plan = reference.QUERIES["s1_document_scan"](spark, SF)._jdf.queryExecution()
+    assert "hashpartitioning(category_id" not in plan.executedPlan().toString()
+    assert plan.optimizedPlan().toString().count(", $, ArrayType(ArrayType(DoubleType") == 1

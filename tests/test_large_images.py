@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import boxes as B
+from gridloom.operators import crowds as C
 from gridloom.operators import masks as M
 from gridloom.operators import runs as R
 from gridloom.operators import segment as X
@@ -141,6 +142,89 @@ def test_an_image_of_many_boxes_is_joined_by_cells(spark):
     assert got == want and len(want) > 10_000
 
 
+def met(a, b):
+    """For each box of a (4 rows of corners) the number of boxes of b that share an area with it, and the largest IoU."""
+    n, best = [], []
+    for p in a.T:
+        shared = np.maximum(np.minimum(p[2], b[2]) - np.maximum(p[0], b[0]), 0.0) * np.maximum(np.minimum(p[3], b[3]) - np.maximum(p[1], b[1]), 0.0)
+        n.append(int((shared > 0).sum()))
+        best.append(float((shared / ((p[2] - p[0]) * (p[3] - p[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)).max(initial=0.0)))
+    return n, best
+
+
+@pytest.mark.parametrize("kind", ["whole", "spread", "alike", "huge and tiny", "copies"])
+def test_counts_and_best_of_a_crowd_equal_all_pairs(kind):
+    r = np.random.default_rng(4)
+
+    def boxes(n):
+        x, y = r.random((2, n)) * 60 - 30
+        w, h = {"spread": np.exp(r.normal(0, 3, (2, n))), "alike": r.random((2, n)) + 3, "huge and tiny": 10.0 ** r.integers(-40, 30, (2, n))}.get(kind, r.integers(1, 20, (2, n)).astype(float))
+        if kind in ("whole", "copies"):
+            x, y = np.round(x / (1 if kind == "whole" else 20)), np.round(y / (1 if kind == "whole" else 20))
+        out = np.array([x, y, x + w, y + h])
+        return out[:, (out[2] > out[0]) & (out[3] > out[1])]
+
+    for n, m in ((1, 1), (700, 900), (40, 0), (3, 2000)):
+        a, b = boxes(n), boxes(m)
+        counts, best = met(a, b)
+        assert C.overlap_counts(a, b).tolist() == counts
+        assert C.best_ious(a, b).tolist() == best
+
+
+def test_candidates_grow_with_the_boxes_and_not_with_their_pairs(monkeypatch):
+    looked, spans = [], C.spans
+    monkeypatch.setattr(C, "spans", lambda lo, hi: looked.append(int((hi - lo).sum())) or spans(lo, hi))
+
+    def work(n):
+        r = np.random.default_rng(6)
+        a, b = (np.concatenate([p := r.random((2, n)) * 1000, p + 10 + r.random((2, n)) * 200]) for _ in range(2))
+        looked.clear()
+        C.best_ious(a, b)
+        return sum(looked) / n, C.overlap_counts(a, b).mean()
+
+    (few, pairs), (many, more_pairs) = work(2000), work(32_000)
+    assert more_pairs > 15 * pairs and many < 3 * few and many < 300
+
+
+@pytest.mark.parametrize("tile", [60, 20_000])
+def test_crowds_in_tiles_equal_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "LARGE_TILE", 4 * tile)
+    r = random.Random(5)
+    rows = [(*v, k % 2 == 0) for k in range(2) for v in random_boxes(r, 300, 250)]
+    rows = [(g, i + 1000 * (not left), *c, left) for g, i, *c, left in rows]
+    rows += [(0, 5000, -1e5, -1e5, 1e5, 1e5, True), (1, 5001, -1e5, -1e5, 1e5, 1e5, False), (2, 5002, None, 0.0, 1.0, 1.0, True), (None, 5003, 0.0, 0.0, 1.0, 1.0, True), (7, 5004, 0.0, 0.0, 1.0, 1.0, True)]
+    df = spark.createDataFrame(rows, "image int, idx int, x0 double, y0 double, x1 double, y1 double, is_gt boolean")
+    got = {(g.image, g.idx): (g.n, g.best_iou) for g in C.crowded_overlaps(df, "is_gt").collect()}
+    full = [v for v in rows if None not in v and v[4] > v[2] and v[5] > v[3]]
+    want = {v[:2]: (0, 0.0) for v in rows if v[6]}
+    for image in range(4):
+        a, b = (np.array([v[2:6] for v in full if v[0] == image and v[6] == left], float).T for left in (True, False))
+        want |= dict(zip([v[:2] for v in full if v[0] == image and v[6]], zip(*met(a, b), strict=True), strict=True))
+    assert got == want and len(got) == sum(v[6] for v in rows)
+
+
+def test_a_crowd_of_nearly_a_billion_overlaps_is_counted(spark):
+    """30,000 boxes a side around one spot, where nearly all overlap; joined as pairs, they took minutes."""
+    n = 30_000
+    u = lambda k, most: F.pmod(F.xxhash64("idx", F.lit(k)), F.lit(most)).cast("double")
+    df = spark.range(2 * n).withColumnRenamed("id", "idx").select(F.lit(0).alias("image"), "idx", u(1, 100).alias("x0"), u(2, 100).alias("y0"), (u(3, 300) + 101).alias("x1"), (u(4, 300) + 101).alias("y1"), (F.col("idx") % 2 == 0).alias("is_gt"))
+    began = time.time()
+    got = {r.idx: (r.n, r.best_iou) for r in C.crowded_overlaps(df, "is_gt").collect()}
+    assert time.time() - began < 90
+    rows = np.array([tuple(r)[1:6] for r in df.orderBy("idx").collect()])
+    left = rows[::2][:300]
+    assert len(got) == n and [got[int(v[0])] for v in left] == list(zip(*met(left[:, 1:].T, rows[1::2, 1:].T), strict=True))
+
+
+def test_no_pair_of_the_crowded_scenes_has_a_row(spark, monkeypatch):
+    from gridloom.plans import reference
+
+    monkeypatch.setattr(B, "overlapping", None)
+    plan = reference.QUERIES["j7_crowded_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "l_x0" not in plan
+
+
 def test_tiling_and_points(spark):
     images = spark.createDataFrame([(1, 640, 480), (2, 101, 33)], "image int, width int, height int")
     crops = [tuple(r) for r in B.tile_boxes(images, 1, 0.34).where("image = 1").orderBy("layer", "crop").select("layer", "x0", "y0", "x1", "y1").collect()]

@@ -18,6 +18,8 @@ from gridloom.sources.storage import materialized
 
 #: Boxes of both sides that a tile should have, and those that it may have to be some four boxes long, where they lie evenly; those that reach into it come on top.
 TILE, LARGE_TILE = 20_000, 400_000
+#: Boxes of a side that one call of the kernel gets; a tile with more is dealt into blocks, and each block of one side meets each of the other.
+BLOCK = 1_000_000
 #: Thresholds of IoU, in the order in which the search gives up on them; 0 takes all that overlap.
 LADDER = (0.8, 0.55, 0.3, 0.15, 0.07, 0.03, 0.01, 0.0)
 #: Candidate pairs that a step of the search looks at side by side.
@@ -153,7 +155,8 @@ def crowded_overlaps(boxes: DataFrame, left: str, key: str = "image") -> DataFra
 
     No pair has a row. An image is cut into square tiles by the number of its boxes, none shorter than its boxes are on
     average; left boxes longer than a tile go to tiles that double in size. A left box is in the tile of its first corner, and
-    another in every tile where a left box might reach it. Boxes without an area, and those with a null corner or key,
+    another in every tile where a left box might reach it. A tile of very many boxes is dealt into blocks. Left boxes of one
+    ``key`` and idx count as one. Boxes without an area, and those with a null corner or key,
     overlap none.
     """
     kind = dict(boxes.dtypes)
@@ -176,7 +179,16 @@ def crowded_overlaps(boxes: DataFrame, left: str, key: str = "image") -> DataFra
         others = others.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"{c}0") - F.col(f"_far_{c}")), cell(F.col(f"{c}1")))))
     at = [key, "_level", "_cx", "_cy"]
     columns = [*at, "idx", *CORNERS, "_left"]
-    spark = boxes.sparkSession
+    met = own.select(columns).unionByName(others.select(columns))
+    blocks = lambda hit: F.ceil(F.count(F.when(hit, 1)) / BLOCK).cast("int")
+    full_tiles = met.groupBy(at).agg(blocks(F.col("_left")).alias("_nl"), blocks(~F.col("_left")).alias("_nr")).where("_nl > 1 or _nr > 1")  # one for BLOCK rows at most
+    met = met.join(F.broadcast(full_tiles), at, "left").na.fill(1, ["_nl", "_nr"])
+    of = lambda mine, other: F.when(F.col("_left"), mine).otherwise(other)
+    met = met.withColumn("_mine", F.pmod(F.xxhash64("idx", *CORNERS), F.greatest(of(F.col("_nl"), F.col("_nr")), F.lit(1))).cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.greatest(of(F.col("_nr"), F.col("_nl")), F.lit(1)) - 1)))
+    met = met.select(*columns, of(F.col("_mine"), F.col("_other")).alias("_bl"), of(F.col("_other"), F.col("_mine")).alias("_br"))
+    spark, at = boxes.sparkSession, [*at, "_bl", "_br"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a fixed number: AQE would join partitions by their bytes, which are few for the work
-    met = own.select(columns).unionByName(others.select(columns)).repartition(tasks, *at).groupBy(at).applyInArrow(lambda t: _tile(t, key), f"{key} {kind[key]}, idx {kind['idx']}, n long, best_iou double")
-    return met.unionByName(boxes.where(F.col("_left") & ~full).select(key, "idx", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("best_iou")))
+    found = met.repartition(tasks, *at).groupBy(at).applyInArrow(lambda t: _tile(t, key), f"{key} {kind[key]}, idx {kind['idx']}, n long, best_iou double")
+    alone = boxes.where(F.col("_left") & ~full).select(key, "idx", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("best_iou"))
+    return found.unionByName(alone).groupBy(key, "idx").agg(F.sum("n").alias("n"), F.max("best_iou").alias("best_iou"))

@@ -186,9 +186,10 @@ def test_candidates_grow_with_the_boxes_and_not_with_their_pairs(monkeypatch):
     assert more_pairs > 15 * pairs and many < 3 * few and many < 300
 
 
-@pytest.mark.parametrize("tile", [60, 20_000])
-def test_crowds_in_tiles_equal_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "block"), [(60, 10**6), (60, 7), (20_000, 10**6), (20_000, 40)])
+def test_crowds_in_tiles_equal_all_pairs(spark, monkeypatch, tile, block):
     monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "BLOCK", block)
     monkeypatch.setattr(C, "LARGE_TILE", 4 * tile)
     r = random.Random(5)
     rows = [(*v, k % 2 == 0) for k in range(2) for v in random_boxes(r, 300, 250)]
